@@ -195,7 +195,12 @@ def with_views(views: list[str] | str, body: str, extra: list[tuple[str, str]] |
         add(v)
     ctes = [f"{v} AS ({VIEW_SQL[v].strip()})" for v in order]
     ctes += [f"{n} AS ({s.strip()})" for n, s in (extra or [])]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body.strip()) if ctes else body.strip()
+    body = body.strip()
+    if not ctes:
+        return body
+    if body[:5].upper() == "WITH ":  # the body's own CTEs follow the views
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
 def _word(code, words):
