@@ -233,3 +233,43 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
         ordered("finding", fnd).alias("findings_all"),
         ordered("device", dev).alias("devices_all"),
         ordered("diagnosis", dia).alias("diagnoses_all")).alias("payload"))
+
+
+def replay_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded model responses per (method, report_id), made from ``graded``.
+
+    Variants by report_id % 10 exercise the decoder: 3 wrapped in text,
+    5 cut off, 7 wrong type (llm) / failed call (judge_ext), 9 no JSON.
+    Judge grade 0 means the judge call failed (NULL payload).
+    """
+    g = reports_with_truth(spark, sf_dir).drop("TEXT_REPORT")
+    v = F.col("report_id") % 10
+    s = lambda c: F.col(c).cast("string")
+    llm_ok = F.concat(F.lit('{"grade": '), s("priority_llm"), F.lit("}"))
+    llm = (F.when(v == 3, F.concat(F.lit("Sure: "), llm_ok, F.lit(" done")))
+           .when(v == 5, F.concat(F.lit('{"grade": '), s("priority_llm")))
+           .when(v == 7, F.lit('{"grade": "high"}'))
+           .when(v == 9, F.lit("I cannot grade this report."))
+           .otherwise(llm_ok))
+    expl = F.when(F.col("priority_hybrid") == F.col("priority_algo"), F.lit("agree")).otherwise(F.lit("disagree"))
+    hyb = F.when(v == 5, F.concat(F.lit('{"grade": '), s("priority_hybrid"), F.lit(', "explanation": "cut'))) \
+        .otherwise(F.concat(F.lit('{"grade": '), s("priority_hybrid"), F.lit(', "explanation": "'), expl,
+                            F.lit('"}')))
+    jc = (F.when(F.col("judge_grade") == F.col("priority_algo"), 1)
+          .when(F.col("judge_grade") == F.col("priority_llm"), 2).otherwise(0))
+    judge = F.when(F.col("judge_grade") != 0, F.concat(
+        F.lit('{"grade": '), s("judge_grade"), F.lit(', "choice": '), jc.cast("string"),
+        F.lit(', "explanation": "inner"}')))
+    e = F.greatest(F.lit(1), F.col("priority_hybrid"))
+    ec = F.when(e == F.col("priority_manual"), 2).otherwise(1)
+    judge_ext = F.when(v != 7, F.concat(F.lit('{"grade": '), e.cast("string"), F.lit(', "choice": '),
+                                         ec.cast("string"), F.lit(', "explanation": "outer"}')))
+    rows = g.select("report_id", F.explode(F.array(
+        F.struct(F.lit("llm").alias("method"), llm.alias("payload")),
+        F.struct(F.lit("hybrid").alias("method"), hyb.alias("payload")),
+        F.struct(F.lit("judge").alias("method"), judge.alias("payload")),
+        F.struct(F.lit("judge_ext").alias("method"), judge_ext.alias("payload")))).alias("r"))
+    rows = rows.select("report_id", "r.method", "r.payload")
+    ext = extractions(spark, sf_dir).select("report_id", F.lit("extract").alias("method"),
+                                            F.to_json("payload").alias("payload"))
+    return rows.unionByName(ext)
