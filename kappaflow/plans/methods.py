@@ -132,6 +132,8 @@ def grade_judge(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", manual
         "_c1": F.when(~F.col("_need"), F.lit(3)).otherwise(F.col("_j1.choice")),
         "_e1": F.when(~F.col("_need"), F.lit(None).cast("string")).otherwise(F.col("_j1.explanation")),
         "_ok1": fail1}).drop("_need")
+    if stage is not None:  # cut the lineage: step 2 reads step 1 twice
+        s1 = stage_table(s1, f"{stage}-judge-step1")
     same2 = F.coalesce(m == F.col("_g1"), F.lit(False))
     s2 = _judge_step(s1, F.col("_ok1") & ~same2, "judge_ext",
                      {"grade_auto": F.col("_g1"), "grade_manual": m, "rpt": F.col(report_col)},
@@ -153,12 +155,13 @@ def grade_judge(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", manual
 
 def grade_all_methods(df: DataFrame, model, findings_lex, devices_lex, diagnoses_lex, *,
                       report_col: str = "TEXT_REPORT", model_name: str = "model", cache=None,
-                      save_intermediate: bool = False, stage: str = "grading") -> DataFrame:
+                      save_intermediate: bool = True, stage: str = "grading") -> DataFrame:
     """Clean -> method 1 -> method 3 -> method 2 -> rename -> method 4.
 
-    With ``save_intermediate`` every stage is written under the shared
-    stage folder and read back (S7): a retry after an executor loss reads
-    the stage, it does not repeat model calls.
+    With ``save_intermediate`` (the default) every stage is written under
+    the shared stage folder and read back (S7): a retry after an executor
+    loss reads the stage, it does not repeat model calls, and each stage's
+    plan starts at a file instead of repeating the stages before it.
     """
     def keep(d, name):
         return stage_table(d, f"{stage}-{name}") if save_intermediate else d
