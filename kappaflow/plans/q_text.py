@@ -20,11 +20,7 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def clean_sql(x: str) -> str:
-    t = f"regexp_replace({x}, 'CHEST\\sof\\s\\d+-\\S{{3}}-\\d{{4}}:', '', 'g')"
-    t = f"regexp_replace({t}, 'Accession\\sNo:\\S+', '', 'g')"
-    t = f"regexp_replace({t}, '\\n+', chr(10), 'g')"
-    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+clean_sql = A.clean_sql
 
 
 LEX_LIST = "(SELECT string_agg(term, ', ' ORDER BY idx) FROM lexicon)"

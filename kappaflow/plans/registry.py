@@ -27,4 +27,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import q_grading, q_agreement, q_iterations, q_profile, q_text, q_models, q_lexicon, q_stream  # noqa: F401
+    from . import (q_agreement, q_annotate, q_grading, q_iterations, q_lexicon, q_models,  # noqa: F401
+                   q_profile, q_stream, q_text)

@@ -172,7 +172,29 @@ FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
 SELECT conv_id AS report_id, turn, role, text AS content FROM conversations""",
 }
 
+def clean_sql(x: str) -> str:
+    """The clean_text expression (P1) in DuckDB SQL."""
+    t = f"regexp_replace({x}, 'CHEST\\sof\\s\\d+-\\S{{3}}-\\d{{4}}:', '', 'g')"
+    t = f"regexp_replace({t}, 'Accession\\sNo:\\S+', '', 'g')"
+    t = f"regexp_replace({t}, '\\n+', chr(10), 'g')"
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+_PLANT_SQL = """CASE WHEN kind = 'diagnosis' THEN (CASE mention_id % 4 WHEN 0 THEN 'Suggestive of infection.'
+      WHEN 1 THEN 'Malignancy cannot be excluded.' WHEN 2 THEN 'No evidence of tuberculosis.'
+      ELSE 'P1 for ' || term_raw || '.' END)
+  ELSE (CASE WHEN mention_id % 7 = 0 THEN 'No ' WHEN uncertainty = 1 THEN 'Possibly ' ELSE '' END) || term_raw
+       || list_extract([' is new', ' is better', ' is worse', ' is stable', ''], temporal + 1)
+       || CASE WHEN kind = 'device' THEN list_extract([' in satisfactory position', ' in suboptimal position',
+                                                     ' malpositioned', ''], placement + 1) ELSE '' END || '.' END"""
+
+VIEW_SQL["annotated_reports"] = f"""
+SELECT r.report_id, {clean_sql('r.TEXT_REPORT')} || chr(10) || p.planted AS TEXT_REPORT
+FROM reports r JOIN (SELECT report_id, string_agg({_PLANT_SQL}, chr(10) ORDER BY mention_id) AS planted
+                     FROM mentions GROUP BY report_id) p ON p.report_id = r.report_id"""
+
 VIEW_DEPS = {
+    "annotated_reports": ["reports", "mentions"],
     "lexicon_alt": ["lexicon"],
     "graded_iter": ["graded"],
     "reports_with_truth": ["reports", "graded"],
@@ -273,3 +295,30 @@ def replay_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = extractions(spark, sf_dir).select("report_id", F.lit("extract").alias("method"),
                                             F.to_json("payload").alias("payload"))
     return rows.unionByName(ext)
+
+
+def planted_sentence() -> "F.Column":
+    """One sentence per mention, planted into the report text (see annotated_reports)."""
+    m, t, k = F.col("mention_id"), F.col("term_raw"), F.col("kind")
+    tmp = F.element_at(F.array(F.lit(" is new"), F.lit(" is better"), F.lit(" is worse"), F.lit(" is stable"),
+                               F.lit("")), F.col("temporal") + 1)
+    plc = F.when(k == "device", F.element_at(F.array(
+        F.lit(" in satisfactory position"), F.lit(" in suboptimal position"), F.lit(" malpositioned"), F.lit("")),
+        F.col("placement") + 1)).otherwise(F.lit(""))
+    pre = F.when(m % 7 == 0, F.lit("No ")).when(F.col("uncertainty") == 1, F.lit("Possibly ")).otherwise(F.lit(""))
+    diag = F.element_at(F.array(F.lit("Suggestive of infection."), F.lit("Malignancy cannot be excluded."),
+                                F.lit("No evidence of tuberculosis."), F.concat(F.lit("P1 for "), t, F.lit("."))),
+                        (m % 4 + 1).cast("int"))
+    return F.when(k == "diagnosis", diag).otherwise(F.concat(pre, t, tmp, plc, F.lit(".")))
+
+
+def annotated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned reports with one planted line per mention (terms and cue phrases)."""
+    from ..functions.text import clean_text
+    m = mentions(spark, sf_dir)
+    lines = m.groupBy("report_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("mention_id", planted_sentence().alias("s")))),
+        lambda x: x["s"]), "\n").alias("planted"))
+    r = reports(spark, sf_dir).select("report_id", clean_text("TEXT_REPORT").alias("txt"))
+    return r.join(lines, "report_id").select(
+        "report_id", F.concat(F.col("txt"), F.lit("\n"), F.col("planted")).alias("TEXT_REPORT"))
