@@ -1 +1,68 @@
-"""(filled below)"""
+"""Queries: dictionary comparison, regrading, term list, judge choice labels."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ..functions.text import choice_label
+from ..operators.lexicon_ops import lexicon_diff, regrade_with_lexicon
+from ..sources import adapters as A
+from . import methods as M
+from .q_grading import codes_sql, grade_sql_body
+from .q_models import JUDGE_COLS, _input, _model, _q as _mq, judge_ctes
+from .registry import register
+
+
+@register("lexicon_diff", A.with_views(["lexicon_alt"], """
+SELECT coalesce(a.term, b.term) AS term, a.idx AS idx_a, b.idx AS idx_b, a.priority AS priority_a,
+       b.priority AS priority_b,
+       CASE WHEN a.idx IS NULL THEN 'added' WHEN b.idx IS NULL THEN 'removed'
+            WHEN a.priority <> b.priority THEN 'changed' ELSE 'same' END AS status
+FROM lexicon a FULL OUTER JOIN lexicon_alt b ON a.term = b.term"""))
+def q_lexicon_diff(spark, sf):
+    return lexicon_diff(A.lexicon(spark, sf), A.lexicon_alt(spark, sf))
+
+
+def _second(sql: str) -> str:
+    """The grading CTE chain over lexicon_alt, names suffixed _b."""
+    for n in ("terms", "ex", "nr", "codes", "enc", "pri"):
+        sql = re.sub(rf"\b{n}\b", f"{n}_b", sql)
+    return re.sub(r"\blexicon\b", "lexicon_alt", sql)
+
+
+def _regrade_sql() -> str:
+    s = A.with_views(["lexicon_alt", "mentions"], "SELECT 1")
+    head = s[: s.rindex("SELECT 1")].rstrip()
+    return (head + ",\n" + codes_sql().strip() + ",\n" + _second(codes_sql()).strip()
+            + f",\nga AS ({grade_sql_body('pri').strip()}),\ngb AS ({grade_sql_body('pri_b').strip()})\n"
+            + """SELECT ga.overall_max_priority AS overall_a, gb.overall_max_priority AS overall_b, count(*) AS n,
+       count(CASE WHEN ga.overall_max_priority <> gb.overall_max_priority THEN 1 END) AS n_changed
+FROM ga FULL OUTER JOIN gb ON ga.report_id = gb.report_id GROUP BY 1, 2""")
+
+
+@register("regrade_with_lexicon", _regrade_sql())
+def q_regrade_with_lexicon(spark, sf):
+    return regrade_with_lexicon(A.mentions(spark, sf), A.lexicon(spark, sf), A.lexicon_alt(spark, sf))
+
+
+@register("term_list", A.with_views(["lexicon"], "SELECT count(*) AS n_terms, string_agg(term, ', ' ORDER BY idx) AS terms FROM lexicon"))
+def q_term_list(spark, sf):
+    lx = A.lexicon(spark, sf)
+    return lx.agg(F.count(F.lit(1)).alias("n_terms")).withColumn("terms", M.term_list(lx))
+
+
+_LABEL_SQL = ("CASE {c} WHEN 0 THEN 'Neither grade is appropriate' WHEN 1 THEN 'Algorithm grade is better' "
+              "WHEN 2 THEN 'Manual grade is better' WHEN 3 THEN 'Both grades are the same' END")
+
+
+@register("choice_label", _mq(f"""
+SELECT report_id, judge_choice, {_LABEL_SQL.format(c='judge_choice')} AS choice_label,
+       judge_choice_ext, {_LABEL_SQL.format(c='judge_choice_ext')} AS choice_label_ext FROM judge_out""",
+    judge_ctes("cl", "priority_algo", "priority_llm", "priority_manual")))
+def q_choice_label(spark, sf):
+    d = _input(spark, sf).drop("judge_grade")
+    j = M.grade_judge(d, _model(spark, sf), stage="judge-labels").select("report_id", *JUDGE_COLS)
+    return j.select("report_id", "judge_choice", choice_label("judge_choice").alias("choice_label"),
+                    "judge_choice_ext", choice_label("judge_choice_ext").alias("choice_label_ext"))

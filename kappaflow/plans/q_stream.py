@@ -1 +1,55 @@
-"""(filled below)"""
+"""Queries: sources round-trips and the streaming grader."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators.grading import grade_extraction  # noqa: F401 (documented path)
+from ..schemas import EXTRACTION, REPORTS
+from ..session import stage_root
+from ..sources import adapters as A
+from ..sources import files as FS
+from ..streaming.grade_stream import grade_stream
+from .q_grading import NESTED_COLS, _NESTED_SQL, as_text
+from .registry import register
+
+
+def _dir(spark, name):
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("lexicon_scan", A.with_views(["lexicon"], "SELECT idx, term, priority FROM lexicon"))
+def q_lexicon_scan(spark, sf):
+    path = _dir(spark, "lexicon-json")
+    FS.write_lexicon_json(A.lexicon(spark, sf), path)
+    return FS.lexicon_scan(spark, path).select("idx", "term", "priority")
+
+
+@register("scan_reports", A.with_views(["reports"], "SELECT report_id, TEXT_REPORT, NULL::INT AS GROUND_TRUTH FROM reports"))
+def q_scan_reports(spark, sf):
+    path = _dir(spark, "reports-csv")
+    FS.write_csv(A.reports(spark, sf).withColumn("GROUND_TRUTH", F.lit(None).cast("int")), path)
+    return FS.scan_reports(spark, path, REPORTS)
+
+
+@register("scan_iterations", A.with_views(["graded_iter"], "SELECT report_id, priority_llm, priority_hybrid, it FROM graded_iter"))
+def q_scan_iterations(spark, sf):
+    folder = _dir(spark, "iterations")
+    methods = ["priority_llm", "priority_hybrid"]
+    FS.write_iterations(A.graded_iter(spark, sf), folder, methods)
+    return FS.scan_iterations(spark, f"{folder}/iteration_*/*.csv", ["report_id", *methods],
+                              header_regex=r"^report_id,priority_llm_\d+,priority_hybrid_\d+$")
+
+
+@register("grade_stream", _NESTED_SQL)
+def q_grade_stream(spark, sf):
+    src, out, ckpt = _dir(spark, "stream-src"), _dir(spark, "stream-out"), _dir(spark, "stream-ckpt")
+    # arrivals: the extraction records written as several files
+    A.extractions(spark, sf).repartition(4, "report_id").write.parquet(src)
+    lx = A.lexicon(spark, sf)
+    q = grade_stream(spark, src, A.extractions(spark, sf).schema, lx, lx, lx, out, ckpt, files_per_trigger=1,
+                     select=["report_id", *[as_text(F.col(c)).alias(c) for c in NESTED_COLS[1:4]], *NESTED_COLS[4:]])
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
