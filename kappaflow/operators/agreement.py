@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.grouping import binary_group, correct, group_threshold, merge_two_into_one
 from ..schemas import METHOD_COLUMNS
 
-NAN = F.lit(float("nan"))
+def _nan() -> Column:
+    return F.lit(float("nan"))
 
 
-def _div(num: Column, den: Column, empty: Column = NAN) -> Column:
-    """num / den as double; ``empty`` when den is 0 (ANSI mode would raise)."""
-    return F.when(den != 0, num.cast("double") / den.cast("double")).otherwise(empty)
+def _div(num: Column, den: Column, empty: Column | None = None) -> Column:
+    """num / den as double; ``empty`` (NaN by default) when den is 0 (ANSI mode would raise)."""
+    return F.when(den != 0, num.cast("double") / den.cast("double")).otherwise(_nan() if empty is None else empty)
 
 
 def methods_long(graded: DataFrame, *, truth_col: str = "priority_manual",
@@ -112,8 +113,8 @@ def cohen_kappa(conf: DataFrame) -> DataFrame:
     w_exp = F.col("r2") + F.col("c2") - _div(2.0 * F.col("r1") * F.col("c1"), N, F.lit(0.0))
     return j.select(
         "method",
-        F.round(F.when(off_exp != 0, 1.0 - off_obs / off_exp).otherwise(NAN), 6).alias("cohen_kappa"),
-        F.round(F.when(w_exp != 0, 1.0 - F.col("wo") / w_exp).otherwise(NAN), 6).alias("cohen_kappa_quadratic"))
+        F.round(F.when(off_exp != 0, 1.0 - off_obs / off_exp).otherwise(_nan()), 6).alias("cohen_kappa"),
+        F.round(F.when(w_exp != 0, 1.0 - F.col("wo") / w_exp).otherwise(_nan()), 6).alias("cohen_kappa_quadratic"))
 
 
 def binary_counts(conf: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def binary_metrics(counts: DataFrame, keys: list[str] | None = None) -> DataFram
         F.round(spec, 6).alias("specificity"),
         F.round(_div(tn, tn + fn, zero), 6).alias("npv"),
         F.round(_div(2 * tp, 2 * tp + fp + fn, zero), 6).alias("f1"),
-        F.round(F.when(one_class, NAN).otherwise((sens + spec) / 2.0), 6).alias("roc_auc"))
+        F.round(F.when(one_class, _nan()).otherwise((sens + spec) / 2.0), 6).alias("roc_auc"))
 
 
 def score_quality(conf: DataFrame) -> DataFrame:
@@ -278,4 +279,4 @@ def roc_auc_scores(df: DataFrame, truth: str = "truth", score: str = "score", by
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     den = F.col("P") * F.col("N")
-    return g.select(*by, "P", "N", F.round(F.when(den > 0, F.col("u") / den).otherwise(NAN), 6).alias("roc_auc"))
+    return g.select(*by, "P", "N", F.round(F.when(den > 0, F.col("u") / den).otherwise(_nan()), 6).alias("roc_auc"))

@@ -154,8 +154,10 @@ def cached_model_call(requests: DataFrame, model, cache: DataFrame | None = None
     else:
         known, misses = None, uniq
     fresh = model.answer(misses)
-    if stage is not None and getattr(model, "needs_stage", True):
-        fresh = stage_table(fresh, stage)
+    if getattr(model, "needs_stage", True):
+        # Real calls are written once and read back: the answers feed the
+        # cache append and the result, and a lazy plan would call twice.
+        fresh = stage_table(fresh, stage or "model-answers")
     if cache_path is not None:
         fresh.where(F.col("payload").isNotNull()).select("request_key", "payload").write.mode("append").parquet(cache_path)
     answers = fresh.withColumn("cached", F.lit(False))
