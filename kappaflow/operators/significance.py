@@ -47,8 +47,10 @@ def join_iterations(it_long: DataFrame, methods: list[str], iterations: int = 10
 def grade_patterns(it_long: DataFrame, methods: list[str], iterations: int = 10) -> DataFrame:
     """(method, g1..gk, n): how many reports share each grade pattern over the runs."""
     its = list(range(1, iterations + 1))
-    wide = (runs_long(it_long, methods).groupBy("report_id", "method")
-            .pivot("it", its).agg(F.max("grade")))
+    # conditional aggregation: one hash aggregate (pivot would add an Expand
+    # and a second aggregate); runs are at most once per report
+    wide = runs_long(it_long, methods).groupBy("report_id", "method").agg(
+        *[F.max(F.when(F.col("it") == i, F.col("grade"))).alias(str(i)) for i in its])
     # Bounded by the distinct grade patterns (not by reports); cached because
     # the test reads it on two branches (common rows and signed ranks).
     return wide.groupBy("method", *[str(i) for i in its]).agg(F.count(F.lit(1)).alias("n")).cache()
