@@ -44,7 +44,8 @@ def with_requests(df: DataFrame, method: str, holes: dict[str, Column], model_na
 
 def _call(df, method, holes, model, model_name, cache, stage):
     req = with_requests(df, method, holes, model_name)
-    return cached_model_call(req, model, cache=cache, stage=f"{stage}-{method}" if stage else None)
+    return cached_model_call(req, model, cache=cache, stage=f"{stage}-{method}" if stage else None,
+                             methods=[method])
 
 
 def _lexicon_holes(df: DataFrame, findings_lex, devices_lex, diagnoses_lex) -> DataFrame:

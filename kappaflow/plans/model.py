@@ -54,13 +54,17 @@ class ReplayModel:
     """
 
     needs_stage = False
+    needs_messages = False
 
     def __init__(self, responses: DataFrame, by=("method", "report_id")):
         self.responses = responses
         self.by = [by] if isinstance(by, str) else list(by)
 
-    def answer(self, requests: DataFrame) -> DataFrame:
-        r = self.responses.select(*self.by, "payload")
+    def answer(self, requests: DataFrame, methods: list[str] | None = None) -> DataFrame:
+        r = self.responses
+        if methods and "method" in r.columns:  # lets Catalyst drop other methods' branches
+            r = r.where(F.col("method").isin(methods))
+        r = r.select(*self.by, "payload")
         return (requests.select("request_key", *[c for c in self.by if c != "request_key"])
                 .join(r, self.by, "left")
                 .select("request_key", "payload",
@@ -83,7 +87,7 @@ class PandasModel:
         self.call, self.make_client = call, make_client or (lambda: None)
         self.delay, self.partitions = delay, partitions
 
-    def answer(self, requests: DataFrame) -> DataFrame:
+    def answer(self, requests: DataFrame, methods: list[str] | None = None) -> DataFrame:
         call, make_client, delay = self.call, self.make_client, self.delay
 
         def run(batches):
@@ -117,7 +121,7 @@ class RuleModel:
     def __init__(self, rules: DataFrame | None = None):
         self.rules = rules
 
-    def answer(self, requests: DataFrame) -> DataFrame:
+    def answer(self, requests: DataFrame, methods: list[str] | None = None) -> DataFrame:
         from ..operators.annotate import rule_grade
         user = F.element_at(F.filter("messages", lambda x: x["role"] == "user"), -1)["content"]
         g = rule_grade(requests.select("request_key", user.alias("text")), "text", self.rules, key="request_key")
@@ -139,21 +143,24 @@ def stage_table(df: DataFrame, name: str, folder: str | None = None) -> DataFram
 
 
 def cached_model_call(requests: DataFrame, model, cache: DataFrame | None = None,
-                      stage: str | None = None, cache_path: str | None = None) -> DataFrame:
+                      stage: str | None = None, cache_path: str | None = None,
+                      methods: list[str] | None = None) -> DataFrame:
     """M3: answer every request, calling the model once per distinct key.
 
     requests: report_id, method, messages, request_key (one row per report).
-    Returns requests + payload, error, cached (BOOLEAN).
+    Returns requests (without ``messages``) + payload, error, cached (BOOLEAN).
     """
+    # Prompts travel only to providers that read them; the join back to the
+    # requests carries no prompt either (it is not part of the result).
+    carry = [F.any_value("messages").alias("messages")] if getattr(model, "needs_messages", True) else []
     uniq = (requests.groupBy("request_key").agg(
-        F.min("report_id").alias("report_id"), F.any_value("method").alias("method"),
-        F.any_value("messages").alias("messages")))
+        F.min("report_id").alias("report_id"), F.any_value("method").alias("method"), *carry))
     if cache is not None:
         known = cache.select("request_key", "payload", F.lit(None).cast("string").alias("error"))
         misses = uniq.join(known.select("request_key"), "request_key", "left_anti")
     else:
         known, misses = None, uniq
-    fresh = model.answer(misses)
+    fresh = model.answer(misses, methods)
     if getattr(model, "needs_stage", True):
         # Real calls are written once and read back: the answers feed the
         # cache append and the result, and a lazy plan would call twice.
@@ -163,4 +170,4 @@ def cached_model_call(requests: DataFrame, model, cache: DataFrame | None = None
     answers = fresh.withColumn("cached", F.lit(False))
     if known is not None:
         answers = answers.unionByName(known.withColumn("cached", F.lit(True)))
-    return requests.join(answers, "request_key", "left")
+    return requests.drop("messages").join(answers, "request_key", "left")
