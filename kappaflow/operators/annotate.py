@@ -46,7 +46,8 @@ DEFAULT_RULES = {
         "pulmonary congestion", "airspace opacity", "patchy opacity"],
     3: ["atelectasis", "cardiomegaly", "fibrosis", "pleural thickening", "nodule", "granuloma",
         "pleural plaque", "scarring"],
-    2: ["unfolded aorta", "vascular calcification", "rotated", "suboptimal effort", "degenerative"],
+    2: ["unfolded aorta", "vascular calcification", "rotated", "suboptimal effort", "degenerative",
+        "not accurately assessed"],
 }
 # --- end fixed values -------------------------------------------------------
 
@@ -65,14 +66,19 @@ def sentences(df: DataFrame, text_col: str, key: str = "report_id") -> DataFrame
     return s.where(F.length(F.trim("sentence")) > 0)
 
 
-def term_pattern(lexicon: DataFrame) -> Column:
-    """Alternation of all terms, longest first, plural 's'/'es' accepted (one scalar)."""
+def term_pattern(lexicon: DataFrame, max_terms: int = 100_000) -> Column:
+    """Alternation of all terms, longest first, plural 's'/'es' accepted (one scalar).
+
+    The dictionary size is asserted inside the subquery, as for the lexicon array.
+    """
     # Java replacement syntax: "\\\\" is one backslash in the result.
     esc = F.regexp_replace(F.lower("term"), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
     esc = F.regexp_replace(esc, " ", r"\\s+")
     arr = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("k"), esc.alias("t"))))
     pat = F.concat(F.lit(r"(?i)\b("), F.array_join(F.transform(arr, lambda x: x["t"]), "|"), F.lit(r")(?:e?s)?\b"))
-    return lexicon.select(pat).scalar()
+    guarded = F.when(F.count(F.lit(1)) <= max_terms, pat).otherwise(
+        F.raise_error(F.lit(f"lexicon larger than {max_terms} terms")))
+    return lexicon.select(guarded).scalar()
 
 
 def _first_code(s: Column, cues: dict[int, list[str]], none: int) -> Column:

@@ -24,10 +24,13 @@ from .prompts import SYSTEM, TEMPLATES
 SYSTEM_ROLE = "developer"
 
 
-def term_list(lexicon: DataFrame) -> Column:
-    """The dictionary's terms in dictionary order, ', '-joined (one scalar)."""
+def term_list(lexicon: DataFrame, max_terms: int = 100_000) -> Column:
+    """The dictionary's terms in dictionary order, ', '-joined (one scalar, size asserted)."""
     arr = F.array_sort(F.collect_list(F.struct("idx", "term")))
-    return lexicon.select(F.array_join(F.transform(arr, lambda x: x["term"]), ", ")).scalar()
+    s = F.array_join(F.transform(arr, lambda x: x["term"]), ", ")
+    guarded = F.when(F.count(F.lit(1)) <= max_terms, s).otherwise(
+        F.raise_error(F.lit(f"lexicon larger than {max_terms} terms")))
+    return lexicon.select(guarded).scalar()
 
 
 def build_messages(method: str, holes: dict[str, Column], system: str = SYSTEM) -> Column:
