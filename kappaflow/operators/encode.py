@@ -10,7 +10,8 @@ Plan shape (long form):
     mentions LEFT JOIN code-map ON (kind, term)         (code-map = distinct terms)
 
 Edit distances are computed once per *distinct* unmatched term, never per
-mention, and no join without keys is used.
+mention, and no join without keys is used.  Dictionaries beyond the array
+bound use ``nearest_banded``: exact length-banded equi-joins.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def lexicon_array(lexicon: DataFrame, max_terms: int = DEFAULT_MAX_LEXICON) -> C
     """
     arr = F.array_sort(F.collect_list(F.struct("idx", "term", "priority")))
     guarded = F.when(F.count(F.lit(1)) <= max_terms, arr).otherwise(
-        F.raise_error(F.lit(f"lexicon larger than {max_terms} terms: use a blocked match")))
+        F.raise_error(F.lit(f"lexicon larger than {max_terms} terms: use strategy='banded'")))
     return lexicon.select(guarded.alias("lex")).scalar()
 
 
@@ -59,9 +60,43 @@ def nearest_entry(term: Column, lex: Column, max_distance: int | None = None) ->
     return best
 
 
+def nearest_banded(queries: DataFrame, lexicon: DataFrame, bands=(3, 12)) -> DataFrame:
+    """Exact nearest term for large dictionaries, by length bands (no cross join).
+
+    Edit distance is at least the difference of the lengths, so a best
+    distance d <= B found among terms whose length is within B of the
+    query is the true minimum (every term outside the band is strictly
+    farther, so no tie crosses the band either).  Queries not settled by a
+    band go to the next, wider one; the last step covers every length, so
+    every query is answered exactly.  Each step is an equi-join on length
+    after exploding the query's admissible lengths.
+    queries: (kind, term_raw); returns (kind, term_raw, idx, term, priority, dist).
+    """
+    lx = lexicon.select(F.length("term").alias("tlen"), "idx", "term", "priority")
+    max_len = lexicon.select(F.max(F.length("term"))).scalar()
+    pending = queries.select("kind", "term_raw", F.length("term_raw").alias("qlen"))
+    out = None
+    for band in list(bands) + [None]:
+        if band is None:  # every length the dictionary has: settles the rest exactly
+            step = pending.withColumn("_max", max_len)
+            lens = F.sequence(F.lit(0), F.col("_max"))
+        else:
+            step = pending
+            lens = F.sequence(F.greatest(F.lit(0), F.col("qlen") - band), F.col("qlen") + band)
+        cand = step.select("kind", "term_raw", F.explode(lens).alias("tlen")).join(lx, "tlen")
+        best = cand.groupBy("kind", "term_raw").agg(F.min(F.struct(
+            F.levenshtein("term_raw", "term").alias("dist"), "idx", "term", "priority")).alias("b"))
+        best = best.select("kind", "term_raw", "b.idx", "b.term", "b.priority", "b.dist")
+        done = best if band is None else best.where(F.col("dist") <= band)
+        out = done if out is None else out.unionByName(done)
+        if band is not None:
+            pending = pending.join(done.select("kind", "term_raw"), ["kind", "term_raw"], "left_anti")
+    return out
+
+
 def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
                kind_col: str = "kind", fuzzy_kinds=("finding",), max_distance: int | None = None,
-               max_lexicon: int = DEFAULT_MAX_LEXICON) -> DataFrame:
+               max_lexicon: int = DEFAULT_MAX_LEXICON, strategy: str = "array") -> DataFrame:
     """Code map over the distinct (kind, term) pairs of ``mentions``.
 
     Output: kind, term_raw, idx, term, priority, match ('exact' | 'nearest' |
@@ -74,6 +109,20 @@ def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term
                         F.col("term").alias("x_term"), F.col("priority").alias("x_pri"))
     exact = terms.join(lx, "term_raw", "left")
     fuzzy = F.col("kind").isin(list(fuzzy_kinds)) if fuzzy_kinds else F.lit(False)
+    if strategy == "banded":
+        todo = exact.where(F.col("x_idx").isNull() & fuzzy).select("kind", "term_raw")
+        near_t = nearest_banded(todo, lexicon)
+        if max_distance is not None:
+            near_t = near_t.where(F.col("dist") <= max_distance)
+        near_t = near_t.select("kind", "term_raw", F.struct("dist", "idx", "term", "priority").alias("_n"))
+        return (exact.join(near_t, ["kind", "term_raw"], "left").select(
+            "kind", "term_raw",
+            F.coalesce("x_idx", F.col("_n.idx")).alias("idx"),
+            F.coalesce("x_term", F.col("_n.term")).alias("term"),
+            F.coalesce("x_pri", F.col("_n.priority")).alias("priority"),
+            F.when(F.col("x_idx").isNotNull(), F.lit("exact"))
+            .when(F.col("_n").isNotNull(), F.lit("nearest")).alias("match"),
+            F.when(F.col("x_idx").isNotNull(), F.lit(0)).otherwise(F.col("_n.dist")).alias("distance")))
     # Subqueries may not sit inside a lambda: project the lexicon first.
     near = nearest_entry(F.col("term_raw"), F.col("_lex"), max_distance)
     return (exact
@@ -93,25 +142,32 @@ def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term
 def encode_mentions(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
                     kind_col: str = "kind", fuzzy_kinds=("finding",),
                     max_distance: int | None = None,
-                    max_lexicon: int = DEFAULT_MAX_LEXICON) -> DataFrame:
+                    max_lexicon: int = DEFAULT_MAX_LEXICON, strategy: str = "auto") -> DataFrame:
     """Attach idx / term / priority / match / distance to every mention row.
 
     ``lexicon`` may carry a ``kind`` column (one dictionary per kind); then
     matching is within the kind.  Unmatched rows keep NULL codes (the raw
     text stays in ``term_col``).
+
+    ``strategy``: 'array' (dictionary handed to every task, size asserted),
+    'banded' (exact length-banded joins, for dictionaries of any size) or
+    'auto' (counts the dictionary -- one small job -- and picks 'array' when
+    it is within ``max_lexicon`` terms, 'banded' otherwise).
     """
+    if strategy == "auto":
+        strategy = "array" if (not fuzzy_kinds or lexicon.count() <= max_lexicon) else "banded"
     if "kind" in lexicon.columns:
         codes = None
         for k in KINDS:
             sub = term_codes(mentions.where(F.col(kind_col) == k), lexicon.where(F.col("kind") == k)
                              .drop("kind"), term_col=term_col, kind_col=kind_col,
                              fuzzy_kinds=fuzzy_kinds, max_distance=max_distance,
-                             max_lexicon=max_lexicon)
+                             max_lexicon=max_lexicon, strategy=strategy)
             codes = sub if codes is None else codes.unionByName(sub)
     else:
         codes = term_codes(mentions, lexicon, term_col=term_col, kind_col=kind_col,
                            fuzzy_kinds=fuzzy_kinds, max_distance=max_distance,
-                           max_lexicon=max_lexicon)
+                           max_lexicon=max_lexicon, strategy=strategy)
     codes = codes.withColumnRenamed("kind", kind_col).withColumnRenamed("term_raw", term_col)
     return mentions.join(codes, [kind_col, term_col], "left")
 

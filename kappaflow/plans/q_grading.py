@@ -123,3 +123,9 @@ def grade_nested_df(spark, sf):
 def q_grade_semialgo_nested(spark, sf):
     g = grade_nested_df(spark, sf)
     return g.select("report_id", *[as_text(F.col(c)).alias(c) for c in NESTED_COLS[1:4]], *NESTED_COLS[4:])
+
+
+@register("encode_nearest_banded", _sql(f"SELECT {', '.join(ENC_COLS)} FROM enc"))
+def q_encode_nearest_banded(spark, sf):
+    """J2 by the exact length-banded strategy (the path for dictionaries of any size)."""
+    return encode_mentions(A.mentions(spark, sf), A.lexicon(spark, sf), strategy="banded").select(*ENC_COLS)

@@ -130,3 +130,16 @@ def test_raising_a_priority_never_lowers_overall(spark):
     base = {r["report_id"]: r["overall_max_priority"] for r in grade_reports(mention_priority(encode_mentions(m, lex))).collect()}
     more = {r["report_id"]: r["overall_max_priority"] for r in grade_reports(mention_priority(encode_mentions(m, up))).collect()}
     assert all(more[k] >= base[k] for k in base)
+
+
+def test_banded_nearest_equals_array_scan(spark):
+    import random
+    rnd = random.Random(5)
+    alpha = "abcde"
+    terms = sorted({"".join(rnd.choice(alpha) for _ in range(rnd.randint(2, 9))) for _ in range(60)})
+    lex = spark.createDataFrame([(i, t, i % 5 + 1) for i, t in enumerate(terms)], "idx int, term string, priority int")
+    qs = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 12))) for _ in range(120)] + ["x" * 40, "ab" * 20]
+    m = spark.createDataFrame([(i, i, "finding", q, 4, 0, 3) for i, q in enumerate(qs)], MENTION_SCHEMA)
+    a = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="array").collect()}
+    b = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="banded").collect()}
+    assert a == b and len(a) == len(qs)
