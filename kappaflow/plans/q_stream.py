@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.grading import grade_extraction  # noqa: F401 (documented path)
 from ..schemas import EXTRACTION, REPORTS
 from ..session import stage_root
 from ..sources import adapters as A
