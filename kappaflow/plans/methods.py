@@ -62,7 +62,7 @@ def grade_semialgo(df: DataFrame, model, findings_lex, devices_lex, diagnoses_le
                    stage: str | None = None) -> DataFrame:
     """G2 + G3: extraction call -> record -> codes -> priorities (ten columns)."""
     d = _lexicon_holes(df, findings_lex, devices_lex, diagnoses_lex)
-    holes = {"padchest_findings_str": F.col("_fl"), "tubes_lines_findings_str": F.col("_dl"),
+    holes = {"findings_str": F.col("_fl"), "devices_str": F.col("_dl"),
              "diagnoses_str": F.col("_xl"), "rpt": F.col(report_col)}
     r = _call(d, "extract", holes, model, model_name, cache, stage)
     dec = decode_response("payload", EXTRACTION, required=["findings_all"])
@@ -99,7 +99,7 @@ def grade_hybrid(df: DataFrame, model, findings_lex, diagnoses_lex, *, report_co
                  stage: str | None = None) -> DataFrame:
     """Grade that sees method 1's grade; failure -> 0 and ''."""
     d = df.withColumns({"_fl": term_list(findings_lex), "_xl": term_list(diagnoses_lex)})
-    holes = {"padchest_findings_str": F.col("_fl"), "diagnoses_str": F.col("_xl"),
+    holes = {"findings_str": F.col("_fl"), "diagnoses_str": F.col("_xl"),
              "grade_semialgo": F.col(semialgo_col), "rpt": F.col(report_col)}
     r = _call(d, "hybrid", holes, model, model_name, cache, stage)
     r = r.withColumn("_x", decode_response("payload", GRADE_EXPLAINED, required=["grade", "explanation"]))

@@ -23,8 +23,8 @@ ${rpt}
 
 List the positive findings, the medical devices (tubes and lines) and the overall diagnoses.
 Use only terms from these lists; pick the closest term when unsure.
-Findings: ${padchest_findings_str}
-Devices: ${tubes_lines_findings_str}
+Findings: ${findings_str}
+Devices: ${devices_str}
 Diagnoses: ${diagnoses_str}
 
 For each finding give: finding, location, system (Lung, Pleura, Heart, Mediastinum, MSK, Abdomen),
@@ -46,7 +46,7 @@ Return {"grade": <1-5>}."""
 
 HYBRID = """Grade this report on the scale 1 to 5.  An assistant graded it ${grade_semialgo};
 take that grade into account and say why it is or is not appropriate.
-Terms to consider: ${padchest_findings_str}
+Terms to consider: ${findings_str}
 Diagnoses to consider: ${diagnoses_str}
 
 <report>

@@ -38,10 +38,10 @@ CL_CTE = ("cl", f"""SELECT report_id, {clean_sql('TEXT_REPORT')} AS txt, priorit
                     priority_llm, judge_grade, priority_hybrid FROM reports_with_truth""")
 
 SQL_HOLES = {
-    "extract": {"padchest_findings_str": LEX_LIST, "tubes_lines_findings_str": LEX_LIST,
+    "extract": {"findings_str": LEX_LIST, "devices_str": LEX_LIST,
                 "diagnoses_str": LEX_LIST, "rpt": "txt"},
     "llm": {"rpt": "txt"},
-    "hybrid": {"padchest_findings_str": LEX_LIST, "diagnoses_str": LEX_LIST,
+    "hybrid": {"findings_str": LEX_LIST, "diagnoses_str": LEX_LIST,
                "grade_semialgo": "priority_algo", "rpt": "txt"},
 }
 
@@ -55,10 +55,10 @@ def _prompts(spark, sf):
     d = A.reports_with_truth(spark, sf).withColumn("txt", clean_text("TEXT_REPORT"))
     d = d.withColumn("_l", term_list(lx))
     holes = {
-        "extract": {"padchest_findings_str": F.col("_l"), "tubes_lines_findings_str": F.col("_l"),
+        "extract": {"findings_str": F.col("_l"), "devices_str": F.col("_l"),
                     "diagnoses_str": F.col("_l"), "rpt": F.col("txt")},
         "llm": {"rpt": F.col("txt")},
-        "hybrid": {"padchest_findings_str": F.col("_l"), "diagnoses_str": F.col("_l"),
+        "hybrid": {"findings_str": F.col("_l"), "diagnoses_str": F.col("_l"),
                    "grade_semialgo": F.col("priority_algo"), "rpt": F.col("txt")},
     }
     parts = [d.select("report_id", F.lit(m).alias("method"), build_messages(m, h).alias("messages"))
