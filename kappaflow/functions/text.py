@@ -50,14 +50,22 @@ def word_count(x) -> Column:
     return F.when(F.length(s) == 0, F.lit(0)).otherwise(F.size(F.split(s, r"\s+")))
 
 
+def _label(code, labels: list[str]) -> Column:
+    # Range-guarded: an unknown code (say a model's choice 7) gives NULL;
+    # under ANSI mode an out-of-range element_at would fail the whole job.
+    c = _c(code)
+    return F.when(c.between(0, len(labels) - 1),
+                  F.element_at(F.array(*[F.lit(s) for s in labels]), c.cast("int") + 1))
+
+
 def choice_label(code) -> Column:
-    """judge choice code 0..3 -> text."""
-    return F.element_at(F.array(*[F.lit(s) for s in CHOICE_LABELS]), _c(code) + 1)
+    """judge choice code 0..3 -> text (NULL for other codes)."""
+    return _label(code, CHOICE_LABELS)
 
 
 def class_name(code) -> Column:
-    """grouped class 0..2 -> Normal / Actionable / Critical."""
-    return F.element_at(F.array(*[F.lit(s) for s in CLASS_NAMES]), _c(code) + 1)
+    """grouped class 0..2 -> Normal / Actionable / Critical (NULL for other codes)."""
+    return _label(code, CLASS_NAMES)
 
 
 def debug_label(code, term, raw) -> Column:
