@@ -16,7 +16,7 @@ size-checked), so no table passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- FIXED VALUES: cue phrases (from the grading instructions) -------------
@@ -88,18 +88,60 @@ def _first_code(s: Column, cues: dict[int, list[str]], none: int) -> Column:
     return out
 
 
+WORD = r"[\p{L}\p{N}]+"
+
+
+def _ngram_hits(sent: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
+    """Dictionary matches by n-gram hash join (cost grows with words, not with terms).
+
+    Terms and sentences are tokenised alike (letters and digits; other
+    characters separate words).  Every n-gram up to the longest term's word
+    count is joined to the term forms (singular, +s, +es); a match contained
+    in a longer match of the same sentence is dropped (leftmost-longest).
+    """
+    norm = F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(WORD), 0), " ")
+    forms = lexicon.select("idx", "term", norm.alias("_n"), F.size(F.split(norm, " ")).alias("nw"))
+    forms = forms.select("idx", "term", "nw", F.explode(F.array(
+        F.col("_n"), F.concat("_n", F.lit("s")), F.concat("_n", F.lit("es")))).alias("gram"))
+    max_n = lexicon.select(F.max(F.size(F.split(F.trim(F.lower("term")), r"\s+")))).scalar()
+    tok = sent.select(key, "sent_no", "sentence", F.regexp_extract_all(F.lower("sentence"), F.lit(WORD), 0)
+                      .alias("tok")).withColumn("_m", max_n)
+    grams = tok.select(key, "sent_no", "sentence", F.posexplode("tok").alias("i", "_w"), "tok", "_m")
+    grams = grams.select(key, "sent_no", "sentence", "i", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("n"),
+                         "tok")
+    grams = grams.select(key, "sent_no", "sentence", "i", "n",
+                         F.array_join(F.slice("tok", F.col("i") + 1, F.col("n")), " ").alias("gram"),
+                         F.size(F.slice("tok", F.col("i") + 1, F.col("n"))).alias("_len"))
+    m = grams.where(F.col("_len") == F.col("n")).join(forms, "gram").where(F.col("nw") == F.col("n"))
+    m = m.withColumn("_end", F.col("i") + F.col("n"))
+    w = (Window.partitionBy(key, "sent_no").orderBy(F.col("i"), F.desc("_end"))
+         .rowsBetween(Window.unboundedPreceding, -1))
+    m = m.withColumn("_cover", F.max("_end").over(w))
+    return m.where(F.col("_cover").isNull() | (F.col("_cover") < F.col("_end"))).select(
+        key, "sent_no", "sentence", F.col("gram").alias("hit"), "idx", "term")
+
+
 def annotate_mentions(df: DataFrame, lexicon: DataFrame, text_col: str = "TEXT_REPORT",
-                      key: str = "report_id") -> DataFrame:
+                      key: str = "report_id", strategy: str = "regex") -> DataFrame:
     """M1: one row per dictionary term found in a sentence, with its cues.
 
     Output: key, sent_no, idx, term, negated, uncertainty (0/1), temporal
     (0..4), placement (0..3).  Negated = a negation cue before the term.
+    ``strategy``: 'regex' (one alternation built from the dictionary) or
+    'ngram' (n-gram hash join; the path for very large dictionaries).
     """
+    if strategy == "ngram":
+        j = _ngram_hits(sentences(df, text_col, key), lexicon, key)
+        return _with_cues(j, key)
     sent = sentences(df, text_col, key).withColumn("_pat", term_pattern(lexicon))
     hits = sent.select(key, "sent_no", "sentence",
                        F.explode(F.regexp_extract_all("sentence", F.col("_pat"), F.lit(1))).alias("hit"))
     lx = lexicon.select("idx", "term", F.lower("term").alias("_lt"))
     j = hits.join(lx, F.lower(hits["hit"]) == lx["_lt"])
+    return _with_cues(j, key)
+
+
+def _with_cues(j: DataFrame, key: str) -> DataFrame:
     s = F.lower("sentence")
     term_at = F.instr(s, F.lower("hit"))
     # Cues are read from the context: the term itself is blanked out first

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import annotate as N
 from ..sources import adapters as A
-from .registry import register
+from .registry import ORACLES, register
 
 
 def _q(body, views=("annotated_reports",), extra=None):
@@ -26,6 +26,13 @@ def q_annotate_mentions(spark, sf):
     return a.select("report_id", "idx", "term", "negated", "uncertainty", "temporal", "placement")
 
 
+@register("annotate_mentions_ngram", ORACLES["annotate_mentions"])
+def q_annotate_mentions_ngram(spark, sf):
+    """M1 by the n-gram hash-join strategy (the path for very large dictionaries)."""
+    a = N.annotate_mentions(A.annotated_reports(spark, sf), A.lexicon(spark, sf), strategy="ngram")
+    return a.select("report_id", "idx", "term", "negated", "uncertainty", "temporal", "placement")
+
+
 @register("diagnosis_cues", _q("""
 SELECT report_id, CASE mention_id % 4 WHEN 0 THEN 'Pneumonia' WHEN 1 THEN 'Lung cancer' ELSE 'P1 finding' END
        AS diagnosis

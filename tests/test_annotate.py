@@ -40,3 +40,22 @@ def test_diagnosis_cues(spark):
                                (2, "No evidence of tuberculosis.")], "report_id long, TEXT_REPORT string")
     got = sorted((r["report_id"], r["diagnosis"]) for r in diagnosis_cues(t).collect())
     assert got == [(1, "Lung cancer"), (1, "Pneumonia")]
+
+
+def test_ngram_strategy_equals_regex_on_planted_reports(spark):
+    from conftest import SF_SMALL
+    from kappaflow.sources import adapters as A
+    ar, lx = A.annotated_reports(spark, SF_SMALL), A.lexicon(spark, SF_SMALL)
+    cols = ["report_id", "sent_no", "idx", "term", "negated", "uncertainty", "temporal", "placement"]
+    a = sorted(tuple(r) for r in annotate_mentions(ar, lx).select(*cols).collect())
+    b = sorted(tuple(r) for r in annotate_mentions(ar, lx, strategy="ngram").select(*cols).collect())
+    assert a == b and len(a) > 0
+
+
+def test_ngram_keeps_the_longest_match(spark):
+    t = spark.createDataFrame([(1, "Loculated pleural effusions on the left. Small pleural effusion.")],
+                              "report_id long, TEXT_REPORT string")
+    got = sorted((r["sent_no"], r["term"]) for r in
+                 annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="ngram").collect())
+    want = sorted((r["sent_no"], r["term"]) for r in annotate_mentions(t, lexicon_df(spark, FINDINGS)).collect())
+    assert got == want == [(0, "loculated pleural effusion"), (1, "pleural effusion")]
