@@ -143,3 +143,13 @@ def test_banded_nearest_equals_array_scan(spark):
     a = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="array").collect()}
     b = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="banded").collect()}
     assert a == b and len(a) == len(qs)
+
+
+def test_array_bound_is_enforced_and_auto_switches_to_exact_banded(spark):
+    lex = spark.createDataFrame([(0, "abc", 2), (1, "abd", 5), (2, "xyz", 1)], "idx int, term string, priority int")
+    m = spark.createDataFrame([(1, 1, "finding", "abx", 4, 0, 3), (1, 2, "finding", "xy", 4, 0, 3)], MENTION_SCHEMA)
+    with pytest.raises(Exception, match="lexicon larger than 2 terms"):
+        encode_mentions(m, lex, strategy="array", max_lexicon=2).collect()
+    auto = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, max_lexicon=2).collect()}
+    full = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="array").collect()}
+    assert auto == full == {1: (0, 1), 2: (2, 1)}
