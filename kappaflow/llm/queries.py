@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip, ids_digest
+from .chat import format_conversations, read_back
 from .exact_dedup import exact_duplicates
+from .licences import LEAST, TEMPLATES, scan_licences, template_weights
 from .mixing import mix_sources
+from .pii import KINDS, find_personal_data, spans_text
+from .quality import quality_verdicts, train_field
+from .simhash import hex_print, near_classes
 from .token_counts import count_tokens
+from .urls import example_labels, filter_urls, fit_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +32,9 @@ TOKEN_LIMIT = 1024
 SOURCE_WEIGHTS = {"src0": 0.10} | {f"src{i}": 0.90 / 19 for i in range(1, 20)}
 OTHER_WEIGHT = 0.01
 MIX_SEED = 42
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block",
+             "net/fr/": "block"}
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def query(name: str, sql: str | None = None):
@@ -41,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_urls(spark.createDataFrame(example_labels(), "url string, label int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_chance")
+
+
 OP2_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -55,6 +71,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return read_back(format_conversations(rows.union(control)))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -89,3 +112,79 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", hex_print(F.col("fp")).alias("fingerprint"), F.col("class").alias("component_id"))
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_verdicts(docs, train_field(docs, table(spark, sf_dir, "labels")))
+
+
+def document_paths(documents: DataFrame) -> DataFrame:
+    """The documents as files: source/lang/<block of 500 ids>/<file>; every 50th id names a licence
+    file, at the source's root, the language's or its block's directory in turn."""
+    top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    block = F.concat_ws("/", top, F.floor(F.col("doc_id") / 500).cast("string"))
+    kind = F.floor(F.col("doc_id") / 50) % 5
+    place = F.when(kind == 0, F.coalesce("source", F.lit("none"))).when(kind == 1, top).otherwise(block)
+    name = F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))
+    plain = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return documents.withColumn("path", F.when(F.col("doc_id") % 50 == 0, F.concat_ws("/", place, name))
+                                .otherwise(F.concat_ws("/", block, plain)))
+
+
+def op10_sql() -> str:
+    idf, other, vectors = template_weights(TEMPLATES)
+    weights = ", ".join(f"('{w}', {v!r}::DOUBLE)" for w, v in idf.items())
+    parts = ", ".join(f"('{name}', '{w}', {v!r}::DOUBLE)" for name, vec in vectors.items() for w, v in vec.items())
+    return f"""
+WITH idf(w, idf) AS (VALUES {weights}), tpl(licence, w, v) AS (VALUES {parts}),
+f AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l,
+             (doc_id // 500)::VARCHAR AS b, (doc_id // 50) % 5 AS k FROM documents),
+files AS (SELECT doc_id, t, CASE WHEN doc_id % 50 = 0
+             THEN CASE k WHEN 0 THEN s WHEN 1 THEN s || '/' || l ELSE s || '/' || l || '/' || b END || '/LICENSE-' || doc_id
+             ELSE s || '/' || l || '/' || b || '/doc-' || doc_id || '.txt' END AS path, doc_id % 50 = 0 AS lic_file FROM f),
+units AS (SELECT DISTINCT doc_id, unnest(string_split(t, chr(10))) AS u FROM files
+          UNION SELECT doc_id, t FROM files WHERE lic_file),
+terms AS (SELECT doc_id, u, lower(unnest(regexp_extract_all(u, '[A-Za-z0-9]+'))) AS w FROM units),
+tf AS (SELECT doc_id, u, w, count(*) AS n FROM terms GROUP BY ALL),
+wt AS (SELECT doc_id, u, tf.w, n * coalesce(idf, {other!r}::DOUBLE) AS x FROM tf LEFT JOIN idf ON tf.w = idf.w),
+norm AS (SELECT doc_id, u, sqrt(sum(x * x)) AS norm FROM wt GROUP BY ALL),
+dot AS (SELECT doc_id, u, licence, sum(x * v) AS dot FROM wt JOIN tpl ON wt.w = tpl.w GROUP BY ALL),
+cos AS (SELECT doc_id, licence, round(dot / norm, 6) AS cosine FROM dot JOIN norm USING (doc_id, u)),
+own AS (SELECT doc_id, licence, cosine FROM cos WHERE cosine >= {LEAST}
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+placed AS (SELECT doc_id, path, lic_file, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d, own.licence, own.cosine
+           FROM files LEFT JOIN own USING (doc_id)),
+given AS (SELECT d AS above, licence AS dir_licence FROM placed WHERE lic_file AND licence IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY d ORDER BY cosine DESC, licence, path) = 1),
+near AS (SELECT x.d, above, dir_licence FROM (SELECT DISTINCT d FROM placed) AS x JOIN given
+         ON x.d = above OR starts_with(x.d, above || '/') OR above = ''
+         QUALIFY row_number() OVER (PARTITION BY x.d ORDER BY length(above) DESC) = 1)
+SELECT doc_id, path, coalesce(licence, dir_licence) AS licence, cosine,
+       CASE WHEN licence IS NOT NULL THEN CASE WHEN lic_file THEN 'file' ELSE 'header' END
+            WHEN dir_licence IS NOT NULL THEN 'inherited' END AS licence_origin,
+       CASE WHEN licence IS NULL THEN above END AS licence_dir
+FROM placed LEFT JOIN near USING (d)
+"""
+
+
+@query("op10_licences", op10_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = document_paths(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return scan_licences(files).select("doc_id", "path", "licence", "cosine", "licence_origin", "licence_dir")
