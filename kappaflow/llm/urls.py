@@ -19,6 +19,7 @@ regression has weight zero and the verdict is allow.
 
 from __future__ import annotations
 
+import random
 import string
 
 import numpy as np
@@ -39,13 +40,20 @@ _SPAM = ("cheap-pills", "spam-farm", "free-casino", "win-bonus", "hot-dating", "
          "payday-loan", "adult-cams", "bet-online", "crypto-doubler")
 _PLAIN = ("library", "university", "news", "weather", "museum", "recipes", "science", "garden", "history", "docs", "wiki",
           "travel")
+_SYLLABLES = ("th", "er", "on", "an", "re", "in", "ed", "nd", "ha", "at", "en", "or", "ti", "st", "la", "mo", "ber", "ka", "lu", "pe")
 _PLAIN_PATHS = ("/en/12", "/article/2020/05", "/about.html", "/de/77/", "/docs/guide", "/fr/345.html")
 _SPAM_PATHS = ("/buy-now", "/win/free-bonus", "/cheap/pills.html", "/xxx/cams", "/casino/spin", "/loan?now=1")
 
 
 def example_labels() -> list[tuple[str, int]]:
-    """A small labelled url table (1: block): made-up names that combine harmless and harmful words."""
-    out = []
+    """A small labelled url table (1: block): made-up harmful and harmless names, and as many
+    harmless ones from syllables, as most names mean nothing."""
+    rng, out = random.Random(1), []
+    for _ in range(160):
+        name = "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(2, 4)))
+        host = rng.choice(("", "www.", "blog.", "m.")) + name + rng.choice((".example", "", ".site")) + rng.choice((".com", ".org", ".net"))
+        out.append((f"http{rng.choice(('', 's'))}://{host}{rng.choice(('/en/', '/de/', '/fr/', '/es/', '/p/'))}{rng.randint(1, 999)}"
+                    + rng.choice(("", "/", ".html")), 0))
     for i, (bad, good) in enumerate(zip(_SPAM, _PLAIN, strict=True)):
         for k, end in enumerate(("com", "org", "net")):
             out.append((f"http://www.{bad}.example.{end}{_SPAM_PATHS[(i + k) % 6]}", 1))
