@@ -40,12 +40,6 @@ def merge_two_into_one(x) -> Column:
     return F.when(x == 2, F.lit(1)).otherwise(x).cast("int")
 
 
-def safe_ratio(num, den) -> Column:
-    """K7: num/den as double, 0.0 when den is 0."""
-    num, den = _c(num), _c(den)
-    return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
-
-
 def correct(a, b) -> Column:
     """K8 / Q11: equality where a missing side counts as disagreement."""
     return F.coalesce(_c(a) == _c(b), F.lit(False)).cast("int")

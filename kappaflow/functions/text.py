@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,19 +31,24 @@ def clean_text(x) -> Column:
     return strip_ws(t)
 
 
-def fill_template(template: str, holes: dict[str, Column], last: str = "rpt") -> Column:
-    """one-pass ``${name}`` substitution as nested ``replace``.
+def fill_template(template: str, holes: dict[str, Column]) -> Column:
+    """one-pass ``${name}`` substitution.
 
-    The ``last`` hole (the report text) is replaced last, so a ``${...}``
-    spelled inside a report stays as it is.  NULL values become '' (a NULL
-    would null the whole prompt).  Column API only: inside SQL text Spark's
-    variable substitution would swallow ``${rpt}``.
+    The template is cut at its holes when the plan is built and the parts are
+    joined, so a ``${...}`` spelled inside a value stays as it is.  Holes
+    without a value stay as text; NULL values become '' (a NULL would null
+    the whole prompt).
     """
-    out = F.lit(template)
-    order = [k for k in holes if k != last] + ([last] if last in holes else [])
-    for k in order:
-        out = F.replace(out, F.lit("${" + k + "}"), F.coalesce(holes[k].cast("string"), F.lit("")))
-    return out
+    parts = re.split(r"\$\{(\w+)\}", template)
+    out = []
+    for i, part in enumerate(parts):
+        if i % 2 == 0:
+            out.append(F.lit(part))
+        elif part in holes:
+            out.append(F.coalesce(holes[part].cast("string"), F.lit("")))
+        else:
+            out.append(F.lit("${" + part + "}"))
+    return F.concat(*out)
 
 
 def word_count(x) -> Column:

@@ -24,6 +24,16 @@ SENTENCE_SPLIT = r"(?<=[.!?])\s+|\n"
 NEGATION_CUES = ["no", "without", "negative for", "free of"]
 UNCERTAIN_CUES = ["possibly", "possible", "may represent", "could be", "cannot be excluded"]
 CERTAIN_CUES = ["probably", "suggestive of", "likely"]
+# "no change" says nothing about what is there; these words end what a negation covers
+NOT_NEGATING = ["change", "interval change", "significant change", "longer", "increase", "decrease"]
+NEGATION_ENDS = ["but", "however", "although", "though", "except", "apart from"]
+# a stable infection or growth of these kinds is graded lower
+STABLE_CUES = ["stable", "unchanged", "no change", "no interval change"]
+STABLE_GRADE = (3, ["tuberculosis", "mycobacterial", "tumour", "tumor", "malignancy", "neoplasm"])
+# lines and tubes count by their presence
+DEVICE_RULES = {4: ["endotracheal tube", "tracheostomy tube", "central venous catheter", "central line", "chest drain",
+                    "chest tube", "pacemaker", "dialysis catheter"],
+                3: ["nasogastric tube", "feeding tube"]}
 # temporal code -> cue words (0 new, 1 better, 2 worse, 3 stable; none -> 4)
 TEMPORAL_CUES = {0: ["new"], 1: ["better", "improved", "improving", "resolving"],
                  2: ["worse", "worsening", "increased", "progressed"], 3: ["stable", "unchanged"]}
@@ -57,7 +67,18 @@ def words_pattern(words: list[str]) -> str:
     return r"(?i)\b(" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b"
 
 
-NEG_START = r"(?i)^\W*(" + "|".join(NEGATION_CUES) + r")\b"
+def _any(words: list[str]) -> str:
+    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
+
+
+# A cue that negates what follows it, and the stretch of the sentence that it covers.
+NEGATING = r"(?i)\b" + _any(NEGATION_CUES) + r"\b(?!\s+" + _any(NOT_NEGATING) + r"\b)"
+NEGATED = NEGATING + r".*?(?=[;:]|\b" + _any(NEGATION_ENDS) + r"\b|$)"
+
+
+def affirmed(sentence: Column) -> Column:
+    """The sentence without what its negation cues cover."""
+    return F.regexp_replace(sentence, "(?s)" + NEGATED, " ")
 
 
 def sentences(df: DataFrame, text_col: str, key: str = "report_id") -> DataFrame:
@@ -147,38 +168,49 @@ def _with_cues(j: DataFrame, key: str) -> DataFrame:
     # Cues are read from the context: the term itself is blanked out first
     # (a term such as "new mass" must not mark itself as new).
     ctx = F.replace(s, F.lower("hit"), F.lit(" "))
-    neg_at = F.regexp_instr(ctx, F.lit(words_pattern(NEGATION_CUES)))
+    # Negated: gone with what the cues cover, though it was in the sentence.
+    covered = F.instr(affirmed(s), F.lower("hit")) == 0
     return j.select(
         key, "sent_no", "idx", "term",
-        ((neg_at > 0) & (neg_at < term_at)).alias("negated"),
-        F.when(ctx.rlike(words_pattern(UNCERTAIN_CUES)), 1).otherwise(0).alias("uncertainty"),
+        (covered & (term_at > 0)).alias("negated"),
+        F.when(ctx.rlike(words_pattern(CERTAIN_CUES)), 0)
+        .when(ctx.rlike(words_pattern(UNCERTAIN_CUES)), 1).otherwise(0).alias("uncertainty"),
         _first_code(ctx, TEMPORAL_CUES, 4).alias("temporal"),
         _first_code(ctx, PLACEMENT_CUES, 3).alias("placement"))
 
 
 def diagnosis_cues(df: DataFrame, text_col: str = "TEXT_REPORT", key: str = "report_id") -> DataFrame:
-    """M4: (key, sent_no, diagnosis) raised by cue phrases in non-negated sentences."""
+    """M4: (key, sent_no, diagnosis) raised by cue phrases that no negation covers."""
     sent = sentences(df, text_col, key)
-    s = F.col("sentence")
+    s = affirmed(F.col("sentence"))
     found = F.array(*[F.when(s.rlike(words_pattern(ws)), F.lit(name)) for name, ws in DIAGNOSIS_CUES])
-    keep = ~s.rlike(NEG_START)
-    return (sent.where(keep).select(key, "sent_no", F.explode(F.filter(found, lambda x: x.isNotNull()))
+    return (sent.select(key, "sent_no", F.explode(F.filter(found, lambda x: x.isNotNull()))
                                     .alias("diagnosis")))
 
 
 def rule_grade(df: DataFrame, text_col: str = "TEXT_REPORT", rules: dict[int, list[str]] | None = None,
                key: str = "report_id") -> DataFrame:
-    """M2: (key, grade): max rule grade over non-negated sentences, 1 if none.
+    """M2: (key, grade): max rule grade over what the sentences affirm, 1 if none.
+
+    A phrase counts unless a negation before it covers it.  A sentence that
+    calls a tuberculosis or tumour stable is graded 3 for it; lines and tubes
+    count by their presence, malpositioned ones 5.
 
     Sentences are generated (codegen'd), graded by one literal CASE, and
     reduced by a max per report with partial aggregation before the
     shuffle; reports without any sentence keep grade 1 via the union.
     """
-    rules = rules or DEFAULT_RULES
-    s = F.col("sentence")
-    g = F.lit(None).cast("int")
+    own, s, g = rules is None, F.col("said"), F.lit(None).cast("int")
+    rules = rules or {gr: [*DEFAULT_RULES.get(gr, []), *DEVICE_RULES.get(gr, [])] for gr in {*DEFAULT_RULES, *DEVICE_RULES}}
+    low, lasting = STABLE_GRADE
+    stable = F.col("sentence").rlike(words_pattern(STABLE_CUES)) & F.lit(own)
     for gr in sorted(rules):
-        g = F.when(s.rlike(words_pattern(rules[gr])), F.lit(gr)).otherwise(g)
+        found = s.rlike(words_pattern(rules[gr]))
+        if any(w in lasting for w in rules[gr]):
+            others = [w for w in rules[gr] if w not in lasting]
+            found = F.when(~stable, found).otherwise(s.rlike(words_pattern(others)) if others else F.lit(False))
+        g = F.when(found, F.lit(gr)).otherwise(g)
+    g = F.when(stable & s.rlike(words_pattern(lasting)), F.greatest(F.lit(low), g)).otherwise(g)
     graded = (df.select(key, F.explode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("sentence"))
-              .select(key, F.when(~s.rlike(NEG_START), g).alias("g")))
+              .select(key, "sentence", affirmed(F.col("sentence")).alias("said")).select(key, g.alias("g")))
     return graded.groupBy(key).agg(F.coalesce(F.max("g"), F.lit(1)).cast("int").alias("grade"))

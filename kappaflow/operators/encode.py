@@ -1,17 +1,20 @@
 """Term encoding against ordered dictionaries (J1 exact, J2 nearest, J3 priority).
 
-Plan shape (long form):
+One plan for dictionaries of any size, shared by the long, nested and
+streaming forms:
 
     mentions --distinct(kind, term)--> terms            (partial agg, one shuffle)
-    terms  LEFT JOIN lexicon ON term                    (lexicon is small: AQE
-                                                          broadcasts it at run time)
-    unmatched fuzzy terms: argmin edit distance against the lexicon array,
-                           handed in by a scalar subquery whose size is asserted
+    terms  LEFT JOIN lexicon ON term                    (exact)
+    unmatched fuzzy terms, a distinct query set, against the whole dictionary
+    in blocks: the dictionary is cut into blocks of ``BLOCK`` entries, one array
+    each; a term meets every block in an equi-join on the block number and
+    keeps its best entry of the block, then the best of the blocks
     mentions LEFT JOIN code-map ON (kind, term)         (code-map = distinct terms)
 
 Edit distances are computed once per *distinct* unmatched term, never per
-mention, and no join without keys is used.  Dictionaries beyond the array
-bound use ``nearest_banded``: exact length-banded equi-joins.
+mention.  Inside a block the best distance so far is the limit of the next
+computation, so far-off entries cost little.  Nothing of the dictionary
+passes through the driver and no job runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -21,82 +24,50 @@ from pyspark.sql import functions as F
 
 from ..schemas import KINDS
 
-DEFAULT_MAX_LEXICON = 100_000
+#: Dictionary entries of a block; blocks are dealt to ``SALTS`` tasks each.
+BLOCK = 1024
+SALTS = 16
+FAR = 1 << 30
 
 
-def lexicon_array(lexicon: DataFrame, max_terms: int = DEFAULT_MAX_LEXICON) -> Column:
-    """The whole dictionary as one ARRAY<STRUCT<idx, term, priority>> scalar.
+def _nearest_in(term: Column, entries: Column) -> Column:
+    """Best entry of a block as STRUCT(dist, idx, term, priority); entries are in dictionary order.
 
-    Evaluated once as a scalar subquery; the size is checked inside the
-    subquery (raise_error beyond ``max_terms``), so the value that every task
-    receives has a proven bound.
+    Case-sensitive, on characters; the first entry wins a tie (strict '<' in a scan).
     """
-    arr = F.array_sort(F.collect_list(F.struct("idx", "term", "priority")))
-    guarded = F.when(F.count(F.lit(1)) <= max_terms, arr).otherwise(
-        F.raise_error(F.lit(f"lexicon larger than {max_terms} terms: use strategy='banded'")))
-    return lexicon.select(guarded.alias("lex")).scalar()
+    none = F.struct(F.lit(FAR).alias("dist"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("term"),
+                    F.lit(None).cast("int").alias("priority"))
 
+    def closer(best, x):
+        # With a limit the distance is -1 where it is larger: equal ones cannot win either.
+        d = F.call_function("levenshtein", term, x["term"], best["dist"] - 1)
+        found = F.struct(d.alias("dist"), x["idx"].alias("idx"), x["term"].alias("term"), x["priority"].alias("priority"))
+        return F.when((best["dist"] > 0) & (d >= 0), found).otherwise(best)
 
-def lexicon_map(lexicon: DataFrame, max_terms: int = DEFAULT_MAX_LEXICON) -> Column:
-    """term -> STRUCT<idx, priority> as one MAP scalar (exact lookups, nested form)."""
-    m = F.map_from_entries(F.collect_list(F.struct("term", F.struct("idx", "priority"))))
-    guarded = F.when(F.count(F.lit(1)) <= max_terms, m).otherwise(
-        F.raise_error(F.lit(f"lexicon larger than {max_terms} terms")))
-    return lexicon.select(guarded.alias("lexmap")).scalar()
+    return F.aggregate(entries, none, closer)
 
 
-def nearest_entry(term: Column, lex: Column, max_distance: int | None = None) -> Column:
-    """Row-local argmin of edit distance over the lexicon array.
+def nearest_terms(terms: DataFrame, lexicon: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(term_raw, dist, idx, term, priority): the nearest dictionary entry of each distinct term.
 
-    array_min over STRUCT(dist, idx, ...) orders by distance, then by
-    dictionary position: the first entry wins a tie (strict '<' in a scan).
-    Case-sensitive, on characters.  Returns STRUCT(dist, idx, term, priority).
+    ``idx`` is the position in the dictionary, so blocks and ties follow it.
     """
-    best = F.array_min(F.transform(lex, lambda x: F.struct(
-        F.levenshtein(term, x["term"]).alias("dist"), x["idx"].alias("idx"),
-        x["term"].alias("term"), x["priority"].alias("priority"))))
-    if max_distance is not None:
-        best = F.when(best["dist"] <= max_distance, best)
-    return best
-
-
-def nearest_banded(queries: DataFrame, lexicon: DataFrame, bands=(3, 12)) -> DataFrame:
-    """Exact nearest term for large dictionaries, by length bands (no cross join).
-
-    Edit distance is at least the difference of the lengths, so a best
-    distance d <= B found among terms whose length is within B of the
-    query is the true minimum (every term outside the band is strictly
-    farther, so no tie crosses the band either).  Queries not settled by a
-    band go to the next, wider one; the last step covers every length, so
-    every query is answered exactly.  Each step is an equi-join on length
-    after exploding the query's admissible lengths.
-    queries: (kind, term_raw); returns (kind, term_raw, idx, term, priority, dist).
-    """
-    lx = lexicon.select(F.length("term").alias("tlen"), "idx", "term", "priority")
-    max_len = lexicon.select(F.max(F.length("term"))).scalar()
-    pending = queries.select("kind", "term_raw", F.length("term_raw").alias("qlen"))
-    out = None
-    for band in list(bands) + [None]:
-        if band is None:  # every length the dictionary has: settles the rest exactly
-            step = pending.withColumn("_max", max_len)
-            lens = F.sequence(F.lit(0), F.col("_max"))
-        else:
-            step = pending
-            lens = F.sequence(F.greatest(F.lit(0), F.col("qlen") - band), F.col("qlen") + band)
-        cand = step.select("kind", "term_raw", F.explode(lens).alias("tlen")).join(lx, "tlen")
-        best = cand.groupBy("kind", "term_raw").agg(F.min(F.struct(
-            F.levenshtein("term_raw", "term").alias("dist"), "idx", "term", "priority")).alias("b"))
-        best = best.select("kind", "term_raw", "b.idx", "b.term", "b.priority", "b.dist")
-        done = best if band is None else best.where(F.col("dist") <= band)
-        out = done if out is None else out.unionByName(done)
-        if band is not None:
-            pending = pending.join(done.select("kind", "term_raw"), ["kind", "term_raw"], "left_anti")
-    return out
+    blocks = (lexicon.select(F.floor(F.col("idx") / block).cast("int").alias("block"), F.struct(
+        F.col("idx").cast("int").alias("idx"), F.col("term"), F.col("priority").cast("int").alias("priority")).alias("e"))
+        .groupBy("block").agg(F.array_sort(F.collect_list("e")).alias("entries"))  # at most ``block`` entries
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    last = lexicon.select(F.max(F.floor(F.col("idx") / block)).cast("int")).scalar()
+    asked = (terms.select("term_raw").distinct().withColumn("last", last)
+             .select("term_raw", F.pmod(F.xxhash64("term_raw"), F.lit(SALTS)).cast("int").alias("salt"),
+                     F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("block")))
+    best = (asked.join(blocks, ["block", "salt"]).select("term_raw", _nearest_in(F.col("term_raw"), F.col("entries")).alias("b"))
+            .groupBy("term_raw").agg(F.min("b").alias("b")))  # by distance, then dictionary position
+    return best.select("term_raw", "b.*")
 
 
 def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
                kind_col: str = "kind", fuzzy_kinds=("finding",), max_distance: int | None = None,
-               max_lexicon: int = DEFAULT_MAX_LEXICON, strategy: str = "array") -> DataFrame:
+               block: int = BLOCK) -> DataFrame:
     """Code map over the distinct (kind, term) pairs of ``mentions``.
 
     Output: kind, term_raw, idx, term, priority, match ('exact' | 'nearest' |
@@ -108,66 +79,44 @@ def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term
     lx = lexicon.select(F.col("term").alias("term_raw"), F.col("idx").alias("x_idx"),
                         F.col("term").alias("x_term"), F.col("priority").alias("x_pri"))
     exact = terms.join(lx, "term_raw", "left")
-    fuzzy = F.col("kind").isin(list(fuzzy_kinds)) if fuzzy_kinds else F.lit(False)
-    if strategy == "banded":
-        todo = exact.where(F.col("x_idx").isNull() & fuzzy).select("kind", "term_raw")
-        near_t = nearest_banded(todo, lexicon)
+    none = [F.lit(None).cast("int").alias("dist"), F.lit(None).cast("int").alias("idx"),
+            F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("priority")]
+    if fuzzy_kinds:
+        fuzzy = F.col("kind").isin(list(fuzzy_kinds))
+        near = nearest_terms(exact.where(F.col("x_idx").isNull() & fuzzy), lexicon, block)
         if max_distance is not None:
-            near_t = near_t.where(F.col("dist") <= max_distance)
-        near_t = near_t.select("kind", "term_raw", F.struct("dist", "idx", "term", "priority").alias("_n"))
-        return (exact.join(near_t, ["kind", "term_raw"], "left").select(
-            "kind", "term_raw",
-            F.coalesce("x_idx", F.col("_n.idx")).alias("idx"),
-            F.coalesce("x_term", F.col("_n.term")).alias("term"),
-            F.coalesce("x_pri", F.col("_n.priority")).alias("priority"),
-            F.when(F.col("x_idx").isNotNull(), F.lit("exact"))
-            .when(F.col("_n").isNotNull(), F.lit("nearest")).alias("match"),
-            F.when(F.col("x_idx").isNotNull(), F.lit(0)).otherwise(F.col("_n.dist")).alias("distance")))
-    # Subqueries may not sit inside a lambda: project the lexicon first.
-    near = nearest_entry(F.col("term_raw"), F.col("_lex"), max_distance)
-    return (exact
-            .withColumn("_lex", lexicon_array(lexicon, max_lexicon))
-            .withColumn("_n", F.when(F.col("x_idx").isNull() & fuzzy, near))
-            .select(
-                "kind", "term_raw",
-                F.coalesce("x_idx", F.col("_n.idx")).alias("idx"),
-                F.coalesce("x_term", F.col("_n.term")).alias("term"),
-                F.coalesce("x_pri", F.col("_n.priority")).alias("priority"),
-                F.when(F.col("x_idx").isNotNull(), F.lit("exact"))
-                .when(F.col("_n").isNotNull(), F.lit("nearest")).alias("match"),
-                F.when(F.col("x_idx").isNotNull(), F.lit(0)).otherwise(F.col("_n.dist")).alias("distance"),
-            ))
+            near = near.where(F.col("dist") <= max_distance)
+        near = near.select("term_raw", F.struct("dist", "idx", "term", "priority").alias("_n"))
+        both = exact.join(near, "term_raw", "left").withColumn("_n", F.when(F.col("x_idx").isNull() & fuzzy, F.col("_n")))
+    else:
+        both = exact.withColumn("_n", F.when(F.lit(False), F.struct(*none)))
+    return both.select(
+        "kind", "term_raw",
+        F.coalesce("x_idx", F.col("_n.idx")).alias("idx"),
+        F.coalesce("x_term", F.col("_n.term")).alias("term"),
+        F.coalesce("x_pri", F.col("_n.priority")).alias("priority"),
+        F.when(F.col("x_idx").isNotNull(), F.lit("exact"))
+        .when(F.col("_n").isNotNull(), F.lit("nearest")).alias("match"),
+        F.when(F.col("x_idx").isNotNull(), F.lit(0)).otherwise(F.col("_n.dist")).alias("distance"))
 
 
 def encode_mentions(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
                     kind_col: str = "kind", fuzzy_kinds=("finding",),
-                    max_distance: int | None = None,
-                    max_lexicon: int = DEFAULT_MAX_LEXICON, strategy: str = "auto") -> DataFrame:
+                    max_distance: int | None = None, block: int = BLOCK) -> DataFrame:
     """Attach idx / term / priority / match / distance to every mention row.
 
     ``lexicon`` may carry a ``kind`` column (one dictionary per kind); then
     matching is within the kind.  Unmatched rows keep NULL codes (the raw
     text stays in ``term_col``).
-
-    ``strategy``: 'array' (dictionary handed to every task, size asserted),
-    'banded' (exact length-banded joins, for dictionaries of any size) or
-    'auto' (counts the dictionary -- one small job -- and picks 'array' when
-    it is within ``max_lexicon`` terms, 'banded' otherwise).
     """
-    if strategy == "auto":
-        strategy = "array" if (not fuzzy_kinds or lexicon.count() <= max_lexicon) else "banded"
+    how = {"term_col": term_col, "kind_col": kind_col, "fuzzy_kinds": fuzzy_kinds, "max_distance": max_distance, "block": block}
     if "kind" in lexicon.columns:
         codes = None
         for k in KINDS:
-            sub = term_codes(mentions.where(F.col(kind_col) == k), lexicon.where(F.col("kind") == k)
-                             .drop("kind"), term_col=term_col, kind_col=kind_col,
-                             fuzzy_kinds=fuzzy_kinds, max_distance=max_distance,
-                             max_lexicon=max_lexicon, strategy=strategy)
+            sub = term_codes(mentions.where(F.col(kind_col) == k), lexicon.where(F.col("kind") == k).drop("kind"), **how)
             codes = sub if codes is None else codes.unionByName(sub)
     else:
-        codes = term_codes(mentions, lexicon, term_col=term_col, kind_col=kind_col,
-                           fuzzy_kinds=fuzzy_kinds, max_distance=max_distance,
-                           max_lexicon=max_lexicon, strategy=strategy)
+        codes = term_codes(mentions, lexicon, **how)
     codes = codes.withColumnRenamed("kind", kind_col).withColumnRenamed("term_raw", term_col)
     return mentions.join(codes, [kind_col, term_col], "left")
 

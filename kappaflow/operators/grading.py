@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grouping import clamp
 from ..schemas import PLACEMENT, TEMPORAL, UNCERTAINTY
-from .encode import code_of, lexicon_array, lexicon_map, nearest_entry
+from .encode import code_of, term_codes
 
 
 def _finding_priority(p: Column, unc: Column, temporal: Column, temporal_rule: bool) -> Column:
@@ -88,53 +88,79 @@ def grade_reports(prioritised: DataFrame, reports: DataFrame | None = None, *,
 # ------------------------------------------------------------------ nested
 
 
+SEP = "\u0001"
+
+
+def _row_codes(df: DataFrame, lexicons: dict[str, DataFrame], payload_col: str, key: str, max_distance) -> DataFrame:
+    """(key, _codes): a map from kind and term to (idx, priority) for the terms of each row.
+
+    The terms of all rows are encoded once per distinct (kind, term) by the same
+    plan as the long form; a map holds the terms of one response.
+    """
+    p = F.col(payload_col)
+    lists = {"finding": ("findings_all", "finding"), "device": ("devices_all", "medical_device"), "diagnosis": ("diagnoses_all", "diagnosis")}
+    named = [_terms(p[field], kind, name) for kind, (field, name) in lists.items()]
+    rows = df.select(key, F.explode(F.array_distinct(F.concat(*named))).alias("t")).select(key, "t.kind", "t.term_raw").where(
+        F.col("term_raw").isNotNull()).distinct()
+    codes = None
+    for kind, lexicon in lexicons.items():
+        part = term_codes(rows.where(F.col("kind") == kind), lexicon, fuzzy_kinds=("finding",) if kind == "finding" else (),
+                          max_distance=max_distance)
+        codes = part if codes is None else codes.unionByName(part)
+    codes = codes.where(F.col("idx").isNotNull())
+    pair = F.struct(F.concat_ws(SEP, "kind", "term_raw"), F.struct(F.col("idx").cast("int").alias("idx"), F.col("priority").cast("int").alias("priority")))
+    return rows.join(codes, ["kind", "term_raw"]).groupBy(key).agg(F.map_from_entries(F.collect_list(pair)).alias("_codes"))
+
+
+def _terms(items: Column, kind: str, name: str) -> Column:
+    empty = F.array().cast("array<struct<kind:string,term_raw:string>>")
+    return F.coalesce(F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x[name].alias("term_raw"))), empty)
+
+
 def encode_extraction(df: DataFrame, findings_lex: DataFrame, devices_lex: DataFrame,
-                      diagnoses_lex: DataFrame, *, payload_col: str = "payload",
+                      diagnoses_lex: DataFrame, *, payload_col: str = "payload", key: str = "report_id",
                       max_distance: int | None = None) -> DataFrame:
     """Nested form of J1/J2: code every element of the three extraction lists.
 
-    Row-local (no shuffle of reports): dictionaries arrive as scalar
-    subqueries.  Each coded field becomes STRUCT<code INT, raw STRING>; code
-    NULL = not matched.  Findings fall back to the nearest term (Q5).
+    Each coded field becomes STRUCT<code INT, raw STRING>; code NULL = not
+    matched.  Findings fall back to the nearest term (Q5).  Rows with a NULL
+    key get no codes; ``key`` names a report (rows that share it share codes).
     """
-    # Dictionaries as columns first: a subquery may not sit inside a lambda.
-    df = df.withColumns({"_fmap": lexicon_map(findings_lex), "_farr": lexicon_array(findings_lex),
-                         "_dmap": lexicon_map(devices_lex), "_xmap": lexicon_map(diagnoses_lex)})
-    fmap, farr = F.col("_fmap"), F.col("_farr")
-    dmap, xmap = F.col("_dmap"), F.col("_xmap")
+    lexicons = {"finding": findings_lex, "device": devices_lex, "diagnosis": diagnoses_lex}
+    df = df.join(_row_codes(df, lexicons, payload_col, key, max_distance), key, "left")
 
     def cr(code: Column, raw: Column) -> Column:
         return F.struct(code.cast("int").alias("code"), raw.alias("raw"))
 
+    def hit_of(kind, raw):
+        return F.try_element_at(F.col("_codes"), F.concat_ws(SEP, F.lit(kind), raw))
+
     def enc_finding(f):
-        hit = F.element_at(fmap, f["finding"])
-        near = nearest_entry(f["finding"], farr, max_distance)
-        code = F.when(f["finding"].isNull(), F.lit(None)).otherwise(F.coalesce(hit["idx"], near["idx"]))
-        pri = F.when(f["finding"].isNull(), F.lit(None)).otherwise(F.coalesce(hit["priority"], near["priority"]))
-        return F.struct(cr(code, f["finding"]).alias("finding"), f["location"].alias("location"),
+        hit = hit_of("finding", f["finding"])
+        return F.struct(cr(hit["idx"], f["finding"]).alias("finding"), f["location"].alias("location"),
                         f["system"].alias("system"),
                         cr(code_of(f["temporal"], TEMPORAL), f["temporal"]).alias("temporal"),
                         cr(code_of(f["uncertainty"], UNCERTAINTY), f["uncertainty"]).alias("uncertainty"),
-                        pri.cast("int").alias("priority"))
+                        hit["priority"].alias("priority"))
 
     def enc_device(d):
-        hit = F.element_at(dmap, d["medical_device"])
+        hit = hit_of("device", d["medical_device"])
         return F.struct(cr(hit["idx"], d["medical_device"]).alias("medical_device"),
                         cr(code_of(d["placement"], PLACEMENT), d["placement"]).alias("placement"),
-                        hit["priority"].cast("int").alias("priority"))
+                        hit["priority"].alias("priority"))
 
     def enc_diag(x):
-        hit = F.element_at(xmap, x["diagnosis"])
+        hit = hit_of("diagnosis", x["diagnosis"])
         return F.struct(cr(hit["idx"], x["diagnosis"]).alias("diagnosis"),
                         cr(code_of(x["temporal"], TEMPORAL), x["temporal"]).alias("temporal"),
-                        hit["priority"].cast("int").alias("priority"))
+                        hit["priority"].alias("priority"))
 
     p = F.col(payload_col)
     return df.withColumn("encoded", F.struct(
         F.transform(F.coalesce(p["findings_all"], F.array()), enc_finding).alias("findings_all"),
         F.transform(F.coalesce(p["devices_all"], F.array()), enc_device).alias("devices_all"),
         F.transform(F.coalesce(p["diagnoses_all"], F.array()), enc_diag).alias("diagnoses_all"),
-    )).drop("_fmap", "_farr", "_dmap", "_xmap")
+    )).drop("_codes")
 
 
 def grade_extraction(encoded: DataFrame, *, encoded_col: str = "encoded", temporal_rule: bool = False,

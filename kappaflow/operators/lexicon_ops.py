@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import encode_mentions
-from .grading import grade_reports, mention_priority
+from .encode import term_codes
+from .grading import mention_priority
 
 
 def lexicon_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -22,14 +22,19 @@ def lexicon_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def regrade_with_lexicon(mentions: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """M6: the same mentions graded under two dictionaries; counts of (grade_a, grade_b).
 
-    Both gradings aggregate by report_id, so the join of the two is between
-    equally partitioned sides; the final crosstab is a 5 x 5 count.
+    Both codes are joined to the mentions in one code map and graded in one
+    aggregate by report; the final crosstab is a 5 x 5 count.
     """
-    ga = grade_reports(mention_priority(encode_mentions(mentions, a))).select(
-        "report_id", F.col("overall_max_priority").alias("overall_a"))
-    gb = grade_reports(mention_priority(encode_mentions(mentions, b))).select(
-        "report_id", F.col("overall_max_priority").alias("overall_b"))
-    j = ga.join(gb, "report_id", "full_outer")
+    keys = ["kind", "term_raw"]
+    codes = term_codes(mentions, a).select(*keys, F.col("priority").alias("p_a")).join(
+        term_codes(mentions, b).select(*keys, F.col("priority").alias("p_b")), keys)
+    both = mentions.join(codes, keys, "left")
+    graded = mention_priority(mention_priority(both, priority_col="p_a").withColumnRenamed("effective_priority", "e_a"), priority_col="p_b")
+    overall = []
+    for name, e in (("overall_a", F.col("e_a")), ("overall_b", F.col("effective_priority"))):
+        counts = F.count(F.when(F.col("kind").isin("finding", "device"), e)) > 0
+        overall.append(F.when(counts, F.max(e)).otherwise(F.lit(1)).cast("int").alias(name))
+    j = graded.groupBy("report_id").agg(*overall)
     return j.groupBy("overall_a", "overall_b").agg(F.count(F.lit(1)).alias("n"),
                                                    F.count(F.when(F.col("overall_a") != F.col("overall_b"), 1))
                                                    .alias("n_changed"))

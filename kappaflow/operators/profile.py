@@ -131,3 +131,18 @@ PIPELINE_RENAMES = {
     "overall_max_priority": "priority_algo",
     "llm_grade": "priority_llm",
 }
+
+
+def duplicate_texts(df: DataFrame, text_col: str = "TEXT_REPORT") -> DataFrame:
+    """Q22: texts, reports, and reports that share their text with another; texts are grouped by their hash."""
+    per_text = df.groupBy(F.sha2(F.col(text_col), 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return per_text.agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_reports"),
+                        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_sharing_a_text"))
+
+
+def assert_unique(df: DataFrame, key: str = "report_id") -> DataFrame:
+    """Q21: the same table, or an error naming a key that occurs twice (one grouped count on the key alone)."""
+    twice = df.groupBy(key).count().where(F.col("count") > 1).limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][0]} occurs {twice[0][1]} times; it must name one row")
+    return df

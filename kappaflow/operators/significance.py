@@ -3,15 +3,17 @@
 Plan (one method column or several):
 
     long (report_id, it, method, grade)
-      -> pivot per (report_id, method) on it = 1..k     (one shuffle on report_id)
-      -> count of each distinct grade pattern            (partial agg: rows -> patterns)
-      -> the k(k-1)/2 run pairs generated per *pattern*  (bounded by k, never per report)
-      -> (method, pair, |d|) counts                       (tiny)
+      -> grouped by (report_id, method): the list of its runs   (one shuffle)
+      -> its run pairs, exploded and counted by (method, pair, x - y) in the
+         same stage: map-side partial counts leave k(k-1)/2 times a few
+         differences per task, whatever the number of reports
       -> average ranks by a window over the few |d| of one pair
-The test is the tie-corrected normal form without continuity correction:
-W = min(R+, R-), z = (W - n(n+1)/4) / sqrt(n(n+1)(2n+1)/24 - sum(t^3 - t)/48),
-p = erfc(|z| / sqrt 2).  Zeros are dropped; n = 0 gives W = 0 and p NULL.
-A pair needs more than ``min_rows`` complete rows, else status 'insufficient'.
+The runs are those in the data: none is left out.  A report graded twice in
+one run is an error.  The test is the tie-corrected normal form without
+continuity correction: W = min(R+, R-), z = (W - n(n+1)/4) / sqrt(n(n+1)(2n+1)/24 -
+sum(t^3 - t)/48), p = erfc(|z| / sqrt 2).  Zeros are dropped; n = 0 gives W = 0 and
+p NULL.  A pair needs more than ``min_rows`` complete rows, else status
+'insufficient'.  No value is rounded here; queries round for display.
 """
 
 from __future__ import annotations
@@ -30,72 +32,69 @@ def runs_long(it_long: DataFrame, methods: list[str]) -> DataFrame:
     return it_long.select("report_id", "it", *methods).unpivot(["report_id", "it"], methods, "method", "grade")
 
 
-def join_iterations(it_long: DataFrame, methods: list[str], iterations: int = 10) -> DataFrame:
-    """One row per report, one column per method and run (``<method>_<it>``).
+def _once(n, what: str):
+    """``what`` if it was seen at most once, else an error naming the report."""
+    return F.when(n <= 1, what).otherwise(F.raise_error(F.concat(
+        F.lit("graded more than once in one run: report "), F.col("report_id").cast("string"))))
 
-    Pivot with the run values given, so no extra job discovers them.
+
+def run_numbers(it_long: DataFrame) -> list[int]:
+    """The runs in the data; one row per run reaches the driver."""
+    return sorted(r["it"] for r in it_long.select("it").where(F.col("it").isNotNull()).distinct().collect())
+
+
+def join_iterations(it_long: DataFrame, methods: list[str]) -> DataFrame:
+    """One row per report, one column per method and run (``<method>_<it>``), for every run in the data.
+
+    The column names are data, so a small job lists the runs first.
     """
-    its = list(range(1, iterations + 1))
-    w = it_long.groupBy("report_id").pivot("it", its).agg(*[F.max(m).alias(m) for m in methods])
-    ren = {}
-    for i in its:
-        for m in methods:
-            ren[f"{i}_{m}" if len(methods) > 1 else str(i)] = f"{m}_{i}"
-    return w.withColumnsRenamed(ren).select("report_id", *[f"{m}_{i}" for m in methods for i in its])
-
-
-def grade_patterns(it_long: DataFrame, methods: list[str], iterations: int = 10) -> DataFrame:
-    """(method, g1..gk, n): how many reports share each grade pattern over the runs."""
-    its = list(range(1, iterations + 1))
-    # conditional aggregation: one hash aggregate (pivot would add an Expand
-    # and a second aggregate); runs are at most once per report
-    wide = runs_long(it_long, methods).groupBy("report_id", "method").agg(
-        *[F.max(F.when(F.col("it") == i, F.col("grade"))).alias(str(i)) for i in its])
-    # Bounded by the distinct grade patterns (not by reports); cached because
-    # the test reads it on two branches (common rows and signed ranks).
-    return wide.groupBy("method", *[str(i) for i in its]).agg(F.count(F.lit(1)).alias("n")).cache()
-
-
-def pair_differences(patterns: DataFrame, iterations: int = 10) -> DataFrame:
-    """(method, it_a, it_b, x, y, n) for every run pair a < b complete in a pattern."""
-    pairs = [F.struct(F.lit(a).alias("it_a"), F.lit(b).alias("it_b"),
-                      F.col(str(a)).alias("x"), F.col(str(b)).alias("y"))
-             for a in range(1, iterations + 1) for b in range(a + 1, iterations + 1)]
-    e = patterns.select("method", "n", F.explode(F.array(*pairs)).alias("p"))
-    return (e.select("method", "p.it_a", "p.it_b", "p.x", "p.y", "n")
-            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-
-
-def iteration_pairs(it_long: DataFrame, methods: list[str], iterations: int = 10) -> DataFrame:
+    its = run_numbers(it_long)
+    cells = [_once(F.count(F.when(F.col("it") == i, 1)), F.max(F.when(F.col("it") == i, F.col(m)))).alias(f"{m}_{i}")
+             for i in its for m in methods]
+    return it_long.groupBy("report_id").agg(*cells) if cells else it_long.select("report_id").distinct()
+
+
+def pair_differences(it_long: DataFrame, methods: list[str]) -> DataFrame:
+    """(method, it_a, it_b, d, n): how many reports differ by d = x - y in runs a < b, both graded."""
+    runs = runs_long(it_long, methods).groupBy("report_id", "method").agg(
+        F.array_sort(F.collect_list(F.when(F.col("it").isNotNull(), F.struct("it", "grade")))).alias("runs"))  # as many as runs
+    doubled = F.size(F.array_distinct(F.transform("runs", lambda r: r["it"]))) != F.size("runs")
+    runs = runs.withColumn("runs", _once(F.when(doubled, 2).otherwise(1), F.col("runs")))
+    graded = F.filter("runs", lambda r: r["grade"].isNotNull())
+    pairs = F.flatten(F.transform(graded, lambda a: F.transform(
+        F.filter(graded, lambda b: b["it"] > a["it"]),
+        lambda b: F.struct(a["it"].alias("it_a"), b["it"].alias("it_b"), (a["grade"] - b["grade"]).alias("d")))))
+    return (runs.select("method", F.explode(pairs).alias("p")).select("method", "p.*")
+            .groupBy("method", "it_a", "it_b", "d").agg(F.count(F.lit(1)).alias("n")))
+
+
+def iteration_pairs(it_long: DataFrame, methods: list[str]) -> DataFrame:
     """J6 summarised per run pair: rows complete in both runs, equal / differing, mean difference."""
-    d = pair_differences(grade_patterns(it_long, methods, iterations), iterations)
-    diff = (F.col("x") - F.col("y")) * F.col("n")
+    d = pair_differences(it_long, methods)
     return d.groupBy("method", "it_a", "it_b").agg(
         F.sum("n").alias("n_common"),
-        F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("n_equal"),
-        F.sum(F.when(F.col("x") != F.col("y"), F.col("n")).otherwise(0)).alias("n_diff"),
-        F.round(F.sum(diff) / F.sum("n"), 6).alias("mean_diff"))
+        F.sum(F.when(F.col("d") == 0, F.col("n")).otherwise(0)).alias("n_equal"),
+        F.sum(F.when(F.col("d") != 0, F.col("n")).otherwise(0)).alias("n_diff"),
+        (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_diff"))
 
 
-def wilcoxon_pairs(it_long: DataFrame, methods: list[str], iterations: int = 10,
-                   min_rows: int = 5) -> DataFrame:
+def wilcoxon_pairs(it_long: DataFrame, methods: list[str], min_rows: int = 5) -> DataFrame:
     """A22 + A25: signed-rank test for every run pair of every method."""
-    d = pair_differences(grade_patterns(it_long, methods, iterations), iterations)
-    d = d.withColumn("d", (F.col("x") - F.col("y")).cast("double"))
     keys = ["method", "it_a", "it_b"]
-    common = d.groupBy(*keys).agg(F.sum("n").alias("n_common"))
-    nz = d.where(F.col("d") != 0).groupBy(*keys, F.abs("d").alias("ad")).agg(
+    nz = pair_differences(it_long, methods).groupBy(*keys, F.abs("d").cast("double").alias("ad")).agg(
+        F.sum("n").alias("n"),
         F.sum(F.when(F.col("d") > 0, F.col("n")).otherwise(0)).alias("npos"),
         F.sum(F.when(F.col("d") < 0, F.col("n")).otherwise(0)).alias("nneg"))
     t = F.col("npos") + F.col("nneg")
     w = Window.partitionBy(*keys).orderBy("ad").rowsBetween(Window.unboundedPreceding, 0)
+    # Equal pairs (ad = 0) have npos = nneg = t = 0, so they take no rank and no tie.
     nz = nz.withColumn("t", t).withColumn("rank", F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / 2.0)
-    rs = nz.groupBy(*keys).agg(
+    j = nz.groupBy(*keys).agg(
+        F.sum("n").alias("n_common"),
         F.sum(F.col("rank") * F.col("npos")).alias("r_plus"),
         F.sum(F.col("rank") * F.col("nneg")).alias("r_minus"),
         F.sum("t").alias("n_nonzero"),
         F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
-    j = common.join(rs, keys, "left").fillna({"r_plus": 0.0, "r_minus": 0.0, "n_nonzero": 0, "ties": 0.0})
     n = F.col("n_nonzero").cast("double")
     W = F.least("r_plus", "r_minus")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
@@ -106,9 +105,9 @@ def wilcoxon_pairs(it_long: DataFrame, methods: list[str], iterations: int = 10,
         F.concat(F.col("method"), F.lit("_"), F.col("it_a").cast("string"), F.lit(" vs "),
                  F.col("method"), F.lit("_"), F.col("it_b").cast("string")).alias("comparison"),
         "n_common", F.col("n_nonzero").cast("long").alias("n_nonzero"),
-        F.when(tested, F.round(W, 6)).alias("statistic"),
-        F.when(tested, F.round(z, 6)).alias("z"),
-        F.when(tested, F.round(erfc(F.abs(z) / math.sqrt(2.0)), 6)).alias("p_value"),
+        F.when(tested, W).alias("statistic"),
+        F.when(tested, z).alias("z"),
+        F.when(tested, erfc(F.abs(z) / math.sqrt(2.0))).alias("p_value"),
         F.when(tested, F.lit("tested")).otherwise(F.lit("insufficient")).alias("status"))
 
 
@@ -120,7 +119,7 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
         "method", "comparison", "it_a", "it_b", F.col("p_value").alias("raw_p_value"),
         m.alias("m")).select(
         "*",
-        F.round(F.least(F.lit(1.0), F.col("raw_p_value") * F.col("m")), 6).alias("corrected_p_value"),
+        F.least(F.lit(1.0), F.col("raw_p_value") * F.col("m")).alias("corrected_p_value"),
         F.coalesce(F.col("raw_p_value") <= alpha / F.col("m"), F.lit(False)).alias("significant"))
 
 
@@ -132,18 +131,16 @@ def significant_summary(corrected: DataFrame) -> DataFrame:
                                                F.col("n_tests").cast("string")))
 
 
-def grade_counts_by_iteration(it_long: DataFrame, methods: list[str], iterations: int = 10) -> DataFrame:
-    """Counts of membership groups 0/1/2 per method and run, zero-filled.
+def grade_counts_by_iteration(it_long: DataFrame, methods: list[str]) -> DataFrame:
+    """Counts of membership groups 0/1/2 per method and run of the data, zero-filled.
 
     Missing grades are not counted; other values (0 stays 0) keep their own
     group as the membership grouping leaves them unchanged, and only groups
     0..2 are reported.
     """
-    l = runs_long(it_long, methods).withColumn("grp", group_membership("grade"))
-    obs = l.where(F.col("grp").isNotNull()).groupBy("method", "it", "grp").agg(F.count(F.lit(1)).alias("n"))
-    grid = (l.select("method").distinct()
-            .withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-            .withColumn("grp", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))))
-    return (grid.join(obs, ["method", "it", "grp"], "left")
-            .select("method", "it", F.col("grp").alias("grade_group"),
-                    F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    grp = group_membership("grade")
+    per_run = runs_long(it_long, methods).groupBy("method", "it").agg(
+        *[F.count(F.when(grp == k, 1)).alias(f"n{k}") for k in (0, 1, 2)])
+    return per_run.select("method", "it", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("grade_group"), F.col(f"n{k}").alias("n")) for k in (0, 1, 2)])).alias("g")).select(
+            "method", "it", "g.grade_group", "g.n")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.decode import decode_response
 from ..functions.text import clean_text, fill_template
 from ..operators.grading import encode_extraction, grade_extraction
-from ..operators.profile import PIPELINE_RENAMES, rename_if_absent
+from ..operators.profile import PIPELINE_RENAMES, assert_unique, rename_if_absent
 from ..schemas import EXTRACTION, GRADE, GRADE_EXPLAINED, JUDGE
 from .model import cached_model_call, request_key, stage_table
 from .prompts import SYSTEM, TEMPLATES
@@ -47,7 +47,7 @@ def with_requests(df: DataFrame, method: str, holes: dict[str, Column], model_na
 
 def _call(df, method, holes, model, model_name, cache, stage):
     req = with_requests(df, method, holes, model_name)
-    return cached_model_call(req, model, cache=cache, stage=f"{stage}-{method}" if stage else None,
+    return cached_model_call(req, model, cache=cache, stage=f"{stage}-answers-{method}" if stage else None,
                              methods=[method])
 
 
@@ -65,7 +65,7 @@ def grade_semialgo(df: DataFrame, model, findings_lex, devices_lex, diagnoses_le
     holes = {"findings_str": F.col("_fl"), "devices_str": F.col("_dl"),
              "diagnoses_str": F.col("_xl"), "rpt": F.col(report_col)}
     r = _call(d, "extract", holes, model, model_name, cache, stage)
-    dec = decode_response("payload", EXTRACTION, required=["findings_all"])
+    dec = decode_response("payload", EXTRACTION, required=[])  # an absent list is an empty one (P12)
     r = r.withColumn("_x", dec)
     # Q8 / Q23: a failed extraction leaves every method-1 column NULL.
     ok = F.col("_x.status") == "ok"
@@ -102,7 +102,7 @@ def grade_hybrid(df: DataFrame, model, findings_lex, diagnoses_lex, *, report_co
     holes = {"findings_str": F.col("_fl"), "diagnoses_str": F.col("_xl"),
              "grade_semialgo": F.col(semialgo_col), "rpt": F.col(report_col)}
     r = _call(d, "hybrid", holes, model, model_name, cache, stage)
-    r = r.withColumn("_x", decode_response("payload", GRADE_EXPLAINED, required=["grade", "explanation"]))
+    r = r.withColumn("_x", decode_response("payload", GRADE_EXPLAINED))  # without explanation the grade stays (P11)
     return r.select(*df.columns, F.coalesce(F.col("_x.grade"), F.lit(0)).alias("hybrid_grade"),
                     F.coalesce(F.col("_x.explanation"), F.lit("")).alias("hybrid_explanation"),
                     F.col("_x.status").alias("hybrid_status"))
@@ -159,18 +159,22 @@ def grade_judge(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", manual
 
 def grade_all_methods(df: DataFrame, model, findings_lex, devices_lex, diagnoses_lex, *,
                       report_col: str = "TEXT_REPORT", model_name: str = "model", cache=None,
-                      save_intermediate: bool = True, stage: str = "grading") -> DataFrame:
+                      save_intermediate: bool = True, stage: str = "grading", run: str | None = None) -> DataFrame:
     """Clean -> method 1 -> method 3 -> method 2 -> rename -> method 4.
 
     With ``save_intermediate`` (the default) every stage is written under
     the shared stage folder and read back (S7): a retry after an executor
     loss reads the stage, it does not repeat model calls, and each stage's
-    plan starts at a file instead of repeating the stages before it.
+    plan starts at a file instead of repeating the stages before it.  With
+    ``run``, the stages belong to that run and a second start takes up after
+    the last one that was completed (``model.clear_run`` removes them).
+    Report ids must be unique (Q21); that is checked first.
     """
     def keep(d, name):
         return stage_table(d, f"{stage}-{name}") if save_intermediate else d
 
-    d = df.withColumn(report_col, clean_text(report_col))
+    stage = f"{run}/{stage}" if run else stage
+    d = assert_unique(df).withColumn(report_col, clean_text(report_col))
     st = stage if save_intermediate else None
     d = keep(grade_semialgo(d, model, findings_lex, devices_lex, diagnoses_lex, report_col=report_col,
                             model_name=model_name, cache=cache, stage=st), "semialgo")

@@ -6,7 +6,20 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as G
 from ..sources import adapters as A
-from .registry import register
+from . import registry
+
+DIGITS = {"mcnemar_exact": 10}
+
+
+def register(name: str, sql: str):
+    """Register a query that rounds its fractions for display; the operators do not round."""
+    def deco(fn):
+        def shown(spark, sf):
+            df = fn(spark, sf)
+            return df.select(*[F.round(c, DIGITS.get(name, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+        registry.register(name, sql)(shown)
+        return fn
+    return deco
 
 # Oracle: the same stacking and grouping written directly on rows.
 LONG_SQL = [
@@ -157,6 +170,7 @@ def q_score_quality(spark, sf):
     return G.score_quality(_conf(spark, sf))
 
 
+PER_CLASS = ("sensitivity", "specificity", "ppv", "npv", "f1", "roc_auc")
 PER_CLASS_CTES = [
     ("pc", """SELECT method, c.v AS class,
         sum(CASE WHEN coalesce(truth = c.v, false) AND pred = c.v THEN 1 ELSE 0 END) AS tp,
@@ -165,15 +179,15 @@ PER_CLASS_CTES = [
         sum(CASE WHEN NOT coalesce(truth = c.v, false) AND pred <> c.v THEN 1 ELSE 0 END) AS tn
         FROM lg CROSS JOIN (VALUES (0), (1), (2)) c(v) GROUP BY method, c.v"""),
     ("pcm", f"""SELECT method, class,
-        round({_div('tp', 'tp + fn')}, 6) AS sensitivity, round({_div('tn', 'tn + fp')}, 6) AS specificity,
-        round({_div('tp', 'tp + fp')}, 6) AS ppv, round({_div('tn', 'tn + fn')}, 6) AS npv,
-        round({_div('2 * tp', '2 * tp + fp + fn')}, 6) AS f1,
-        round(CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN {NAN}
-                   ELSE ({_div('tp', 'tp + fn')} + {_div('tn', 'tn + fp')}) / 2 END, 6) AS roc_auc FROM pc"""),
+        {_div('tp', 'tp + fn')} AS sensitivity, {_div('tn', 'tn + fp')} AS specificity,
+        {_div('tp', 'tp + fp')} AS ppv, {_div('tn', 'tn + fn')} AS npv,
+        {_div('2 * tp', '2 * tp + fp + fn')} AS f1,
+        CASE WHEN tp + fn = 0 OR tn + fp = 0 THEN {NAN}
+                   ELSE ({_div('tp', 'tp + fn')} + {_div('tn', 'tn + fp')}) / 2 END AS roc_auc FROM pc"""),
 ]
 
 
-@register("per_class_metrics", _q("SELECT * FROM pcm", PER_CLASS_CTES))
+@register("per_class_metrics", _q("SELECT method, class, " + ", ".join(f"round({c}, 6) AS {c}" for c in PER_CLASS) + " FROM pcm", PER_CLASS_CTES))
 def q_per_class_metrics(spark, sf):
     return G.per_class_metrics(_conf(spark, sf))
 
@@ -200,7 +214,7 @@ SELECT CAST(P AS BIGINT) AS P, CAST(N AS BIGINT) AS N,
        round(CASE WHEN P * N > 0 THEN (rs - P * (P + 1) / 2.0) / (P * N) ELSE {NAN} END, 6) AS roc_auc
 FROM s"""))
 def q_roc_auc(spark, sf):
-    return G.roc_auc_scores(A.scored(spark, sf), "truth", "score")
+    return G.roc_auc_scores(A.scored(spark, sf), "truth", "score").drop("n_unranked")
 
 
 FLAG_CTES = [

@@ -80,11 +80,16 @@ def q_lookup_priority(spark, sf):
 
 
 def grade_semialgo_df(spark, sf):
+    """Every report is graded, those without a mention too (A1)."""
     enc = encode_mentions(A.mentions(spark, sf), A.lexicon(spark, sf))
-    return grade_reports(mention_priority(enc))
+    return grade_reports(mention_priority(enc), reports=A.reports(spark, sf))
 
 
-@register("grade_semialgo", _sql(grade_sql_body()))
+WITH_REPORTS = """(SELECT report_id, kind, effective_priority FROM pri
+ UNION ALL SELECT doc_id, NULL, NULL FROM documents)"""
+
+
+@register("grade_semialgo", _sql(grade_sql_body(WITH_REPORTS)))
 def q_grade_semialgo(spark, sf):
     return grade_semialgo_df(spark, sf)
 
@@ -127,5 +132,5 @@ def q_grade_semialgo_nested(spark, sf):
 
 @register("encode_nearest_banded", _sql(f"SELECT {', '.join(ENC_COLS)} FROM enc"))
 def q_encode_nearest_banded(spark, sf):
-    """J2 by the exact length-banded strategy (the path for dictionaries of any size)."""
-    return encode_mentions(A.mentions(spark, sf), A.lexicon(spark, sf), strategy="banded").select(*ENC_COLS)
+    """J2 with the dictionary cut into many small blocks, as a large one would be."""
+    return encode_mentions(A.mentions(spark, sf), A.lexicon(spark, sf), block=8).select(*ENC_COLS)

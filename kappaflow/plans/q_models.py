@@ -10,13 +10,14 @@ oracles reproduce with a window over the prompt inputs.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_text
 from ..sources import adapters as A
 from . import methods as M
-from .model import ReplayModel, cached_model_call, stage_table
+from .model import PandasModel, ReplayModel, cached_model_call, stage_table
 from .q_grading import codes_sql
-from .q_text import CL_CTE, clean_sql
+from .q_text import CL_CTE, clean_sql, fill_sql
 from .registry import register
 
 
@@ -138,7 +139,8 @@ def q_grade_semialgo_model(spark, sf):
 
 
 @register("cached_model_call", _q("""
-SELECT lr.report_id, r.payload FROM lr JOIN (SELECT report_id,
+SELECT lr.report_id, lr.rep % 2 = 0 AS cached, CASE WHEN lr.rep % 2 = 0 THEN 'cached: ' ELSE '' END || r.payload AS payload
+FROM lr JOIN (SELECT report_id,
   CASE WHEN report_id % 10 = 3 THEN 'Sure: {"grade": ' || CAST(priority_llm AS VARCHAR) || '} done'
        WHEN report_id % 10 = 5 THEN '{"grade": ' || CAST(priority_llm AS VARCHAR)
        WHEN report_id % 10 = 7 THEN '{"grade": "high"}'
@@ -146,9 +148,46 @@ SELECT lr.report_id, r.payload FROM lr JOIN (SELECT report_id,
        ELSE '{"grade": ' || CAST(priority_llm AS VARCHAR) || '}' END AS payload FROM cl) r ON r.report_id = lr.rep""",
     LLM_CTES[:1]))
 def q_cached_model_call(spark, sf):
+    """Half of the keys are in the cache, one of them twice over; the model answers the others."""
     d = _input(spark, sf)
     req = M.with_requests(d, "llm", {"rpt": F.col("TEXT_REPORT")}, "model")
-    return cached_model_call(req, _model(spark, sf)).select("report_id", "payload")
+    first = req.groupBy("request_key").agg(F.min("report_id").alias("report_id")).where(F.col("report_id") % 2 == 0)
+    known = A.replay_responses(spark, sf).where(F.col("method") == "llm").join(first, "report_id").select(
+        "request_key", F.concat(F.lit("cached: "), "payload").alias("payload"))
+    return cached_model_call(req, _model(spark, sf), cache=known.union(known)).select("report_id", "cached", "payload")
+
+
+def _called(client, messages, method):
+    """A model for the fixture: it reads the whole prompt and fails on some."""
+    n = len(messages[-1]["content"])
+    if n % 11 == 0:
+        raise RuntimeError("refused")
+    return '{"grade": %d}' % (1 + n % 5)
+
+
+@register("model_call", A.with_views(["reports_with_truth"], f"""
+SELECT report_id, CASE WHEN n % 11 <> 0 THEN '{{"grade": ' || CAST(1 + n % 5 AS VARCHAR) || '}}' END AS payload,
+       CASE WHEN n % 11 = 0 THEN 'RuntimeError: refused' END AS error
+FROM (SELECT report_id, length({fill_sql('llm', {'rpt': 'txt'})}) AS n FROM cl) z""", [CL_CTE]))
+def q_model_call(spark, sf):
+    """A callable run in tasks, one client each, errors kept by row."""
+    req = M.with_requests(_input(spark, sf), "llm", {"rpt": F.col("TEXT_REPORT")}, "model")
+    return cached_model_call(req, PandasModel(_called)).select("report_id", "payload", "error")
+
+
+def _scored(row):
+    if row["report_id"] % 13 == 0:
+        raise ValueError("not this one")
+    return {"n_chars": len(row["TEXT_REPORT"]), "start": row["TEXT_REPORT"][:8]}
+
+
+@register("score_rows", A.with_views(["reports"], """
+SELECT report_id, CASE WHEN report_id % 13 <> 0 THEN length(TEXT_REPORT) END AS n_chars,
+       CASE WHEN report_id % 13 <> 0 THEN substr(TEXT_REPORT, 1, 8) END AS start FROM reports"""))
+def q_score_rows(spark, sf):
+    """A function of one row whose dictionary becomes columns."""
+    schema = T.StructType([T.StructField("n_chars", T.LongType()), T.StructField("start", T.StringType())])
+    return M.score_rows(A.reports(spark, sf), _scored, schema).select("report_id", "n_chars", "start")
 
 
 @register("stage_checkpoint", A.with_views(["graded"], "SELECT * FROM graded"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import agreement as G
+from ..functions.text import class_name, clean_text
 from ..operators import profile as P
 from ..sources import adapters as A
 from .registry import register
@@ -111,9 +112,27 @@ def q_drop_incomplete(spark, sf):
     return P.drop_incomplete(A.graded(spark, sf), ["priority_manual", "priority_algo", "priority_llm"])
 
 
-@register("row_range", A.with_views(["graded"], "SELECT * FROM graded WHERE report_id >= 0"))
+@register("row_range", A.with_views(["graded"], "SELECT * FROM graded WHERE report_id >= 100 AND report_id <= 4999"))
 def q_row_range(spark, sf):
-    return P.row_range(A.graded(spark, sf), 0, -1)
+    """The feature itself: an inclusive range with both bounds."""
+    return P.row_range(A.graded(spark, sf), 100, 4999)
+
+
+@register("class_names", _g("""
+SELECT CASE priority_manual WHEN 0 THEN 'Normal' WHEN 1 THEN 'Actionable' WHEN 2 THEN 'Critical' END AS class_name,
+       count(*) AS n FROM gg GROUP BY priority_manual"""))
+def q_class_names(spark, sf):
+    g = _grouped(spark, sf).groupBy(class_name("priority_manual").alias("class_name"))
+    return g.agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("duplicate_reports", A.with_views(["reports"], f"""
+SELECT count(*) AS n_texts, CAST(sum(n) AS BIGINT) AS n_reports,
+       CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS n_sharing_a_text
+FROM (SELECT {A.clean_sql('TEXT_REPORT')} AS t, count(*) AS n FROM reports GROUP BY 1) z"""))
+def q_duplicate_reports(spark, sf):
+    """Q22: how many reports share their cleaned text with another."""
+    return P.duplicate_texts(A.reports(spark, sf).select(clean_text("TEXT_REPORT").alias("TEXT_REPORT")))
 
 
 @register("rename_if_absent", A.with_views(["graded"], """

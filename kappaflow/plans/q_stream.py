@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import EXTRACTION, REPORTS
+from ..functions.decode import parse_list_cell
+from ..schemas import FINDING, REPORTS
 from ..session import stage_root
 from ..sources import adapters as A
 from ..sources import files as FS
@@ -26,10 +28,12 @@ def q_lexicon_scan(spark, sf):
     return FS.lexicon_scan(spark, path).select("idx", "term", "priority")
 
 
-@register("scan_reports", A.with_views(["reports"], "SELECT report_id, TEXT_REPORT, NULL::INT AS GROUND_TRUTH FROM reports"))
+@register("scan_reports", A.with_views(["reports"], """
+SELECT report_id, TEXT_REPORT, CASE WHEN report_id % 5 <> 0 THEN CAST(report_id % 3 AS INT) END AS GROUND_TRUTH FROM reports"""))
 def q_scan_reports(spark, sf):
     path = _dir(spark, "reports-csv")
-    FS.write_csv(A.reports(spark, sf).withColumn("GROUND_TRUTH", F.lit(None).cast("int")), path)
+    truth = F.when(F.col("report_id") % 5 != 0, (F.col("report_id") % 3).cast("int"))
+    FS.write_csv(A.reports(spark, sf).withColumn("GROUND_TRUTH", truth), path)
     return FS.scan_reports(spark, path, REPORTS)
 
 
@@ -46,9 +50,25 @@ def q_scan_iterations(spark, sf):
 def q_grade_stream(spark, sf):
     src, out, ckpt = _dir(spark, "stream-src"), _dir(spark, "stream-out"), _dir(spark, "stream-ckpt")
     # arrivals: the extraction records written as several files
-    A.extractions(spark, sf).repartition(4, "report_id").write.parquet(src)
+    A.extractions(spark, sf).write.parquet(src)
     lx = A.lexicon(spark, sf)
-    q = grade_stream(spark, src, A.extractions(spark, sf).schema, lx, lx, lx, out, ckpt, files_per_trigger=1,
+    q = grade_stream(spark, src, A.extractions(spark, sf).schema, lx, lx, lx, out, ckpt, files_per_trigger=2,
                      select=["report_id", *[as_text(F.col(c)).alias(c) for c in NESTED_COLS[1:4]], *NESTED_COLS[4:]])
     q.awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
+
+
+GRADED_CSV = T.StructType([T.StructField("report_id", T.LongType()), T.StructField("report_findings", T.StringType())])
+
+
+@register("graded_table_scan", A.with_views(["mentions"], """
+SELECT report_id, CAST(count(*) AS INT) AS n_findings,
+       string_agg(list_extract(['new', 'better', 'worse', 'stable', 'not mentioned'], temporal + 1), ',' ORDER BY mention_id) AS temporal
+FROM mentions WHERE kind = 'finding' GROUP BY report_id"""))
+def q_graded_table_scan(spark, sf):
+    """S2 -> N6: a graded table written as CSV, its nested column as a list cell, read and parsed again."""
+    path = _dir(spark, "graded-csv")
+    FS.write_csv(A.extractions(spark, sf).select("report_id", F.col("payload.findings_all").alias("report_findings")), path)
+    cells = FS.scan_reports(spark, path, GRADED_CSV).withColumn("f", parse_list_cell("report_findings", FINDING))
+    return cells.where(F.size("f") > 0).select(
+        "report_id", F.size("f").alias("n_findings"), F.array_join(F.transform("f", lambda x: x["temporal"]), ",").alias("temporal"))

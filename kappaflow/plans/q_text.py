@@ -95,6 +95,7 @@ _WC_SQL = ("CASE WHEN length(regexp_replace(user_prompt, '^\\s+|\\s+$', '', 'g')
 @register("token_stats", _pq(f"""
 SELECT method, count(*) AS n_prompts, CAST(sum({_WC_SQL}) AS BIGINT) AS total_words,
        max({_WC_SQL}) AS max_words, round(avg({_WC_SQL}), 6) AS avg_words,
+       round(quantile_cont({_WC_SQL}, 0.5), 6) AS median_words, round(quantile_cont({_WC_SQL}, 0.95), 6) AS p95_words,
        CAST(sum(length(user_prompt)) AS BIGINT) AS total_chars FROM pp GROUP BY method"""))
 def q_token_stats(spark, sf):
     p = _prompts(spark, sf)
@@ -103,6 +104,7 @@ def q_token_stats(spark, sf):
     return p.groupBy("method").agg(
         F.count(F.lit(1)).alias("n_prompts"), F.sum(w).cast("long").alias("total_words"),
         F.max(w).alias("max_words"), F.round(F.avg(w), 6).alias("avg_words"),
+        F.round(F.percentile(w, F.lit(0.5)), 6).alias("median_words"), F.round(F.percentile(w, F.lit(0.95)), 6).alias("p95_words"),
         F.sum(F.length(user)).cast("long").alias("total_chars"))
 
 

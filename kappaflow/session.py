@@ -7,6 +7,7 @@ hands in its own session and nothing below overrides cluster settings.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,11 +44,15 @@ def local_session(cores: str | int = "*", app: str = "kappaflow", **extra) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there (HDFS / object store); we only
-    invent one when the setting is absent, which happens in local tests.
+    A cluster names a shared folder there (HDFS / object store).  Only a local
+    session without the setting, as in tests, gets a temporary one; elsewhere
+    each executor would write to its own disk, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder; the master is {master}")
         d = tempfile.mkdtemp(prefix="kappaflow-ckpt-", dir=os.environ.get("KAPPAFLOW_LOCAL_DIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext

@@ -62,13 +62,15 @@ def scan_iterations(spark: SparkSession, pattern: str, columns: list[str],
     Read by position with neutral names; the run number comes from the file
     name (``iteration_<n>``).  When ``header_regex`` is given every file's
     first line is checked against it first (positional reading trusts the
-    column order), in one distributed pass over the header lines only.
+    column order), in one distributed pass over the files.
     """
     if header_regex is not None:
-        lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("f"), "value")
-        heads = lines.where(F.col("value").startswith(columns[0] + ","))
-        bad = heads.where(~F.col("value").rlike(header_regex)).limit(1).count()
-        if bad:
+        # The first line of a file is the first row of the split that starts at byte 0.
+        lines = spark.read.text(pattern).select(
+            "value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"),
+            F.col("_metadata.file_path").alias("file"))
+        heads = lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+        if heads.where(~F.col("head").rlike(header_regex)).limit(1).count():
             raise ValueError("a run file has an unexpected header; positional reading would misalign")
     schema = T.StructType([T.StructField(c, T.LongType() if c == "report_id" else T.IntegerType())
                            for c in columns])

@@ -1,9 +1,7 @@
 """Grade extraction records as they arrive; restart without repeating work.
 
-Encoding (J1/J2) and grading (A1) of the nested form are row-local, so the
-same functions run on a stream.  Each micro-batch is graded as a batch
-DataFrame inside ``foreachBatch`` (dictionaries arrive as scalar
-subqueries there) and written to ``<out>/batch_id=<n>`` with overwrite: a
+Each micro-batch is encoded (J1/J2) and graded (A1) as a batch DataFrame
+inside ``foreachBatch`` by the same functions as a table, and written to ``<out>/batch_id=<n>`` with overwrite: a
 batch replayed after a failure rewrites its own folder, never duplicates
 rows.  The checkpoint folder records which files were consumed.
 """

@@ -63,3 +63,24 @@ def test_erfc_and_lgamma_close_to_python(spark):
     for r in got:
         assert abs(r["e"] - math.erfc(r["x"])) <= 1.2e-7 * max(1.0, math.erfc(r["x"])) + 1e-300
         assert abs(r["g"] - math.lgamma(abs(r["x"]) + 1.0)) < 1e-9
+
+
+def test_list_cells_keep_words_inside_quotes(spark):
+    from pyspark.sql import types as T
+    el = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b", "c")])
+    cells = ["[{'a': 'None seen', 'b': None, 'c': True}]", '[{"a": "it\'s: None, True", \'b\': False}]', "[{'a': 'it\\'s None'}]", "None", "junk '"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, t string")
+    got = {r["i"]: [tuple(x) for x in r["p"]] for r in df.select("i", parse_list_cell("t", el).alias("p")).collect()}
+    assert got[0] == [("None seen", None, "true")]
+    assert got[1] == [("it's: None, True", "false", None)]
+    assert got[2] == [("it's None", None, None)]
+    assert got[3] == got[4] == []
+
+
+def test_decode_flags_values_out_of_range(spark):
+    from kappaflow.schemas import JUDGE
+    rows = [(0, '{"grade": 0, "choice": 1, "explanation": ""}'), (1, '{"grade": 3, "choice": 7, "explanation": ""}'),
+            (2, '{"grade": 6, "choice": 1, "explanation": ""}'), (3, '{"grade": 3, "choice": 2, "explanation": "e"}')]
+    df = spark.createDataFrame(rows, "i int, t string").select("i", decode_response("t", JUDGE).alias("d"))
+    got = {r["i"]: (r["d"]["status"], r["d"]["grade"]) for r in df.collect()}
+    assert got == {0: ("out_of_range", None), 1: ("out_of_range", None), 2: ("out_of_range", None), 3: ("ok", 3)}

@@ -132,7 +132,17 @@ def test_raising_a_priority_never_lowers_overall(spark):
     assert all(more[k] >= base[k] for k in base)
 
 
-def test_banded_nearest_equals_array_scan(spark):
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_nearest_in_blocks_is_the_first_minimum(spark, block):
     import random
     rnd = random.Random(5)
     alpha = "abcde"
@@ -140,16 +150,14 @@ def test_banded_nearest_equals_array_scan(spark):
     lex = spark.createDataFrame([(i, t, i % 5 + 1) for i, t in enumerate(terms)], "idx int, term string, priority int")
     qs = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 12))) for _ in range(120)] + ["x" * 40, "ab" * 20]
     m = spark.createDataFrame([(i, i, "finding", q, 4, 0, 3) for i, q in enumerate(qs)], MENTION_SCHEMA)
-    a = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="array").collect()}
-    b = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="banded").collect()}
-    assert a == b and len(a) == len(qs)
-
-
-def test_array_bound_is_enforced_and_auto_switches_to_exact_banded(spark):
-    lex = spark.createDataFrame([(0, "abc", 2), (1, "abd", 5), (2, "xyz", 1)], "idx int, term string, priority int")
-    m = spark.createDataFrame([(1, 1, "finding", "abx", 4, 0, 3), (1, 2, "finding", "xy", 4, 0, 3)], MENTION_SCHEMA)
-    with pytest.raises(Exception, match="lexicon larger than 2 terms"):
-        encode_mentions(m, lex, strategy="array", max_lexicon=2).collect()
-    auto = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, max_lexicon=2).collect()}
-    full = {r["mention_id"]: (r["idx"], r["distance"]) for r in encode_mentions(m, lex, strategy="array").collect()}
-    assert auto == full == {1: (0, 1), 2: (2, 1)}
+    got = {r["mention_id"]: (r["distance"], r["idx"]) for r in encode_mentions(m, lex, block=block).collect()}
+    assert got == {i: min((edit_distance(q, t), k) for k, t in enumerate(terms)) for i, q in enumerate(qs)}
+
+
+def test_dictionary_never_reaches_the_driver(spark):
+    """No dictionary scalar in the plans: the only scalar is the number of the last block."""
+    lex = spark.createDataFrame([(0, "abc", 2)], "idx int, term string, priority int")
+    m = spark.createDataFrame([(1, 1, "finding", "abx", 4, 0, 3)], MENTION_SCHEMA)
+    plan = encode_mentions(m, lex)._jdf.queryExecution().optimizedPlan().toString()
+    assert "raise_error" not in plan and plan.count("scalar-subquery") <= 2
+    assert encode_mentions(m, lex.where("false")).collect()[0]["match"] is None

@@ -65,3 +65,88 @@ def test_replay_and_rule_models(spark):
     assert r[1] == '{"grade": 5}' and r[2] is None
     g = {x["report_id"]: x["llm_grade"] for x in M.grade_llm(reports(spark), RuleModel()).collect()}
     assert g[4] == 5 and g[1] == 1
+
+
+def lexicon(spark):
+    return spark.createDataFrame([(0, "nodule", 3), (1, "tube", 2)], "idx int, term string, priority int")
+
+
+def test_grade_stays_without_explanation_and_out_of_range_is_flagged(spark):
+    answers = {1: '{"grade": 4}', 2: '{"grade": 6}', 3: '{"grade": 0, "explanation": "x"}', 4: '{"grade": 5, "explanation": "y"}'}
+    rec = spark.createDataFrame([(i, "hybrid", p) for i, p in answers.items()], "report_id long, method string, payload string")
+    rows = reports(spark).where("report_id < 5")
+    out = {r["report_id"]: (r["hybrid_grade"], r["hybrid_explanation"], r["hybrid_status"])
+           for r in M.grade_hybrid(rows, ReplayModel(rec), lexicon(spark), lexicon(spark), semialgo_col="priority_algo").collect()}
+    assert out == {1: (4, "", "ok"), 2: (0, "", "out_of_range"), 3: (0, "", "out_of_range"), 4: (5, "y", "ok")}
+
+
+def test_absent_lists_are_empty(spark):
+    answers = [(1, '{"devices_all": [{"medical_device": "tube", "placement": "malpositioned"}]}'), (2, "{}"), (3, "no json")]
+    rec = spark.createDataFrame([(i, "extract", p) for i, p in answers], "report_id long, method string, payload string")
+    lx = lexicon(spark)
+    out = {r["report_id"]: (r["overall_max_priority"], r["semialgo_status"])
+           for r in M.grade_semialgo(reports(spark).where("report_id < 4"), ReplayModel(rec), lx, lx, lx).collect()}
+    assert out == {1: (5, "ok"), 2: (1, "ok"), 3: (None, "no_json")}
+
+
+def test_a_cache_that_holds_a_key_twice_answers_once(spark):
+    req = M.with_requests(reports(spark), "llm", {"rpt": F.col("TEXT_REPORT")}, "m")
+    cache = req.select("request_key", F.lit('{"grade": 2}').alias("payload"))
+    model, acc = counting_model(spark, lambda m, meth: '{"grade": 2}')
+    out = cached_model_call(req, model, cache=cache.union(cache)).collect()
+    assert len(out) == 5 and acc.value == 0 and all(r["cached"] for r in out)
+
+
+def test_rule_model_answers_hybrid_and_judge(spark):
+    out = {r["report_id"]: r["hybrid_status"] for r in M.grade_hybrid(
+        reports(spark), RuleModel(), lexicon(spark), lexicon(spark), semialgo_col="priority_algo").collect()}
+    assert set(out.values()) == {"ok"}
+
+
+def test_a_run_is_resumed_after_its_last_stage(spark):
+    """The second start reads the completed stages; no call is made again; clearing the run starts over."""
+    import uuid
+    from kappaflow.plans.model import clear_run
+    answers = {"extract": '{"findings_all": []}', "hybrid": '{"grade": 3, "explanation": "h"}', "llm": '{"grade": 2}',
+               "judge": '{"grade": 4, "choice": 1, "explanation": "j"}', "judge_ext": '{"grade": 4, "choice": 1, "explanation": "k"}'}
+    run, lx = f"run-{uuid.uuid4().hex[:8]}", lexicon(spark)
+    rows = reports(spark).select("report_id", "TEXT_REPORT", F.col("priority_manual").alias("GROUND_TRUTH"))
+    failing = {"on": True}
+
+    def answer(m, meth):
+        if meth == "llm" and failing["on"]:
+            raise SystemError("lost")
+        return answers[meth]
+
+    model, acc = counting_model(spark, answer)
+    first = M.grade_all_methods(rows, model, lx, lx, lx, run=run).collect()
+    calls = acc.value
+    failing["on"] = False
+    again, acc2 = counting_model(spark, answer)
+    second = M.grade_all_methods(rows, again, lx, lx, lx, run=run).collect()
+    assert calls > 0 and acc2.value == 0 and sorted(map(str, first)) == sorted(map(str, second))
+    assert clear_run(spark, run) and not clear_run(spark, run)
+    fresh, acc3 = counting_model(spark, answer)
+    third = M.grade_all_methods(rows, fresh, lx, lx, lx, run=run).collect()
+    assert acc3.value > 0 and {r["priority_llm"] for r in third} == {2}
+
+
+def test_report_ids_must_be_unique(spark):
+    import pytest
+    model, _ = counting_model(spark, lambda m, meth: "{}")
+    lx = lexicon(spark)
+    with pytest.raises(ValueError, match="report_id 1 occurs 2 times"):
+        M.grade_all_methods(reports(spark).union(reports(spark).where("report_id = 1")), model, lx, lx, lx)
+
+
+def test_timed_stage(spark):
+    from kappaflow.plans.model import timed_stage
+    df = spark.createDataFrame([(1, "ok"), (2, "malformed"), (3, "ok")], "report_id long, status string")
+    out, stats = timed_stage(df, "t-timed", "status")
+    assert out.count() == 3 and (stats["rows"], stats["failures"]) == (3, 1) and stats["seconds_per_row"] > 0
+
+
+def test_values_that_look_like_holes_stay(spark):
+    from kappaflow.functions.text import fill_template
+    out = spark.range(1).select(fill_template("a ${x} ${rpt} ${no}", {"x": F.lit("${rpt}"), "rpt": F.lit("r ${x}")}).alias("t"))
+    assert out.first()["t"] == "a ${rpt} r ${x} ${no}"

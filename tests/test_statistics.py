@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kappaflow.operators import agreement as G
@@ -76,7 +77,7 @@ def test_wilcoxon_against_direct(spark):
             g = None if rnd.random() < 0.1 else max(1, min(5, base + rnd.choice([-1, 0, 0, 0, 1])))
             rows.append((rid, it, g))
     df = spark.createDataFrame(rows, "report_id long, it int, g int")
-    got = {(r["it_a"], r["it_b"]): r for r in S.wilcoxon_pairs(df, ["g"], 3).collect()}
+    got = {(r["it_a"], r["it_b"]): r for r in S.wilcoxon_pairs(df, ["g"]).collect()}
     by = {}
     for rid, it, g in rows:
         by.setdefault(rid, {})[it] = g
@@ -90,7 +91,7 @@ def test_wilcoxon_against_direct(spark):
 
 def test_wilcoxon_few_rows_insufficient(spark):
     rows = [(i, it, i % 3 + it) for i in range(5) for it in (1, 2)]
-    r = S.wilcoxon_pairs(spark.createDataFrame(rows, "report_id long, it int, g int"), ["g"], 2).collect()[0]
+    r = S.wilcoxon_pairs(spark.createDataFrame(rows, "report_id long, it int, g int"), ["g"]).collect()[0]
     assert r["status"] == "insufficient" and r["p_value"] is None
 
 
@@ -125,7 +126,7 @@ def test_auc_by_rank_against_brute_force(spark):
     pos = [s for t, s in rows if t == 1]
     neg = [s for t, s in rows if t == 0]
     brute = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in pos for q in neg) / (len(pos) * len(neg))
-    r = G.roc_auc_scores(spark.createDataFrame(rows, "truth int, score double"), buckets=7).collect()[0]
+    r = G.roc_auc_scores(spark.createDataFrame(rows, "truth int, score double")).collect()[0]
     assert abs(r["roc_auc"] - round(brute, 6)) < 2e-6
 
 
@@ -143,3 +144,39 @@ def test_confusion_cells_sum_to_rows(spark):
     conf = G.confusion_fixed(G.confusion(G.methods_long(g)), [0, 1, 2])
     sums = {r["method"]: r["s"] for r in conf.groupBy("method").agg(F.sum("n").alias("s")).collect()}
     assert all(v == n for v in sums.values()) and len(sums) == 4
+
+
+def test_every_run_of_the_data_counts(spark):
+    """Twelve runs in, twelve runs out; no parameter names them."""
+    df = spark.createDataFrame([(i, it, i % 5 + 1) for i in range(20) for it in range(1, 13)], "report_id long, it int, g int")
+    assert sum(r["n"] for r in S.grade_counts_by_iteration(df, ["g"]).collect()) == 240
+    assert len(S.join_iterations(df, ["g"]).columns) == 13
+    assert S.iteration_pairs(df, ["g"]).count() == 66
+
+
+def test_a_report_graded_twice_in_a_run_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 2), (1, 1, 5), (1, 2, 3)], "report_id long, it int, g int")
+    for out in (S.join_iterations(df, ["g"]), S.wilcoxon_pairs(df, ["g"])):
+        with pytest.raises(Exception, match="graded more than once"):
+            out.collect()
+
+
+def test_bonferroni_multiplies_the_unrounded_value(spark):
+    t = spark.createDataFrame([("m", f"c{i}", i, i + 1, p, "tested") for i, p in enumerate([0.00000049, 0.4])],
+                              "method string, comparison string, it_a int, it_b int, p_value double, status string")
+    assert min(r["corrected_p_value"] for r in S.bonferroni(t).collect()) == pytest.approx(0.00000098)
+
+
+def test_auc_leaves_out_rows_without_score_and_spreads_a_skewed_one(spark):
+    rnd = random.Random(2)
+    rows = [(int(rnd.random() < 0.4), 2.0 ** rnd.randint(0, 60) if rnd.random() < 0.9 else None) for _ in range(500)] + [(None, 3.0)]
+    pos = [s for t, s in rows if t == 1 and s is not None]
+    neg = [s for t, s in rows if t == 0 and s is not None]
+    brute = sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in pos for q in neg) / (len(pos) * len(neg))
+    r = G.roc_auc_scores(spark.createDataFrame(rows, "truth int, score double")).collect()[0]
+    assert r["roc_auc"] == pytest.approx(brute) and r["n_unranked"] == 501 - len(pos) - len(neg)
+    by = G.roc_auc_scores(spark.createDataFrame([(i % 2, *x) for i, x in enumerate(rows)], "g int, truth int, score double"), by=["g"]).collect()
+    for r in by:
+        own = [x for i, x in enumerate(rows) if i % 2 == r["g"] and None not in x]
+        pos, neg = [s for t, s in own if t == 1], [s for t, s in own if t == 0]
+        assert r["roc_auc"] == pytest.approx(sum(1.0 if p > q else 0.5 if p == q else 0.0 for p in pos for q in neg) / (len(pos) * len(neg)))

@@ -25,3 +25,16 @@ def test_dictionary_file_order(spark, tmp_path):
     p.write_text(json.dumps(FINDINGS, indent=4))
     got = lexicon_scan(spark, str(p)).orderBy("idx").select("term", "priority").collect()
     assert [(r["term"], r["priority"]) for r in got] == list(FINDINGS.items())
+
+
+def test_header_guard_reads_the_first_line_of_each_file(spark, tmp_path):
+    import pytest
+    from kappaflow.sources.files import scan_iterations
+    for i in (1, 2):
+        (tmp_path / f"iteration_{i}").mkdir()
+        (tmp_path / f"iteration_{i}" / "a.csv").write_text(f"report_id,priority_llm_{i}\n1,2\n3,4\n")
+    pattern, cols, head = f"{tmp_path}/iteration_*/*.csv", ["report_id", "priority_llm"], r"^report_id,priority_llm_\d+$"
+    assert sorted(tuple(r) for r in scan_iterations(spark, pattern, cols, head).collect()) == [(1, 2, 1), (1, 2, 2), (3, 4, 1), (3, 4, 2)]
+    (tmp_path / "iteration_2" / "a.csv").write_text("priority_llm_2,report_id\n100,3\n")
+    with pytest.raises(ValueError, match="unexpected header"):
+        scan_iterations(spark, pattern, cols, head)
