@@ -32,9 +32,9 @@ from ..session import ensure_checkpoint_dir
 from .common import check_columns, col, fresh, row_hash, text_of
 
 #: Distinct keys that a bucket holds before it is split.
-BUCKET_KEYS = 65_536
+BUCKET_KEYS = 4096
 #: Largest global depth; the directory has at most 2**MAX_DEPTH slots.
-MAX_DEPTH = 12
+MAX_DEPTH = 14
 
 
 def index_key(text: Column, key_bits: int = 64) -> Column:

@@ -96,23 +96,24 @@ class Lines:
 def read_lines(texts: list[str]) -> Lines:
     raw = [t.encode() for t in texts]
     base = np.zeros((len(raw), len(BASE)), np.int64)
-    lines, owner, again, word_lists = [], [], [], []
+    lines, owner, again, words, kinds = [], [], [], [], []
     for i, data in enumerate(raw):
         seen, dup, ids, number = set(), 0, [], {}
         put = number.setdefault
         for line in data.split(b"\n"):
-            words = line.split()  # ASCII white space only: what the word pattern leaves out
-            if words:
+            parts = line.split()  # ASCII white space only: what the word pattern leaves out
+            if parts:
                 lines.append(line)
                 owner.append(i)
-                word_lists.append(words)
+                words.append(len(parts))
+                kinds.append(len(set(parts)))
                 if line in seen:
                     dup += 1
                     again.append(1.0)
                 else:
                     seen.add(line)
                     again.append(0.0)
-                ids += [put(w, len(number)) for w in words]
+                ids += [put(w, len(number)) for w in parts]
         base[i, 0], base[i, 3], base[i, 4] = len(ids), dup, repeat_words(np.array(ids, np.int64))
     if not lines:
         return Lines(base, np.zeros((0, len(FEATURES))), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -130,8 +131,7 @@ def read_lines(texts: list[str]) -> Lines:
     digits = per_line((buf >= 48) & (buf <= 57))
     shouts = per_line(buf == 33)
     stops = per_line((buf == 46) | (buf == 44) | (buf == 63))
-    words = np.array([len(w) for w in word_lists], np.int64)
-    kinds = np.array([len(set(w)) for w in word_lists], np.int64)
+    words, kinds = np.array(words, np.int64), np.array(kinds, np.int64)
     for k, values in ((1, letters), (2, symbols)):
         base[:, k] = np.bincount(owner, values, len(raw)).astype(np.int64)
     edge = np.flatnonzero(np.diff(owner)) + 1

@@ -28,13 +28,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import RecentMap, Vocabulary, read_tokenizer
-from .common import check_columns, col, fresh, text_slices
+from .bpe import RecentMap, Vocabulary, read_tokenizer, segments
+from .common import SLICE_CHARS, check_columns, col, fresh, text_slices
 
 #: Character classes of the splitter.
 SP, WS, LETTER, NUMBER, OTHER, APOS, STMD, RV, E, ELL, END = range(11)
@@ -246,17 +246,26 @@ class TokenCounter:
         self.known = RecentMap(self.machine.count, KEEP_PIECES)
 
     def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text; the texts form one stream, with END between them."""
-        spans, owner, extra = [], [], np.zeros(len(texts), np.int64)
+        """Tokens of each text; the texts form streams of bounded length, with END between them."""
+        totals, spans, owner, size = np.zeros(len(texts), np.int64), [], [], 0
         for i, text in enumerate(texts):
             for k, span in enumerate(self.vocab.split_specials.split(text) if self.vocab.specials else [text]):
                 if k % 2:
-                    extra[i] += 1
-                elif span:
-                    spans.append(span)
+                    totals[i] += 1
+                    continue
+                for part in segments(span):
+                    spans.append(part)
                     owner.append(i)
-        if not spans:
-            return extra
+                    size += len(part)
+                    if size > SLICE_CHARS:
+                        np.add.at(totals, owner, self.count_spans(spans))
+                        spans, owner, size = [], [], 0
+        if spans:
+            np.add.at(totals, owner, self.count_spans(spans))
+        return totals
+
+    def count_spans(self, spans: list[str]) -> np.ndarray:
+        """Tokens of each span, in one stream."""
         # One END after each span: its position is known, so any character may stand for it.
         stream = "\n".join(spans) + "\n"
         ends = np.cumsum([len(s) + 1 for s in spans]) - 1
@@ -267,9 +276,7 @@ class TokenCounter:
         pieces = [stream[a:b] for a, b in zip(cuts, [*cuts[1:], len(stream)], strict=True)]
         counts = np.array(self.known.all(pieces), np.int64)
         counts[classes[starts] == END] = 0
-        by_span = np.add.reduceat(counts, np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1])))
-        np.add.at(extra, owner, by_span)
-        return extra
+        return np.add.reduceat(counts, np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1])))
 
 
 @lru_cache(maxsize=2)
@@ -296,6 +303,3 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     return source.mapInArrow(run, out_schema)
 
-
-def over_limit(limit: int):
-    return F.col("n_tokens") > limit

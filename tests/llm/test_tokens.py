@@ -43,6 +43,15 @@ def test_small_memories_change_nothing(library, texts, monkeypatch):
     assert counter.count(texts[:500]).tolist() == [len(e.ids) for e in library.encode_batch(texts[:500], add_special_tokens=False)]
 
 
+def test_streams_of_any_length_count_alike(library, texts, monkeypatch):
+    counter = TC.TokenCounter(read_tokenizer(PATH))
+    long = [" ".join(texts[:200]), "", *texts[:50]]
+    want = [len(e.ids) for e in library.encode_batch(long, add_special_tokens=False)]
+    monkeypatch.setattr(TC, "SLICE_CHARS", 100)
+    monkeypatch.setattr(TC.segments, "__defaults__", (64,))
+    assert counter.count(long).tolist() == want
+
+
 def test_chunk_size_does_not_matter(texts):
     stream = "".join(texts[:300])
     classes = TC.class_table()[np.frombuffer(stream.encode("utf-32-le"), np.uint32)]
