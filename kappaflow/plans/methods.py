@@ -41,14 +41,22 @@ def build_messages(method: str, holes: dict[str, Column], system: str = SYSTEM)
 
 
 def with_requests(df: DataFrame, method: str, holes: dict[str, Column], model_name: str) -> DataFrame:
-    m = df.withColumn("messages", build_messages(method, holes)).withColumn("method", F.lit(method))
-    return m.withColumn("request_key", request_key(model_name, "method", "messages"))
+    """``df`` with messages, method and request_key.
+
+    The key hashes what differs between prompts of a method, the values of its
+    holes, so no prompt is built to find equal ones.
+    """
+    values = [F.coalesce(holes[k].cast("string"), F.lit("")) for k in sorted(holes)]
+    return df.withColumns({"messages": build_messages(method, holes), "method": F.lit(method),
+                           "request_key": request_key(model_name, method, TEMPLATES[method] + SYSTEM, values)})
 
 
-def _call(df, method, holes, model, model_name, cache, stage):
+def _answers(df, method, holes, model, model_name, cache, stage, cache_path=None) -> DataFrame:
+    """(report_id, payload, error): narrow, so no text travels with the answers."""
     req = with_requests(df, method, holes, model_name)
-    return cached_model_call(req, model, cache=cache, stage=f"{stage}-answers-{method}" if stage else None,
-                             methods=[method])
+    got = cached_model_call(req, model, cache=cache, stage=f"{stage}-answers-{method}" if stage else None,
+                            cache_path=cache_path, methods=[method])
+    return got.select("report_id", "payload", "error")
 
 
 def _lexicon_holes(df: DataFrame, findings_lex, devices_lex, diagnoses_lex) -> DataFrame:
@@ -57,98 +65,98 @@ def _lexicon_holes(df: DataFrame, findings_lex, devices_lex, diagnoses_lex) -> D
                            "_xl": term_list(diagnoses_lex)})
 
 
-def grade_semialgo(df: DataFrame, model, findings_lex, devices_lex, diagnoses_lex, *,
-                   report_col: str = "TEXT_REPORT", model_name: str = "model", cache=None,
-                   stage: str | None = None) -> DataFrame:
-    """G2 + G3: extraction call -> record -> codes -> priorities (ten columns)."""
+def _back(df: DataFrame, narrow: DataFrame) -> DataFrame:
+    """The rows of ``df`` with the result columns of their report."""
+    return df.join(narrow, "report_id", "left").select(*[F.col(c) for c in df.columns],
+                                                       *[F.col(c) for c in narrow.columns if c != "report_id"])
+
+
+SEMIALGO_PRIORITIES = ["findings_priorities", "lines_priorities", "diagnoses_priorities", "max_finding_priority",
+                       "max_line_priority", "max_diagnosis_priority", "overall_max_priority"]
+
+
+def semialgo_columns(df: DataFrame, model, findings_lex, devices_lex, diagnoses_lex, *, report_col: str = "TEXT_REPORT",
+                     model_name: str = "model", cache=None, stage: str | None = None, cache_path=None) -> DataFrame:
+    """G2 + G3, narrow: extraction call -> record -> codes -> priorities, by report_id."""
     d = _lexicon_holes(df, findings_lex, devices_lex, diagnoses_lex)
     holes = {"findings_str": F.col("_fl"), "devices_str": F.col("_dl"),
              "diagnoses_str": F.col("_xl"), "rpt": F.col(report_col)}
-    r = _call(d, "extract", holes, model, model_name, cache, stage)
-    dec = decode_response("payload", EXTRACTION, required=[])  # an absent list is an empty one (P12)
-    r = r.withColumn("_x", dec)
+    r = _answers(d, "extract", holes, model, model_name, cache, stage, cache_path)
+    r = r.withColumn("_x", decode_response("payload", EXTRACTION, required=[]))  # an absent list is an empty one (P12)
     # Q8 / Q23: a failed extraction leaves every method-1 column NULL.
     ok = F.col("_x.status") == "ok"
     r = r.withColumn("payload_rec", F.when(ok, F.struct(
         F.col("_x.findings_all").alias("findings_all"), F.col("_x.devices_all").alias("devices_all"),
         F.col("_x.diagnoses_all").alias("diagnoses_all"))))
-    enc = encode_extraction(r, findings_lex, devices_lex, diagnoses_lex, payload_col="payload_rec")
-    g = grade_extraction(enc)
-    out_cols = ["findings_priorities", "lines_priorities", "diagnoses_priorities", "max_finding_priority",
-                "max_line_priority", "max_diagnosis_priority", "overall_max_priority"]
-    g = g.withColumns({c: F.when(ok, F.col(c)) for c in out_cols})
+    g = grade_extraction(encode_extraction(r, findings_lex, devices_lex, diagnoses_lex, payload_col="payload_rec"))
+    g = g.withColumns({c: F.when(ok, F.col(c)) for c in SEMIALGO_PRIORITIES})
     g = g.withColumns({"report_findings": F.when(ok, F.col("encoded.findings_all")),
                        "report_lines": F.when(ok, F.col("encoded.devices_all")),
                        "report_diagnoses": F.when(ok, F.col("encoded.diagnoses_all")),
                        "semialgo_status": F.col("_x.status")})
-    return g.select(*df.columns, "report_findings", "report_lines", "report_diagnoses", *out_cols,
-                    "semialgo_status")
+    return g.select("report_id", "report_findings", "report_lines", "report_diagnoses", *SEMIALGO_PRIORITIES, "semialgo_status")
 
 
-def grade_llm(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", model_name: str = "model",
-              cache=None, stage: str | None = None) -> DataFrame:
-    """Direct grade; a failed call gives 0."""
-    r = _call(df, "llm", {"rpt": F.col(report_col)}, model, model_name, cache, stage)
+def llm_columns(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", model_name: str = "model", cache=None,
+                stage: str | None = None, cache_path=None) -> DataFrame:
+    """G4, narrow: direct grade; a failed call gives 0."""
+    r = _answers(df, "llm", {"rpt": F.col(report_col)}, model, model_name, cache, stage, cache_path)
     r = r.withColumn("_x", decode_response("payload", GRADE))
-    return r.select(*df.columns, F.coalesce(F.col("_x.grade"), F.lit(0)).alias("llm_grade"),
+    return r.select("report_id", F.coalesce(F.col("_x.grade"), F.lit(0)).alias("llm_grade"),
                     F.col("_x.status").alias("llm_status"))
 
 
-def grade_hybrid(df: DataFrame, model, findings_lex, diagnoses_lex, *, report_col: str = "TEXT_REPORT",
-                 semialgo_col: str = "overall_max_priority", model_name: str = "model", cache=None,
-                 stage: str | None = None) -> DataFrame:
-    """Grade that sees method 1's grade; failure -> 0 and ''."""
+def hybrid_columns(df: DataFrame, model, findings_lex, diagnoses_lex, *, report_col: str = "TEXT_REPORT",
+                   semialgo_col: str = "overall_max_priority", model_name: str = "model", cache=None,
+                   stage: str | None = None, cache_path=None) -> DataFrame:
+    """G5, narrow: grade that sees method 1's grade; failure -> 0 and ''."""
     d = df.withColumns({"_fl": term_list(findings_lex), "_xl": term_list(diagnoses_lex)})
     holes = {"findings_str": F.col("_fl"), "diagnoses_str": F.col("_xl"),
              "grade_semialgo": F.col(semialgo_col), "rpt": F.col(report_col)}
-    r = _call(d, "hybrid", holes, model, model_name, cache, stage)
+    r = _answers(d, "hybrid", holes, model, model_name, cache, stage, cache_path)
     r = r.withColumn("_x", decode_response("payload", GRADE_EXPLAINED))  # without explanation the grade stays (P11)
-    return r.select(*df.columns, F.coalesce(F.col("_x.grade"), F.lit(0)).alias("hybrid_grade"),
+    return r.select("report_id", F.coalesce(F.col("_x.grade"), F.lit(0)).alias("hybrid_grade"),
                     F.coalesce(F.col("_x.explanation"), F.lit("")).alias("hybrid_explanation"),
                     F.col("_x.status").alias("hybrid_status"))
 
 
-def _judge_step(df: DataFrame, need: Column, method: str, holes: dict[str, Column], model, model_name,
-                cache, stage, prefix: str) -> DataFrame:
-    """Call only on the rows where ``need`` holds; others keep NULL answers."""
-    base = df.withColumn("_need", need)
-    called = _call(base.where("_need"), method, holes, model, model_name, cache, stage)
-    called = called.select("report_id", decode_response("payload", JUDGE,
-                                                        required=["grade", "choice", "explanation"]).alias(prefix))
-    return base.join(called, "report_id", "left")
+def judge_columns(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", manual_col: str = "priority_manual",
+                  algo_col: str = "priority_algo", llm_col: str = "priority_llm", model_name: str = "model",
+                  cache=None, stage: str | None = None, cache_path=None) -> DataFrame:
+    """G6-G8, narrow: judge algo vs LLM, then the verdict vs the manual grade.
 
-
-def grade_judge(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", manual_col: str = "priority_manual",
-                algo_col: str = "priority_algo", llm_col: str = "priority_llm", model_name: str = "model",
-                cache=None, stage: str | None = None) -> DataFrame:
-    """Judge algo vs LLM, then the verdict vs the manual grade.
-
-    Equal grades make no call: grade kept, choice 3, reasoning NULL (Q14).
-    Any failed call fails the row: 0, 0, '' for both steps (Q8).
+    Only rows whose grades differ are asked about (J7).  Equal grades make no
+    call: grade kept, choice 3, reasoning NULL (Q14).  Any failed call fails
+    the row: 0, 0, '' for both steps (Q8).
     """
     a, l, m = F.col(algo_col), F.col(llm_col), F.col(manual_col)
     same = F.coalesce(a == l, F.lit(False))
-    s1 = _judge_step(df, ~same, "judge", {"grade_algo": a, "grade_llm": l, "rpt": F.col(report_col)},
-                     model, model_name, cache, stage, "_j1")
-    fail1 = ~F.col("_need") | (F.col("_j1.status") == "ok")
-    s1 = s1.withColumns({
-        "_g1": F.when(~F.col("_need"), a).otherwise(F.col("_j1.grade")),
-        "_c1": F.when(~F.col("_need"), F.lit(3)).otherwise(F.col("_j1.choice")),
-        "_e1": F.when(~F.col("_need"), F.lit(None).cast("string")).otherwise(F.col("_j1.explanation")),
-        "_ok1": fail1}).drop("_need")
+
+    def verdicts(rows, method, holes, prefix):
+        got = _answers(rows, method, holes, model, model_name, cache, stage, cache_path)
+        return got.select("report_id", decode_response("payload", JUDGE, required=["grade", "choice", "explanation"]).alias(prefix))
+
+    grades = df.select("report_id", a.alias("_a"), m.alias("_m"), (~same).alias("_need"))
+    inner = verdicts(df.where(~same), "judge", {"grade_algo": a, "grade_llm": l, "rpt": F.col(report_col)}, "_j1")
+    s1 = grades.join(inner, "report_id", "left").select(
+        "report_id", "_m",
+        F.when(~F.col("_need"), F.col("_a")).otherwise(F.col("_j1.grade")).alias("_g1"),
+        F.when(~F.col("_need"), F.lit(3)).otherwise(F.col("_j1.choice")).alias("_c1"),
+        F.when(F.col("_need"), F.col("_j1.explanation")).alias("_e1"),
+        (~F.col("_need") | F.coalesce(F.col("_j1.status") == "ok", F.lit(False))).alias("_ok1"))
     if stage is not None:  # cut the lineage: step 2 reads step 1 twice
         s1 = stage_table(s1, f"{stage}-judge-step1")
-    same2 = F.coalesce(m == F.col("_g1"), F.lit(False))
-    s2 = _judge_step(s1, F.col("_ok1") & ~same2, "judge_ext",
-                     {"grade_auto": F.col("_g1"), "grade_manual": m, "rpt": F.col(report_col)},
-                     model, model_name, cache, stage, "_j2")
-    ok2 = ~F.col("_need") | (F.col("_j2.status") == "ok")
-    ok = F.col("_ok1") & ok2
+    s1 = s1.withColumn("_need", F.col("_ok1") & ~F.coalesce(F.col("_m") == F.col("_g1"), F.lit(False)))
+    asked = df.select("report_id", F.col(report_col).alias("_text")).join(
+        s1.where("_need").select("report_id", "_g1", "_m"), "report_id")
+    outer = verdicts(asked, "judge_ext", {"grade_auto": F.col("_g1"), "grade_manual": F.col("_m"), "rpt": F.col("_text")}, "_j2")
+    s2 = s1.join(outer, "report_id", "left")
+    ok = F.col("_ok1") & (~F.col("_need") | F.coalesce(F.col("_j2.status") == "ok", F.lit(False)))
     g2 = F.when(~F.col("_need"), F.col("_g1")).otherwise(F.col("_j2.grade"))
     c2 = F.when(~F.col("_need"), F.lit(3)).otherwise(F.col("_j2.choice"))
-    e2 = F.when(~F.col("_need"), F.lit(None).cast("string")).otherwise(F.col("_j2.explanation"))
+    e2 = F.when(F.col("_need"), F.col("_j2.explanation"))
     return s2.select(
-        *df.columns,
+        "report_id",
         F.when(ok, F.col("_g1")).otherwise(0).cast("int").alias("judge_grade"),
         F.when(ok, F.col("_c1")).otherwise(0).cast("int").alias("judge_choice"),
         F.when(ok, F.col("_e1")).otherwise(F.lit("")).alias("judge_reasoning"),
@@ -157,33 +165,55 @@ def grade_judge(df: DataFrame, model, *, report_col: str = "TEXT_REPORT", manual
         F.when(ok, e2).otherwise(F.lit("")).alias("judge_reasoning_ext"))
 
 
+def grade_semialgo(df: DataFrame, model, findings_lex, devices_lex, diagnoses_lex, **how) -> DataFrame:
+    """G2 + G3: ``df`` with the ten columns of method 1 and its status (see ``semialgo_columns``)."""
+    return _back(df, semialgo_columns(df, model, findings_lex, devices_lex, diagnoses_lex, **how))
+
+
+def grade_llm(df: DataFrame, model, **how) -> DataFrame:
+    """``df`` with the direct grade and its status (see ``llm_columns``)."""
+    return _back(df, llm_columns(df, model, **how))
+
+
+def grade_hybrid(df: DataFrame, model, findings_lex, diagnoses_lex, **how) -> DataFrame:
+    """``df`` with the hybrid grade, explanation and status (see ``hybrid_columns``)."""
+    return _back(df, hybrid_columns(df, model, findings_lex, diagnoses_lex, **how))
+
+
+def grade_judge(df: DataFrame, model, **how) -> DataFrame:
+    """``df`` with the six judge columns (see ``judge_columns``)."""
+    return _back(df, judge_columns(df, model, **how))
+
+
 def grade_all_methods(df: DataFrame, model, findings_lex, devices_lex, diagnoses_lex, *,
-                      report_col: str = "TEXT_REPORT", model_name: str = "model", cache=None,
+                      report_col: str = "TEXT_REPORT", model_name: str = "model", cache=None, cache_path: str | None = None,
                       save_intermediate: bool = True, stage: str = "grading", run: str | None = None) -> DataFrame:
     """Clean -> method 1 -> method 3 -> method 2 -> rename -> method 4.
 
-    With ``save_intermediate`` (the default) every stage is written under
-    the shared stage folder and read back (S7): a retry after an executor
-    loss reads the stage, it does not repeat model calls, and each stage's
-    plan starts at a file instead of repeating the stages before it.  With
-    ``run``, the stages belong to that run and a second start takes up after
-    the last one that was completed (``model.clear_run`` removes them).
+    With ``save_intermediate`` (the default) the cleaned reports are written
+    once under the shared stage folder and every method's result columns in a
+    narrow table of their own (S7): a retry after an executor loss reads the
+    stage, it does not repeat model calls, and no stage writes the text again.
+    With ``run``, the stages belong to that run and a second start takes up
+    after the last one that was completed (``model.clear_run`` removes them).
     Report ids must be unique (Q21); that is checked first.
     """
+    stage = f"{run}/{stage}" if run else stage
+    st = stage if save_intermediate else None
+
     def keep(d, name):
         return stage_table(d, f"{stage}-{name}") if save_intermediate else d
 
-    stage = f"{run}/{stage}" if run else stage
-    d = assert_unique(df).withColumn(report_col, clean_text(report_col))
-    st = stage if save_intermediate else None
-    d = keep(grade_semialgo(d, model, findings_lex, devices_lex, diagnoses_lex, report_col=report_col,
-                            model_name=model_name, cache=cache, stage=st), "semialgo")
-    d = keep(grade_hybrid(d, model, findings_lex, diagnoses_lex, report_col=report_col,
-                          model_name=model_name, cache=cache, stage=st), "hybrid")
-    d = keep(grade_llm(d, model, report_col=report_col, model_name=model_name, cache=cache, stage=st), "llm")
-    d = rename_if_absent(d, PIPELINE_RENAMES)
+    how = {"report_col": report_col, "model_name": model_name, "cache": cache, "cache_path": cache_path, "stage": st}
+    base = keep(assert_unique(df).withColumn(report_col, clean_text(report_col)), "reports")
+    semi = keep(semialgo_columns(base, model, findings_lex, devices_lex, diagnoses_lex, **how), "semialgo")
+    hybrid = keep(hybrid_columns(_back(base, semi.select("report_id", "overall_max_priority")), model, findings_lex, diagnoses_lex,
+                                 **how), "hybrid")
+    llm = keep(llm_columns(base, model, **how), "llm")
+    grades = semi.join(hybrid, "report_id").join(llm, "report_id")  # narrow: a row per report in each
+    d = rename_if_absent(_back(base, grades), PIPELINE_RENAMES)
     if all(c in d.columns for c in ("priority_manual", "priority_algo", "priority_llm")):  # P4
-        d = grade_judge(d, model, report_col=report_col, model_name=model_name, cache=cache, stage=st)
+        d = _back(d, judge_columns(d, model, **how))
     return d
 
 

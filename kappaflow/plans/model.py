@@ -25,11 +25,11 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage_root
+from ..session import ensure_checkpoint_dir, stage_root
 
 RESPONSE_SCHEMA = T.StructType([
     T.StructField("request_key", T.StringType(), False),
@@ -42,12 +42,10 @@ RESPONSE_SCHEMA = T.StructType([
 DEFAULT_WORKERS = 5
 
 
-def request_key(model_name: str, method, messages) -> F.Column:
-    """sha-256 over model, method and every message (role and content)."""
-    m = F.col(method) if isinstance(method, str) else method
-    msgs = F.col(messages) if isinstance(messages, str) else messages
-    body = F.array_join(F.transform(msgs, lambda x: F.concat_ws("\u001e", x["role"], x["content"])), "\u001d")
-    return F.sha2(F.concat_ws("\u001f", F.lit(model_name), m, body), 256)
+def request_key(model_name: str, method: str, template: str, values: list[Column]) -> Column:
+    """SHA-256 over model, method, template and the values put into it, each with its length."""
+    parts = [x for v in values for x in (F.length(v).cast("string"), v)]
+    return F.sha2(F.concat_ws("\u001f", F.lit(model_name), F.lit(method), F.sha2(F.lit(template).cast("binary"), 256), *parts), 256)
 
 
 class ReplayModel:
@@ -194,21 +192,24 @@ def cached_model_call(requests: DataFrame, model, cache: DataFrame | None = None
     """M3: answer every request, calling the model once per distinct key.
 
     requests: report_id, method, messages, request_key (one row per report).
-    Returns requests (without ``messages``) + payload, error, cached (BOOLEAN).
+    Returns (report_id, request_key, payload, error, cached): narrow.
+
+    The keys are taken in one pass over the texts and kept in the checkpoint
+    folder; prompts are built only for the requests that a provider reads,
+    after equal ones have been dropped, and never travel with the answers.
     """
-    # Prompts travel only to providers that read them; the join back to the
-    # requests carries no prompt either (it is not part of the result).
-    carry = [F.any_value("messages").alias("messages")] if getattr(model, "needs_messages", True) else []
-    uniq = (requests.groupBy("request_key").agg(
-        F.min("report_id").alias("report_id"), F.any_value("method").alias("method"), *carry))
+    ensure_checkpoint_dir(requests.sparkSession)
+    keys = requests.select("report_id", "method", "request_key").checkpoint()
+    uniq = keys.groupBy("request_key").agg(F.min("report_id").alias("report_id"), F.any_value("method").alias("method"))
+    known = None
     if cache is not None:
         # One row per key: a cache that two runs have filled may hold a key twice.
         known = cache.where(F.col("payload").isNotNull()).groupBy("request_key").agg(
             F.min("payload").alias("payload")).select("request_key", "payload", F.lit(None).cast("string").alias("error"))
-        misses = uniq.join(known.select("request_key"), "request_key", "left_anti")
-    else:
-        known, misses = None, uniq
-    fresh = model.answer(misses, methods)
+        uniq = uniq.join(known.select("request_key"), "request_key", "left_anti")
+    if getattr(model, "needs_messages", True):
+        uniq = uniq.join(requests.select("report_id", "messages"), "report_id")
+    fresh = model.answer(uniq, methods)
     if getattr(model, "needs_stage", True):
         # Real calls are written once and read back: the answers feed the
         # cache append and the result, and a lazy plan would call twice.
@@ -218,4 +219,4 @@ def cached_model_call(requests: DataFrame, model, cache: DataFrame | None = None
     answers = fresh.withColumn("cached", F.lit(False))
     if known is not None:
         answers = answers.unionByName(known.withColumn("cached", F.lit(True)))
-    return requests.drop("messages").join(answers, "request_key", "left")
+    return keys.select("report_id", "request_key").join(answers, "request_key", "left")
