@@ -7,8 +7,9 @@ term frequency and the inverse document frequency of the template collection
 cosine), and compared with each template.  A file's own licence is that of its
 best unit with a cosine of at least ``LEAST``.
 
-Only units that can reach ``LEAST`` are compared: a unit that has none of a
-template's heaviest words has a cosine of at most the length of the
+Scoring is one expression over path and text, without any shuffle.  Only
+units that can reach ``LEAST`` are compared: a unit that has none of a
+template's chosen words has a cosine of at most the length of the
 template's remaining vector (Cauchy-Schwarz), so the words are chosen such
 that this is below ``LEAST`` and lines without any of them are exactly out.
 
@@ -72,63 +73,74 @@ def needed_words(vectors: dict[str, dict[str, float]], least: float) -> list[str
     """Words of which a unit must have one to reach ``least`` with any template."""
     out = set()
     for vector in vectors.values():
-        rest = sorted(vector.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))
+        # Heavy words first, short ones last: any choice is exact, long words leave fewer units over.
+        rest = sorted(vector.items(), key=lambda x: (len(x[0]) < 5, -x[1], -len(x[0]), x[0]))
         while math.sqrt(sum(v * v for _, v in rest)) >= least - 1e-9:
             out.add(rest.pop(0)[0])
     return sorted(out)
 
 
-def _literal_map(values: dict[str, float]) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])
+def unit_cosines(unit: Column, templates: dict[str, str]) -> Column:
+    """Cosines of a unit with all templates, an array in their order.
 
-
-def own_licences(files: DataFrame, path_col: str, text_col: str, key: list[str],
-                 templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """``key`` columns, licence and cosine of the files that have one of their own."""
+    The unit's words are sorted, and one pass over them sums squares and dot
+    products at the end of each run of equal words: nothing is exploded or
+    shuffled, and the time is that of sorting the unit's words.
+    """
     idf, other, vectors = template_weights(templates)
+    table = F.create_map(*[x for w, v in idf.items() for x in (F.lit(w), F.struct(
+        F.lit(v).alias("idf"), F.array(*[F.lit(vec.get(w, 0.0)) for vec in vectors.values()]).alias("v")))])
+    terms = F.transform(F.filter(F.split(unit, "[^A-Za-z0-9]+"), lambda w: w != ""), F.lower)
+    start = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("square"),
+                     F.array(*[F.lit(0.0)] * len(vectors)).alias("dots"))
+
+    def step(acc, word):
+        known = F.try_element_at(table, acc["word"])
+        x = acc["run"] * F.coalesce(known["idf"], F.lit(other))
+        ended = F.struct(word.alias("word"), F.lit(1.0).alias("run"), (acc["square"] + x * x).alias("square"),
+                         F.when(known.isNull(), acc["dots"]).otherwise(
+                             F.zip_with(acc["dots"], known["v"], lambda d, v: d + x * v)).alias("dots"))
+        longer = F.struct(acc["word"].alias("word"), (acc["run"] + 1).alias("run"), acc["square"].alias("square"), acc["dots"].alias("dots"))
+        return F.when(word == acc["word"], longer).otherwise(ended)
+
+    return F.aggregate(F.concat(F.array_sort(terms), F.array(F.lit(""))), start, step, lambda acc: F.transform(
+        acc["dots"], lambda d: F.when(acc["square"] > 0, F.round(d / F.sqrt(acc["square"]), 6)).otherwise(F.lit(0.0))))
+
+
+def own_licence(path: Column, text: Column, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> Column:
+    """STRUCT(less, licence) of a file's best unit, less being the cosine's negative; null below ``least``."""
+    vectors = template_weights(templates)[2]
     some = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(needed_words(vectors, least)) + r")(?![A-Za-z0-9])"
-    text = text_of(text_col)
-    hit = files.where(F.regexp_like(text, F.lit(some)))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(some)))
-    whole = F.when(F.regexp_like(F.coalesce(col(path_col), F.lit("")), F.lit(LICENCE_NAME)), F.array(text)).otherwise(
-        F.array().cast("array<string>"))
-    units = hit.select(*[col(k) for k in key], F.posexplode(F.array_distinct(F.concat(lines, whole))).alias("unit", "line"))
-    terms = (units.select(*[col(k) for k in key], "unit", F.explode(F.split("line", "[^A-Za-z0-9]+")).alias("w"))
-             .where(F.col("w") != "").groupBy(*[col(k) for k in key], "unit", F.lower("w").alias("w"))
-             .agg(F.count("*").alias("tf")))
-    weight = F.col("tf") * F.coalesce(F.try_element_at(_literal_map(idf), F.col("w")), F.lit(other))
-    dots = [F.sum(weight * F.coalesce(F.try_element_at(_literal_map(v), F.col("w")), F.lit(0.0))).alias(f"dot{i}")
-            for i, v in enumerate(vectors.values())]
-    scored = terms.groupBy(*[col(k) for k in key], "unit").agg(F.sum(weight * weight).alias("square"), *dots)
-    cosines = F.array(*[F.struct((-F.round(F.col(f"dot{i}") / F.sqrt("square"), 6)).alias("less"), F.lit(name).alias("licence"))
-                        for i, name in enumerate(vectors)])
-    best = scored.groupBy(*[col(k) for k in key]).agg(F.min(F.array_min(cosines)).alias("best"))
-    return best.select(*[col(k) for k in key], F.col("best.licence").alias("licence"),
-                       (-F.col("best.less")).alias("cosine")).where(F.col("cosine") >= least)
+    whole = F.when(F.regexp_like(path, F.lit(LICENCE_NAME)), F.array(text)).otherwise(F.array().cast("array<string>"))
+    names = F.array(*[F.lit(n) for n in vectors])
+    best = F.array_min(F.transform(F.array_distinct(F.concat(lines, whole)), lambda u: F.array_min(F.zip_with(
+        unit_cosines(u, templates), names, lambda c, n: F.struct((-c).alias("less"), n.alias("licence"))))))
+    return F.when(F.regexp_like(text, F.lit(some)), F.when(best["less"] <= -least, best))
 
 
 def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "text",
                   templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """``files`` with licence, cosine, licence_origin (file, header, inherited) and licence_dir."""
     check_columns(files, path_col, text_col)
-    mark, p, d, lic, cos, near = fresh(files, "mark", "p", "d", "lic", "cos", "near")
-    # Files are known by path and text, so rows with equal paths stay apart.
-    keyed = files.select("*", F.xxhash64(text_of(text_col)).alias(mark), F.coalesce(col(path_col).cast("string"), F.lit("")).alias(p),
+    p, d, own, near = fresh(files, "p", "d", "own", "near")
+    keyed = files.select("*", F.coalesce(col(path_col).cast("string"), F.lit("")).alias(p),
                          F.when(col(path_col).isNotNull(), F.regexp_extract(col(path_col).cast("string"), "(?s)^(.*)/[^/]*$", 1)).alias(d))
-    own = own_licences(keyed, path_col, text_col, [p, mark], templates, least)
+    keyed = keyed.select("*", own_licence(col(p), text_of(text_col), templates, least).alias(own))
     is_file = F.regexp_like(col(p), F.lit(LICENCE_NAME))
-    given = (own.where(is_file).groupBy(F.regexp_extract(col(p), "(?s)^(.*)/[^/]*$", 1).alias("above"))
-             .agg(F.min_by("licence", F.struct((-F.col("cosine")).alias("c"), F.col("licence"), col(p))).alias("dir_licence")))
+    given = (keyed.where(is_file & col(d).isNotNull()).where(col(own).isNotNull()).groupBy(col(d).alias("above"))
+             .agg(F.min(F.struct(col(own)["less"].alias("less"), col(own)["licence"].alias("licence"), col(p).alias("path"))).alias("best"))
+             .select("above", F.col("best.licence").alias("dir_licence")))
     depth = F.size(F.split(col(d), "/"))
     places = (keyed.where(col(d).isNotNull()).select(d).distinct()
               .select(d, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(
                   F.sequence(F.lit(1), depth), lambda k: F.array_join(F.slice(F.split(col(d), "/"), F.lit(1), k), "/"))))).alias("above")))
     nearest = (places.join(given, "above").groupBy(d)
                .agg(F.max_by(F.struct("above", "dir_licence"), F.length("above")).alias(near)))
-    full = (keyed.join(own.withColumnsRenamed({"licence": lic, "cosine": cos}), [p, mark], "left").join(nearest, d, "left"))
+    full = keyed.join(nearest, d, "left")
     taken = {c.lower() for c in files.columns}
-    out = {"licence": F.coalesce(col(lic), col(near)["dir_licence"]), "cosine": col(cos),
-           "licence_origin": F.when(col(lic).isNotNull(), F.when(is_file, "file").otherwise("header"))
+    out = {"licence": F.coalesce(col(own)["licence"], col(near)["dir_licence"]), "cosine": -col(own)["less"],
+           "licence_origin": F.when(col(own).isNotNull(), F.when(is_file, "file").otherwise("header"))
            .when(col(near).isNotNull(), "inherited"),
-           "licence_dir": F.when(col(lic).isNull(), col(near)["above"])}
+           "licence_dir": F.when(col(own).isNull(), col(near)["above"])}
     return full.select(*[col(c) for c in files.columns], *[v.alias(k if k not in taken else f"_{k}") for k, v in out.items()])
