@@ -39,12 +39,11 @@ def methods_long(graded: DataFrame, *, truth_col: str = "priority_manual",
 def confusion(long: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """(method, truth, pred, n): the one aggregate everything else reads.
 
-    The result has at most methods x labels^2 rows; it is cached so that the
-    several metric branches read it from memory instead of each rescanning
-    the source (a lost block is recomputed from lineage).
+    The result has at most methods x labels^2 rows.  Branches of one query that
+    read it share its exchange at run time.
     """
     return long.groupBy("method", F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(
-        F.count(F.lit(1)).alias("n")).cache()
+        F.count(F.lit(1)).alias("n"))
 
 
 def label_grid(conf: DataFrame, labels: list[int]) -> DataFrame:

@@ -41,13 +41,14 @@ def build_messages(method: str, holes: dict[str, Column], system: str = SYSTEM)
 
 
 def with_requests(df: DataFrame, method: str, holes: dict[str, Column], model_name: str) -> DataFrame:
-    """``df`` with messages, method and request_key.
+    """``df`` with messages, report (the text alone), method and request_key.
 
     The key hashes what differs between prompts of a method, the values of its
     holes, so no prompt is built to find equal ones.
     """
     values = [F.coalesce(holes[k].cast("string"), F.lit("")) for k in sorted(holes)]
     return df.withColumns({"messages": build_messages(method, holes), "method": F.lit(method),
+                           "report": holes.get("rpt", F.lit(None).cast("string")),
                            "request_key": request_key(model_name, method, TEMPLATES[method] + SYSTEM, values)})
 
 

@@ -56,7 +56,7 @@ class ReplayModel:
     """
 
     needs_stage = False
-    needs_messages = False
+    reads = ()
 
     def __init__(self, responses: DataFrame, by=("method", "report_id")):
         self.responses = responses
@@ -84,6 +84,7 @@ class PandasModel:
     """
 
     needs_stage = True
+    reads = ("messages",)
 
     def __init__(self, call: Callable, make_client: Callable | None = None, delay: float = 0.0,
                  partitions: int = DEFAULT_WORKERS):
@@ -116,17 +117,20 @@ class PandasModel:
 
 
 class RuleModel:
-    """Offline grader: max grade of matching (pattern, grade) rules, 1 if none."""
+    """Offline grader: max grade of the rules that a report's own text meets, 1 if none.
+
+    Requests need a ``report`` column: the prompt also holds instructions and term lists.
+    """
 
     needs_stage = False
+    reads = ("report",)
 
     def __init__(self, rules: dict[int, list[str]] | None = None):
         self.rules = rules
 
     def answer(self, requests: DataFrame, methods: list[str] | None = None) -> DataFrame:
         from ..operators.annotate import rule_grade
-        user = F.element_at(F.filter("messages", lambda x: x["role"] == "user"), -1)["content"]
-        g = rule_grade(requests.select("request_key", user.alias("text")), "text", self.rules, key="request_key")
+        g = rule_grade(requests.select("request_key", F.col("report").alias("text")), "text", self.rules, key="request_key")
         answer = F.struct(F.col("grade"), F.lit(1).alias("choice"), F.lit("rules").alias("explanation"))
         return g.select("request_key", F.to_json(answer).alias("payload"),
                         F.lit(None).cast("string").alias("error"))
@@ -207,8 +211,9 @@ def cached_model_call(requests: DataFrame, model, cache: DataFrame | None = None
         known = cache.where(F.col("payload").isNotNull()).groupBy("request_key").agg(
             F.min("payload").alias("payload")).select("request_key", "payload", F.lit(None).cast("string").alias("error"))
         uniq = uniq.join(known.select("request_key"), "request_key", "left_anti")
-    if getattr(model, "needs_messages", True):
-        uniq = uniq.join(requests.select("report_id", "messages"), "report_id")
+    reads = getattr(model, "reads", ("messages",))
+    if reads:
+        uniq = uniq.join(requests.select("report_id", *reads), "report_id")
     fresh = model.answer(uniq, methods)
     if getattr(model, "needs_stage", True):
         # Real calls are written once and read back: the answers feed the

@@ -151,3 +151,16 @@ def q_decode_response(spark, sf):
     r = A.replay_responses(spark, sf).where(F.col("method") == "llm")
     d = r.select("report_id", decode_response("payload", GRADE).alias("d"))
     return d.select("report_id", "d.grade", "d.status")
+
+
+@register("conversation_messages", A.with_views(["messages"], """
+SELECT report_id, count(*) AS n_messages,
+       sha256(string_agg(role || chr(31) || content, chr(30) ORDER BY turn)) AS messages_sha
+FROM messages GROUP BY report_id"""))
+def q_conversation_messages(spark, sf):
+    """G1 from a turns table: the messages of a conversation in turn order, as a provider takes them."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    m = A.messages(spark, sf).groupBy("report_id").agg(F.transform(
+        turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))
+    body = F.array_join(F.transform("messages", lambda x: F.concat_ws("\u001f", x["role"], x["content"])), "\u001e")
+    return m.select("report_id", F.size("messages").cast("long").alias("n_messages"), F.sha2(body, 256).alias("messages_sha"))

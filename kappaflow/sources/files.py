@@ -25,17 +25,23 @@ def lexicon_scan(spark: SparkSession, path: str, kind: str | None = None) -> Dat
                                           F.regexp_extract_all("value", F.lit(PAIR), 2).alias("priority")).alias("p"))
     e = pairs.select("file", F.posexplode("p").alias("idx", "x"))
     out = e.select("file", F.col("idx").cast("int").alias("idx"),
-                   F.regexp_replace(F.col("x.term"), r'\\(["\\])', "$1").alias("term"),
+                   F.from_json(F.concat(F.lit('["'), F.col("x.term"), F.lit('"]')), "array<string>")[0].alias("term"),
                    F.col("x.priority").cast("int").alias("priority"))
     return out.withColumn("kind", F.lit(kind)) if kind is not None else out
 
 
-def write_lexicon_json(lexicon: DataFrame, path: str) -> None:
-    """Write a lexicon as one JSON object file, keys in ``idx`` order."""
-    esc = F.regexp_replace("term", r'(["\\])', r"\\$1")
-    arr = F.array_sort(F.collect_list(F.struct("idx", F.concat(F.lit('    "'), esc, F.lit('": '),
+#: Terms of a dictionary that may be written as one JSON object, which one task holds.
+MAX_JSON_TERMS = 1_000_000
+
+
+def write_lexicon_json(lexicon: DataFrame, path: str, max_terms: int = MAX_JSON_TERMS) -> None:
+    """Write a lexicon as one JSON object file, keys in ``idx`` order; an error beyond ``max_terms``."""
+    term = F.regexp_replace(F.to_json(F.array("term")), r"^\[|\]$", "")  # quoted and escaped
+    arr = F.array_sort(F.collect_list(F.struct("idx", F.concat(F.lit("    "), term, F.lit(": "),
                                                                F.col("priority").cast("string")).alias("line"))))
     body = F.concat(F.lit("{\n"), F.array_join(F.transform(arr, lambda x: x["line"]), ",\n"), F.lit("\n}\n"))
+    body = F.when(F.count(F.lit(1)) <= max_terms, body).otherwise(
+        F.raise_error(F.lit(f"a JSON dictionary holds at most {max_terms} terms")))
     lexicon.agg(body.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -56,13 +62,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def scan_iterations(spark: SparkSession, pattern: str, columns: list[str],
-                    header_regex: str | None = None) -> DataFrame:
+                    header_regex: str | None = None, text_columns: tuple[str, ...] = ()) -> DataFrame:
     """S3: one CSV file per run, headers suffixed by the run number.
 
     Read by position with neutral names; the run number comes from the file
     name (``iteration_<n>``).  When ``header_regex`` is given every file's
     first line is checked against it first (positional reading trusts the
-    column order), in one distributed pass over the files.
+    column order), in one distributed pass over the files.  ``text_columns``
+    are read as text that may hold line breaks (runs keyed by the report's
+    text); a file is then read by one task.
     """
     if header_regex is not None:
         # The first line of a file is the first row of the split that starts at byte 0.
@@ -72,9 +80,9 @@ def scan_iterations(spark: SparkSession, pattern: str, columns: list[str],
         heads = lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("head"))
         if heads.where(~F.col("head").rlike(header_regex)).limit(1).count():
             raise ValueError("a run file has an unexpected header; positional reading would misalign")
-    schema = T.StructType([T.StructField(c, T.LongType() if c == "report_id" else T.IntegerType())
-                           for c in columns])
-    df = spark.read.schema(schema).option("header", True).csv(pattern)
+    schema = T.StructType([T.StructField(c, T.LongType() if c == "report_id" else T.StringType() if c in text_columns
+                                         else T.IntegerType()) for c in columns])
+    df = spark.read.schema(schema).option("header", True).option("multiLine", bool(text_columns)).option("escape", '"').csv(pattern)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"iteration_(\d+)", 1).cast("int")
     return df.select(*columns, run.alias("it"))
 

@@ -38,3 +38,25 @@ def test_header_guard_reads_the_first_line_of_each_file(spark, tmp_path):
     (tmp_path / "iteration_2" / "a.csv").write_text("priority_llm_2,report_id\n100,3\n")
     with pytest.raises(ValueError, match="unexpected header"):
         scan_iterations(spark, pattern, cols, head)
+
+
+def test_dictionary_terms_with_escapes_survive_the_file(spark, tmp_path):
+    import pytest
+    from kappaflow.sources.files import write_lexicon_json
+    terms = ['a "b"', "c\\d", "e\nf", "é\u00a0x", "{g: 1}"]
+    lex = spark.createDataFrame([(i, t, i) for i, t in enumerate(terms)], "idx int, term string, priority int")
+    write_lexicon_json(lex, str(tmp_path / "lex"))
+    got = [r["term"] for r in lexicon_scan(spark, str(tmp_path / "lex")).orderBy("idx").collect()]
+    assert got == terms
+    text = "".join(p.read_text() for p in (tmp_path / "lex").glob("*.txt"))
+    assert list(json.loads(text).items()) == [(t, i) for i, t in enumerate(terms)]
+    with pytest.raises(Exception, match="at most 2 terms"):
+        write_lexicon_json(lex, str(tmp_path / "lex2"), max_terms=2)
+
+
+def test_runs_keyed_by_report_text(spark, tmp_path):
+    from kappaflow.sources.files import scan_iterations
+    (tmp_path / "iteration_3").mkdir()
+    (tmp_path / "iteration_3" / "a.csv").write_text('REPORT,priority_llm_3\n"line one\nline ""two""",4\n')
+    got = scan_iterations(spark, f"{tmp_path}/iteration_*/*.csv", ["REPORT", "priority_llm"], r"^REPORT,priority_llm_\d+$", ("REPORT",)).collect()
+    assert [tuple(r) for r in got] == [('line one\nline "two"', 4, 3)]
