@@ -225,7 +225,9 @@ def train_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
               .orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS))
     texts = (docs.where(F.length(col(text_col)) <= SAMPLE_CHARS)
              .select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(sample), "id").select("y", "text"))  # SAMPLE_DOCS rows at most
+             .join(F.broadcast(sample), "id")  # SAMPLE_DOCS rows at most
+             .groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # one row of an id that repeats
+             .select("y", "text"))
 
     def features(batches):
         for batch, values in text_slices(batches, "text"):

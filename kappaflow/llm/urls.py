@@ -111,7 +111,7 @@ def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label"
     """Intercept and bucket weights by gradient descent on the labelled table."""
     check_columns(labelled, url_col, label_col)
     url = col(url_col).cast("string")
-    rows = (labelled.where(col(label_col).isin(0, 1)).limit(MAX_LABELLED)
+    rows = (labelled.where(col(label_col).isin(0, 1)).orderBy(F.xxhash64(url), url, col(label_col)).limit(MAX_LABELLED)
             .select(url_grams(host_of(url), path_of(url)).alias("g"), col(label_col).cast("int").alias("y")).collect())
     rows.sort(key=lambda r: (r["y"], r["g"]))
     y = np.array([r["y"] for r in rows], float)

@@ -119,3 +119,12 @@ def test_query_base(spark):
     assert len(out) == len(docs)
     for r in docs:
         assert tuple(out[r["doc_id"]])[1:6] == brute_base(r["text"])
+
+
+def test_a_repeated_id_gives_one_training_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some words here")] * 500 + [(2, "# $ # $")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (9, 1), (1, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit_field", lambda x, y: seen.append((len(x), y)) or Q.NOTHING_LEARNT)
+    Q.train_field(docs, labels)
+    assert seen[0][0] == 2 and sorted(seen[0][1]) == [0, 1]
