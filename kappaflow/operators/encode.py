@@ -22,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import KINDS
-
 #: Dictionary entries of a block; blocks are dealt to ``SALTS`` tasks each.
 BLOCK = 1024
 SALTS = 16
@@ -50,19 +48,23 @@ def _nearest_in(term: Column, entries: Column) -> Column:
 def nearest_terms(terms: DataFrame, lexicon: DataFrame, block: int = BLOCK) -> DataFrame:
     """(term_raw, dist, idx, term, priority): the nearest dictionary entry of each distinct term.
 
-    ``idx`` is the position in the dictionary, so blocks and ties follow it.
+    ``idx`` is the position in the dictionary, so blocks and ties follow it.  Where
+    both sides have a ``kind``, a term meets the dictionary of its kind only.
     """
-    blocks = (lexicon.select(F.floor(F.col("idx") / block).cast("int").alias("block"), F.struct(
+    within = ["kind"] if "kind" in lexicon.columns else []
+    number = F.floor(F.col("idx") / block).cast("int")
+    blocks = (lexicon.select(*within, number.alias("block"), F.struct(
         F.col("idx").cast("int").alias("idx"), F.col("term"), F.col("priority").cast("int").alias("priority")).alias("e"))
-        .groupBy("block").agg(F.array_sort(F.collect_list("e")).alias("entries"))  # at most ``block`` entries
+        .groupBy(*within, "block").agg(F.array_sort(F.collect_list("e")).alias("entries"))  # at most ``block`` entries
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    last = lexicon.select(F.max(F.floor(F.col("idx") / block)).cast("int")).scalar()
-    asked = (terms.select("term_raw").distinct().withColumn("last", last)
-             .select("term_raw", F.pmod(F.xxhash64("term_raw"), F.lit(SALTS)).cast("int").alias("salt"),
+    last = lexicon.select(F.max(number)).scalar()
+    asked = (terms.select(*within, "term_raw").distinct().withColumn("last", last)
+             .select(*within, "term_raw", F.pmod(F.xxhash64("term_raw"), F.lit(SALTS)).cast("int").alias("salt"),
                      F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("block")))
-    best = (asked.join(blocks, ["block", "salt"]).select("term_raw", _nearest_in(F.col("term_raw"), F.col("entries")).alias("b"))
-            .groupBy("term_raw").agg(F.min("b").alias("b")))  # by distance, then dictionary position
-    return best.select("term_raw", "b.*")
+    best = (asked.join(blocks, [*within, "block", "salt"])
+            .select(*within, "term_raw", _nearest_in(F.col("term_raw"), F.col("entries")).alias("b"))
+            .groupBy(*within, "term_raw").agg(F.min("b").alias("b")))  # by distance, then dictionary position
+    return best.select(*within, "term_raw", "b.*")
 
 
 def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
@@ -72,24 +74,26 @@ def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term
 
     Output: kind, term_raw, idx, term, priority, match ('exact' | 'nearest' |
     NULL), distance.  Exact match first (J1); nearest only for unmatched
-    terms of ``fuzzy_kinds`` (Q5, Q6).
+    terms of ``fuzzy_kinds`` (Q5, Q6).  ``lexicon`` may carry a ``kind`` column
+    (one dictionary per kind); then matching is within the kind.
     """
+    on = ["kind", "term_raw"] if "kind" in lexicon.columns else ["term_raw"]
     terms = (mentions.select(F.col(kind_col).alias("kind"), F.col(term_col).alias("term_raw"))
              .where(F.col("term_raw").isNotNull()).distinct())
-    lx = lexicon.select(F.col("term").alias("term_raw"), F.col("idx").alias("x_idx"),
+    lx = lexicon.select(*on[:-1], F.col("term").alias("term_raw"), F.col("idx").alias("x_idx"),
                         F.col("term").alias("x_term"), F.col("priority").alias("x_pri"))
-    exact = terms.join(lx, "term_raw", "left")
-    none = [F.lit(None).cast("int").alias("dist"), F.lit(None).cast("int").alias("idx"),
-            F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("priority")]
+    exact = terms.join(lx, on, "left")
     if fuzzy_kinds:
-        fuzzy = F.col("kind").isin(list(fuzzy_kinds))
-        near = nearest_terms(exact.where(F.col("x_idx").isNull() & fuzzy), lexicon, block)
+        kinds = list(fuzzy_kinds)
+        fuzzy = F.col("kind").isin(kinds)
+        searched = lexicon.where(fuzzy) if len(on) > 1 else lexicon
+        near = nearest_terms(exact.where(F.col("x_idx").isNull() & fuzzy), searched, block)
         if max_distance is not None:
             near = near.where(F.col("dist") <= max_distance)
-        near = near.select("term_raw", F.struct("dist", "idx", "term", "priority").alias("_n"))
-        both = exact.join(near, "term_raw", "left").withColumn("_n", F.when(F.col("x_idx").isNull() & fuzzy, F.col("_n")))
+        near = near.select(*on, F.struct("dist", "idx", "term", "priority").alias("_n"))
+        both = exact.join(near, on, "left").withColumn("_n", F.when(F.col("x_idx").isNull() & fuzzy, F.col("_n")))
     else:
-        both = exact.withColumn("_n", F.when(F.lit(False), F.struct(*none)))
+        both = exact.withColumn("_n", F.lit(None).cast("struct<dist:int,idx:int,term:string,priority:int>"))
     return both.select(
         "kind", "term_raw",
         F.coalesce("x_idx", F.col("_n.idx")).alias("idx"),
@@ -105,18 +109,10 @@ def encode_mentions(mentions: DataFrame, lexicon: DataFrame, *, term_col: str =
                     max_distance: int | None = None, block: int = BLOCK) -> DataFrame:
     """Attach idx / term / priority / match / distance to every mention row.
 
-    ``lexicon`` may carry a ``kind`` column (one dictionary per kind); then
-    matching is within the kind.  Unmatched rows keep NULL codes (the raw
-    text stays in ``term_col``).
+    Unmatched rows keep NULL codes (the raw text stays in ``term_col``).
     """
-    how = {"term_col": term_col, "kind_col": kind_col, "fuzzy_kinds": fuzzy_kinds, "max_distance": max_distance, "block": block}
-    if "kind" in lexicon.columns:
-        codes = None
-        for k in KINDS:
-            sub = term_codes(mentions.where(F.col(kind_col) == k), lexicon.where(F.col("kind") == k).drop("kind"), **how)
-            codes = sub if codes is None else codes.unionByName(sub)
-    else:
-        codes = term_codes(mentions, lexicon, **how)
+    codes = term_codes(mentions, lexicon, term_col=term_col, kind_col=kind_col, fuzzy_kinds=fuzzy_kinds,
+                       max_distance=max_distance, block=block)
     codes = codes.withColumnRenamed("kind", kind_col).withColumnRenamed("term_raw", term_col)
     return mentions.join(codes, [kind_col, term_col], "left")
 

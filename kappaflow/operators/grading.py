@@ -102,11 +102,11 @@ def _row_codes(df: DataFrame, lexicons: dict[str, DataFrame], payload_col: str,
     named = [_terms(p[field], kind, name) for kind, (field, name) in lists.items()]
     rows = df.select(key, F.explode(F.array_distinct(F.concat(*named))).alias("t")).select(key, "t.kind", "t.term_raw").where(
         F.col("term_raw").isNotNull()).distinct()
-    codes = None
-    for kind, lexicon in lexicons.items():
-        part = term_codes(rows.where(F.col("kind") == kind), lexicon, fuzzy_kinds=("finding",) if kind == "finding" else (),
-                          max_distance=max_distance)
-        codes = part if codes is None else codes.unionByName(part)
+    lexicon = None
+    for kind, lx in lexicons.items():
+        part = lx.select(F.lit(kind).alias("kind"), "idx", "term", "priority")
+        lexicon = part if lexicon is None else lexicon.unionByName(part)
+    codes = term_codes(rows, lexicon, max_distance=max_distance)
     codes = codes.where(F.col("idx").isNotNull())
     pair = F.struct(F.concat_ws(SEP, "kind", "term_raw"), F.struct(F.col("idx").cast("int").alias("idx"), F.col("priority").cast("int").alias("priority")))
     return rows.join(codes, ["kind", "term_raw"]).groupBy(key).agg(F.map_from_entries(F.collect_list(pair)).alias("_codes"))
