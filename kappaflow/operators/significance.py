@@ -4,8 +4,9 @@ Plan (one method column or several):
 
     long (report_id, it, method, grade)
       -> grouped by (report_id, method): the list of its runs   (one shuffle)
-      -> its run pairs, exploded and counted by (method, pair, x - y) in the
-         same stage: map-side partial counts leave k(k-1)/2 times a few
+      -> reports with equal lists counted together (partial counts first)
+      -> the run pairs of a list, exploded and counted by (method, pair, x - y)
+         in the same stage: partial counts leave k(k-1)/2 times a few
          differences per task, whatever the number of reports
       -> average ranks by a window over the few |d| of one pair
 The runs are those in the data: none is left out.  A report graded twice in
@@ -64,8 +65,10 @@ def pair_differences(it_long: DataFrame, methods: list[str]) -> DataFrame:
     pairs = F.flatten(F.transform(graded, lambda a: F.transform(
         F.filter(graded, lambda b: b["it"] > a["it"]),
         lambda b: F.struct(a["it"].alias("it_a"), b["it"].alias("it_b"), (a["grade"] - b["grade"]).alias("d")))))
-    return (runs.select("method", F.explode(pairs).alias("p")).select("method", "p.*")
-            .groupBy("method", "it_a", "it_b", "d").agg(F.count(F.lit(1)).alias("n")))
+    # Reports with the same grades in all runs share their pairs: counted first, map side.
+    alike = runs.groupBy("method", "runs").agg(F.count(F.lit(1)).alias("same"))
+    return (alike.select("method", "same", F.explode(pairs).alias("p")).select("method", "same", "p.*")
+            .groupBy("method", "it_a", "it_b", "d").agg(F.sum("same").alias("n")))
 
 
 def iteration_pairs(it_long: DataFrame, methods: list[str]) -> DataFrame:
