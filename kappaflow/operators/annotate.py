@@ -9,9 +9,8 @@ into mentions; these operators apply those rules directly:
 * ``rule_grade``          max grade of the rule phrases found in the
   report's non-negated sentences; 1 when none.
 
-All patterns are literals except the dictionary alternation, which Spark
-builds from the lexicon table in a scalar subquery (one value per query,
-size-checked), so no table passes through the driver.
+Cue patterns are literals.  Terms are found by a hash join of word n-grams;
+an alternation of all terms is there for small dictionaries.
 """
 
 from __future__ import annotations
@@ -143,13 +142,13 @@ def _ngram_hits(sent: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
 
 
 def annotate_mentions(df: DataFrame, lexicon: DataFrame, text_col: str = "TEXT_REPORT",
-                      key: str = "report_id", strategy: str = "regex") -> DataFrame:
+                      key: str = "report_id", strategy: str = "ngram") -> DataFrame:
     """M1: one row per dictionary term found in a sentence, with its cues.
 
     Output: key, sent_no, idx, term, negated, uncertainty (0/1), temporal
     (0..4), placement (0..3).  Negated = a negation cue before the term.
-    ``strategy``: 'regex' (one alternation built from the dictionary) or
-    'ngram' (n-gram hash join; the path for very large dictionaries).
+    ``strategy``: 'ngram' (n-gram hash join, for dictionaries of any size) or
+    'regex' (one alternation built from the dictionary, which must be small).
     """
     if strategy == "ngram":
         j = _ngram_hits(sentences(df, text_col, key), lexicon, key)

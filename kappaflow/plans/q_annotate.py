@@ -28,7 +28,7 @@ def q_annotate_mentions(spark, sf):
 
 @register("annotate_mentions_ngram", ORACLES["annotate_mentions"])
 def q_annotate_mentions_ngram(spark, sf):
-    """M1 by the n-gram hash-join strategy (the path for very large dictionaries)."""
+    """M1 by the n-gram hash join, named as such."""
     a = N.annotate_mentions(A.annotated_reports(spark, sf), A.lexicon(spark, sf), strategy="ngram")
     return a.select("report_id", "idx", "term", "negated", "uncertainty", "temporal", "placement")
 
@@ -51,3 +51,10 @@ SELECT r.report_id, CAST(coalesce(max(CASE
 FROM annotated_reports r JOIN mentions m ON m.report_id = r.report_id GROUP BY r.report_id"""))
 def q_rule_grade(spark, sf):
     return N.rule_grade(A.annotated_reports(spark, sf))
+
+
+@register("annotate_mentions_regex", ORACLES["annotate_mentions"])
+def q_annotate_mentions_regex(spark, sf):
+    """M1 by one alternation of all terms (small dictionaries)."""
+    a = N.annotate_mentions(A.annotated_reports(spark, sf), A.lexicon(spark, sf), strategy="regex")
+    return a.select("report_id", "idx", "term", "negated", "uncertainty", "temporal", "placement")

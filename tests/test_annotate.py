@@ -59,7 +59,7 @@ def test_ngram_strategy_equals_regex_on_planted_reports(spark):
     from kappaflow.sources import adapters as A
     ar, lx = A.annotated_reports(spark, SF_SMALL), A.lexicon(spark, SF_SMALL)
     cols = ["report_id", "sent_no", "idx", "term", "negated", "uncertainty", "temporal", "placement"]
-    a = sorted(tuple(r) for r in annotate_mentions(ar, lx).select(*cols).collect())
+    a = sorted(tuple(r) for r in annotate_mentions(ar, lx, strategy="regex").select(*cols).collect())
     b = sorted(tuple(r) for r in annotate_mentions(ar, lx, strategy="ngram").select(*cols).collect())
     assert a == b and len(a) > 0
 
@@ -69,5 +69,5 @@ def test_ngram_keeps_the_longest_match(spark):
                               "report_id long, TEXT_REPORT string")
     got = sorted((r["sent_no"], r["term"]) for r in
                  annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="ngram").collect())
-    want = sorted((r["sent_no"], r["term"]) for r in annotate_mentions(t, lexicon_df(spark, FINDINGS)).collect())
+    want = sorted((r["sent_no"], r["term"]) for r in annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="regex").collect())
     assert got == want == [(0, "loculated pleural effusion"), (1, "pleural effusion")]
