@@ -9,8 +9,8 @@ from kappaflow.llm import quality as Q
 from kappaflow.llm.mixing import mixing_rates
 from kappaflow.llm.queries import MIX_SEED, OTHER_WEIGHT, SOURCE_WEIGHTS, TOKENIZER
 
-from test_mixing import drawn
-from test_simhash import brute_classes, brute_print
+from .test_mixing import drawn
+from .test_simhash import brute_classes, brute_print
 
 SF = "/root/testdata/sf0.001"
 
