@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .common import check_columns, col, fresh, text_slices
+from .common import check_columns, col, fresh, text_of, text_slices
 from .components import connected_components
 
 SHINGLE = 3
@@ -95,16 +95,16 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
                  seed: int = SEED) -> DataFrame:
-    """id and ``fp``, the fingerprint as a signed long, for every row."""
+    """id, ``text_hash`` (tells rows of one id apart) and ``fp``, the fingerprint as a signed long, for every row."""
     check_columns(docs, id_col, text_col)
-    (text,) = fresh(docs, "text")
-    source = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias(text))
-    out_schema = T.StructType([source.schema[0], T.StructField("fp", T.LongType())])
+    text = "text"
+    source = docs.select(col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), col(text_col).cast("string").alias(text))
+    out_schema = T.StructType([*source.schema.fields[:2], T.StructField("fp", T.LongType())])
 
     def run(batches):
         for batch, texts in text_slices(batches, text):
             found = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=out_schema.names)
 
     return source.mapInArrow(run, out_schema)
 
@@ -303,7 +303,7 @@ def near_links(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET)
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
                  radius: int = RADIUS, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """id, fp and class (smallest id reachable by links of at most ``radius`` bits), for every row."""
+    """id, text_hash, fp and class (smallest id reachable by links of at most ``radius`` bits), for every row."""
     ensure_checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed).checkpoint()
     prints = rows.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
@@ -312,7 +312,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 .select("fp", "least", F.coalesce("component", "fp").alias("component")))
     least = labelled.groupBy("component").agg(F.min("least").alias("class"))
     by_print = labelled.join(least, "component").select("fp", "class")
-    return rows.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "class")
+    return rows.join(by_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "class")
 
 
 def hex_print(fp) -> F.col:
@@ -323,10 +323,11 @@ def hex_print(fp) -> F.col:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each class, the one with the smallest id, with all its columns.
 
-    Rows that repeat an id are one document here, and share its decision; a
-    class whose ids are all null keeps its rows, since nothing names one of them.
+    Rows that repeat an id and a text are one document and share its decision;
+    a class whose ids are all null keeps its rows, since nothing names one of them.
     """
     classes = near_classes(docs, id_col, text_col, **how)
-    id_, = fresh(docs, "id")
-    stay = classes.where(col(id_col).eqNullSafe(F.col("class"))).select(col(id_col).alias(id_)).distinct()
-    return docs.join(stay, col(id_col).eqNullSafe(F.col(id_)), "left_semi")
+    id_, hash_ = fresh(docs, "id", "hash")
+    stay = (classes.where(F.col(classes.columns[0]).eqNullSafe(F.col("class")))
+            .select(F.col(classes.columns[0]).alias(id_), F.col("text_hash").alias(hash_)).distinct())
+    return docs.join(stay, col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_of(text_col)) == F.col(hash_)), "left_semi")

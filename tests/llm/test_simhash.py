@@ -132,3 +132,11 @@ def test_one_document_of_each_class_stays(odd_docs):
     classes = {r["class"] for r in S.near_classes(docs).collect()}
     kept = S.drop_near_copies(docs)
     assert kept.schema.names == odd_docs.schema.names and {r["doc_id"] for r in kept.collect()} == classes
+
+
+def test_an_id_that_repeats_with_another_text(spark):
+    """The row of id 5 that belongs to the class of id 2 goes, the other one stays; null ids never name a class."""
+    a, b, c = "one two three four five", "six seven eight nine ten eleven", "twelve thirteen fourteen fifteen"
+    rows = [(5, a), (5, b), (2, b), (None, b), (None, c), (7, a), (7, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in S.drop_near_copies(docs).collect()))) == sorted(map(str, [(5, a), (2, b), (None, c)]))
