@@ -73,3 +73,45 @@ def test_prefilter_is_lossless(least):
     needed = set(L.needed_words(vectors, least))
     for vec in vectors.values():
         assert math.sqrt(sum(v * v for w, v in vec.items() if w not in needed)) < least
+
+
+MIT_TEXT = L.full_text("MIT").replace("<year> <copyright holders>", "2021 Jane Doe and others")
+APACHE_HEAD = L.full_text("Apache-2.0")[:1500]
+GPL_HEADER = """# {0}
+# Copyright (C) 2020 Some Body <some@body.org>
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {1} of the License, or
+# (at your option) any later version.
+import os
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int x;"""
+APACHE_LINE = ("first words. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+               "with the License. You may obtain a copy of it. and more words")
+FORM_FILES = [("m/LICENSE", MIT_TEXT, "MIT", "file"), ("m/x.py", "code", "MIT", "inherited"), ("a/LICENSE", APACHE_HEAD, "Apache-2.0", "file"),
+              *[(f"t/{n}/COPYING", L.full_text(n), n, "file") for n in L.FULL_TEXTS],
+              ("g/x.py", GPL_HEADER.format("tool", 3), "GPL-3.0", "header"), ("g/y.py", GPL_HEADER.format("tool", 2), "GPL-2.0", "header"),
+              ("p/x.c", MPL_HEADER, "MPL-2.0", "header"), ("l/x.txt", APACHE_LINE, "Apache-2.0", "header"),
+              ("i/x.py", "# " + MIT_TEXT.replace("\n", "\n# ") + "\nimport os", "MIT", "header"),
+              ("s/a.c", "// SPDX-License-Identifier: MIT\nint x;", "MIT", "header"),
+              ("s/b.c", "# SPDX-License-Identifier: GPL-3.0-or-later WITH x", "GPL-3.0", "header"),
+              ("s/c.c", "/* SPDX-License-Identifier: GPL-2.0 */", "GPL-2.0", "header"), ("s/d.c", "SPDX-License-Identifier: Unknown-1.0", None, None),
+              ("n/NOTICE", "The library opens at nine. It is free for all persons, without any terms of use.", None, None)]
+
+
+def test_full_texts_headers_and_tags(spark):
+    df = spark.createDataFrame([r[:2] for r in FORM_FILES], "path string, text string")
+    out = {r["path"]: (r["licence"], r["licence_origin"]) for r in L.scan_licences(df).collect()}
+    assert out == {p: (lic, origin) for p, _, lic, origin in FORM_FILES}
+
+
+@pytest.mark.parametrize("least", [0.6, 0.75])
+def test_block_filter_is_lossless(least):
+    vectors = L.form_weights()[2]
+    headers = [vectors[str(i)] for i, f in enumerate(L.licence_forms()) if not f[1]]
+    needed = set(L.needed_words(dict(enumerate(headers)), least, L.PLAIN))
+    for vec in headers:
+        assert math.sqrt(sum(v * v for w, v in vec.items() if w not in needed)) < least
