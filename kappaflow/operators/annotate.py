@@ -86,16 +86,25 @@ def sentences(df: DataFrame, text_col: str, key: str = "report_id") -> DataFrame
     return s.where(F.length(F.trim("sentence")) > 0)
 
 
+WORD, GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
+
+
+def word_form(text: Column) -> Column:
+    """The words of a text (letters and digits; other characters separate them) with one space between."""
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0), " ")
+
+
 def term_pattern(lexicon: DataFrame, max_terms: int = 100_000) -> Column:
     """Alternation of all terms, longest first, plural 's'/'es' accepted (one scalar).
 
     The dictionary size is asserted inside the subquery, as for the lexicon array.
     """
     # Java replacement syntax: "\\\\" is one backslash in the result.
-    esc = F.regexp_replace(F.lower("term"), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    esc = F.regexp_replace(esc, " ", r"\\s+")
-    arr = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("k"), esc.alias("t"))))
-    pat = F.concat(F.lit(r"(?i)\b("), F.array_join(F.transform(arr, lambda x: x["t"]), "|"), F.lit(r")(?:e?s)?\b"))
+    esc = F.regexp_replace(word_form(F.col("term")), " ", GAP.replace("\\", "\\\\") + "+")
+    arr = F.array_sort(F.collect_list(F.when(word_form(F.col("term")) != "", F.struct(
+        (-F.length(word_form(F.col("term")))).alias("k"), esc.alias("t")))))
+    pat = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(F.transform(arr, lambda x: x["t"]), "|"),
+                   F.lit(r")(?:e?s)?(?![\p{L}\p{N}])"))
     guarded = F.when(F.count(F.lit(1)) <= max_terms, pat).otherwise(
         F.raise_error(F.lit(f"lexicon larger than {max_terms} terms")))
     return lexicon.select(guarded).scalar()
@@ -108,9 +117,6 @@ def _first_code(s: Column, cues: dict[int, list[str]], none: int) -> Column:
     return out
 
 
-WORD = r"[\p{L}\p{N}]+"
-
-
 def _ngram_hits(sent: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """Dictionary matches by n-gram hash join (cost grows with words, not with terms).
 
@@ -119,11 +125,11 @@ def _ngram_hits(sent: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     count is joined to the term forms (singular, +s, +es); a match contained
     in a longer match of the same sentence is dropped (leftmost-longest).
     """
-    norm = F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(WORD), 0), " ")
-    forms = lexicon.select("idx", "term", norm.alias("_n"), F.size(F.split(norm, " ")).alias("nw"))
+    norm = word_form(F.col("term"))
+    forms = lexicon.where(norm != "").select("idx", "term", norm.alias("_n"), F.size(F.split(norm, " ")).alias("nw"))
+    max_n = forms.select(F.max("nw")).scalar()
     forms = forms.select("idx", "term", "nw", F.explode(F.array(
         F.col("_n"), F.concat("_n", F.lit("s")), F.concat("_n", F.lit("es")))).alias("gram"))
-    max_n = lexicon.select(F.max(F.size(F.split(F.trim(F.lower("term")), r"\s+")))).scalar()
     tok = sent.select(key, "sent_no", "sentence", F.regexp_extract_all(F.lower("sentence"), F.lit(WORD), 0)
                       .alias("tok")).withColumn("_m", max_n)
     grams = tok.select(key, "sent_no", "sentence", F.posexplode("tok").alias("i", "_w"), "tok", "_m")
@@ -137,8 +143,11 @@ def _ngram_hits(sent: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     w = (Window.partitionBy(key, "sent_no").orderBy(F.col("i"), F.desc("_end"))
          .rowsBetween(Window.unboundedPreceding, -1))
     m = m.withColumn("_cover", F.max("_end").over(w))
+    # The sentence's own text of the match: each word comes with what stands after it.
+    pieces = F.regexp_extract_all(F.lower("sentence"), F.lit(WORD + GAP + "*"), 0)
+    hit = F.regexp_replace(F.array_join(F.slice(pieces, F.col("i") + 1, F.col("n")), ""), GAP + "+$", "")
     return m.where(F.col("_cover").isNull() | (F.col("_cover") < F.col("_end"))).select(
-        key, "sent_no", "sentence", F.col("gram").alias("hit"), "idx", "term")
+        key, "sent_no", "sentence", hit.alias("hit"), "idx", "term")
 
 
 def annotate_mentions(df: DataFrame, lexicon: DataFrame, text_col: str = "TEXT_REPORT",
@@ -156,8 +165,8 @@ def annotate_mentions(df: DataFrame, lexicon: DataFrame, text_col: str = "TEXT_R
     sent = sentences(df, text_col, key).withColumn("_pat", term_pattern(lexicon))
     hits = sent.select(key, "sent_no", "sentence",
                        F.explode(F.regexp_extract_all("sentence", F.col("_pat"), F.lit(1))).alias("hit"))
-    lx = lexicon.select("idx", "term", F.lower("term").alias("_lt"))
-    j = hits.join(lx, F.lower(hits["hit"]) == lx["_lt"])
+    lx = lexicon.select("idx", "term", word_form(F.col("term")).alias("_lt"))
+    j = hits.join(lx, word_form(hits["hit"]) == lx["_lt"])
     return _with_cues(j, key)
 
 

@@ -71,3 +71,18 @@ def test_ngram_keeps_the_longest_match(spark):
                  annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="ngram").collect())
     want = sorted((r["sent_no"], r["term"]) for r in annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="regex").collect())
     assert got == want == [(0, "loculated pleural effusion"), (1, "pleural effusion")]
+
+
+@pytest.mark.parametrize("strategy", ["ngram", "regex"])
+def test_hyphens_and_doubled_spaces(spark, strategy):
+    """Terms are found and blanked, and negations seen, whatever stands between their words."""
+    terms = ["air-fluid level", "end on vessel", "new mass", "--"]
+    lexicon = spark.createDataFrame(list(enumerate(terms)), "idx int, term string")
+    reports = [(1, "There is no air-fluid level."), (2, "No end-on vessel."), (3, "An  air-fluid  levels is seen."), (4, "A new  mass is seen."),
+               (5, "Stable air fluid level."), (6, "An end on vessel; the patient's heart is normal.")]
+    t = spark.createDataFrame(reports, "report_id long, TEXT_REPORT string")
+    got = sorted((r["report_id"], r["term"], r["negated"], r["temporal"]) for r in annotate_mentions(t, lexicon, strategy=strategy).collect())
+    assert got == [(1, "air-fluid level", True, 4), (2, "end on vessel", True, 4), (3, "air-fluid level", False, 4), (4, "new mass", False, 4),
+                   (5, "air-fluid level", False, 3), (6, "end on vessel", False, 4)]
+    short = annotate_mentions(t, lexicon.where("idx = 0"), strategy=strategy).collect()
+    assert sorted((r["report_id"], r["negated"]) for r in short) == [(1, True), (3, False), (5, False)]
