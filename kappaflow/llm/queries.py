@@ -17,6 +17,7 @@ from .chat import format_conversations, read_back
 from .exact_dedup import exact_duplicates
 from .licences import LEAST, TEMPLATES, scan_licences, template_weights
 from .mixing import mix_sources
+from .packing import pack_documents
 from .pii import KINDS, find_personal_data, spans_text
 from .quality import quality_verdicts, train_field
 from .simhash import hex_print, near_classes
@@ -28,6 +29,8 @@ ORACLES: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
+#: Tokenizer of the packed sequences.
+PACK_TOKENIZER = "word_bpe_49k.json"
 #: Production mix: the large web source is held to a tenth, the other nineteen share the rest.
 SOURCE_WEIGHTS = {"src0": 0.10} | {f"src{i}": 0.90 / 19 for i in range(1, 20)}
 OTHER_WEIGHT = 0.01
@@ -192,3 +195,8 @@ FROM placed LEFT JOIN near USING (d)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_paths(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return scan_licences(files).select("doc_id", "path", "licence", "cosine", "licence_origin", "licence_dir")
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
