@@ -31,7 +31,9 @@ an empty result; columns other than id and text are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,28 +57,47 @@ OPEN_SHARE = 0.9
 SWEEP_ROWS, FAN = 4096, 8
 #: Places in a range that are looked up together at the end.
 BLOCK_BITS = 12
-#: Words that a task keeps, if they are no longer than this many bytes; text read at once.
+#: Words that a worker keeps (in each of two generations), if they are no longer than this many bytes; text read at once.
 KEEP_WORDS, LONG_WORD, READ_BYTES = 400_000, 64, 4_000_000
+LAST_SIGN = re.compile(rb"(?<=[A-Za-z])([.,;:!?])(?=[ \n])")
 GAP, DOC, RULE = 0, 1, 2
 RUNS = "kind int, size int, n long, a long, b long, bin long, per int, part long"
 
 
 class WordEncoder:
-    """Ids of texts as 32-bit little-endian bytes; equal to the library's on the whole text."""
+    """Ids of texts as 32-bit little-endian bytes; equal to the library's on the whole text.
+
+    Solved words are kept in two generations, so that memory is bounded and
+    what is met again stays; words not met before go to the library together.
+    """
 
     def __init__(self, spec_json: str):
         self.tokenizer = Tokenizer.from_str(spec_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.by_word = drops_white_space(spec_json)
 
-    def solve(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    def words(self, data: bytes) -> list[bytes]:
+        """Parts between ASCII white space (other white space stays in them); a sign between a letter and
+        white space is a piece of its own for the pre-tokenizer, so it is set apart."""
+        return LAST_SIGN.sub(rb" \1", data).split()
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return found
         if len(self.known) > KEEP_WORDS:
-            self.known = {}
-        for w, e in zip(words, found, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.old, self.known = self.known, {}
+            found = [None] * len(words)
+        open_ = {w for w, x in zip(words, found, strict=True) if x is None}
+        new = {w: x for w in open_ if (x := self.old.get(w)) is not None}
+        missing = sorted(open_ - new.keys())
+        solved = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
+        new.update((w, array("I", e.ids).tobytes()) for w, e in zip(missing, solved, strict=True))
+        self.known.update((w, x) for w, x in new.items() if len(w) <= LONG_WORD)
+        return [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
 
     def parts(self, text: str) -> Iterator[bytes]:
         """Ids of a text in parts of bounded size."""
@@ -89,17 +110,20 @@ class WordEncoder:
             end = min(at + READ_BYTES, len(data))
             while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
                 end += 1
-            words = data[at:end].split()  # ASCII white space; other white space stays in the words
+            yield b"".join(self.ids(self.words(data[at:end])))
             at = end
-            found = list(map(self.known.get, words))
-            if None in found:
-                missing = {words[i] for i, x in enumerate(found) if x is None}
-                self.solve(sorted(missing))
-                found = [self.known[w] if x is None else x for w, x in zip(words, found, strict=True)]
-                for w in missing:
-                    if len(w) > LONG_WORD:
-                        del self.known[w]
-            yield b"".join(found)
+
+    def all(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        """Ids of each text in parts; the words of short texts are looked up together."""
+        if not self.by_word or len(texts) == 1:
+            yield from map(self.parts, texts)
+            return
+        words = [self.words(t.encode()) for t in texts]
+        found = self.ids([w for part in words for w in part])
+        at = 0
+        for part in words:
+            yield iter([b"".join(found[at:at + len(part)])])
+            at += len(part)
 
 
 def drops_white_space(spec_json: str) -> bool:
@@ -149,8 +173,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPACI
         encoder = word_encoder(spec.value)
         for batch, texts in text_slices(batches, text):
             rows, piece, length, crc, ids = [], [], [], [], []
-            for i, t in enumerate(texts):
-                for k, data in enumerate(cut_pieces(encoder.parts(t), capacity, separator)):
+            for i, t in enumerate(encoder.all(texts)):
+                for k, data in enumerate(cut_pieces(t, capacity, separator)):
                     rows.append(i)
                     piece.append(k)
                     length.append(len(data) // 4)
@@ -293,6 +317,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = CAPA
     """id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
     ensure_checkpoint_dir(docs.sparkSession)
     pieces = token_pieces(docs, tokenizer_path, capacity=capacity, separator=separator, id_col=id_col, text_col=text_col)
+    pieces = pieces.checkpoint()  # the range sort reads them twice
     names = [f"c{i}" for i in range(len(pieces.columns))]
     dealt = pieces.toDF(*names).withColumn("h", F.xxhash64("c0", "c1", "c4")).repartitionByRange("c3", "h")
     placed = dealt.sortWithinPartitions("c3", "h", "c0", "c1").select(*names, F.monotonically_increasing_id().alias("at")).checkpoint()
