@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip, ids_digest
 from .chat import format_conversations, read_back
+from .collocations import mine_collocations
 from .exact_dedup import exact_duplicates
 from .licences import LEAST, TEMPLATES, scan_licences, template_weights
 from .mixing import mix_sources
@@ -200,3 +201,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_best_fit_packing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
+
+
+OP12_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, 1 AS size, unnest(ws) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) FROM w
+      UNION ALL SELECT lang, 3, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) FROM w),
+c AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+cand AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE size > 1),
+cuts AS (SELECT lang, phrase, a, 1 AS k, ws[1] AS lp, array_to_string(ws[2:], ' ') AS rp FROM cand
+         UNION ALL SELECT lang, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM cand WHERE size = 3),
+s AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r,
+             ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cuts JOIN c AS x ON x.lang = cuts.lang AND x.phrase = lp JOIN c AS y ON y.lang = cuts.lang AND y.phrase = rp),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(a) AS f FROM (SELECT lang, a, ws[1] || ' ' || ws[2] AS phrase FROM cand WHERE size = 3
+           UNION ALL SELECT lang, a, ws[2] || ' ' || ws[3] FROM cand WHERE size = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inside USING (lang, phrase) JOIN total USING (lang)
+WHERE coalesce(100 * f < 50 * a, true) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
