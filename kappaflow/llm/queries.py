@@ -16,6 +16,7 @@ from .bpe import bpe_round_trip, ids_digest
 from .chat import format_conversations, read_back
 from .collocations import mine_collocations
 from .exact_dedup import exact_duplicates
+from .lexical import ranked_search
 from .licences import LEAST, TEMPLATES, scan_licences, template_weights
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -230,3 +231,25 @@ WHERE coalesce(100 * f < 50 * a, true) QUALIFY rank <= 2000
 @query("op12_collocations", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+items AS (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM docs WHERE len(ts) > 0),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(ts) * n_docs) // n_terms AS m FROM docs, total WHERE len(ts) > 0),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t),
+asked AS (SELECT i, item_id, t, count(*) AS q FROM items GROUP BY ALL),
+scores AS (SELECT i, item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM asked JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_lexical_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
