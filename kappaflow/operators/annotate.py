@@ -3,32 +3,39 @@
 The grading instructions describe, in prose, how a reader turns a report
 into mentions; these operators apply those rules directly:
 
-* ``annotate_mentions``  sentences -> dictionary terms (plural accepted) ->
-  negation / uncertainty / temporal / placement cues per sentence.
-* ``diagnosis_cues``      sentences -> overall diagnoses from cue phrases.
-* ``rule_grade``          max grade of the rule phrases found in the
-  report's non-negated sentences; 1 when none.
-
-Cue patterns are literals.  Terms are found by a hash join of word n-grams;
-an alternation of all terms is there for small dictionaries.
+* ``annotate_mentions``  dictionary terms with their offsets and what the
+  cues in their scope say: negation / uncertainty / temporal / placement.
+* ``diagnosis_cues``      overall diagnoses from cue phrases that no negation covers.
+* ``rule_grade``          max grade of the rule phrases that the report
+  affirms; 1 when none.
+
+A report is tokenised once; phrase automata over the tokens give matches with offsets, and the
+scope tagger of ``scopes`` says what is negated.  This is per-report work
+without a shuffle, run on Arrow batches.  A dictionary of up to ``MAX_TERMS``
+terms goes to the tasks as one automaton; a larger one stays a table, sharded by the
+terms' first words: a narrow row per word meets the lengths of the terms that
+begin with it, then the terms of those lengths.  Both give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .scopes import Phrases, items_of, negated, plain, scope_of, split_sentences, term_words, word_forms
 
 # --- FIXED VALUES: cue phrases (from the grading instructions) -------------
-SENTENCE_SPLIT = r"(?<=[.!?])\s+|\n"
-NEGATION_CUES = ["no", "without", "negative for", "free of"]
 UNCERTAIN_CUES = ["possibly", "possible", "may represent", "could be", "cannot be excluded"]
 CERTAIN_CUES = ["probably", "suggestive of", "likely"]
-# "no change" says nothing about what is there; these words end what a negation covers
-NOT_NEGATING = ["change", "interval change", "significant change", "longer", "increase", "decrease"]
-NEGATION_ENDS = ["but", "however", "although", "though", "except", "apart from"]
 # a stable infection or growth of these kinds is graded lower
 STABLE_CUES = ["stable", "unchanged", "no change", "no interval change"]
 STABLE_GRADE = (3, ["tuberculosis", "mycobacterial", "tumour", "tumor", "malignancy", "neoplasm"])
+# a small effusion is graded lower
+SMALL_GRADE = (3, ["pleural effusion"], ["small", "tiny", "trace", "minimal"])
 # lines and tubes count by their presence
 DEVICE_RULES = {4: ["endotracheal tube", "tracheostomy tube", "central venous catheter", "central line", "chest drain",
                     "chest tube", "pacemaker", "dialysis catheter"],
@@ -46,179 +53,234 @@ DIAGNOSIS_CUES = [
     ("Lung cancer", ["malignancy", "tumour", "tumor", "neoplasm", "ct thorax"]),
     ("P1 finding", ["p1", "was informed"]),
 ]
-# rule grader: grade -> phrases (max over a report's non-negated sentences)
+# rule grader: grade -> phrases (max over what a report affirms)
 DEFAULT_RULES = {
     5: ["pneumothorax", "aortic dissection", "mediastinal emphysema", "pneumomediastinum", "pneumoperitoneum",
         "portal venous air", "dilated bowel loops", "malpositioned", "misplaced", "p1", "was informed"],
     4: ["consolidation", "pleural effusion", "infection", "pneumonia", "infective", "tuberculosis",
         "mycobacterial", "malignancy", "tumour", "tumor", "neoplasm", "mass", "fluid overload",
-        "pulmonary congestion", "airspace opacity", "patchy opacity"],
+        "pulmonary congestion", "airspace opacity", "patchy opacity", "patchy airspace opacity", "hazy opacity"],
     3: ["atelectasis", "cardiomegaly", "fibrosis", "pleural thickening", "nodule", "granuloma",
-        "pleural plaque", "scarring"],
-    2: ["unfolded aorta", "vascular calcification", "rotated", "suboptimal effort", "degenerative",
-        "not accurately assessed"],
+        "pleural plaque", "scarring", "calcified adenopathy", "pulmonary calcification"],
+    2: ["unfolded aorta", "unfolded thoracic aorta", "vascular calcification", "rotated", "patient rotation", "suboptimal effort",
+        "suboptimal technique", "suboptimal inspiration", "degenerative", "not accurately assessed"],
 }
 # --- end fixed values -------------------------------------------------------
+#: Words between "small" and what is small.
+SIDES = {"left", "right", "sided", "bilateral", "basal", "and"}
+#: Terms of a dictionary that is sent to the tasks.
+MAX_TERMS = 20_000
+#: Rows that a task hands back at once.
+OUT_ROWS = 10_000
 
+CERTAIN, UNCERTAIN, STABLE = plain(CERTAIN_CUES), plain(UNCERTAIN_CUES), plain(STABLE_CUES)
+TEMPORAL = [(code, plain(cues)) for code, cues in TEMPORAL_CUES.items()]
+PLACEMENT = [(code, plain(cues)) for code, cues in PLACEMENT_CUES.items()]
 
-def words_pattern(words: list[str]) -> str:
-    """Case-insensitive whole-word alternation of literal phrases."""
-    return r"(?i)\b(" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b"
 
+def _first_code(cues, words, skip, none):
+    return next((code for code, phrases in cues if phrases.any(words, skip)), none)
 
-def _any(words: list[str]) -> str:
-    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
 
+class Sentence:
+    """Tokens, items and negations of a sentence; the last two are found when first asked for."""
 
-# A cue that negates what follows it, and the stretch of the sentence that it covers.
-NEGATING = r"(?i)\b" + _any(NEGATION_CUES) + r"\b(?!\s+" + _any(NOT_NEGATING) + r"\b)"
-NEGATED = NEGATING + r".*?(?=[;:]|\b" + _any(NEGATION_ENDS) + r"\b|$)"
+    def __init__(self, number, tokens):
+        self.number, self.tokens, self.words = number, tokens, [t.word for t in tokens]
+        self.items = self.covered = None
 
+    def negates(self, a: int, b: int) -> bool:
+        if self.items is None:
+            self.items = items_of(self.words)
+            self.covered = negated(self.words, self.items)
+        return all(self.covered[a:b])
 
-def affirmed(sentence: Column) -> Column:
-    """The sentence without what its negation cues cover."""
-    return F.regexp_replace(sentence, "(?s)" + NEGATED, " ")
+    def scope(self, places: list[tuple[int, int]], a: int, b: int) -> tuple[list[str], tuple[int, int]]:
+        """The words whose cues speak of the phrase at tokens a to b, and its place among them."""
+        held = [any(item.first <= x < item.behind for x, _ in places) for item in self.items]
+        lo, hi = scope_of(self.items, held, a)
+        hi = max(hi, b)
+        return self.words[lo:hi], (a - lo, b - lo)
 
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        return self.tokens[a].start, self.tokens[b - 1].end
 
-def sentences(df: DataFrame, text_col: str, key: str = "report_id") -> DataFrame:
-    """(key, sent_no, sentence) for every non-empty sentence of the whole text."""
-    s = df.select(key, F.posexplode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("sent_no", "sentence"))
-    return s.where(F.length(F.trim("sentence")) > 0)
 
+def sentences_of(text: str | None) -> Iterator[Sentence]:
+    return (Sentence(n, tokens) for n, tokens in split_sentences(text or ""))
 
-WORD, GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]"
 
+def _by_report(df: DataFrame, key: str, text_col: str, fields: list[tuple[str, str]], rows_of) -> DataFrame:
+    """A row per result of ``rows_of(text, *rest)`` with the report's key; ``df`` is (key, text, rest...)."""
+    schema = T.StructType([df.schema[key], *[T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields]])
+    names = [f.name for f in schema]
 
-def word_form(text: Column) -> Column:
-    """The words of a text (letters and digits; other characters separate them) with one space between."""
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0), " ")
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            keys, out, where = batch.column(0), [], []
+            for i in range(batch.num_rows):
+                for row in rows_of(*(batch.column(c)[i].as_py() for c in range(1, batch.num_columns))):
+                    where.append(i)
+                    out.append(row)
+                if out and (len(out) >= OUT_ROWS or i + 1 == batch.num_rows):
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(where, pa.int32())), *[
+                        pa.array(c, kinds.field(n).type) for c, n in zip(columns, names[1:], strict=True)]], names=names)
+                    out, where = [], []
+            if out:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(where, pa.int32())), *[
+                    pa.array(c, kinds.field(n).type) for c, n in zip(zip(*out, strict=True), names[1:], strict=True)]], names=names)
 
+    return df.mapInArrow(run, schema)
 
-def term_pattern(lexicon: DataFrame, max_terms: int = 100_000) -> Column:
-    """Alternation of all terms, longest first, plural 's'/'es' accepted (one scalar).
 
-    The dictionary size is asserted inside the subquery, as for the lexicon array.
-    """
-    # Java replacement syntax: "\\\\" is one backslash in the result.
-    esc = F.regexp_replace(word_form(F.col("term")), " ", GAP.replace("\\", "\\\\") + "+")
-    arr = F.array_sort(F.collect_list(F.when(word_form(F.col("term")) != "", F.struct(
-        (-F.length(word_form(F.col("term")))).alias("k"), esc.alias("t")))))
-    pat = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(F.transform(arr, lambda x: x["t"]), "|"),
-                   F.lit(r")(?:e?s)?(?![\p{L}\p{N}])"))
-    guarded = F.when(F.count(F.lit(1)) <= max_terms, pat).otherwise(
-        F.raise_error(F.lit(f"lexicon larger than {max_terms} terms")))
-    return lexicon.select(guarded).scalar()
-
-
-def _first_code(s: Column, cues: dict[int, list[str]], none: int) -> Column:
-    out = F.lit(none)
-    for code in reversed(list(cues)):
-        out = F.when(s.rlike(words_pattern(cues[code])), F.lit(code)).otherwise(out)
-    return out
-
-
-def _ngram_hits(sent: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
-    """Dictionary matches by n-gram hash join (cost grows with words, not with terms).
-
-    Terms and sentences are tokenised alike (letters and digits; other
-    characters separate words).  Every n-gram up to the longest term's word
-    count is joined to the term forms (singular, +s, +es); a match contained
-    in a longer match of the same sentence is dropped (leftmost-longest).
-    """
-    norm = word_form(F.col("term"))
-    forms = lexicon.where(norm != "").select("idx", "term", norm.alias("_n"), F.size(F.split(norm, " ")).alias("nw"))
-    max_n = forms.select(F.max("nw")).scalar()
-    forms = forms.select("idx", "term", "nw", F.explode(F.array(
-        F.col("_n"), F.concat("_n", F.lit("s")), F.concat("_n", F.lit("es")))).alias("gram"))
-    tok = sent.select(key, "sent_no", "sentence", F.regexp_extract_all(F.lower("sentence"), F.lit(WORD), 0)
-                      .alias("tok")).withColumn("_m", max_n)
-    grams = tok.select(key, "sent_no", "sentence", F.posexplode("tok").alias("i", "_w"), "tok", "_m")
-    grams = grams.select(key, "sent_no", "sentence", "i", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("n"),
-                         "tok")
-    grams = grams.select(key, "sent_no", "sentence", "i", "n",
-                         F.array_join(F.slice("tok", F.col("i") + 1, F.col("n")), " ").alias("gram"),
-                         F.size(F.slice("tok", F.col("i") + 1, F.col("n"))).alias("_len"))
-    m = grams.where(F.col("_len") == F.col("n")).join(forms, "gram").where(F.col("nw") == F.col("n"))
-    m = m.withColumn("_end", F.col("i") + F.col("n"))
-    w = (Window.partitionBy(key, "sent_no").orderBy(F.col("i"), F.desc("_end"))
-         .rowsBetween(Window.unboundedPreceding, -1))
-    m = m.withColumn("_cover", F.max("_end").over(w))
-    # The sentence's own text of the match: each word comes with what stands after it.
-    pieces = F.regexp_extract_all(F.lower("sentence"), F.lit(WORD + GAP + "*"), 0)
-    hit = F.regexp_replace(F.array_join(F.slice(pieces, F.col("i") + 1, F.col("n")), ""), GAP + "+$", "")
-    return m.where(F.col("_cover").isNull() | (F.col("_cover") < F.col("_end"))).select(
-        key, "sent_no", "sentence", hit.alias("hit"), "idx", "term")
+MENTION = [("sent_no", "int"), ("idx", "int"), ("term", "string"), ("start", "int"), ("end", "int"), ("negated", "boolean"),
+           ("uncertainty", "int"), ("temporal", "int"), ("placement", "int")]
 
 
-def annotate_mentions(df: DataFrame, lexicon: DataFrame, text_col: str = "TEXT_REPORT",
-                      key: str = "report_id", strategy: str = "ngram") -> DataFrame:
-    """M1: one row per dictionary term found in a sentence, with its cues.
+def _mention_rows(sentence: Sentence, found: list[tuple[int, int, list]]) -> Iterator[tuple]:
+    """Result rows of the matches (first token, token behind, [(idx, term)]) of a sentence."""
+    places = [(a, b) for a, b, _ in found]
+    for a, b, entries in found:
+        no = sentence.negates(a, b)
+        words, own = sentence.scope(places, a, b)
+        unsure = int(not CERTAIN.any(words, own) and UNCERTAIN.any(words, own))
+        cues = _first_code(TEMPORAL, words, own, 4), _first_code(PLACEMENT, words, own, 3)
+        for idx, term in entries:
+            yield (sentence.number, idx, term, *sentence.place(a, b), no, unsure, *cues)
 
-    Output: key, sent_no, idx, term, negated, uncertainty (0/1), temporal
-    (0..4), placement (0..3).  Negated = a negation cue before the term.
-    ``strategy``: 'ngram' (n-gram hash join, for dictionaries of any size) or
-    'regex' (one alternation built from the dictionary, which must be small).
+
+def annotate_mentions(df: DataFrame, lexicon: DataFrame, text_col: str = "TEXT_REPORT",
+                      key: str = "report_id", strategy: str = "auto") -> DataFrame:
+    """M1: one row per dictionary term found in a report, with its place and its cues.
+
+    Output: key, sent_no, idx, term, start, end (characters of the text, end
+    exclusive), negated, uncertainty (0/1), temporal (0..4), placement (0..3).
+    Matches are leftmost and longest and do not overlap; terms that are spelt alike give a row
+    each.  ``strategy``: 'automaton' sends the dictionary to the tasks (up to ``MAX_TERMS`` terms, checked),
+    'join' leaves it a table of any size; 'auto' looks at the number of terms.
     """
-    if strategy == "ngram":
-        j = _ngram_hits(sentences(df, text_col, key), lexicon, key)
-        return _with_cues(j, key)
-    sent = sentences(df, text_col, key).withColumn("_pat", term_pattern(lexicon))
-    hits = sent.select(key, "sent_no", "sentence",
-                       F.explode(F.regexp_extract_all("sentence", F.col("_pat"), F.lit(1))).alias("hit"))
-    lx = lexicon.select("idx", "term", word_form(F.col("term")).alias("_lt"))
-    j = hits.join(lx, word_form(hits["hit"]) == lx["_lt"])
-    return _with_cues(j, key)
-
-
-def _with_cues(j: DataFrame, key: str) -> DataFrame:
-    s = F.lower("sentence")
-    term_at = F.instr(s, F.lower("hit"))
-    # Cues are read from the context: the term itself is blanked out first
-    # (a term such as "new mass" must not mark itself as new).
-    ctx = F.replace(s, F.lower("hit"), F.lit(" "))
-    # Negated: gone with what the cues cover, though it was in the sentence.
-    covered = F.instr(affirmed(s), F.lower("hit")) == 0
-    return j.select(
-        key, "sent_no", "idx", "term",
-        (covered & (term_at > 0)).alias("negated"),
-        F.when(ctx.rlike(words_pattern(CERTAIN_CUES)), 0)
-        .when(ctx.rlike(words_pattern(UNCERTAIN_CUES)), 1).otherwise(0).alias("uncertainty"),
-        _first_code(ctx, TEMPORAL_CUES, 4).alias("temporal"),
-        _first_code(ctx, PLACEMENT_CUES, 3).alias("placement"))
+    terms = lexicon.select(F.col("idx").cast("int").alias("idx"), "term").where(F.col("term").isNotNull())
+    if strategy != "join":
+        some = [tuple(r) for r in terms.limit(MAX_TERMS + 1).collect()]
+        if len(some) <= MAX_TERMS:
+            return _annotate_by_automaton(df, sorted(some), text_col, key)
+        if strategy == "automaton":
+            raise ValueError(f"the dictionary has more than {MAX_TERMS} terms; use strategy='join'")
+    return _annotate_by_join(df, terms, text_col, key)
+
+
+def _annotate_by_automaton(df: DataFrame, terms: list[tuple[int, str]], text_col: str, key: str) -> DataFrame:
+    sent = df.sparkSession.sparkContext.broadcast(Phrases([(t, (i, t)) for i, t in terms]))
+
+    def rows_of(text):
+        for s in sentences_of(text):
+            found = list(sent.value.find(s.words))
+            if found:
+                yield from _mention_rows(s, found)
+
+    return _by_report(df.select(key, F.col(text_col).cast("string").alias("text")), key, text_col, MENTION, rows_of)
+
+
+def _annotate_by_join(df: DataFrame, terms: DataFrame, text_col: str, key: str) -> DataFrame:
+    """Words meet the terms by equi-joins: first word -> lengths of the terms, then words -> terms."""
+    reports = df.select(F.col(key).alias("k"), F.col(text_col).cast("string").alias("text"))
+    reports = reports.select("k", F.xxhash64("text").alias("h"), "text")  # rows of one key are told apart by their text
+
+    def forms_of(idx, term):
+        words = term_words(term)
+        for rank, form in enumerate(word_forms(words) if words else []):
+            yield form[0], len(words), " ".join(form), min(rank, 1), idx, term
+
+    forms = _by_report(terms.select(F.lit(0).alias("k"), "idx", "term"), "k", "term", [
+        ("first", "string"), ("n", "int"), ("gram", "string"), ("rank", "int"), ("idx", "int"), ("term", "string")], forms_of).drop("k")
+    forms = forms.groupBy("first", "n", "gram").agg(F.array_sort(F.collect_set(F.struct("rank", "idx", "term"))).alias("e"))
+    forms = forms.select("first", "n", "gram", F.filter("e", lambda x: x["rank"] == F.col("e")[0]["rank"]).alias("e")).checkpoint()
+    heads = forms.groupBy("first").agg(F.collect_set("n").alias("lengths"))
+    most = heads.select(F.max(F.array_max("lengths"))).first()[0] or 0
+
+    def words_of(h, text):
+        for s in sentences_of(text):
+            for i, w in enumerate(s.words):
+                yield h, s.number, i, w, s.words[i:i + most]
+
+    words = _by_report(reports.select("k", "h", "text"), "k", "text", [("h", "long"), ("sent_no", "int"), ("i", "int"), ("first", "string"),
+                                                             ("next", "array<string>")], words_of)
+    grams = words.join(heads, "first").select("k", "h", "sent_no", "i", "next", F.explode("lengths").alias("n"))
+    grams = grams.where(F.size("next") >= F.col("n")).withColumn("gram", F.array_join(F.slice("next", 1, F.col("n")), " ")).drop("next")
+    hits = grams.join(forms.select("gram", "n", "e"), ["gram", "n"]).groupBy("k", "h").agg(
+        F.collect_set(F.struct("sent_no", "i", "n", "e")).alias("hits")).withColumnsRenamed({"k": "hk", "h": "hh"})
+    joined = reports.join(hits, F.col("k").eqNullSafe(F.col("hk")) & (F.col("h") == F.col("hh"))).select(F.col("k").alias(key), "text", "hits")
+
+    def rows_of(text, hits):
+        by = {}
+        for h in hits:
+            by.setdefault(h["sent_no"], {}).setdefault(h["i"], []).append((h["n"], [(e["idx"], e["term"]) for e in h["e"]]))
+        for s in sentences_of(text):
+            at, found = 0, []
+            for i in sorted(by.get(s.number, ())):
+                if i >= at:  # leftmost, longest
+                    n, entries = max(by[s.number][i], key=lambda x: x[0])
+                    found.append((i, i + n, entries))
+                    at = i + n
+            if found:
+                yield from _mention_rows(s, found)
+
+    return _by_report(joined, key, "text", MENTION, rows_of)
 
 
 def diagnosis_cues(df: DataFrame, text_col: str = "TEXT_REPORT", key: str = "report_id") -> DataFrame:
-    """M4: (key, sent_no, diagnosis) raised by cue phrases that no negation covers."""
-    sent = sentences(df, text_col, key)
-    s = affirmed(F.col("sentence"))
-    found = F.array(*[F.when(s.rlike(words_pattern(ws)), F.lit(name)) for name, ws in DIAGNOSIS_CUES])
-    return (sent.select(key, "sent_no", F.explode(F.filter(found, lambda x: x.isNotNull()))
-                                    .alias("diagnosis")))
+    """M4: (key, sent_no, diagnosis, start, end) raised by cue phrases that no negation covers, once by sentence."""
+    cues = Phrases([(p, name) for name, phrases in DIAGNOSIS_CUES for p in phrases])
+
+    def rows_of(text):
+        for s in sentences_of(text):
+            seen = set()
+            for a, b, names in cues.find(s.words):
+                if names[0] not in seen and not s.negates(a, b):
+                    seen.add(names[0])
+                    yield (s.number, names[0], *s.place(a, b))
+
+    return _by_report(df.select(key, F.col(text_col).cast("string").alias("text")), key, text_col, [
+        ("sent_no", "int"), ("diagnosis", "string"), ("start", "int"), ("end", "int")], rows_of)
 
 
 def rule_grade(df: DataFrame, text_col: str = "TEXT_REPORT", rules: dict[int, list[str]] | None = None,
                key: str = "report_id") -> DataFrame:
-    """M2: (key, grade): max rule grade over what the sentences affirm, 1 if none.
-
-    A phrase counts unless a negation before it covers it.  A sentence that
-    calls a tuberculosis or tumour stable is graded 3 for it; lines and tubes
-    count by their presence, malpositioned ones 5.
+    """M2: (key, grade): max rule grade over what the report affirms, 1 if none.
 
-    Sentences are generated (codegen'd), graded by one literal CASE, and
-    reduced by a max per report with partial aggregation before the
-    shuffle; reports without any sentence keep grade 1 via the union.
+    Phrases count in the singular and the plural, unless negated.  With the engine's own
+    rules, a tuberculosis or tumour that its scope calls stable is graded 3, a small effusion
+    3, and lines and tubes count by their presence, malpositioned ones 5.
+    Rows of one key are graded together.
     """
-    own, s, g = rules is None, F.col("said"), F.lit(None).cast("int")
+    own = rules is None
     rules = rules or {gr: [*DEFAULT_RULES.get(gr, []), *DEVICE_RULES.get(gr, [])] for gr in {*DEFAULT_RULES, *DEVICE_RULES}}
-    low, lasting = STABLE_GRADE
-    stable = F.col("sentence").rlike(words_pattern(STABLE_CUES)) & F.lit(own)
-    for gr in sorted(rules):
-        found = s.rlike(words_pattern(rules[gr]))
-        if any(w in lasting for w in rules[gr]):
-            others = [w for w in rules[gr] if w not in lasting]
-            found = F.when(~stable, found).otherwise(s.rlike(words_pattern(others)) if others else F.lit(False))
-        g = F.when(found, F.lit(gr)).otherwise(g)
-    g = F.when(stable & s.rlike(words_pattern(lasting)), F.greatest(F.lit(low), g)).otherwise(g)
-    graded = (df.select(key, F.explode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("sentence"))
-              .select(key, "sentence", affirmed(F.col("sentence")).alias("said")).select(key, g.alias("g")))
-    return graded.groupBy(key).agg(F.coalesce(F.max("g"), F.lit(1)).cast("int").alias("grade"))
+    phrases = Phrases([(p, (gr, p)) for gr, ps in rules.items() for p in ps])
+    (low, lasting), (less, sized, sizes) = STABLE_GRADE, SMALL_GRADE
+
+    def worth(s, places, a, b, grade, phrase):
+        if own and phrase in lasting and STABLE.any(*s.scope(places, a, b)):
+            return low
+        if own and phrase in sized:
+            before = a - 1
+            while before >= 0 and s.words[before] in SIDES:
+                before -= 1
+            if before >= 0 and s.words[before] in sizes:
+                return less
+        return grade
+
+    def rows_of(text):
+        best = 1
+        for s in sentences_of(text):
+            found = list(phrases.find(s.words))
+            places = [(a, b) for a, b, _ in found]
+            for a, b, values in found:
+                if max(gr for gr, _ in values) > best and not s.negates(a, b):
+                    best = max(best, *(worth(s, places, a, b, gr, p) for gr, p in values))
+        yield (best,)
+
+    graded = _by_report(df.select(key, F.col(text_col).cast("string").alias("text")), key, text_col, [("grade", "int")], rows_of)
+    return graded.groupBy(key).agg(F.max("grade").alias("grade"))

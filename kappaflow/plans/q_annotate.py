@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import annotate as N
 from ..sources import adapters as A
+from ..sources.dictionaries import FINDINGS, lexicon_df
 from .registry import ORACLES, register
 
 
@@ -28,8 +29,8 @@ def q_annotate_mentions(spark, sf):
 
 @register("annotate_mentions_ngram", ORACLES["annotate_mentions"])
 def q_annotate_mentions_ngram(spark, sf):
-    """M1 by the n-gram hash join, named as such."""
-    a = N.annotate_mentions(A.annotated_reports(spark, sf), A.lexicon(spark, sf), strategy="ngram")
+    """M1 with the dictionary left a table, joined by first words and words."""
+    a = N.annotate_mentions(A.annotated_reports(spark, sf), A.lexicon(spark, sf), strategy="join")
     return a.select("report_id", "idx", "term", "negated", "uncertainty", "temporal", "placement")
 
 
@@ -55,6 +56,33 @@ def q_rule_grade(spark, sf):
 
 @register("annotate_mentions_regex", ORACLES["annotate_mentions"])
 def q_annotate_mentions_regex(spark, sf):
-    """M1 by one alternation of all terms (small dictionaries)."""
-    a = N.annotate_mentions(A.annotated_reports(spark, sf), A.lexicon(spark, sf), strategy="regex")
+    """M1 with the dictionary as one automaton in the tasks."""
+    a = N.annotate_mentions(A.annotated_reports(spark, sf), A.lexicon(spark, sf), strategy="automaton")
     return a.select("report_id", "idx", "term", "negated", "uncertainty", "temporal", "placement")
+
+
+# Sentences whose reading is known by their place in a list (see adapters.CASES).
+@register("scoped_mentions", _q("""
+SELECT l.report_id, CAST(l.sent_no AS INT) AS sent_no, t.term, t.negated, t.uncertainty, t.temporal, t.placement,
+       CAST(l.line_start + strpos(l.sentence, t.surface) - 1 AS INT) AS start
+FROM case_lines l JOIN case_terms t ON t.case_no = l.case_no""", ("case_lines", "case_terms")))
+def q_scoped_mentions(spark, sf):
+    a = N.annotate_mentions(A.case_reports(spark, sf), lexicon_df(spark, FINDINGS))
+    return a.select("report_id", "sent_no", "term", "negated", "uncertainty", "temporal", "placement", "start")
+
+
+@register("scoped_mentions_join", ORACLES["scoped_mentions"])
+def q_scoped_mentions_join(spark, sf):
+    """The same with the dictionary left a table."""
+    a = N.annotate_mentions(A.case_reports(spark, sf), lexicon_df(spark, FINDINGS), strategy="join")
+    return a.select("report_id", "sent_no", "term", "negated", "uncertainty", "temporal", "placement", "start")
+
+
+@register("scoped_rule_grade", _q("SELECT report_id, CAST(max(grade) AS INT) AS grade FROM case_lines GROUP BY report_id", ("case_lines",)))
+def q_scoped_rule_grade(spark, sf):
+    return N.rule_grade(A.case_reports(spark, sf))
+
+
+@register("scoped_diagnosis_cues", _q("SELECT report_id, diagnosis FROM case_lines WHERE diagnosis IS NOT NULL", ("case_lines",)))
+def q_scoped_diagnosis_cues(spark, sf):
+    return N.diagnosis_cues(A.case_reports(spark, sf)).select("report_id", "diagnosis")

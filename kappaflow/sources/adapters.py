@@ -332,3 +332,64 @@ def annotated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reports(spark, sf_dir).select("report_id", clean_text("TEXT_REPORT").alias("txt"))
     return r.join(lines, "report_id").select(
         "report_id", F.concat(F.col("txt"), F.lit("\n"), F.col("planted")).alias("TEXT_REPORT"))
+
+
+#: Sentences whose reading is known: (text, grade, diagnosis, [(words as they stand, dictionary term, negated, uncertainty,
+#: temporal, placement)]).  They are planted by ``case_reports``; the oracles read this list, not a pattern.
+CASES = [
+    ("No mass but massive consolidation.", 4, None, [("mass", "mass", 1, 0, 4, 3), ("consolidation", "consolidation", 0, 0, 4, 3)]),
+    ("No pneumothorax on the left; pneumothorax on the right.", 5, None,
+     [("pneumothorax", "pneumothorax", 1, 0, 4, 3), ("pneumothorax on the right", "pneumothorax", 0, 0, 4, 3)]),
+    ("No pneumothorax is seen and there is a new consolidation.", 4, None,
+     [("pneumothorax", "pneumothorax", 1, 0, 4, 3), ("consolidation", "consolidation", 0, 0, 0, 3)]),
+    ("No pleural effusion, large pneumothorax on the right.", 5, None,
+     [("pleural effusion", "pleural effusion", 1, 0, 4, 3), ("pneumothorax", "pneumothorax", 0, 0, 4, 3)]),
+    ("Pneumothorax is excluded.", 1, None, [("Pneumothorax", "pneumothorax", 1, 0, 4, 3)]),
+    ("Bilateral pleural effusions.", 4, None, [("pleural effusions", "pleural effusion", 0, 0, 4, 3)]),
+    ("Several masses in the lung.", 4, None, [("masses", "mass", 0, 0, 4, 3)]),
+    ("Airspace opacity, probably new.", 4, None, [("Airspace opacity", "airspace opacities", 0, 0, 0, 3)]),
+    ("Multiple nodules are unchanged.", 3, None, [("nodules", "nodule", 0, 0, 3, 3)]),
+    ("Vascular calcifications are seen.", 2, None, []),
+    ("A hazy opacity is possible.", 4, None, []),
+    ("Calcified adenopathy.", 3, None, [("Calcified adenopathy", "calcified adenopathy", 0, 0, 4, 3)]),
+    ("There is a small left pleural effusion.", 3, None, [("pleural effusion", "pleural effusion", 0, 0, 4, 3)]),
+    ("Possibly a mass, while cardiomegaly is stable.", 4, None, [("mass", "mass", 0, 1, 4, 3), ("cardiomegaly", "cardiomegaly", 0, 0, 3, 3)]),
+    ("No consolidation, mass or pneumothorax.", 1, None,
+     [("consolidation", "consolidation", 1, 0, 4, 3), ("mass", "mass", 1, 0, 4, 3), ("pneumothorax", "pneumothorax", 1, 0, 4, 3)]),
+    ("Pneumothorax, mass and consolidation are excluded.", 1, None,
+     [("Pneumothorax", "pneumothorax", 1, 0, 4, 3), ("mass", "mass", 1, 0, 4, 3), ("consolidation", "consolidation", 1, 0, 4, 3)]),
+    ("Malignancy cannot be excluded.", 4, "Lung cancer", []),
+    ("The loculated pleural effusion has resolved.", 1, None, [("loculated pleural effusion", "loculated pleural effusion", 1, 0, 4, 3)]),
+    ("Stable tuberculosis, with new consolidation.", 4, "Tuberculosis", [("consolidation", "consolidation", 0, 0, 0, 3)]),
+    ("The chest drain is malpositioned without pneumothorax.", 5, None, [("pneumothorax", "pneumothorax", 1, 0, 4, 2)]),
+    ("No change in the large pneumothorax.", 5, None, [("pneumothorax", "pneumothorax", 0, 0, 4, 3)]),
+    ("No evidence of infection; the tumour is unchanged.", 3, "Lung cancer", []),
+    ("The mass is no longer seen.", 1, None, [("mass", "mass", 1, 0, 4, 3)]),
+]
+
+
+def case_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of four sentences out of ``CASES``, one sentence a line, as the events name them."""
+    cases = F.array(*[F.lit(c[0]) for c in CASES])
+    e = table(spark, sf_dir, "events").select("event_id")
+    line = F.element_at(cases, ((F.col("event_id") * 7) % len(CASES) + 1).cast("int"))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("o"), line.alias("s"))))
+    return e.groupBy(F.floor(F.col("event_id") / 4).cast("long").alias("report_id")).agg(
+        F.array_join(F.transform(lines, lambda x: x["s"]), "\n").alias("TEXT_REPORT"))
+
+
+def _quoted(x) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+VIEW_SQL["cases"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {_quoted(t)}, {g}, {_quoted(d)})" for i, (t, g, d, _) in enumerate(CASES)) + ") AS v(case_no, sentence, grade, diagnosis)"
+VIEW_SQL["case_terms"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {_quoted(m[0])}, {_quoted(m[1])}, {m[2]} = 1, {m[3]}, {m[4]}, {m[5]})" for i, c in enumerate(CASES) for m in c[3]
+) + ") AS v(case_no, surface, term, negated, uncertainty, temporal, placement)"
+VIEW_SQL["case_lines"] = f"""
+SELECT CAST(floor(event_id / 4) AS BIGINT) AS report_id, (event_id * 7) % {len(CASES)} AS case_no, cases.sentence, cases.grade, cases.diagnosis,
+       row_number() OVER w - 1 AS sent_no, sum(length(cases.sentence) + 1) OVER w - length(cases.sentence) - 1 AS line_start
+FROM events JOIN cases ON cases.case_no = (event_id * 7) % {len(CASES)}
+WINDOW w AS (PARTITION BY floor(event_id / 4) ORDER BY event_id)"""
+VIEW_DEPS["case_lines"] = ["cases"]

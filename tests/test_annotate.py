@@ -54,26 +54,26 @@ def test_diagnosis_cues(spark):
     assert got == [(1, "Lung cancer"), (1, "Pneumonia")]
 
 
-def test_ngram_strategy_equals_regex_on_planted_reports(spark):
+def test_strategies_are_equal_on_planted_reports(spark):
     from conftest import SF_SMALL
     from kappaflow.sources import adapters as A
     ar, lx = A.annotated_reports(spark, SF_SMALL), A.lexicon(spark, SF_SMALL)
     cols = ["report_id", "sent_no", "idx", "term", "negated", "uncertainty", "temporal", "placement"]
-    a = sorted(tuple(r) for r in annotate_mentions(ar, lx, strategy="regex").select(*cols).collect())
-    b = sorted(tuple(r) for r in annotate_mentions(ar, lx, strategy="ngram").select(*cols).collect())
+    a = sorted(tuple(r) for r in annotate_mentions(ar, lx, strategy="automaton").select(*cols).collect())
+    b = sorted(tuple(r) for r in annotate_mentions(ar, lx, strategy="join").select(*cols).collect())
     assert a == b and len(a) > 0
 
 
-def test_ngram_keeps_the_longest_match(spark):
+def test_the_longest_match_is_kept(spark):
     t = spark.createDataFrame([(1, "Loculated pleural effusions on the left. Small pleural effusion.")],
                               "report_id long, TEXT_REPORT string")
     got = sorted((r["sent_no"], r["term"]) for r in
-                 annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="ngram").collect())
-    want = sorted((r["sent_no"], r["term"]) for r in annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="regex").collect())
+                 annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="join").collect())
+    want = sorted((r["sent_no"], r["term"]) for r in annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy="automaton").collect())
     assert got == want == [(0, "loculated pleural effusion"), (1, "pleural effusion")]
 
 
-@pytest.mark.parametrize("strategy", ["ngram", "regex"])
+@pytest.mark.parametrize("strategy", ["automaton", "join"])
 def test_hyphens_and_doubled_spaces(spark, strategy):
     """Terms are found and blanked, and negations seen, whatever stands between their words."""
     terms = ["air-fluid level", "end on vessel", "new mass", "--"]
@@ -86,3 +86,61 @@ def test_hyphens_and_doubled_spaces(spark, strategy):
                    (5, "air-fluid level", False, 3), (6, "end on vessel", False, 4)]
     short = annotate_mentions(t, lexicon.where("idx = 0"), strategy=strategy).collect()
     assert sorted((r["report_id"], r["negated"]) for r in short) == [(1, True), (3, False), (5, False)]
+
+
+NAMED = [
+    ("No mass but massive consolidation.", 4), ("No effusion on the left; pleural effusion on the right.", 4),
+    ("No pneumothorax is seen and there is a new consolidation.", 4), ("No pleural effusion, large pneumothorax on the right.", 5),
+    ("Pneumothorax is excluded.", 1), ("Bilateral pleural effusions.", 4), ("Several masses in the lung.", 4), ("Patchy airspace opacities.", 4),
+    ("Multiple pulmonary nodules.", 3), ("Vascular calcifications are seen.", 2), ("A hazy opacity", 4), ("Calcified adenopathy.", 3),
+    ("a small pleural effusion", 3), ("Small left and right pleural effusions.", 3), ("A moderate pleural effusion; small mass.", 4),
+    ("Pneumothorax is not excluded.", 5), ("Tumour cannot be entirely excluded.", 4), ("No consolidation, effusion, or pneumothorax, though a mass is seen.", 4),
+    ("Without pneumothorax or consolidation but with cardiomegaly.", 3), ("No nodule and no mass.", 1), (None, 1), ("", 1), (" \n.", 1),
+    ("No pneumothorax. Pneumothorax.", 5), ("The lungs are free of consolidation, nodule and mass.", 1),
+]
+
+
+def test_rule_grade_reads_scopes_and_plurals(spark):
+    t = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(NAMED)], "report_id long, TEXT_REPORT string")
+    got = {r["report_id"]: r["grade"] for r in rule_grade(t).collect()}
+    assert [(x, got[i]) for i, (x, _) in enumerate(NAMED)] == NAMED
+
+
+def test_planted_cases_agree_with_the_reader(spark):
+    """Every case on its own: grade, diagnosis and mentions as the list says."""
+    from kappaflow.sources.adapters import CASES
+    t = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "report_id long, TEXT_REPORT string")
+    assert {r["report_id"]: r["grade"] for r in rule_grade(t).collect()} == {i: c[1] for i, c in enumerate(CASES)}
+    assert {r["report_id"]: r["diagnosis"] for r in diagnosis_cues(t).collect()} == {i: c[2] for i, c in enumerate(CASES) if c[2]}
+    for strategy in ("automaton", "join"):
+        got = sorted((r["report_id"], r["start"], r["term"], int(r["negated"]), r["uncertainty"], r["temporal"], r["placement"])
+                     for r in annotate_mentions(t, lexicon_df(spark, FINDINGS), strategy=strategy).collect())
+        assert got == sorted((i, c[0].index(m[0]), *m[1:]) for i, c in enumerate(CASES) for m in c[3])
+
+
+@pytest.mark.parametrize("strategy", ["automaton", "join"])
+def test_overlaps_offsets_and_odd_reports(spark, strategy):
+    """Leftmost and longest without overlaps; terms spelt alike both count; a term wins over another's plural."""
+    terms = ["left lung", "lung base", "base", "Left-Lung", "mass", "masses", "opacities", "x y z", "y", None, ""]
+    lexicon = spark.createDataFrame(list(enumerate(terms)), "idx int, term string")
+    reports = [(1, "The left lung base. Base"), (2, "Masses, mass"), (3, "no opacity"), (4, "x y; x y z"), (5, None), (None, "BASE"), (7, "y"), (7, "y"),
+               (7, "no y"), (8, "\u0130\u0130 base \U0001f600 y")]
+    t = spark.createDataFrame(reports, "report_id long, TEXT_REPORT string").selectExpr("*", "1 AS idx", "'q' AS term")
+    got = sorted(((-1 if r["report_id"] is None else r["report_id"]), r["sent_no"], r["start"], r["end"], r["term"], r["negated"])
+                 for r in annotate_mentions(t, lexicon, strategy=strategy).collect())
+    assert got == [(-1, 0, 0, 4, "base", False), (1, 0, 4, 13, "Left-Lung", False), (1, 0, 4, 13, "left lung", False), (1, 0, 14, 18, "base", False), (1, 1, 20, 24, "base", False),
+                   (2, 0, 0, 6, "masses", False), (2, 0, 8, 12, "mass", False), (3, 0, 3, 10, "opacities", True), (4, 0, 2, 3, "y", False),
+                   (4, 0, 5, 10, "x y z", False), (7, 0, 0, 1, "y", False), (7, 0, 0, 1, "y", False), (7, 0, 3, 4, "y", True), (8, 0, 3, 7, "base", False),
+                   (8, 0, 10, 11, "y", False)]
+    assert annotate_mentions(t.limit(0), lexicon, strategy=strategy).count() == 0
+    assert annotate_mentions(t, lexicon.limit(0), strategy=strategy).count() == 0
+
+
+def test_large_dictionaries_stay_tables(spark, monkeypatch):
+    from kappaflow.operators import annotate
+    monkeypatch.setattr(annotate, "MAX_TERMS", 3)
+    lexicon = spark.createDataFrame([(i, f"term {i}") for i in range(10)], "idx int, term string")
+    t = spark.createDataFrame([(1, "Term 7 and terms 8.")], "report_id long, TEXT_REPORT string")
+    assert [r["term"] for r in annotate_mentions(t, lexicon).collect()] == ["term 7"]
+    with pytest.raises(ValueError, match="more than 3"):
+        annotate_mentions(t, lexicon, strategy="automaton")
