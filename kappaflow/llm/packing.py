@@ -10,8 +10,8 @@
    consecutive numbers are runs as well.  A run is one row whatever it holds, so
    the rounds below work on ranges + ``capacity`` rows at first, and not on rows
    of documents.
-3. Bulk-synchronous rounds.  Runs of documents and of gaps are range-sorted by
-   size, descending.  Every range is swept by its own task: each document takes
+3. Bulk-synchronous rounds.  Runs of documents and of gaps are dealt out by ranges of their
+   size, descending.  Every range is sorted and swept by its own task: each document takes
    the smallest gap that holds it (its successor).  Where several documents want
    the same gaps, ranks decide: the first ranks of the run of documents take the
    first ranks of the run of gaps, as many of a length in one gap as fit.  What a
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -58,7 +59,7 @@ SWEEP_ROWS, FAN = 4096, 8
 #: Places in a range that are looked up together at the end.
 BLOCK_BITS = 12
 #: Words that a worker keeps (in each of two generations), if they are no longer than this many bytes; text read at once.
-KEEP_WORDS, LONG_WORD, READ_BYTES = 400_000, 64, 4_000_000
+KEEP_WORDS, LONG_WORD, READ_BYTES = 700_000, 64, 4_000_000
 LAST_SIGN = re.compile(rb"(?<=[A-Za-z])([.,;:!?])(?=[ \n])")
 GAP, DOC, RULE = 0, 1, 2
 RUNS = "kind int, size int, n long, a long, b long, bin long, per int, part long"
@@ -78,10 +79,20 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.by_word = drops_white_space(spec_json)
+        self.lowers = lower_cases(spec_json)
 
-    def words(self, data: bytes) -> list[bytes]:
-        """Parts between ASCII white space (other white space stays in them); a sign between a letter and
-        white space is a piece of its own for the pre-tokenizer, so it is set apart."""
+    def words(self, text: str) -> list[bytes]:
+        """Parts between ASCII white space (other white space stays in them).
+
+        A sign between a letter and white space is a piece of its own for the pre-tokenizer,
+        so it is set apart.  Where the normalizer lower-cases, A-Z are lower-cased here if that can
+        change neither the canonical composition nor a special token.
+        """
+        data = text.encode()
+        if self.lowers and b"<|" not in data:
+            low = data.lower()  # A-Z only
+            if text.isascii() or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode()):
+                data = low
         return LAST_SIGN.sub(rb" \1", data).split()
 
     def ids(self, words: list[bytes]) -> list[bytes]:
@@ -110,7 +121,7 @@ class WordEncoder:
             end = min(at + READ_BYTES, len(data))
             while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
                 end += 1
-            yield b"".join(self.ids(self.words(data[at:end])))
+            yield b"".join(self.ids(self.words(data[at:end].decode())))
             at = end
 
     def all(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
@@ -118,7 +129,7 @@ class WordEncoder:
         if not self.by_word or len(texts) == 1:
             yield from map(self.parts, texts)
             return
-        words = [self.words(t.encode()) for t in texts]
+        words = [self.words(t) for t in texts]
         found = self.ids([w for part in words for w in part])
         at = 0
         for part in words:
@@ -140,6 +151,13 @@ def drops_white_space(spec_json: str) -> bool:
     return not any(c.isspace() for m in regex.finditer(pattern, probe) for c in m.group())
 
 
+def lower_cases(spec_json: str) -> bool:
+    """Whether the normalizer composes, unifies white space and then lower-cases, and special tokens stand in <| |>."""
+    spec = json.loads(spec_json)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    return steps == ["NFC", "Replace", "Lowercase"] and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+
+
 @lru_cache(maxsize=2)
 def word_encoder(spec_json: str) -> WordEncoder:
     return WordEncoder(spec_json)
@@ -223,41 +241,40 @@ def sweep(rows: list[tuple]) -> tuple[list[tuple], list[tuple], list[tuple]]:
     return rules, left + [(GAP, s, n, a, 0) for s, n, a in stack], new
 
 
-def _swept(rows: list[tuple], part: int) -> Iterator[pa.RecordBatch]:
-    """Output rows of a sweep.  Gaps made in this round wait for the next one (part -1)."""
-    rules, left, new = sweep(rows)
-    out = [*[(RULE, s, n, a, b, bin_, per, room) for room, n, a, b, bin_, per, s in rules],
-           *[(*r, 0, 0, part) for r in left], *[(*r, 0, 0, -1) for r in new]]
-    if out:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                                         names=["kind", "size", "n", "a", "b", "bin", "per", "part"])
-
-
-def _sweep_range(batches):
-    from pyspark import TaskContext
-    rows = [tuple(r[k] for k in ("kind", "size", "n", "a", "b")) for b in batches for r in b.to_pylist()]
-    yield from _swept(rows, TaskContext.get().partitionId())
-
-
-def _sweep_leftovers(table: pa.Table) -> pa.Table:
+def _sweep_range(table: pa.Table) -> pa.Table:
+    """One sweep over the runs of a range; gaps made in this round wait for the next one (part -1)."""
     rows = [tuple(r.values()) for r in table.to_pylist()]
-    batches = list(_swept([r[:5] for r in rows], rows[0][7]))
-    return pa.Table.from_batches(batches) if batches else table.slice(0, 0)
-
-
-def sweep_round(runs: DataFrame, n_rows: int) -> DataFrame:
-    """One round: ranges by size, each swept by a task, then the leftovers of ``FAN`` neighbours up the tree."""
-    parts = max(1, -(-n_rows // SWEEP_ROWS))
-    out = (runs.repartitionByRange(parts, F.desc("size"), "kind", "a", "b").mapInArrow(_sweep_range, RUNS))
+    rules, left, new = sweep([r[:5] for r in rows])
+    out = [*[(RULE, s, n, a, b, bin_, per, room) for room, n, a, b, bin_, per, s in rules],
+           *[(*r, 0, 0, rows[0][7]) for r in left], *[(*r, 0, 0, -1) for r in new]]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["kind", "size", "n", "a", "b", "bin", "per", "part"]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def sweep_round(runs: DataFrame, cuts: list[int]) -> DataFrame:
+    """One round: ranges of sizes (``cuts``, descending), each swept by a task, then the leftovers of ``FAN``
+    neighbours, up the tree.  A range is a number in the rows, whatever partitions Spark makes."""
+    part = sum((F.when(F.col("size") < c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("long")
+    out = runs.withColumn("part", part).groupBy("part").applyInArrow(_sweep_range, RUNS)
+    parts = len(cuts) + 1
     while parts > 1:
         parts = -(-parts // FAN)
         done = out.where((F.col("kind") == RULE) | (F.col("part") < 0))
         open_ = out.where((F.col("kind") != RULE) & (F.col("part") >= 0)).withColumn("part", F.floor(F.col("part") / FAN))
-        out = open_.groupBy("part").applyInArrow(_sweep_leftovers, RUNS).union(done)
+        out = open_.groupBy("part").applyInArrow(_sweep_range, RUNS).unionByName(done)
     return out
 
 
+def range_cuts(state: DataFrame, rows: int) -> list[int]:
+    """Sizes, descending, that cut the runs into ranges of about ``SWEEP_ROWS`` rows."""
+    parts = -(-rows // SWEEP_ROWS)
+    if parts < 2:
+        return []
+    found = state.agg(F.percentile_approx("size", [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    return sorted(set(found), reverse=True)
+
+
 def open_sequences(runs: DataFrame, docs: dict[int, int], capacity: int) -> DataFrame:
     """Runs after the largest documents (``docs``: number by length) have opened sequences of their own.
 
@@ -295,16 +312,16 @@ def pack_runs(runs: DataFrame, capacity: int) -> DataFrame:
     rules = None
     state = runs
     while True:
-        seen = state.where("kind < 2").groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.min("size").alias("least"), F.max("size").alias("most")).collect()
+        seen = state.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.min("size").alias("least"), F.max("size").alias("most")).collect()
         by = {r["kind"]: r for r in seen}
         if DOC not in by:
             break
         if GAP in by and by[GAP]["most"] >= by[DOC]["least"]:
             # Gaps below every document stay as they are.
-            out = sweep_round(state.where("kind < 2").select("kind", "size", "n", "a", "b"), sum(r["rows"] for r in seen))
+            out = sweep_round(state, range_cuts(state, sum(r["rows"] for r in seen)))
         else:
             docs = {r["size"]: r["n"] for r in state.where(F.col("kind") == DOC).groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-            out = open_sequences(state.where("kind < 2"), docs, capacity)
+            out = open_sequences(state, docs, capacity)
         out = out.checkpoint()
         made = out.where(F.col("kind") == RULE)
         rules = made if rules is None else rules.unionByName(made)

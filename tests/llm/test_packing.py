@@ -56,7 +56,7 @@ def best_fit(lengths, capacity):
 
 
 TEXTS = ["", None, "One", "it's  THE\t\nword here x", "café é ́x 12.5%", "<|endoftext|>a <|startoftext|>",
-         "\x1c a\x85b ​", "İstanbul ΣΣ ǅ", "'s 's's 'LL x'll", "한국어 中文 \U0001f600\U0001f600"]
+         "\x1c a\x85b ​", "İstanbul ΣΣ ǅ", "'s 's's 'LL x'll", "J\u030c I\u0307 \u00c9 E\u0301x", "<|ENDOFTEXT|> A", "END, now. é, ÉT). 3, (x),", "한국어 中文 \U0001f600\U0001f600"]
 
 
 def test_ids_and_packing(spark):
@@ -87,7 +87,10 @@ def test_sweep_over_several_ranges(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows = [(DOC, int(s), int(n), i, 0) for i, (s, n) in enumerate(zip(rng.integers(1, 50, 40), rng.integers(1, 9, 40), strict=True))]
     rows += [(GAP, int(s), int(n), 1000 * i, 0) for i, (s, n) in enumerate(zip(rng.integers(1, 90, 30), rng.integers(1, 9, 30), strict=True))]
-    out = packing.sweep_round(spark.createDataFrame(rows, "kind int, size int, n long, a long, b long"), len(rows)).collect()
+    runs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], packing.RUNS)
+    cuts = packing.range_cuts(runs, len(rows))
+    assert len(cuts) > 4
+    out = packing.sweep_round(runs, cuts).collect()
     rules = [r for r in out if r.kind == packing.RULE]
     assert sum(r.n for r in rules) == sum(r[1] for r in sweep(rows)[0])
     docs = sum(r[2] for r in rows if r[0] == DOC)
