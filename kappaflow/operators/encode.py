@@ -3,18 +3,17 @@
 One plan for dictionaries of any size, shared by the long, nested and
 streaming forms:
 
+    lexicon  -> one entry per (kind, term), staged once
     mentions --distinct(kind, term)--> terms            (partial agg, one shuffle)
-    terms  LEFT JOIN lexicon ON term                    (exact)
-    unmatched fuzzy terms, a distinct query set, against the whole dictionary
-    in blocks: the dictionary is cut into blocks of ``BLOCK`` entries, one array
-    each; a term meets every block in an equi-join on the block number and
-    keeps its best entry of the block, then the best of the blocks
+    terms  LEFT JOIN lexicon ON term                    (exact; staged once)
+    unmatched fuzzy terms -> nearest entry by the index of ``nearest``
     mentions LEFT JOIN code-map ON (kind, term)         (code-map = distinct terms)
 
-Edit distances are computed once per *distinct* unmatched term, never per
-mention.  Inside a block the best distance so far is the limit of the next
-computation, so far-off entries cost little.  Nothing of the dictionary
-passes through the driver and no job runs while the plan is built.
+Edit distances are computed once per *distinct* unmatched term and candidate,
+never per mention.  The staged tables are those of distinct terms and entries:
+small jobs that run while the plan is built, so that neither the mentions nor the dictionary is read
+again for the exact and the nearest branch.  Nothing of the dictionary passes through
+the driver.
 """
 
 from __future__ import annotations
@@ -22,72 +21,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Dictionary entries of a block; blocks are dealt to ``SALTS`` tasks each.
-BLOCK = 1024
-SALTS = 16
-FAR = 1 << 30
+from ..session import ensure_checkpoint_dir
+from .nearest import BLOCK, nearest_terms, one_entry_per_term
 
+CODE_MAP = "kind string, term_raw string, idx int, term string, priority int, match string, distance int"
 
-def _nearest_in(term: Column, entries: Column) -> Column:
-    """Best entry of a block as STRUCT(dist, idx, term, priority); entries are in dictionary order.
 
-    Case-sensitive, on characters; the first entry wins a tie (strict '<' in a scan).
-    """
-    none = F.struct(F.lit(FAR).alias("dist"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("term"),
-                    F.lit(None).cast("int").alias("priority"))
-
-    def closer(best, x):
-        # With a limit the distance is -1 where it is larger: equal ones cannot win either.
-        d = F.call_function("levenshtein", term, x["term"], best["dist"] - 1)
-        found = F.struct(d.alias("dist"), x["idx"].alias("idx"), x["term"].alias("term"), x["priority"].alias("priority"))
-        return F.when((best["dist"] > 0) & (d >= 0), found).otherwise(best)
-
-    return F.aggregate(entries, none, closer)
+def distinct_terms(mentions: DataFrame, term_col: str = "term_raw", kind_col: str = "kind") -> DataFrame:
+    """The different (kind, term_raw) of ``mentions``, staged."""
+    ensure_checkpoint_dir(mentions.sparkSession)
+    return (mentions.select(F.col(kind_col).alias("kind"), F.col(term_col).alias("term_raw"))
+            .where(F.col("term_raw").isNotNull()).distinct().checkpoint())
 
 
-def nearest_terms(terms: DataFrame, lexicon: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(term_raw, dist, idx, term, priority): the nearest dictionary entry of each distinct term.
-
-    ``idx`` is the position in the dictionary, so blocks and ties follow it.  Where
-    both sides have a ``kind``, a term meets the dictionary of its kind only.
-    """
-    within = ["kind"] if "kind" in lexicon.columns else []
-    number = F.floor(F.col("idx") / block).cast("int")
-    blocks = (lexicon.select(*within, number.alias("block"), F.struct(
-        F.col("idx").cast("int").alias("idx"), F.col("term"), F.col("priority").cast("int").alias("priority")).alias("e"))
-        .groupBy(*within, "block").agg(F.array_sort(F.collect_list("e")).alias("entries"))  # at most ``block`` entries
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    last = lexicon.select(F.max(number)).scalar()
-    asked = (terms.select(*within, "term_raw").distinct().withColumn("last", last)
-             .select(*within, "term_raw", F.pmod(F.xxhash64("term_raw"), F.lit(SALTS)).cast("int").alias("salt"),
-                     F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("block")))
-    best = (asked.join(blocks, [*within, "block", "salt"])
-            .select(*within, "term_raw", _nearest_in(F.col("term_raw"), F.col("entries")).alias("b"))
-            .groupBy(*within, "term_raw").agg(F.min("b").alias("b")))  # by distance, then dictionary position
-    return best.select(*within, "term_raw", "b.*")
-
-
-def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
-               kind_col: str = "kind", fuzzy_kinds=("finding",), max_distance: int | None = None,
-               block: int = BLOCK) -> DataFrame:
-    """Code map over the distinct (kind, term) pairs of ``mentions``.
-
-    Output: kind, term_raw, idx, term, priority, match ('exact' | 'nearest' |
-    NULL), distance.  Exact match first (J1); nearest only for unmatched
-    terms of ``fuzzy_kinds`` (Q5, Q6).  ``lexicon`` may carry a ``kind`` column
-    (one dictionary per kind); then matching is within the kind.
+def codes_of_terms(terms: DataFrame, lexicon: DataFrame, *, fuzzy_kinds=("finding",), max_distance: int | None = None,
+                   block: int = BLOCK, no_index: int = BLOCK) -> DataFrame:
+    """Code map (``CODE_MAP``) of distinct (kind, term_raw): exact match first (J1); nearest only for unmatched
+    terms of ``fuzzy_kinds`` (Q5, Q6).  ``lexicon`` may carry a ``kind`` column (one dictionary per kind); then
+    matching is within the kind.
     """
+    ensure_checkpoint_dir(terms.sparkSession)
     on = ["kind", "term_raw"] if "kind" in lexicon.columns else ["term_raw"]
-    terms = (mentions.select(F.col(kind_col).alias("kind"), F.col(term_col).alias("term_raw"))
-             .where(F.col("term_raw").isNotNull()).distinct())
-    lx = lexicon.select(*on[:-1], F.col("term").alias("term_raw"), F.col("idx").alias("x_idx"),
+    entries = one_entry_per_term(lexicon).checkpoint()
+    lx = entries.select(*on[:-1], F.col("term").alias("term_raw"), F.col("idx").alias("x_idx"),
                         F.col("term").alias("x_term"), F.col("priority").alias("x_pri"))
-    exact = terms.join(lx, on, "left")
+    exact = terms.join(lx, on, "left").select("kind", "term_raw", "x_idx", "x_term", "x_pri")
     if fuzzy_kinds:
-        kinds = list(fuzzy_kinds)
-        fuzzy = F.col("kind").isin(kinds)
-        searched = lexicon.where(fuzzy) if len(on) > 1 else lexicon
-        near = nearest_terms(exact.where(F.col("x_idx").isNull() & fuzzy), searched, block)
+        exact = exact.checkpoint()
+        fuzzy = F.col("kind").isin(list(fuzzy_kinds))
+        searched = entries.where(fuzzy) if len(on) > 1 else entries
+        near = nearest_terms(exact.where(F.col("x_idx").isNull() & fuzzy), searched, block, no_index=no_index)
         if max_distance is not None:
             near = near.where(F.col("dist") <= max_distance)
         near = near.select(*on, F.struct("dist", "idx", "term", "priority").alias("_n"))
@@ -104,15 +67,19 @@ def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term
         F.when(F.col("x_idx").isNotNull(), F.lit(0)).otherwise(F.col("_n.dist")).alias("distance"))
 
 
+def term_codes(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
+               kind_col: str = "kind", **how) -> DataFrame:
+    """Code map over the distinct (kind, term) pairs of ``mentions`` (see ``codes_of_terms``)."""
+    return codes_of_terms(distinct_terms(mentions, term_col, kind_col), lexicon, **how)
+
+
 def encode_mentions(mentions: DataFrame, lexicon: DataFrame, *, term_col: str = "term_raw",
-                    kind_col: str = "kind", fuzzy_kinds=("finding",),
-                    max_distance: int | None = None, block: int = BLOCK) -> DataFrame:
+                    kind_col: str = "kind", **how) -> DataFrame:
     """Attach idx / term / priority / match / distance to every mention row.
 
     Unmatched rows keep NULL codes (the raw text stays in ``term_col``).
     """
-    codes = term_codes(mentions, lexicon, term_col=term_col, kind_col=kind_col, fuzzy_kinds=fuzzy_kinds,
-                       max_distance=max_distance, block=block)
+    codes = term_codes(mentions, lexicon, term_col=term_col, kind_col=kind_col, **how)
     codes = codes.withColumnRenamed("kind", kind_col).withColumnRenamed("term_raw", term_col)
     return mentions.join(codes, [kind_col, term_col], "left")
 

@@ -89,27 +89,46 @@ def grade_reports(prioritised: DataFrame, reports: DataFrame | None = None, *,
 
 
 SEP = "\u0001"
+#: A response that many reports share is dealt to so many tasks.
+SALTS = 64
 
 
-def _row_codes(df: DataFrame, lexicons: dict[str, DataFrame], payload_col: str, key: str, max_distance) -> DataFrame:
-    """(key, _codes): a map from kind and term to (idx, priority) for the terms of each row.
+def _row_codes(df: DataFrame, lexicons: dict[str, DataFrame], payload_col: str, key: str, max_distance, codes: DataFrame | None
+               ) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_row``, and (_row, _codes): a map from kind and term to (idx, priority) for the terms of each row.
 
-    The terms of all rows are encoded once per distinct (kind, term) by the same
-    plan as the long form; a map holds the terms of one response.
+    ``_row`` hashes the terms themselves (and some salt, so that a response that many
+    reports share is not one hot key): rows with equal terms share a map, whatever their key; should two hashes clash, the map
+    holds the terms of both, which changes nothing.  Rows without terms have a hash that meets nothing.
     """
     p = F.col(payload_col)
     lists = {"finding": ("findings_all", "finding"), "device": ("devices_all", "medical_device"), "diagnosis": ("diagnoses_all", "diagnosis")}
-    named = [_terms(p[field], kind, name) for kind, (field, name) in lists.items()]
-    rows = df.select(key, F.explode(F.array_distinct(F.concat(*named))).alias("t")).select(key, "t.kind", "t.term_raw").where(
-        F.col("term_raw").isNotNull()).distinct()
-    lexicon = None
-    for kind, lx in lexicons.items():
-        part = lx.select(F.lit(kind).alias("kind"), "idx", "term", "priority")
-        lexicon = part if lexicon is None else lexicon.unionByName(part)
-    codes = term_codes(rows, lexicon, max_distance=max_distance)
+    named = F.array_distinct(F.concat(*[_terms(p[field], kind, name) for kind, (field, name) in lists.items()]))
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+    df = df.withColumn("_row", F.when(F.size(named) > 0, F.xxhash64(named, salt)).otherwise(F.xxhash64(F.col(key), F.lit(1))))
+    rows = df.select("_row", F.explode(named).alias("t")).select("_row", "t.kind", "t.term_raw").where(F.col("term_raw").isNotNull()).distinct()
+    if codes is None:
+        codes = term_codes(rows, of_kinds(lexicons), max_distance=max_distance)
     codes = codes.where(F.col("idx").isNotNull())
     pair = F.struct(F.concat_ws(SEP, "kind", "term_raw"), F.struct(F.col("idx").cast("int").alias("idx"), F.col("priority").cast("int").alias("priority")))
-    return rows.join(codes, ["kind", "term_raw"]).groupBy(key).agg(F.map_from_entries(F.collect_list(pair)).alias("_codes"))
+    return df, rows.join(codes, ["kind", "term_raw"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(pair)).alias("_codes"))
+
+
+def of_kinds(lexicons: dict[str, DataFrame]) -> DataFrame:
+    """One dictionary table (kind, idx, term, priority) of several."""
+    out = None
+    for kind, lx in lexicons.items():
+        part = lx.select(F.lit(kind).alias("kind"), "idx", "term", "priority")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def extraction_terms(df: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """(kind, term_raw) of every term of the extraction records, with repeats."""
+    p = F.col(payload_col)
+    named = F.concat(_terms(p["findings_all"], "finding", "finding"), _terms(p["devices_all"], "device", "medical_device"),
+                     _terms(p["diagnoses_all"], "diagnosis", "diagnosis"))
+    return df.select(F.explode(named).alias("t")).select("t.kind", "t.term_raw").where(F.col("term_raw").isNotNull())
 
 
 def _terms(items: Column, kind: str, name: str) -> Column:
@@ -119,15 +138,16 @@ def _terms(items: Column, kind: str, name: str) -> Column:
 
 def encode_extraction(df: DataFrame, findings_lex: DataFrame, devices_lex: DataFrame,
                       diagnoses_lex: DataFrame, *, payload_col: str = "payload", key: str = "report_id",
-                      max_distance: int | None = None) -> DataFrame:
+                      max_distance: int | None = None, codes: DataFrame | None = None) -> DataFrame:
     """Nested form of J1/J2: code every element of the three extraction lists.
 
     Each coded field becomes STRUCT<code INT, raw STRING>; code NULL = not
-    matched.  Findings fall back to the nearest term (Q5).  Rows with a NULL
-    key get no codes; ``key`` names a report (rows that share it share codes).
+    matched.  Findings fall back to the nearest term (Q5).  ``key`` only spreads
+    equal records; it may be NULL or repeated.  ``codes`` is a code map that is already there.
     """
     lexicons = {"finding": findings_lex, "device": devices_lex, "diagnosis": diagnoses_lex}
-    df = df.join(_row_codes(df, lexicons, payload_col, key, max_distance), key, "left")
+    df, by_row = _row_codes(df, lexicons, payload_col, key, max_distance, codes)
+    df = df.join(by_row, "_row", "left").drop("_row")
 
     def cr(code: Column, raw: Column) -> Column:
         return F.struct(code.cast("int").alias("code"), raw.alias("raw"))

@@ -10,7 +10,7 @@ not push a filter into a model call).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decode import decode_response
@@ -18,13 +18,19 @@ from ..functions.text import clean_text, fill_template
 from ..operators.grading import encode_extraction, grade_extraction
 from ..operators.profile import PIPELINE_RENAMES, assert_unique, rename_if_absent
 from ..schemas import EXTRACTION, GRADE, GRADE_EXPLAINED, JUDGE
-from .model import cached_model_call, request_key, stage_table
+from .model import cached_model_call, read_stage, request_key, stage_table, table_version
 from .prompts import SYSTEM, TEMPLATES
 
 SYSTEM_ROLE = "developer"
 
 
-def term_list(lexicon: DataFrame, max_terms: int = 100_000) -> Column:
+#: Terms of a dictionary that go into every prompt; a larger dictionary is cut to each report's candidates.
+MAX_LISTED = 100_000
+#: Candidate terms of a report, where the dictionary is larger.
+CANDIDATES = 200
+
+
+def term_list(lexicon: DataFrame, max_terms: int = MAX_LISTED) -> Column:
     """The dictionary's terms in dictionary order, ', '-joined (one scalar, size asserted)."""
     arr = F.array_sort(F.collect_list(F.struct("idx", "term")))
     s = F.array_join(F.transform(arr, lambda x: x["term"]), ", ")
@@ -33,6 +39,43 @@ def term_list(lexicon: DataFrame, max_terms: int = 100_000) -> Column:
     return lexicon.select(guarded).scalar()
 
 
+def candidate_terms(reports: DataFrame, lexicon: DataFrame, k: int = CANDIDATES, *, report_col: str = "TEXT_REPORT") -> DataFrame:
+    """(report_id, terms): the ``k`` terms of a dictionary of any size that share most with a report, in dictionary order.
+
+    An inverted index from words to terms: a term's score is the sum of the idf (over the terms) of its
+    words that the report has, over the sum of all its words' idf; ties go to the first in the dictionary.
+    Words are lower-cased, without a plural 's'.  A report that shares no word with any term has an empty list.
+    """
+    def words(c):
+        return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0),
+                                            lambda w: F.regexp_replace(w, "(?<=...)s$", "")))
+
+    entry = lexicon.select("idx", "term", words(F.col("term")).alias("w")).select("idx", "term", F.explode("w").alias("word"))
+    total = lexicon.select(F.count(F.lit(1))).scalar()
+    idf = entry.groupBy("word").agg(F.log((total + 1) / F.count(F.lit(1))).alias("idf"))
+    entry = entry.join(idf, "word")
+    whole = entry.groupBy("idx").agg(F.sum("idf").alias("whole"))
+    index = entry.join(whole, "idx").select("word", "idx", "term", (F.col("idf") / F.greatest("whole", F.lit(1e-9))).alias("part"))
+    asked = reports.select("report_id", F.explode(words(F.col(report_col))).alias("word")).distinct()
+    score = asked.join(index, "word").groupBy("report_id", "idx", "term").agg(F.round(F.sum("part"), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("score"), "idx"))
+    best = score.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "term"))), lambda x: x["term"]), ", ").alias("terms"))
+
+
+def with_term_lists(df: DataFrame, lexicons: dict[str, DataFrame], *, report_col: str = "TEXT_REPORT", max_terms: int = MAX_LISTED,
+                    k: int = CANDIDATES) -> DataFrame:
+    """``df`` with a column of terms for each dictionary: all of them, or, of a dictionary with more than ``max_terms``
+    terms, which no prompt can hold, the report's candidates."""
+    for name, lexicon in lexicons.items():
+        if lexicon.limit(max_terms + 1).count() <= max_terms:
+            df = df.withColumn(name, term_list(lexicon, max_terms))
+        else:
+            found = candidate_terms(df, lexicon, k, report_col=report_col).withColumnRenamed("terms", name)
+            df = df.join(found, "report_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return df
+
+
 def build_messages(method: str, holes: dict[str, Column], system: str = SYSTEM) -> Column:
     """G1: [system, user] chat messages for one method."""
     user = fill_template(TEMPLATES[method], holes)
@@ -60,12 +103,6 @@ def _answers(df, method, holes, model, model_name, cache, stage, cache_path=None
     return got.select("report_id", "payload", "error")
 
 
-def _lexicon_holes(df: DataFrame, findings_lex, devices_lex, diagnoses_lex) -> DataFrame:
-    # Scalars as columns first, so later lambdas never hold a subquery.
-    return df.withColumns({"_fl": term_list(findings_lex), "_dl": term_list(devices_lex),
-                           "_xl": term_list(diagnoses_lex)})
-
-
 def _back(df: DataFrame, narrow: DataFrame) -> DataFrame:
     """The rows of ``df`` with the result columns of their report."""
     return df.join(narrow, "report_id", "left").select(*[F.col(c) for c in df.columns],
@@ -79,7 +116,7 @@ SEMIALGO_PRIORITIES = ["findings_priorities", "lines_priorities", "diagnoses_pri
 def semialgo_columns(df: DataFrame, model, findings_lex, devices_lex, diagnoses_lex, *, report_col: str = "TEXT_REPORT",
                      model_name: str = "model", cache=None, stage: str | None = None, cache_path=None) -> DataFrame:
     """G2 + G3, narrow: extraction call -> record -> codes -> priorities, by report_id."""
-    d = _lexicon_holes(df, findings_lex, devices_lex, diagnoses_lex)
+    d = with_term_lists(df, {"_fl": findings_lex, "_dl": devices_lex, "_xl": diagnoses_lex}, report_col=report_col)
     holes = {"findings_str": F.col("_fl"), "devices_str": F.col("_dl"),
              "diagnoses_str": F.col("_xl"), "rpt": F.col(report_col)}
     r = _answers(d, "extract", holes, model, model_name, cache, stage, cache_path)
@@ -111,7 +148,7 @@ def hybrid_columns(df: DataFrame, model, findings_lex, diagnoses_lex, *, report_
                    semialgo_col: str = "overall_max_priority", model_name: str = "model", cache=None,
                    stage: str | None = None, cache_path=None) -> DataFrame:
     """G5, narrow: grade that sees method 1's grade; failure -> 0 and ''."""
-    d = df.withColumns({"_fl": term_list(findings_lex), "_xl": term_list(diagnoses_lex)})
+    d = with_term_lists(df, {"_fl": findings_lex, "_xl": diagnoses_lex}, report_col=report_col)
     holes = {"findings_str": F.col("_fl"), "diagnoses_str": F.col("_xl"),
              "grade_semialgo": F.col(semialgo_col), "rpt": F.col(report_col)}
     r = _answers(d, "hybrid", holes, model, model_name, cache, stage, cache_path)
@@ -196,21 +233,29 @@ def grade_all_methods(df: DataFrame, model, findings_lex, devices_lex, diagnoses
     narrow table of their own (S7): a retry after an executor loss reads the
     stage, it does not repeat model calls, and no stage writes the text again.
     With ``run``, the stages belong to that run and a second start takes up
-    after the last one that was completed (``model.clear_run`` removes them).
+    after the last one that was completed, if reports, dictionaries and model name are the
+    same (one pass over them makes the fingerprint that each stage keeps); else they are
+    computed anew (``model.clear_run`` removes them).
     Report ids must be unique (Q21); that is checked first.
     """
     stage = f"{run}/{stage}" if run else stage
-    st = stage if save_intermediate else None
+    version = table_version(df, findings_lex, devices_lex, diagnoses_lex, model=model_name, report=report_col) if run and save_intermediate else None
+    # Inner stages (answers, the judge's first step) have the version in their names.
+    st = (f"{stage}-{version[:12]}" if version else stage) if save_intermediate else None
 
-    def keep(d, name):
-        return stage_table(d, f"{stage}-{name}") if save_intermediate else d
+    def keep(make, name):
+        """A stage that is there is read; what would make it is not even planned, so it calls no model."""
+        if not save_intermediate:
+            return make()
+        found = read_stage(df.sparkSession, f"{stage}-{name}", version=version)
+        return found if found is not None else stage_table(make(), f"{stage}-{name}", version=version)
 
     how = {"report_col": report_col, "model_name": model_name, "cache": cache, "cache_path": cache_path, "stage": st}
-    base = keep(assert_unique(df).withColumn(report_col, clean_text(report_col)), "reports")
-    semi = keep(semialgo_columns(base, model, findings_lex, devices_lex, diagnoses_lex, **how), "semialgo")
-    hybrid = keep(hybrid_columns(_back(base, semi.select("report_id", "overall_max_priority")), model, findings_lex, diagnoses_lex,
-                                 **how), "hybrid")
-    llm = keep(llm_columns(base, model, **how), "llm")
+    base = keep(lambda: assert_unique(df).withColumn(report_col, clean_text(report_col)), "reports")
+    semi = keep(lambda: semialgo_columns(base, model, findings_lex, devices_lex, diagnoses_lex, **how), "semialgo")
+    hybrid = keep(lambda: hybrid_columns(_back(base, semi.select("report_id", "overall_max_priority")), model, findings_lex, diagnoses_lex,
+                                         **how), "hybrid")
+    llm = keep(lambda: llm_columns(base, model, **how), "llm")
     grades = semi.join(hybrid, "report_id").join(llm, "report_id")  # narrow: a row per report in each
     d = rename_if_absent(_back(base, grades), PIPELINE_RENAMES)
     if all(c in d.columns for c in ("priority_manual", "priority_algo", "priority_llm")):  # P4

@@ -132,5 +132,5 @@ def q_grade_semialgo_nested(spark, sf):
 
 @register("encode_nearest_banded", _sql(f"SELECT {', '.join(ENC_COLS)} FROM enc"))
 def q_encode_nearest_banded(spark, sf):
-    """J2 with the dictionary cut into many small blocks, as a large one would be."""
-    return encode_mentions(A.mentions(spark, sf), A.lexicon(spark, sf), block=8).select(*ENC_COLS)
+    """J2 by the segment index and its radii, as for a large dictionary."""
+    return encode_mentions(A.mentions(spark, sf), A.lexicon(spark, sf), block=8, no_index=0).select(*ENC_COLS)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.text import choice_label
-from ..operators.lexicon_ops import lexicon_diff, regrade_with_lexicon
+from ..operators.lexicon_ops import grade_with, lexicon_diff, regrade_changed, regrade_with_lexicon
 from ..sources import adapters as A
 from . import methods as M
 from .q_grading import codes_sql, grade_sql_body
@@ -47,6 +47,32 @@ def q_regrade_with_lexicon(spark, sf):
     return regrade_with_lexicon(A.mentions(spark, sf), A.lexicon(spark, sf), A.lexicon_alt(spark, sf))
 
 
+def _delta_sql() -> str:
+    s = _regrade_sql()
+    head = s[: s.rindex("SELECT ga.overall_max_priority")]
+    return head + """SELECT gb.*, ga.report_id IN (SELECT m.report_id FROM mentions m JOIN codes x ON x.kind = m.kind AND x.term_raw = m.term_raw
+         JOIN codes_b y ON y.kind = m.kind AND y.term_raw = m.term_raw WHERE x.priority IS DISTINCT FROM y.priority) AS regraded
+FROM gb JOIN ga ON ga.report_id = gb.report_id"""
+
+
+def _near_copy(spark, sf):
+    """The dictionary with other priorities for a few terms, and one term less: a revision."""
+    lx = A.lexicon(spark, sf)
+    return lx.where("idx <> 5").withColumn("priority", F.when(F.col("idx") % 20 == 3, 6 - F.col("priority")).otherwise(F.col("priority")).cast("int"))
+
+
+def _revised(sql: str) -> str:
+    return sql.replace("SELECT idx, term, CAST(6 - priority AS INT) AS priority FROM lexicon WHERE idx % 10 <> 9",
+                       "SELECT idx, term, CAST(CASE WHEN idx % 20 = 3 THEN 6 - priority ELSE priority END AS INT) AS priority FROM lexicon WHERE idx <> 5")
+
+
+@register("regrade_changed", _revised(_delta_sql()))
+def q_regrade_changed(spark, sf):
+    """M6 where the grades under the first dictionary are there: only touched reports are graded again."""
+    m, a = A.mentions(spark, sf), A.lexicon(spark, sf)
+    return regrade_changed(grade_with(m, a), m, a, _near_copy(spark, sf))
+
+
 @register("term_list", A.with_views(["lexicon"], "SELECT count(*) AS n_terms, string_agg(term, ', ' ORDER BY idx) AS terms FROM lexicon"))
 def q_term_list(spark, sf):
     lx = A.lexicon(spark, sf)

@@ -7,7 +7,7 @@ MAP would not promise it).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,8 @@ def lexicon_scan(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     """JSON object files ``{"term": priority, ...}`` -> (file, idx, term, priority[, kind]).
 
     ``wholetext`` reads one row per file (a dictionary, small by nature);
-    pairs are taken in text order and numbered by ``posexplode``.
+    pairs are taken in text order and numbered by ``posexplode``.  A key that is
+    written twice is one entry, at its first place and with its last value.
     """
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     pairs = t.select("file", F.arrays_zip(F.regexp_extract_all("value", F.lit(PAIR), 1).alias("term"),
@@ -27,6 +28,9 @@ def lexicon_scan(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     out = e.select("file", F.col("idx").cast("int").alias("idx"),
                    F.from_json(F.concat(F.lit('["'), F.col("x.term"), F.lit('"]')), "array<string>")[0].alias("term"),
                    F.col("x.priority").cast("int").alias("priority"))
+    once = out.groupBy("file", "term").agg(F.min("idx").alias("place"), F.max_by("priority", "idx").alias("priority"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("place")) - 1
+    out = once.select("file", place.cast("int").alias("idx"), "term", "priority")
     return out.withColumn("kind", F.lit(kind)) if kind is not None else out
 
 
@@ -46,9 +50,87 @@ def write_lexicon_json(lexicon: DataFrame, path: str, max_terms: int = MAX_JSON_
 
 
 def scan_reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV reports whose text holds line breaks and quotes."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    """CSV reports whose text holds line breaks and quotes; a large file is read by many tasks."""
+    return scan_quoted_csv(spark, path, schema)
+
+
+FRAGMENT = "file string, block long, kind int, text string"
+WHOLE, OPENED, INSIDE, CLOSED = 0, 1, 2, 3
+
+
+def scan_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """CSV files with a header, in which quoted values may hold line breaks, split over byte ranges.
+
+    A line break ends a record where the number of quotes before it is even (a quote inside a value is
+    doubled, so it does not change the parity).  One pass counts the quotes of each byte
+    range; a prefix sum over the ranges of a file (a few numbers each) gives the parity at which each begins; a second
+    pass puts the lines of a range together to records.  What a range's end cuts
+    is the only thing that moves: fragments are joined by file and record.
+    Equal to a read with ``multiLine``, which gives a file to one task.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    quotes = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2
+    ranges = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).cast("int").alias("odd"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranges.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int").alias("begins"))
+    # The lines of a range stay in the order in which its task reads them; a shuffle join would lose it, so what each
+    # range needs to know comes with the table of ranges, which is as long as the number of input splits.
+    known = {(r["file"], r["block"]): r["begins"] for r in begins.where("begins = 1").toLocalIterator()}
+    odd = spark.sparkContext.broadcast(known)
+
+    def assemble(batches):
+        import pyarrow as pa
+
+        held: list[str] = []
+        at, inside, cut, first = None, False, False, True
+
+        def row(kind, text):
+            return {"file": at[0], "block": at[1], "kind": kind, "text": text}
+
+        def last():
+            if held:
+                yield row(INSIDE if cut else OPENED, "\n".join(held))
+
+        out = []
+        for batch in batches:
+            for value, file, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (file, block) != at:
+                    out += last()
+                    at, inside = (file, block), odd.value.get((file, block), 0) == 1
+                    # The first record of a range may have begun in an earlier one; the header is the first of the file.
+                    held, cut, first = [], inside, block == 0
+                held.append(value)
+                inside ^= value.count('"') % 2 == 1
+                if not inside:
+                    if cut:
+                        out.append(row(CLOSED, "\n".join(held)))
+                    elif not first and held != [""]:
+                        out.append(row(WHOLE, held[0] if len(held) == 1 else "\n".join(held)))
+                    elif first and len(held) == 1 and value == "":
+                        held = []  # empty lines before the header
+                        continue
+                    held, cut, first = [], False, False
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_pylist(out, fragment_schema())
+                out = []
+        out += last()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, fragment_schema())
+
+    parts = lines.select("value", "file", "block").mapInArrow(assemble, FRAGMENT)
+    # A cut record: what one range opened, all of the ranges inside it, and what a later one closed.
+    cut = parts.where(F.col("kind") != WHOLE)
+    number = Window.partitionBy("file").orderBy("block", F.when(F.col("kind") == OPENED, 1).otherwise(0))
+    cut = cut.withColumn("record", F.sum(F.when(F.col("kind") == OPENED, 1).otherwise(0)).over(number))
+    joined = cut.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    records = parts.where(F.col("kind") == WHOLE).select("text").union(joined.select("text"))
+    read = F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "mode": "PERMISSIVE"})
+    return records.select(read.alias("r")).select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields])
+
+
+def fragment_schema():
+    import pyarrow as pa
+    return pa.schema([("file", pa.string()), ("block", pa.int64()), ("kind", pa.int32()), ("text", pa.string())])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

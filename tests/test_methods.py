@@ -150,3 +150,109 @@ def test_values_that_look_like_holes_stay(spark):
     from kappaflow.functions.text import fill_template
     out = spark.range(1).select(fill_template("a ${x} ${rpt} ${no}", {"x": F.lit("${rpt}"), "rpt": F.lit("r ${x}")}).alias("t"))
     assert out.first()["t"] == "a ${rpt} r ${x} ${no}"
+
+
+def _requests(spark, n, text="q"):
+    from pyspark.sql import functions as F
+    msgs = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit(text), F.col("id").cast("string")).alias("content")))
+    return spark.range(n).select(F.concat(F.lit(text), F.col("id").cast("string")).alias("request_key"), F.lit("llm").alias("method"), msgs.alias("messages"))
+
+
+def test_calls_in_flight_rate_and_log(spark, tmp_path):
+    """Many small tasks, at most five calls at once, a rate for all tasks together; a second start sends nothing again."""
+    import time
+
+    from kappaflow.plans.model import PandasModel, read_answers
+    folder = str(tmp_path)
+
+    def call(client, messages, method):
+        began = time.time()
+        time.sleep(0.02)
+        with open(f"{folder}/calls-{time.time_ns()}-{messages[0]['content']}", "w") as f:
+            f.write(f"{began} {time.time()}")
+        if messages[0]["content"] == "q7":
+            raise ValueError("not now")
+        return messages[0]["content"].upper()
+
+    model = PandasModel(call, partitions=5, calls_per_task=4)
+    req = _requests(spark, 100).union(_requests(spark, 3))  # three of them twice
+    log = f"{folder}/log"
+    got = {r["request_key"]: (r["payload"], r["error"]) for r in model.answer(req, log=log).collect()}
+    assert got == {f"q{i}": (f"Q{i}", None) if i != 7 else (None, "ValueError: not now") for i in range(100)}
+    times = [tuple(map(float, p.read_text().split())) for p in tmp_path.glob("calls-*")]
+    assert len(times) == 100
+    assert max(sum(a <= t < b for a, b in times) for t, _ in times) <= 5
+    assert len(read_answers(spark, f"{log}/answers").inputFiles()) >= 20  # tasks, each with a few calls
+    assert model.answer(req.where("request_key <> 'q7'"), log=log).count() == 99
+    assert len(list(tmp_path.glob("calls-*"))) == 100  # nothing was sent again
+    model.answer(req, log=log).collect()
+    assert len(list(tmp_path.glob("calls-*"))) == 101  # the failed one was
+    began = time.time()
+    assert PandasModel(call, partitions=4, calls_per_task=50, per_second=40.0).answer(_requests(spark, 60, "r")).count() == 60
+    assert time.time() - began > 60 / 40 * 0.6
+    assert model.answer(req.limit(0)).count() == 0
+
+
+def test_a_killed_task_repeats_its_open_calls_only(spark, tmp_path):
+    """A wave that dies leaves the waves before it answered."""
+    import os
+    import time
+
+    import pytest
+
+    from kappaflow.plans.model import PandasModel
+    folder = str(tmp_path)
+
+    def call(client, messages, method):
+        with open(f"{folder}/calls-{time.time_ns()}-{messages[0]['content']}", "w"):
+            pass
+        if messages[0]["content"] == "q33" and not os.path.exists(f"{folder}/again"):
+            open(f"{folder}/again", "w").close()
+            os._exit(1)  # the worker is gone
+        return "ok"
+
+    model, log = PandasModel(call, partitions=2, calls_per_task=5), f"{folder}/log"
+    try:
+        model.answer(_requests(spark, 80), log=log).count()
+    except Exception:  # noqa: BLE001  local mode does not retry tasks
+        pass
+    assert model.answer(_requests(spark, 80), log=log).where("payload = 'ok'").count() == 80
+    sent = len(list(tmp_path.glob("calls-*")))
+    assert 80 < sent <= 80 + 2 * 2 * 10  # of one wave, which holds about ten calls
+
+
+def test_stages_know_their_input(spark):
+    from pyspark.sql import functions as F
+
+    from kappaflow.plans.model import clear_old_stages, clear_run, stage_table, table_version
+    from kappaflow.session import stage_root
+    a = spark.range(10).withColumn("x", F.col("id") % 3)
+    version = table_version(a, model="m")
+    assert version == table_version(a.repartition(4).orderBy(F.desc("id")), model="m")
+    assert len({version, table_version(a, model="n"), table_version(a.where("id < 9"), model="m"), table_version(a.union(a), model="m")}) == 4
+    assert stage_table(a, "t-run/s", version=version).count() == 10
+    assert stage_table(a.where("id < 5"), "t-run/s", version=version).count() == 10  # the same version is read
+    assert stage_table(a.where("id < 5"), "t-run/s", version="other").count() == 5
+    assert stage_table(a, "t-run/s", version=version).count() == 10
+    root = f"{stage_root(spark)}/t-old"
+    assert clear_old_stages(spark, 0, root) == []
+    stage_table(a, "r/s", folder=root)
+    assert clear_old_stages(spark, 3600, root) == [] and clear_old_stages(spark, -5, root) == ["r"]
+    assert clear_run(spark, "t-run")
+
+
+def test_large_dictionaries_give_candidate_terms(spark):
+    """No failure above the listed size: each report's prompt holds the terms that share most with it."""
+    from pyspark.sql import functions as F
+
+    from kappaflow.plans.methods import candidate_terms, with_term_lists
+    lex = spark.range(150_000).select(F.col("id").cast("int").alias("idx"), F.concat(F.lit("site "), F.col("id").cast("string"), F.lit(" lesions")).alias("term"),
+                                      F.lit(3).alias("priority"))
+    reports = spark.createDataFrame([(1, "A lesion at Site 149999 and site 7."), (2, "Nothing known."), (3, None)], "report_id long, TEXT_REPORT string")
+    got = {r["report_id"]: r["_t"] for r in with_term_lists(reports, {"_t": lex}, k=2).collect()}
+    assert got == {1: "site 7 lesions, site 149999 lesions", 2: "", 3: ""}
+    small = lex.limit(3)
+    assert {r["_t"] for r in with_term_lists(reports, {"_t": small}).collect()} == {"site 0 lesions, site 1 lesions, site 2 lesions"}
+    plan = with_term_lists(reports, {"_t": lex}, k=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "raise_error" not in plan
+    assert [r["terms"] for r in candidate_terms(reports, small, 1).collect()] == ["site 0 lesions"]
