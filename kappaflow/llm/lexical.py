@@ -40,11 +40,11 @@ from .common import check_columns, col, text_slices
 
 BEST = 10
 #: Bytes of item texts whose vocabulary is sent to the tasks at once.
-ITEM_BYTES = 16_000_000
+ITEM_BYTES = 4_000_000
 #: Documents and vector entries of a shard; documents of a block; entries of the summary buffer.
-SHARD_DOCS, SHARD_ENTRIES, BLOCK, BUFFER = 4096, 1_000_000, 64, 4_000_000
+SHARD_DOCS, SHARD_ENTRIES, BLOCK, BUFFER = 4096, 300_000, 64, 2_000_000
 #: Vector entries expanded at once while summaries are built.
-EXPAND = 4_000_000
+EXPAND = 1_000_000
 DIMENSIONS = 32
 #: Bytes of text split at once.
 READ_BYTES = 4_000_000
@@ -116,87 +116,82 @@ def corpus_counts(vectors: DataFrame, n_terms: int) -> tuple[int, int, np.ndarra
 
 
 class Shard:
-    """Index of some documents: vectors, posting lists in blocks, and the blocks' summaries."""
+    """Index of some documents: vectors, posting lists in blocks, and the blocks' summaries.
+
+    Terms are numbered as the shard has them (``local``); numbers and impacts are 32-bit.
+    """
 
     def __init__(self, ids: pa.Array, first: np.ndarray, term: np.ndarray, impact: np.ndarray, weight: np.ndarray):
-        self.ids, self.first, self.term, self.impact, self.weight = ids, first, term, impact, weight
-        self.size = np.diff(first)
+        self.ids, self.first, self.size = ids, first, np.diff(first)
+        self.local, number = np.unique(term, return_inverse=True)
+        self.term, self.impact = number.astype(np.int32), impact.astype(np.int32)
         # Rank of the ids, null last: ties in score go by it.
         self.id_rank = np.empty(len(ids), np.int64)
         self.id_rank[pa.compute.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
-        self.blocks()
-        self.summaries()
-
-    def blocks(self) -> None:
-        """Documents of each block (``members`` from ``at[b]`` on) and the blocks of each term (``of_term``)."""
-        n_terms, owner = len(self.weight), np.repeat(np.arange(len(self.size)), self.size)
-        # Random projections by the term's number; cosine similarity.
-        signs = np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (n_terms, DIMENSIONS))
-        value = (self.impact * self.weight[self.term]).astype(np.float32)
-        place = np.zeros((len(self.size), DIMENSIONS), np.float32)
-        full = np.flatnonzero(self.size)
-        if len(full):
-            for a in range(0, len(full), 512):
-                docs = full[a:a + 512]
-                lo, hi = self.first[docs[0]], self.first[docs[-1] + 1]
-                place[docs] = np.add.reduceat(signs[self.term[lo:hi]] * value[lo:hi, None], self.first[docs] - lo, axis=0)
-        place /= np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-9)
+        block = self.blocks(weight[self.local])
+        self.summaries(block)
+
+    def places(self, weight: np.ndarray) -> np.ndarray:
+        """Random projections of the impact vectors, by the terms' numbers, as directions."""
+        signs = np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (len(self.local), DIMENSIONS))
+        out, full = np.zeros((len(self.size), DIMENSIONS), np.float32), np.flatnonzero(self.size)
+        for a in range(0, len(full), 256):
+            docs = full[a:a + 256]
+            lo, hi = self.first[docs[0]], self.first[docs[-1] + 1]
+            value = (self.impact[lo:hi] * weight[self.term[lo:hi]]).astype(np.float32)
+            out[docs] = np.add.reduceat(signs[self.term[lo:hi]] * value[:, None], self.first[docs] - lo, axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def blocks(self, weight: np.ndarray) -> np.ndarray:
+        """Cut every posting list: documents of block b are ``members`` from ``at[b]`` on; a term's blocks are ``of_term``."""
+        place = self.places(weight)
         order = np.argsort(self.term, kind="stable")
-        members = owner[order]
-        cut = np.searchsorted(self.term[order], np.arange(n_terms + 1))
-        block, number, self.of_term = np.zeros(len(members), np.int64), 0, np.zeros(n_terms + 1, np.int64)
-        for t in range(n_terms):
+        members = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[order]
+        cut = np.searchsorted(self.term[order], np.arange(len(self.local) + 1))
+        label, parts = np.zeros(len(members), np.int32), np.ones(len(self.local), np.int64)
+        for t in np.flatnonzero(np.diff(cut) > BLOCK).tolist():  # shorter lists are one block
             a, b = cut[t], cut[t + 1]
-            self.of_term[t] = number
-            if a == b:
-                continue
-            docs, parts = members[a:b], -(-(b - a) // BLOCK)
-            if parts > 1:
-                middle = place[docs[np.arange(parts) * (b - a) // parts]]
-                label = (place[docs] @ middle.T).argmax(1)
-                label = np.unique(label, return_inverse=True)[1]
-                by = np.argsort(label, kind="stable")
-                members[a:b], block[a:b] = docs[by], number + label[by]
-                number += int(label.max()) + 1
-            else:
-                block[a:b] = number
-                number += 1
-        self.of_term[n_terms] = number
-        self.members, self.block, self.n_blocks = members, block, number
-        self.at = np.searchsorted(block, np.arange(number + 1))
-
-    def summaries(self) -> None:
+            docs, n = members[a:b], -(-(b - a) // BLOCK)
+            middle = place[docs[np.arange(n) * (b - a) // n]]
+            own = np.unique((place[docs] @ middle.T).argmax(1), return_inverse=True)[1]
+            by = np.argsort(own, kind="stable")
+            members[a:b], label[a:b] = docs[by], own[by]
+            parts[t] = own.max() + 1
+        self.of_term = np.concatenate([[0], np.cumsum(parts)])
+        block = np.repeat(self.of_term[:-1], np.diff(cut)) + label
+        self.members, self.n_blocks = members, int(self.of_term[-1])
+        self.at = np.searchsorted(block, np.arange(self.n_blocks + 1))
+        return block
+
+    def summaries(self, block: np.ndarray) -> None:
         """Largest impact of each term in each block, by term: ``sum_block`` and ``sum_most`` from ``sum_first[term]`` on."""
-        n_terms = len(self.weight)
-        local, number = np.unique(self.term, return_inverse=True)
-        width, out = max(1, len(local)), []
+        width, out, b = max(1, len(self.local)), [], 0
         grows = np.concatenate([[0], np.cumsum(self.size[self.members])])
-        b = 0
         while b < self.n_blocks:
             upto = min(self.n_blocks, b + max(1, BUFFER // width))
             upto = max(b + 1, min(upto, int(np.searchsorted(grows[self.at], grows[self.at[b]] + EXPAND, "right")) - 1))
-            buffer = np.zeros((upto - b) * width, np.int64)
-            lo, end = self.at[b], self.at[upto]
-            for a in range(lo, end, 65_536):  # a block may hold many documents
-                z = min(end, a + 65_536)
+            buffer = np.zeros((upto - b) * width, np.int32)
+            a, end = self.at[b], self.at[upto]
+            while a < end:  # a block may hold many documents
+                z = min(end, max(a + 1, int(np.searchsorted(grows, grows[a] + EXPAND, "right")) - 1))
                 docs = self.members[a:z]
                 where = ragged(self.first[docs], self.size[docs])
-                key = np.repeat((self.block[a:z] - b) * width, self.size[docs]) + number[where]
-                np.maximum.at(buffer, key, self.impact[where])
+                np.maximum.at(buffer, np.repeat((block[a:z] - b) * width, self.size[docs]) + self.term[where], self.impact[where])
+                a = z
             there = np.flatnonzero(buffer)
-            out.append((local[there % width], there // width + b, buffer[there]))
+            out.append(((there % width).astype(np.int32), (there // width + b).astype(np.int32), buffer[there]))
             b = upto
-        term, block, most = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
+        term, block_, most = (np.concatenate(x) if out else np.zeros(0, np.int32) for x in (zip(*out, strict=True) if out else ([], [], [])))
         order = np.argsort(term, kind="stable")
-        self.sum_block, self.sum_most = block[order], most[order]
-        self.sum_first = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.sum_block, self.sum_most = block_[order], most[order]
+        self.sum_first = np.searchsorted(term[order], np.arange(len(self.local) + 1))
 
     def bounds(self, item_terms: np.ndarray, item_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(blocks of the item's posting lists, bounds of their scores), highest bound first."""
         bound = np.zeros(self.n_blocks, np.int64)
         for t, w in zip(item_terms.tolist(), item_weights.tolist(), strict=True):
             lo, hi = self.sum_first[t], self.sum_first[t + 1]
-            bound[self.sum_block[lo:hi]] += w * self.sum_most[lo:hi]
+            bound[self.sum_block[lo:hi]] += w * self.sum_most[lo:hi].astype(np.int64)
         own = ragged(self.of_term[item_terms], self.of_term[item_terms + 1] - self.of_term[item_terms])
         own = own[np.argsort(-bound[own], kind="stable")]
         return own, bound[own]
@@ -208,8 +203,13 @@ class Shard:
 
     def search(self, item_terms: np.ndarray, item_weights: np.ndarray, best: int, least: int) -> tuple[list[tuple], int]:
         """Up to ``best`` rows (-score, id is null, id) with a score of ``least`` at least, and the number of documents scored."""
+        if not len(self.local):
+            return [], 0
+        local = np.minimum(np.searchsorted(self.local, item_terms), len(self.local) - 1)
+        known = self.local[local] == item_terms
+        item_terms, item_weights = local[known], item_weights[known]
         blocks, bound = self.bounds(item_terms, item_weights)
-        by_term = np.zeros(len(self.weight), np.int64)
+        by_term = np.zeros(len(self.local), np.int64)
         by_term[item_terms] = item_weights
         seen = np.zeros(len(self.size), bool)
         docs_, scores_, start, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 8
