@@ -7,10 +7,13 @@ the shorter prefix (pair-compatibility test) is that prefix's last token.
 Back-pointers from the end of the piece emit the ids.  Time is linear in the
 text, whatever the merges; there is no merge loop and no heap.
 
-Pieces repeat, so each worker keeps a bounded table of pieces it has solved.
+Pieces repeat, so each worker keeps a bounded table of short pieces it has solved.
 Texts are read in segments cut before white space that follows other text,
-where the tokenizer always splits, so memory does not depend on the length
-of a text.
+where the tokenizer always splits, so memory depends on the length of a text only by
+the text itself and its ids; a piece without white space takes four bytes more for each of its own.
+
+Tokens that their own merges cannot make are left out of the automaton: the library never
+gives them.
 
 The tokenizer file is read once by the driver (``path`` may be local to it)
 and sent to the tasks; its size is that of the vocabulary.
@@ -24,6 +27,7 @@ asked for in ``keep``.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +46,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Solved pieces (in each of two generations) and tested token pairs that a worker keeps.
 KEEP_PIECES = 250_000
 KEEP_PAIRS = 400_000
+#: Longer pieces (characters) are solved each time they come, so the table of pieces is bounded in bytes too.
+KEEP_LENGTH = 64
+#: Pieces of more bytes are solved front to back with one number a byte.
+LONG_PIECE = 20_000
 #: Characters of a text that are split into pieces at once.
 SEGMENT_CHARS = 1_000_000
 NEVER = 1 << 60
@@ -57,7 +65,7 @@ def byte_letters() -> dict[str, int]:
 
 class RecentMap(dict):
     """Results by key in two generations: when the young one is full it becomes the old one,
-    so that what is asked for again stays and memory is bounded."""
+    so that what is asked for again stays and memory is bounded; long keys are not kept."""
 
     def __init__(self, solve, size: int):
         super().__init__()
@@ -78,7 +86,8 @@ class RecentMap(dict):
                         value = old.get(key)
                         if value is None:
                             value = solve(key)
-                        self[key] = value
+                        if not isinstance(key, str) or len(key) <= KEEP_LENGTH:
+                            self[key] = value
                     found[i] = value
         return found
 
@@ -116,12 +125,25 @@ class Vocabulary:
             made = vocab[left + right]
             if made in self.parts:
                 raise ValueError(f"two merges make token {made}")
+            if any(len(self.bytes[vocab[p]]) > 1 and vocab[p] not in self.parts for p in (left, right)):
+                raise ValueError(f"merge {place} comes before those that make its parts")
             self.parts[made] = vocab[left], vocab[right]
             self.rank[made] = place
             self.merge[vocab[left], vocab[right]] = place
         self.ids = {b: i for i, b in enumerate(self.bytes) if b and i not in self.specials.values()}
+        made = self.reachable()
+        self.ids = {b: i for b, i in self.ids.items() if i in made}
         self.pairs: dict[int, bool] = {}
 
+    def reachable(self) -> set[int]:
+        """Tokens that the merges make of their own bytes; any other one never stands in an encoding."""
+        made = {i for b, i in self.ids.items() if len(b) == 1}
+        for i in sorted(self.parts, key=lambda i: len(self.bytes[i])):
+            a, b = self.parts[i]
+            if a in made and b in made and self.meet(a, b)[1]:
+                made.add(i)
+        return made
+
     @lru_cache(maxsize=200_000)  # noqa: B019  one vocabulary per worker
     def edge(self, token: int, right: bool) -> tuple[int, ...]:
         """Tokens at one edge of a token, from its outermost byte up to itself."""
@@ -130,8 +152,8 @@ class Vocabulary:
             out.append(self.parts[out[-1]][right])
         return tuple(reversed(out))
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the boundary between a and b alone.
+    def meet(self, a: int, b: int) -> tuple[bool, bool]:
+        """Whether BPE merges across the boundary between a and b, and whether it does so with both whole.
 
         Both tokens grow in merge order.  At each moment one token touches the
         boundary from either side; they would merge if their pair's place is
@@ -145,18 +167,21 @@ class Vocabulary:
             next_y = rank[ys[j + 1]] if j + 1 < len(ys) else NEVER
             here = merge.get((xs[i], ys[j]), NEVER)
             if here < next_x and here <= next_y:
-                return False
+                return True, next_x == next_y == NEVER
             if next_x == next_y == NEVER:
-                return True
+                return False, False
             if next_x <= next_y:
                 i += 1
             else:
                 j += 1
 
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether BPE leaves the boundary between a and b alone."""
+        return not self.meet(a, b)[0]
 
     def follows(self, a: int, b: int) -> bool:
         """``compatible`` with a bounded memory."""
-        key = a << 17 | b
+        key = a * len(self.bytes) + b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEEP_PAIRS:
@@ -187,6 +212,8 @@ class PrefixEncoder:
         """
         data = piece.encode().decode("latin-1")
         size = len(data)
+        if size > LONG_PIECE:
+            return self.encode_long(data)
         tokens, first = [], [0] * (size + 1)  # tokens ending at n start at first[n], longest first
         before = -1
         for end, token in self.matches.iter(data):
@@ -213,6 +240,25 @@ class PrefixEncoder:
             at -= width[last[at]]
         return np.array(out[::-1], np.int32).tobytes()
 
+    def encode_long(self, data: str) -> bytes:
+        """The same for a long piece: every prefix from the first on, four bytes for each."""
+        last = np.full(len(data) + 1, -1, np.int32)
+        width, follows, done = self.width, self.vocab.follows, -1
+        for end, token in self.matches.iter(data):  # by end, longest first
+            if end == done:
+                continue
+            start = end + 1 - width[token]
+            if start == 0 or follows(int(last[start]), token):
+                last[end + 1] = token
+                done = end
+        out, at = array("i"), len(data)
+        while at:
+            token = int(last[at])
+            out.append(token)
+            at -= width[token]
+        out.reverse()
+        return out.tobytes()
+
     def encode(self, text: str) -> np.ndarray:
         found = [np.zeros(0, np.int32)]
         special = self.vocab.specials

@@ -15,7 +15,8 @@ Two deterministic machines count the tokens of a byte-level BPE:
   piece that a longer token could still start with, the last token and the
   count before that suffix: all that the exact encoding of any continuation
   depends on.  States and transitions are compiled when first needed, are
-  shared by all pieces of a worker, and are dropped when there are too many.
+  shared by all pieces of a worker, and are dropped when there are too many,
+  inside a long piece as well.
 
 Defined cases: a null text has no tokens; special strings inside a text count
 as one token each, as the library does by default; an empty table gives an
@@ -45,7 +46,7 @@ STATES, CLASSES = 12, 11
 HERE, BEFORE = 1, 2  # marks: a piece begins at this character; at the one before
 CHUNK = 256
 KEEP_PIECES = 250_000
-KEEP_STATES = 200_000
+KEEP_STATES = 100_000
 
 
 def compile_splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -219,21 +220,28 @@ class CountTransducer:
                 break
         change = count + 1
         new = to, (*[(past[k][0], past[k][1] - change) for k in keeps], (token, 0))
-        number = self.known.get(new)
-        if number is None:
-            number = self.known[new] = len(self.states)
-            self.states.append(new)
-        move = self.moves[state << 8 | b] = number << 8 | change + 128
+        move = self.moves[state << 8 | b] = self.number_of(new) << 8 | change + 128
         return move
 
+    def number_of(self, state: tuple) -> int:
+        number = self.known.get(state)
+        if number is None:
+            number = self.known[state] = len(self.states)
+            self.states.append(state)
+        return number
+
     def count(self, piece: str) -> int:
-        if len(self.states) > KEEP_STATES:
-            self.reset()
         state = total = 0
         find = self.moves.get
         data = piece.encode()
         for b in data:
-            move = find(state << 8 | b) or self.compile_move(state, b)
+            move = find(state << 8 | b)
+            if move is None:
+                if len(self.states) > KEEP_STATES:  # inside a piece too: the state goes on under a new number
+                    here = self.states[state]
+                    self.reset()
+                    state, find = self.number_of(here), self.moves.get
+                move = self.compile_move(state, b)
             state = move >> 8
             total += move & 255
         return total - 128 * len(data)

@@ -105,3 +105,73 @@ def test_queries_match_the_library_on_the_table(spark, library):
     assert got == {i: (len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_token_counts"](spark, sf).collect()}
     assert got == {i: (len(docs[i].encode()), len(x), len(x) > 1024) for i, x in ids.items()}
+
+
+def made_tokenizer(seed, spread=1, shuffled=False):
+    """A byte-level BPE of random merges: some tokens cannot be made of their own bytes."""
+    import json
+
+    from kappaflow.llm.bpe import byte_letters
+    rng = random.Random(seed)
+    letters = list(byte_letters())
+    vocab = {c: i * spread for i, c in enumerate(letters)}
+    pool, merges = list("abcd") * 3, []
+    while len(merges) < 400:
+        a, b = rng.choice(pool), rng.choice(pool)
+        if a + b not in vocab and len(a + b) < 9:
+            vocab[a + b] = len(vocab) * spread
+            merges.append(f"{a} {b}")
+            pool.append(a + b)
+    if shuffled:
+        rng.shuffle(merges)
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+             "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": vocab, "merges": merges}
+    return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": level,
+                       "post_processor": None, "decoder": level, "model": model})
+
+
+@pytest.mark.parametrize("seed, spread", [(1, 1), (2, 1), (3, 401)])
+def test_unreachable_tokens_and_large_ids(seed, spread):
+    spec = made_tokenizer(seed, spread)
+    lib = Tokenizer.from_str(spec)
+    rng = random.Random(seed + 100)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 40))) for _ in range(2000)] + ["ab cd" * 50]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    encoder, counter = PrefixEncoder(spec), TC.TokenCounter(spec)
+    every = sum(1 for b in encoder.vocab.bytes if b)
+    assert len(encoder.vocab.ids) < every  # some are unreachable
+    if spread > 1:
+        assert max(map(max, want)) > 131_071
+    assert [encoder.encode(t).tolist() for t in texts] == want
+    assert counter.count(texts).tolist() == [len(w) for w in want]
+
+
+def test_merges_out_of_order_are_refused():
+    with pytest.raises(ValueError, match="before those that make its parts"):
+        PrefixEncoder(made_tokenizer(1, shuffled=True))
+
+
+def test_every_token_of_the_dealt_file_is_reachable():
+    encoder = PrefixEncoder(read_tokenizer(PATH))
+    assert len(encoder.vocab.ids) == sum(1 for b in encoder.vocab.bytes if b) - len(encoder.vocab.specials)
+
+
+def test_words_of_any_length_take_bounded_memory(library, monkeypatch):
+    """Pieces without white space: no table of them grows, and states are dropped inside a piece."""
+    import tracemalloc
+    rng = random.Random(9)
+    word = "".join(rng.choice("abcdefghijklmnop") for _ in range(150_000))
+    want = library.encode(word, add_special_tokens=False).ids
+    encoder, counter = PrefixEncoder(read_tokenizer(PATH)), TC.TokenCounter(read_tokenizer(PATH))
+    assert encoder.encode(word).tolist() == want
+    monkeypatch.setattr(TC, "KEEP_STATES", 5_000)
+    assert counter.count([word]).tolist() == [len(want)] and len(counter.machine.states) <= 5_002
+    encoder.known.clear()
+    encoder.encode(" ".join([word[i:i + 200] for i in range(0, 20_000, 200)]))
+    assert not encoder.known and all(len(k) <= 64 for k in counter.known)  # long pieces are not kept
+    tracemalloc.start()
+    encoder.encode("ab" * 500_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # 40 bytes a letter: five million letters stay below 200 MB
