@@ -6,15 +6,16 @@ the weights scaled to sum to one over the sources that are there.  Each row
 draws its number of copies from a Poisson distribution with that mean by
 inversion: a uniform number in [0, 1) comes from an MD5 hash of seed and id,
 and the count is the number of cumulative probabilities that it reaches.
-Copies are exploded and dealt out by a hash of seed, row and copy number,
-sorted inside each partition by that hash: a global shuffle in one exchange.
+Copies are exploded and dealt out by a hash of seed, row, the row's place in its
+input split and copy number, sorted inside each partition by that hash: a
+global shuffle in one exchange, in which rows that are equal part as well.
 
 The draw depends on seed and id alone, so lost tasks redo the same rows and
 rows with equal ids get equal counts.
 
 The rates are one number per key of ``weights`` plus one for all other
 sources together, so they are bounded by the parameter (``MAX_SOURCES``),
-never by the data, and go into the plan as literals.  All sources outside
+never by the data; their cumulative probabilities are a broadcast table of so many rows.  All sources outside
 ``weights`` share the weight ``other_weight`` in proportion to their size.
 
 Defined cases: a null source belongs to the others; a null id hashes as the
@@ -42,23 +43,21 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HEX_DIGITS), 16, 10).cast("double") / F.lit(float(16 ** HEX_DIGITS))
 
 
-def poisson_steps(rate: float) -> int:
-    """Terms after which a 52-bit uniform number cannot exceed the cumulative probability."""
-    return math.ceil(rate + 12 * math.sqrt(rate) + 40)
+def cumulative(rate: float) -> list[float]:
+    """P(X <= k) of a Poisson distribution for k = 0, 1, ... up to the last one that a 52-bit uniform number can reach."""
+    if rate <= 0:
+        return [1.0]
+    out, total, k = [], 0.0, 0
+    while total < 1 - 2.0 ** -52 and k <= rate + 12 * math.sqrt(rate) + 40:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        out.append(total)
+        k += 1
+    return out
 
 
-def poisson_count(u: Column, rate: Column, steps: Column) -> Column:
-    """Smallest k with u < P(X <= k), by summing the terms of the distribution in log space."""
-    seed = F.struct(F.lit(0.0).alias("logfact"), F.exp(-rate).alias("cdf"),
-                    (u >= F.exp(-rate)).cast("int").alias("k"))
-
-    def step(acc, i):
-        logfact = acc["logfact"] + F.log(i.cast("double"))
-        cdf = acc["cdf"] + F.exp(i.cast("double") * F.log(rate) - rate - logfact)
-        return F.struct(logfact.alias("logfact"), cdf.alias("cdf"), (acc["k"] + (u >= cdf).cast("int")).alias("k"))
-
-    drawn = F.aggregate(F.sequence(F.lit(1), steps), seed, step, lambda acc: acc["k"])
-    return F.when(rate > 0, drawn).otherwise(F.lit(0))
+def poisson_count(u: Column, steps: Column) -> Column:
+    """Smallest k with u < P(X <= k): the number of cumulative probabilities that u reaches."""
+    return F.size(F.filter(steps, lambda p: p <= u))
 
 
 def mixing_rates(docs: DataFrame, weights: dict[str, float], *, source_col: str = "source",
@@ -93,17 +92,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], *, id_col: str = "do
     check_columns(docs, id_col, source_col)
     rates = mixing_rates(docs, weights, source_col=source_col, size_col=size_col, other_weight=other_weight,
                          epochs=epochs)
-    rest = rates.pop(None, 0.0)
-    rate, steps = F.lit(rest), F.lit(poisson_steps(rest))
+    rest = F.lit(cumulative(rates.pop(None, 0.0)))
+    n, copy, place, name_, steps = fresh(docs, "n", "copy", "place", "name", "steps")
     if rates:
-        src = col(source_col).cast("string")
-        by_source = F.create_map(*[x for s, r in rates.items() for x in (
-            F.lit(s), F.struct(F.lit(r).alias("rate"), F.lit(poisson_steps(r)).alias("steps")))])
-        found = F.element_at(by_source, src)
-        rate, steps = F.coalesce(found["rate"], rate), F.coalesce(found["steps"], steps)
-    n, copy, place = fresh(docs, "n", "copy", "place")
-    count = poisson_count(uniform(seed, col(id_col)), rate, steps)
-    drawn = docs.select("*", count.alias(n), row_hash(docs, seed).alias(place)).where(col(n) > 0)
+        # At most MAX_SOURCES rows of a few dozen numbers each.
+        by_source = docs.sparkSession.createDataFrame([(s, cumulative(r)) for s, r in rates.items()], f"`{name_}` string, `{steps}` array<double>")
+        docs_ = docs.join(F.broadcast(by_source), col(source_col).cast("string") == col(name_), "left").withColumn(steps, F.coalesce(col(steps), rest))
+    else:
+        docs_ = docs.withColumn(steps, rest)
+    count = poisson_count(uniform(seed, col(id_col)), col(steps))
+    # The row's place in its input split tells equal rows apart; a lost task reads the same split again.
+    at = F.xxhash64(row_hash(docs, seed), F.monotonically_increasing_id())
+    drawn = docs_.select(*[col(c) for c in docs.columns], count.alias(n), at.alias(place)).where(col(n) > 0)
     copies = (drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), col(n))))
               .withColumn(place, F.xxhash64(col(place), col(copy))))
     mixed = copies.repartition(place).sortWithinPartitions(place)

@@ -55,3 +55,17 @@ def test_columns(odd_docs):
     assert mix_sources(odd_docs, {"src0": 1.0}, other_weight=1.0, numbered=False).schema.names == odd_docs.schema.names
     again = mix_sources(odd_docs.withColumnRenamed("kept", "copy_no"), {"src0": 1.0}, other_weight=1.0)
     assert again.schema.names[-2:] == ["_copy_no", "n_copies"]
+
+
+def test_equal_rows_part(spark):
+    """Twenty thousand equal rows of one id are dealt out over all partitions."""
+    df = spark.range(0, 20_000, 1, 6).selectExpr("7L AS doc_id", "'s' AS source", "'t' AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = mix_sources(df, {"s": 1.0}, epochs=2.0)
+        per = [len(p) for p in out.rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    each = drawn(42, 7, 2.0)
+    assert sum(per) == 20_000 * each and min(per) > 0.5 * sum(per) / len(per)
+    assert len(per) == int(spark.conf.get("spark.sql.shuffle.partitions"))
