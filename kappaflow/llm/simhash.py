@@ -31,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .common import check_columns, col, fresh, text_of, text_slices
+from .common import check_columns, col, fresh, row_hash, text_of, text_slices
 from .components import connected_components
 
 SHINGLE = 3
@@ -303,16 +303,21 @@ def near_links(prints: DataFrame, *, radius: int = RADIUS, bucket: int = BUCKET)
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
                  radius: int = RADIUS, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """id, text_hash, fp and class (smallest id reachable by links of at most ``radius`` bits), for every row."""
+    """id, text_hash, fp and class (smallest id reachable by links of at most ``radius`` bits), for every row.
+
+    ``first_hash`` is the text hash of the row that names the class: the one with the least (id, text hash), null ids last.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed).checkpoint()
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
+    prints = rows.groupBy("fp").agg(F.min(first).alias("first")).checkpoint()
     parts = connected_components(near_links(prints.select("fp"), radius=radius, bucket=bucket))
     labelled = (prints.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
-                .select("fp", "least", F.coalesce("component", "fp").alias("component")))
-    least = labelled.groupBy("component").agg(F.min("least").alias("class"))
-    by_print = labelled.join(least, "component").select("fp", "class")
-    return rows.join(by_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", "class")
+                .select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    least = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    by_print = labelled.drop("first").join(least, "component").select("fp", "first")
+    return rows.join(by_print, "fp").select(F.col("id").alias(id_col), "text_hash", "fp", F.col("first.id").alias("class"),
+                                            F.col("first.text_hash").alias("first_hash"))
 
 
 def hex_print(fp) -> F.col:
@@ -321,13 +326,17 @@ def hex_print(fp) -> F.col:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each class, the one with the smallest id, with all its columns.
+    """One row of each class with all its columns: the one with the least (id, text hash, row hash), null ids last.
 
-    Rows that repeat an id and a text are one document and share its decision;
-    a class whose ids are all null keeps its rows, since nothing names one of them.
+    Whatever rows repeat, of every class exactly one stays.
     """
     classes = near_classes(docs, id_col, text_col, **how)
-    id_, hash_ = fresh(docs, "id", "hash")
-    stay = (classes.where(F.col(classes.columns[0]).eqNullSafe(F.col("class")))
-            .select(F.col(classes.columns[0]).alias(id_), F.col("text_hash").alias(hash_)).distinct())
-    return docs.join(stay, col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_of(text_col)) == F.col(hash_)), "left_semi")
+    id_, hash_, row, rank = fresh(docs, "id", "hash", "row", "rank")
+    found = F.col(classes.columns[0])
+    # Ids as text, null apart, so that join and window are dealt out by the same columns.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+    stay = (classes.where(found.eqNullSafe(F.col("class")) & (F.col("text_hash") == F.col("first_hash")))
+            .select(named(found).alias(id_), F.col("text_hash").alias(hash_)).distinct())
+    keyed = docs.select("*", named(col(id_col)).alias(id_), F.xxhash64(text_of(text_col)).alias(hash_), row_hash(docs).alias(row))
+    one = F.row_number().over(Window.partitionBy(id_, hash_).orderBy(row))
+    return keyed.join(stay, [id_, hash_], "left_semi").withColumn(rank, one).where(col(rank) == 1).select(*[col(c) for c in docs.columns])

@@ -48,3 +48,22 @@ def test_stages_return_the_columns_of_documents(spark):
         assert stage(spark, docs, SF).schema.names == docs.schema.names, name
         assert stage(spark, empty, SF).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_a_named_run_is_resumed(spark, tmp_path, monkeypatch):
+    """Stages that were completed for the same documents are read; other documents are computed anew."""
+    import uuid
+
+    from kappaflow.plans.model import clear_run
+    name = f"t-{uuid.uuid4().hex[:8]}"
+    calls = []
+    stages = [(n, lambda s, d, sf, n=n: (calls.append(n), d)[1]) for n, _ in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    first = corpus_pipeline.run(spark, SF, name=name).count()
+    assert calls == [n for n, _ in stages]
+    assert corpus_pipeline.run(spark, SF, name=name).count() == first
+    assert calls[len(stages):] == [stages[-1][0]]
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(20).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path), name=name).count() == 20
+    assert clear_run(spark, name)

@@ -140,3 +140,14 @@ def test_an_id_that_repeats_with_another_text(spark):
     rows = [(5, a), (5, b), (2, b), (None, b), (None, c), (7, a), (7, a)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(str, (tuple(r) for r in S.drop_near_copies(docs).collect()))) == sorted(map(str, [(5, a), (2, b), (None, c)]))
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Null ids, rows that share id and class, wholly equal rows: whatever repeats, one row of a class stays."""
+    a, b = "one two three four five", "six seven eight nine ten eleven"
+    rows = [(None, a, "x"), (None, a, "x"), (None, a.upper(), "y"), (5, b, "x"), (5, b.title(), "x"), (5, b, "w"), (5, b, "w"), (None, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in S.drop_near_copies(docs).collect()]
+    assert sorted((r[0] is None, r[1].lower()) for r in kept) == [(False, b), (True, a)] and set(kept) <= set(rows)
+    again = [tuple(r) for r in S.drop_near_copies(docs.repartition(5)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, kept))
