@@ -5,7 +5,7 @@ weights, and BPE encoding.  Every stage takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written as Parquet to the shared folder and read again
 as the next stage's ``docs``; all but the last return the columns of
 ``documents``.  Stage folders are named by the run, so a new run never reads
-another run's rows.
+another run's rows; a run with a name takes up after its last completed stage.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from kappaflow.llm.mixing import mix_sources
 from kappaflow.llm.quality import keep_quality, train_field
 from kappaflow.llm.queries import MIX_SEED, OTHER_WEIGHT, SOURCE_WEIGHTS, TOKENIZER, table
 from kappaflow.llm.simhash import drop_near_copies
-from kappaflow.session import stage_root
+from kappaflow.plans.model import read_stage, stage_table, table_version
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, one document: that with the smallest id."""
     return drop_near_copies(docs)
 
 
@@ -58,10 +58,16 @@ STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash", near), ("mix
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The stages one after the other.
+
+    A run with a ``name`` can be resumed: stages that were completed for the same documents and
+    labels are read (``clear_run(spark, name)`` removes them).  A run without one has folders of its own.
+    """
     docs = table(spark, sf_dir, "documents")
-    root = f"{stage_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+    version = table_version(docs, table(spark, sf_dir, "labels"), stages=[s for s, _ in STAGES]) if name else None
+    root = name or f"pipeline-{uuid.uuid4().hex}"
+    for stage_name, stage in STAGES[:-1]:
+        done = read_stage(spark, f"{root}/{stage_name}", version=version)
+        docs = done if done is not None else stage_table(stage(spark, docs, sf_dir), f"{root}/{stage_name}", version=version)
     return STAGES[-1][1](spark, docs, sf_dir)
