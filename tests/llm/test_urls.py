@@ -81,37 +81,54 @@ def test_query(spark):
     assert len(out) == len(urls)
     for r in out:
         assert (r["host"], r["path"], r["rule"]) == brute(urls[r["page_id"]], URL_RULES)
-    spam = [r for r in out if r["rule"] is None and ("spam-farm" in r["host"] or "pills" in r["host"])]
-    assert all(r["verdict"] == "block" for r in spam)
+    assert {r["verdict"] for r in out} == {"allow", "block"}
+
+
+#: Hosts of the test pages whose names tell of harm; the module knows nothing of them.
+HARMFUL_HOSTS = ("cheap-pills", "spam-farm", "casino-win", "free-bets", "ads-track", "adult-x")
 
 
 def name_of(url):
     return re.search(r"://(?:(?:www|blog|m|shop|my)\.)?([^./]+)\.", url).group(1)
 
 
+def judged(spark, fitted, rows):
+    model = U.fit_urls(spark.createDataFrame(fitted, "url string, label int"))
+    out = U.filter_urls(spark.createDataFrame(rows, "url string, label int"), {}, model).collect()
+    return {y: float(np.mean([r["verdict"] == "block" for r in out if r["label"] == y])) for y in {r["label"] for r in out}}
+
+
 def test_recall_on_names_in_no_label(spark):
-    """Fit on two thirds of the names, judge the rest: whole names are unseen."""
+    """Fit on two thirds of the names, judge the rest: whole names are unseen, most of their words are not."""
     rows = U.example_labels()
     held = set(sorted({name_of(u) for u, _ in rows})[::3])
-    model = U.fit_urls(spark.createDataFrame([r for r in rows if name_of(r[0]) not in held], "url string, label int"))
-    out = U.filter_urls(spark.createDataFrame([r for r in rows if name_of(r[0]) in held], "url string, label int"), {}, model).collect()
-    blocked = {y: [r["verdict"] == "block" for r in out if r["label"] == y] for y in (0, 1)}
-    assert len(blocked[1]) > 400 and np.mean(blocked[1]) > 0.85 and np.mean(blocked[0]) < 0.05
+    share = judged(spark, [r for r in rows if name_of(r[0]) not in held], [r for r in rows if name_of(r[0]) in held])
+    print("by name", share)
+    assert share[1] > 0.8 and share[0] < 0.05
+
+
+def test_recall_on_words_in_no_label(spark):
+    """A third of the harmful words is in no label: what the regression makes of names of such words alone."""
+    import random
+    rng = random.Random(4)
+    words = sorted(U._HARMFUL_WORDS)
+    rng.shuffle(words)
+    held = frozenset(words[::3])
+    fitted = U.example_labels(held)
+    assert not any(set(name_of(u).split("-")) & held for u, y in fitted if y)
+    new = [("http://" + ("-" if rng.random() < 0.6 else "").join(rng.sample(sorted(held), rng.choice((1, 2, 2)))) + f".{rng.choice(U._ENDINGS)}/{rng.randint(1, 99)}", 1)
+           for _ in range(900)]
+    share = judged(spark, fitted, new)
+    print("by word", share)
+    assert share[1] > 0.25
 
 
 def test_harmful_hosts_of_the_pages(spark, model):
-    """The pages' harmful names are in no label; without any rule the regression blocks nearly all of their urls, and few others."""
-    flat = {n.replace("-", "") for n in U.HELD_OUT_NAMES}
-    assert not any(name_of(u).replace("-", "") in flat for u, _ in U.example_labels())
+    """The pages' hosts are named nowhere in the module; without any rule the regression blocks most of their harmful urls, and few others."""
+    import inspect
+    assert not any(h in inspect.getsource(U) for h in HARMFUL_HOSTS)
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url")
     out = U.filter_urls(pages, {}, model).collect()
-    harmful = [r for r in out if any(n in r["host"] for n in U.HELD_OUT_NAMES)]
-    assert len(harmful) > 0 and np.mean([r["verdict"] == "block" for r in harmful]) > 0.9
-    assert np.mean([r["verdict"] == "block" for r in out if not any(n in r["host"] for n in U.HELD_OUT_NAMES)]) < 0.05
-
-
-def test_query_leaves_harmful_hosts_to_the_regression(spark):
-    """Some urls of harmful hosts are under no rule, and the query blocks nearly all of them."""
-    rows = QUERIES["op1_url_filter"](spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
-    left = [r for r in rows if any(n in r["host"] for n in U.HELD_OUT_NAMES)]
-    assert len(left) > 0 and np.mean([r["verdict"] == "block" for r in left]) > 0.8
+    share = {y: np.mean([r["verdict"] == "block" for r in out if any(n in r["host"] for n in HARMFUL_HOSTS) == y]) for y in (True, False)}
+    print("pages", share)
+    assert share[True] > 0.7 and share[False] < 0.08
