@@ -338,3 +338,54 @@ def cached_model_call(requests: DataFrame, model, cache: DataFrame | None = None
     if known is not None:
         answers = answers.unionByName(known.withColumn("cached", F.lit(True)))
     return keys.select("report_id", "request_key").join(answers, "request_key", "left")
+
+
+CACHE_SCHEMA = "request_key string, payload string"
+#: Key buckets of a cache; an append and a compaction write each as files of its own.
+CACHE_BUCKETS = 64
+
+
+def append_cache(answers: DataFrame, path: str) -> None:
+    """Add (request_key, payload) to a cache as a new generation, dealt out by key buckets."""
+    bucket = F.pmod(F.xxhash64("request_key"), F.lit(CACHE_BUCKETS)).cast("int")
+    rows = answers.where(F.col("payload").isNotNull()).select("request_key", "payload", bucket.alias("bucket"))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/generation={time.time_ns()}-{uuid.uuid4().hex[:6]}")
+
+
+def _generations(spark, path: str) -> list[str]:
+    """Complete generations, oldest first; one that is merged away is no longer named by the list."""
+    fs, root = _file_system(spark, path)
+    if not fs.exists(root):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("generation="))
+    done = [n for n in names if fs.exists(_file_system(spark, f"{path}/{n}/_SUCCESS")[1])]
+    # A merged generation is named after the newest it holds: what is not newer is in it.
+    merged = [n for n in done if n.endswith("-merged")]
+    return [f"{path}/{n}" for n in done if not merged or n >= merged[-1]]
+
+
+def read_cache(spark, path: str) -> DataFrame:
+    """The cache's rows; after ``compact_cache`` one for each key.  Generations are read bucket by bucket, without a shuffle."""
+    out = None
+    for folder in _generations(spark, path):
+        part = spark.read.schema(CACHE_SCHEMA).parquet(folder).select("request_key", "payload")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], CACHE_SCHEMA)
+
+
+def compact_cache(spark, path: str, *, drop: bool = True) -> int:
+    """Merge all generations into one with one row for each key; returns the number merged.
+
+    The merged generation counts as soon as it is complete, and only then are the old ones removed (``drop``),
+    so a lost job loses nothing.
+    """
+    parts = _generations(spark, path)
+    if len(parts) < 2:
+        return 0
+    newest = parts[-1].rsplit("=", 1)[1].removesuffix("-merged")
+    rows = read_cache(spark, path).groupBy("request_key").agg(F.min("payload").alias("payload"))
+    bucket = F.pmod(F.xxhash64("request_key"), F.lit(CACHE_BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/generation={newest}-merged")
+    for folder in parts if drop else ():
+        drop_folder(spark, folder)
+    return len(parts)

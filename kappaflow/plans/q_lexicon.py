@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.text import choice_label
+from ..operators.annotate import annotate_mentions
 from ..operators.lexicon_ops import grade_with, lexicon_diff, regrade_changed, regrade_with_lexicon
+from ..session import stage_root
 from ..sources import adapters as A
+from ..sources.dictionaries import FINDINGS, FINDINGS_ALT, lexicon_df
+from ..sources.files import lexicon_scan, write_lexicon_json
 from . import methods as M
 from .q_grading import codes_sql, grade_sql_body
 from .q_models import JUDGE_COLS, _input, _model, _q as _mq, judge_ctes
@@ -92,3 +97,25 @@ def q_choice_label(spark, sf):
     j = M.grade_judge(d, _model(spark, sf), stage="judge-labels").select("report_id", *JUDGE_COLS)
     return j.select("report_id", "judge_choice", choice_label("judge_choice").alias("choice_label"),
                     "judge_choice_ext", choice_label("judge_choice_ext").alias("choice_label_ext"))
+
+
+def _dictionary_values(d: dict[str, int]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join("('" + t.replace("'", "''") + f"', {p})" for t, p in d.items()) + ") AS v(term, priority)"
+
+
+@register("alternative_dictionary", A.with_views(["case_lines", "case_terms"], """
+SELECT l.report_id, CAST(max(f.priority) AS INT) AS priority_first, CAST(max(g.priority) AS INT) AS priority_second
+FROM case_lines l JOIN case_terms t ON t.case_no = l.case_no AND NOT t.negated
+JOIN first_dict f ON f.term = t.term LEFT JOIN second_dict g ON g.term = t.term GROUP BY l.report_id""",
+    [("first_dict", _dictionary_values(FINDINGS)), ("second_dict", _dictionary_values(FINDINGS_ALT))]))
+def q_alternative_dictionary(spark, sf):
+    """What the reports affirm under the first dictionary and under the alternative one, both read from stored JSON files."""
+    read = {}
+    for name, d in (("first", FINDINGS), ("second", FINDINGS_ALT)):
+        path = f"{stage_root(spark)}/dictionary-{uuid.uuid4().hex[:12]}"
+        write_lexicon_json(lexicon_df(spark, d), path)
+        read[name] = lexicon_scan(spark, path).select("idx", "term", "priority")
+    found = annotate_mentions(A.case_reports(spark, sf), read["first"]).where("NOT negated").select("report_id", "term")
+    both = found.join(read["first"].select("term", F.col("priority").alias("p1")), "term").join(
+        read["second"].select("term", F.col("priority").alias("p2")), "term", "left")
+    return both.groupBy("report_id").agg(F.max("p1").alias("priority_first"), F.max("p2").alias("priority_second"))

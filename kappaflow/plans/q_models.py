@@ -9,13 +9,17 @@ oracles reproduce with a window over the prompt inputs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_text
 from ..sources import adapters as A
 from . import methods as M
-from .model import PandasModel, ReplayModel, cached_model_call, stage_table
+from ..session import stage_root
+from .model import (PandasModel, ReplayModel, RuleModel, append_cache, cached_model_call, compact_cache, read_cache, stage_table,
+                    timed_stage)
 from .q_grading import codes_sql
 from .q_text import CL_CTE, clean_sql, fill_sql
 from .registry import register
@@ -204,6 +208,42 @@ def q_stage_stats(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@register("timed_stage", _q("""
+SELECT 'llm' AS stage, (SELECT count(*) FROM cl) AS rows, (SELECT count(*) FROM llm_out WHERE llm_status <> 'ok') AS failures,
+       true AS has_seconds, true AS has_seconds_per_row""", LLM_CTES))
+def q_timed_stage(spark, sf):
+    """Rows and failures of a stage as observed while it is written; the seconds differ from run to run."""
+    g = M.grade_llm(_input(spark, sf), _model(spark, sf)).select("report_id", "llm_grade", "llm_status")
+    _, stats = timed_stage(g, "timed-llm", "llm_status")
+    row = (stats["stage"].split("-")[-1], stats["rows"], stats["failures"], stats["seconds"] > 0, (stats["seconds_per_row"] or 0) > 0)
+    return spark.createDataFrame([row], "stage string, rows long, failures long, has_seconds boolean, has_seconds_per_row boolean")
+
+
+@register("rule_model", A.with_views(["case_lines"], """
+SELECT report_id, CAST(max(grade) AS INT) AS llm_grade, 'ok' AS llm_status FROM case_lines GROUP BY report_id"""))
+def q_rule_model(spark, sf):
+    """The offline provider, whose answers go through the same request keys and decoder as any model's."""
+    return M.grade_llm(A.case_reports(spark, sf), RuleModel()).select("report_id", "llm_grade", "llm_status")
+
+
+def _cache_sql():
+    return A.with_views(["reports_with_truth"], "SELECT count(DISTINCT txt) AS n_keys, count(DISTINCT txt) AS n_rows, true AS same_answers FROM cl", [CL_CTE])
+
+
+@register("compacted_cache", _cache_sql())
+def q_compacted_cache(spark, sf):
+    """M3: answers appended by two runs, the second with some again, merged to one row a key."""
+    req = M.with_requests(_input(spark, sf), "llm", {"rpt": F.col("TEXT_REPORT")}, "model")
+    path = f"{stage_root(spark)}/cache-{uuid.uuid4().hex[:12]}"
+    answers = req.select("request_key", F.concat(F.lit("a"), F.substring("request_key", 1, 8)).alias("payload")).distinct()
+    append_cache(answers, path)
+    append_cache(answers.where(F.substring("request_key", 1, 1) < "8"), path)
+    compact_cache(spark, path)
+    now = read_cache(spark, path)
+    same = F.every(F.col("payload") == F.concat(F.lit("a"), F.substring("request_key", 1, 8)))
+    return now.agg(F.count_distinct("request_key").alias("n_keys"), F.count(F.lit(1)).alias("n_rows"), same.alias("same_answers"))
+
+
 def _all_sql():
     from .q_grading import grade_sql_body
     ctes = [CL_CTE, ("gr", grade_sql_body().strip()),

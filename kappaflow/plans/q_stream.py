@@ -72,3 +72,20 @@ def q_graded_table_scan(spark, sf):
     cells = FS.scan_reports(spark, path, GRADED_CSV).withColumn("f", parse_list_cell("report_findings", FINDING))
     return cells.where(F.size("f") > 0).select(
         "report_id", F.size("f").alias("n_findings"), F.array_join(F.transform("f", lambda x: x["temporal"]), ",").alias("temporal"))
+
+
+@register("scan_iterations_text", A.with_views(["reports"], """
+SELECT TEXT_REPORT AS REPORT, CAST((report_id + it) % 5 + 1 AS INT) AS priority_algo, CAST((report_id * it) % 5 + 1 AS INT) AS priority_llm,
+       CAST((report_id + 2 * it) % 3 AS INT) AS priority_hybrid, CAST(report_id % 4 AS INT) AS priority_manual, it
+FROM reports CROSS JOIN (VALUES (1), (2)) AS i(it)"""))
+def q_scan_iterations_text(spark, sf):
+    """S3 keyed by the report's text, with all four methods: quoted line breaks, files read by byte ranges."""
+    folder = _dir(spark, "iterations-text")
+    r, cols = A.reports(spark, sf), ["REPORT", "priority_algo", "priority_llm", "priority_hybrid", "priority_manual"]
+    k = F.col("report_id")
+    for it in (1, 2):
+        run = r.select(F.col("TEXT_REPORT").alias("REPORT"), ((k + it) % 5 + 1).cast("int").alias(f"priority_algo_{it}"),
+                       ((k * it) % 5 + 1).cast("int").alias(f"priority_llm_{it}"), ((k + 2 * it) % 3).cast("int").alias(f"priority_hybrid_{it}"),
+                       (k % 4).cast("int").alias(f"priority_manual_{it}"))
+        FS.write_csv(run, f"{folder}/iteration_{it}")
+    return FS.scan_iterations(spark, f"{folder}/iteration_*/*.csv", cols, header_regex=r"^REPORT,priority_algo_\d+,", text_columns=("REPORT",))

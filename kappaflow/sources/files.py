@@ -58,7 +58,7 @@ FRAGMENT = "file string, block long, kind int, text string"
 WHOLE, OPENED, INSIDE, CLOSED = 0, 1, 2, 3
 
 
-def scan_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_quoted_csv(spark: SparkSession, path: str, schema: T.StructType, file_col: str | None = None) -> DataFrame:
     """CSV files with a header, in which quoted values may hold line breaks, split over byte ranges.
 
     A line break ends a record where the number of quotes before it is even (a quote inside a value is
@@ -66,7 +66,7 @@ def scan_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     range; a prefix sum over the ranges of a file (a few numbers each) gives the parity at which each begins; a second
     pass puts the lines of a range together to records.  What a range's end cuts
     is the only thing that moves: fragments are joined by file and record.
-    Equal to a read with ``multiLine``, which gives a file to one task.
+    Equal to a read with ``multiLine``, which gives a file to one task.  ``file_col`` adds the file's path.
     """
     lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     quotes = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2
@@ -123,9 +123,10 @@ def scan_quoted_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     number = Window.partitionBy("file").orderBy("block", F.when(F.col("kind") == OPENED, 1).otherwise(0))
     cut = cut.withColumn("record", F.sum(F.when(F.col("kind") == OPENED, 1).otherwise(0)).over(number))
     joined = cut.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    records = parts.where(F.col("kind") == WHOLE).select("text").union(joined.select("text"))
+    records = parts.where(F.col("kind") == WHOLE).select("file", "text").union(joined.select("file", "text"))
     read = F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "mode": "PERMISSIVE"})
-    return records.select(read.alias("r")).select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields])
+    file = [F.col("file").alias(file_col)] if file_col else []
+    return records.select(read.alias("r"), "file").select(*[F.col("r")[f.name].alias(f.name) for f in schema.fields], *file)
 
 
 def fragment_schema():
@@ -152,7 +153,7 @@ def scan_iterations(spark: SparkSession, pattern: str, columns: list[str],
     first line is checked against it first (positional reading trusts the
     column order), in one distributed pass over the files.  ``text_columns``
     are read as text that may hold line breaks (runs keyed by the report's
-    text); a file is then read by one task.
+    text), by byte ranges as in ``scan_quoted_csv``.
     """
     if header_regex is not None:
         # The first line of a file is the first row of the split that starts at byte 0.
@@ -164,9 +165,11 @@ def scan_iterations(spark: SparkSession, pattern: str, columns: list[str],
             raise ValueError("a run file has an unexpected header; positional reading would misalign")
     schema = T.StructType([T.StructField(c, T.LongType() if c == "report_id" else T.StringType() if c in text_columns
                                          else T.IntegerType()) for c in columns])
-    df = spark.read.schema(schema).option("header", True).option("multiLine", bool(text_columns)).option("escape", '"').csv(pattern)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"iteration_(\d+)", 1).cast("int")
-    return df.select(*columns, run.alias("it"))
+    if text_columns:
+        df, file = scan_quoted_csv(spark, pattern, schema, file_col="_file"), F.col("_file")
+    else:
+        df, file = spark.read.schema(schema).option("header", True).option("escape", '"').csv(pattern), F.col("_metadata.file_path")
+    return df.select(*columns, F.regexp_extract(file, r"iteration_(\d+)", 1).cast("int").alias("it"))
 
 
 def write_iterations(it_long: DataFrame, folder: str, methods: list[str]) -> None:

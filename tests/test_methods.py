@@ -256,3 +256,18 @@ def test_large_dictionaries_give_candidate_terms(spark):
     plan = with_term_lists(reports, {"_t": lex}, k=2)._jdf.queryExecution().optimizedPlan().toString()
     assert "raise_error" not in plan
     assert [r["terms"] for r in candidate_terms(reports, small, 1).collect()] == ["site 0 lesions"]
+
+
+def test_cache_generations_merge_to_one_row_a_key(spark, tmp_path):
+    from kappaflow.plans.model import append_cache, compact_cache, read_cache
+    path = str(tmp_path / "cache")
+    rows = lambda *keys: spark.createDataFrame([(k, None if k == "none" else f"p-{k}") for k in keys], "request_key string, payload string")
+    assert read_cache(spark, path).count() == 0 and compact_cache(spark, path) == 0
+    append_cache(rows("a", "b", "none"), path)
+    append_cache(rows("b", "c"), path)
+    assert sorted(r["request_key"] for r in read_cache(spark, path).collect()) == ["a", "b", "b", "c"]
+    assert compact_cache(spark, path, drop=False) == 2  # the old generations are still there, and not read
+    assert sorted(tuple(r) for r in read_cache(spark, path).collect()) == [("a", "p-a"), ("b", "p-b"), ("c", "p-c")]
+    append_cache(rows("d"), path)
+    assert compact_cache(spark, path) == 2
+    assert sorted(r["request_key"] for r in read_cache(spark, path).collect()) == ["a", "b", "c", "d"]
