@@ -11,7 +11,8 @@ input split and copy number, sorted inside each partition by that hash: a
 global shuffle in one exchange, in which rows that are equal part as well.
 
 The draw depends on seed and id alone, so lost tasks redo the same rows and
-rows with equal ids get equal counts.
+rows with equal ids get equal counts.  Where a copy goes also depends on the row's place, so
+``docs`` should be read alike by a repeated task: a scan, a written table or a checkpoint.
 
 The rates are one number per key of ``weights`` plus one for all other
 sources together, so they are bounded by the parameter (``MAX_SOURCES``),
