@@ -466,22 +466,30 @@ def format_conversations(conversations: DataFrame, template: str = CHATML, id_co
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
 
-def read_back(parts: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def read_back(parts: DataFrame, id_col: str = "conv_id", in_order: bool = True) -> DataFrame:
     """What a reader of ChatML text finds in formatted conversations, from the parts alone.
 
     Returns id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
-    Reads the parts in the order in which ``format_conversations`` leaves them.
+    Reads the parts in the order in which ``format_conversations`` leaves them; a part that does not follow the
+    one before it is an error.  Parts that were stored and read again have no such order: with ``in_order=False`` those
+    of a conversation are brought together and sorted first.
     """
     out_schema = T.StructType([parts.schema[id_col], T.StructField("n_turns", T.LongType()),
                                T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()),
                                T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
-    source = parts.select(col(id_col), "text", "loss_spans", "last")
+    source = parts.select(col(id_col), "text", "loss_spans", "last", "part")
+    if not in_order:
+        source = source.repartition(col(id_col)).sortWithinPartitions(col(id_col), "part")
 
     def run(batches):
+        open_conv, due = None, 0
         rest, turns, n_turns, loss, n_loss, n_chars, broken = "", hashlib.sha256(), 0, hashlib.sha256(), 0, 0, ""
         for batch in batches:
             out = []
-            for conv, text, spans, last in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for conv, text, spans, last, part in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if part != due or due and conv != open_conv:
+                    raise ValueError(f"part {part} of conversation {conv} where part {due} of {open_conv if due else 'another'} is due")
+                open_conv, due = conv, 0 if last else part + 1
                 n_chars += len(text)
                 for span in spans:
                     # A part may end inside an escape; the next part of this span then goes on.
@@ -508,5 +516,7 @@ def read_back(parts: DataFrame, id_col: str = "conv_id") -> DataFrame:
                 types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)],
                                                  names=out_schema.names)
+        if due:
+            raise ValueError(f"conversation {open_conv} ends before its last part")
 
     return source.mapInArrow(run, out_schema)

@@ -83,3 +83,16 @@ def test_query(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want[-1] = (2, sha(f"user\n{CONTROL_TEXT}\nassistant\n{CONTROL_TEXT}\n"), len(CONTROL_TEXT), sha(CONTROL_TEXT))
     assert got(QUERIES["op3_chat_format"](spark, sf)) == want
+
+
+def test_stored_parts_are_checked_and_sorted(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t} <|") for c in (1, 2, None) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = C.format_conversations(df, part_chars=20).collect()
+    schema = C.format_conversations(df).schema
+    mixed = spark.createDataFrame(sorted(parts, key=lambda r: (-r["part"], str(r["conv_id"]))), schema).coalesce(1)
+    assert got(C.read_back(mixed, in_order=False)) == brute(df.collect())
+    with pytest.raises(Exception, match="is due"):
+        C.read_back(mixed).collect()
+    with pytest.raises(Exception, match="before its last part"):
+        C.read_back(spark.createDataFrame([r for r in parts if r["conv_id"] == 1 and not r["last"]], schema).coalesce(1)).collect()
