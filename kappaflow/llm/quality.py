@@ -7,8 +7,8 @@ labels the lines of every whole text.  A text is kept when it passes the base
 rules and its content lines hold at least ``MIN_CONTENT`` of its words.
 
 The field is fitted on a bounded sample of labelled rows: at most
-``SAMPLE_DOCS`` labelled documents of at most ``SAMPLE_CHARS`` characters,
-the first by a hash of their ids; everything else covers all rows.
+``SAMPLE_DOCS`` labelled documents of at most ``SAMPLE_CHARS`` characters and
+``SAMPLE_LINES`` lines, the first by a hash of their ids; everything else covers all rows.
 
 Defined cases: a null or empty text has no words and fails the base rules;
 rows that repeat are judged alike, each for itself; ids and other columns may
@@ -33,6 +33,7 @@ from .common import check_columns, col, fresh, text_slices
 #: Bounds of the labelled sample.
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
+SAMPLE_LINES = 500
 #: Base rules.
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -223,7 +224,8 @@ def train_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = (labels.where(col(id_col).isNotNull() & col(label_col).isin(0, 1))
               .groupBy(col(id_col).alias("id")).agg(F.max(col(label_col)).cast("int").alias("y"))
               .orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS))
-    texts = (docs.where(F.length(col(text_col)) <= SAMPLE_CHARS)
+    breaks = F.length(col(text_col)) - F.length(F.translate(col(text_col), "\n", ""))
+    texts = (docs.where((F.length(col(text_col)) <= SAMPLE_CHARS) & (breaks < SAMPLE_LINES))
              .select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
              .join(F.broadcast(sample), "id")  # SAMPLE_DOCS rows at most
              .groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # one row of an id that repeats

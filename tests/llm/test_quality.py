@@ -128,3 +128,14 @@ def test_a_repeated_id_gives_one_training_row(spark, monkeypatch):
     monkeypatch.setattr(Q, "fit_field", lambda x, y: seen.append((len(x), y)) or Q.NOTHING_LEARNT)
     Q.train_field(docs, labels)
     assert seen[0][0] == 2 and sorted(seen[0][1]) == [0, 1]
+
+
+def test_sample_is_bounded_in_lines(spark, monkeypatch):
+    lines = Q.SAMPLE_LINES
+    docs = spark.createDataFrame([(1, "some words here"), (2, "# $ # $"), (3, "x\n" * (lines - 1) + "x"), (4, "x\n" * lines + "x")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "fit_field", lambda x, y: seen.append(sorted(map(len, x))) or Q.NOTHING_LEARNT)
+    Q.train_field(docs, labels)
+    assert seen == [[1, 1, lines]]
