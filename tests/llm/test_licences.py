@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -115,3 +116,73 @@ def test_block_filter_is_lossless(least):
     needed = set(L.needed_words(dict(enumerate(headers)), least, L.PLAIN))
     for vec in headers:
         assert math.sqrt(sum(v * v for w, v in vec.items() if w not in needed)) < least
+
+
+def brute_forms(path, text):
+    """(best cosine, licences that reach it) over notices, forms and tags: every unit against every template, no filter."""
+    text, licence_file = text or "", re.search(L.LICENCE_NAME, path or "")
+    blocks = re.split(L.BLOCK_END.replace(r"\z", r"\Z").replace("(?im)", "(?aim)"), text)
+    forms = L.licence_forms()
+    idf, other, vectors = L.form_weights()
+    found = [(-value, name) for value, name in [brute_own(path, text) or (0, "")] if name]
+
+    def compare(unit, full):
+        raw = {w: k * idf.get(w, other) for w, k in Counter(L.words(unit)).items()}
+        size = math.sqrt(sum(v * v for v in raw.values()))
+        for i, (name, is_full, _) in enumerate(forms):
+            if size and is_full == full:
+                found.append((-sum(v * vectors[str(i)].get(w, 0) for w, v in raw.items()) / size, name))
+
+    for block in blocks:
+        compare(block, False)
+    if licence_file:
+        compare(text, True)
+    known = {n.lower(): n for n in (*L.HEADERS, *L.FULL_TEXTS)}
+    for tag in re.findall(r"(?i)\bSPDX-License-Identifier:[ \t]*([^\n]*)", text):
+        names = [re.sub(r"(-only|-or-later|\+)$", "", x.lower()) for x in re.findall("[A-Za-z0-9.+-]+", tag)]
+        found += [(-1.0, known[n]) for n in names if n in known]
+    best = min(found, default=(0, ""))[0]
+    return -best, {n for v, n in found if v <= best + 2e-6}
+
+
+def random_files(seed, number):
+    """Files of pieces of every form: whole, cut, with words changed, in comments, between prose, tags and copyright lines."""
+    rng = random.Random(seed)
+    prose = "the work of a reader is free and may be used under any terms that a person has in mind when the software is copied".split()
+
+    def piece():
+        kind = rng.randrange(8)
+        if kind == 0:
+            return " ".join(rng.choices(prose, k=rng.randint(3, 25))) + rng.choice((".", "", "!"))
+        if kind == 1:
+            return rng.choice(("Copyright (C) 2020 Some Body", "(c) all of us", "", "---"))
+        if kind == 2:
+            names = [*L.HEADERS, *L.FULL_TEXTS, "Unknown-2.0"]
+            return rng.choice(("", "// ", "x")) + "SPDX-License-Identifier: " + " OR ".join(rng.choice(names) + rng.choice(("", "-only", "+")) for _ in range(rng.randint(1, 2)))
+        if kind == 3:
+            return rng.choice(list(L.TEMPLATES.values())) + rng.choice((".", " and more"))
+        words = rng.choice(L.licence_forms())[2].split(" ")
+        if kind < 6 and len(words) > 60:
+            at = rng.randrange(len(words) - 50)
+            words = words[at:at + rng.randint(10, 50)]
+        share = rng.choice((0, 0, 0.1, 0.3, 0.5))
+        return " ".join(rng.choice(prose) if rng.random() < share else w for w in words)
+
+    names = ("LICENSE", "COPYING.txt", "x.py", "y.c", "notice.md")
+    return [(f"r/{i}/{rng.choice(names)}", rng.choice(("\n", "\n# ", " ", "\n\n")).join(piece() for _ in range(rng.randint(1, 5)))) for i in range(number)]
+
+
+def test_every_form_against_brute_force(spark):
+    rows = random_files(3, 250)
+    out = {r["path"]: r for r in L.scan_licences(spark.createDataFrame(rows, "path string, text string").repartition(8)).collect()}
+    wrong, kept, licences = [], Counter(), set()
+    for path, text in rows:
+        value, names = brute_forms(path, text)
+        if abs(value - L.LEAST) < 2e-6:
+            continue
+        got = out[path]["licence"] if out[path]["licence_origin"] in ("file", "header") else None
+        kept[got is not None] += 1
+        licences.add(got)
+        if (value >= L.LEAST) != (got is not None) or got and (got not in names or abs(out[path]["cosine"] - value) > 2e-6):
+            wrong.append((path, value, names, got))
+    assert not wrong and min(kept.values()) > 20 and len(licences) > 15
