@@ -19,7 +19,7 @@ begin with it, then the terms of those lengths.  Both give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,8 +106,8 @@ class Sentence:
         return self.tokens[a].start, self.tokens[b - 1].end
 
 
-def sentences_of(text: str | None) -> Iterator[Sentence]:
-    return (Sentence(n, tokens) for n, tokens in split_sentences(text or ""))
+def sentences_of(text: str | None, among: Set[str] | None = None) -> Iterator[Sentence]:
+    return (Sentence(n, tokens) for n, tokens in split_sentences(text or "", among))
 
 
 def _by_report(df: DataFrame, key: str, text_col: str, fields: list[tuple[str, str]], rows_of) -> DataFrame:
@@ -176,7 +176,7 @@ def _annotate_by_automaton(df: DataFrame, terms: list[tuple[int, str]], text_col
     sent = df.sparkSession.sparkContext.broadcast(Phrases([(t, (i, t)) for i, t in terms]))
 
     def rows_of(text):
-        for s in sentences_of(text):
+        for s in sentences_of(text, sent.value.heads):
             found = list(sent.value.find(s.words))
             if found:
                 yield from _mention_rows(s, found)
@@ -236,7 +236,7 @@ def diagnosis_cues(df: DataFrame, text_col: str = "TEXT_REPORT", key: str = "rep
     cues = Phrases([(p, name) for name, phrases in DIAGNOSIS_CUES for p in phrases])
 
     def rows_of(text):
-        for s in sentences_of(text):
+        for s in sentences_of(text, cues.heads):
             seen = set()
             for a, b, names in cues.find(s.words):
                 if names[0] not in seen and not s.negates(a, b):
@@ -274,7 +274,7 @@ def rule_grade(df: DataFrame, text_col: str = "TEXT_REPORT", rules: dict[int, li
 
     def rows_of(text):
         best = 1
-        for s in sentences_of(text):
+        for s in sentences_of(text, phrases.heads):
             found = list(phrases.find(s.words))
             places = [(a, b) for a, b, _ in found]
             for a, b, values in found:

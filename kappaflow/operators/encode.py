@@ -50,7 +50,7 @@ def codes_of_terms(terms: DataFrame, lexicon: DataFrame, *, fuzzy_kinds=("findin
         exact = exact.checkpoint()
         fuzzy = F.col("kind").isin(list(fuzzy_kinds))
         searched = entries.where(fuzzy) if len(on) > 1 else entries
-        near = nearest_terms(exact.where(F.col("x_idx").isNull() & fuzzy), searched, block, no_index=no_index)
+        near = nearest_terms(exact.where(F.col("x_idx").isNull() & fuzzy), searched, block, no_index=no_index, staged=True)
         if max_distance is not None:
             near = near.where(F.col("dist") <= max_distance)
         near = near.select(*on, F.struct("dist", "idx", "term", "priority").alias("_n"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grouping import clamp
 from ..schemas import PLACEMENT, TEMPORAL, UNCERTAINTY
+from ..session import ensure_checkpoint_dir
 from .encode import code_of, term_codes
 
 
@@ -108,6 +109,8 @@ def _row_codes(df: DataFrame, lexicons: dict[str, DataFrame], payload_col: str,
     df = df.withColumn("_row", F.when(F.size(named) > 0, F.xxhash64(named, salt)).otherwise(F.xxhash64(F.col(key), F.lit(1))))
     rows = df.select("_row", F.explode(named).alias("t")).select("_row", "t.kind", "t.term_raw").where(F.col("term_raw").isNotNull()).distinct()
     if codes is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        rows = rows.checkpoint()  # narrow, and read twice: for the different terms and for the codes of each row
         codes = term_codes(rows, of_kinds(lexicons), max_distance=max_distance)
     codes = codes.where(F.col("idx").isNotNull())
     pair = F.struct(F.concat_ws(SEP, "kind", "term_raw"), F.struct(F.col("idx").cast("int").alias("idx"), F.col("priority").cast("int").alias("priority")))

@@ -120,17 +120,19 @@ def one_entry_per_term(lexicon: DataFrame) -> DataFrame:
         F.min("idx").cast("int").alias("idx"), F.max_by("priority", "idx").cast("int").alias("priority"))
 
 
-def nearest_terms(terms: DataFrame, lexicon: DataFrame, block: int = BLOCK, radii=RADII, no_index: int = BLOCK) -> DataFrame:
+def nearest_terms(terms: DataFrame, lexicon: DataFrame, block: int = BLOCK, radii=RADII, no_index: int = BLOCK,
+                  staged: bool = False) -> DataFrame:
     """(term_raw, dist, idx, term, priority): the nearest dictionary entry of each distinct term.
 
     ``idx`` is the position in the dictionary, so blocks and ties follow it.  Where
     both sides have a ``kind``, a term meets the dictionary of its kind only.  Each radius
     is one job, whose results are checkpointed; the open terms of the next are those without any.
     A dictionary with positions up to ``no_index`` is one bounded scan and has no index.
+    ``staged``: the dictionary has each term once already and is cheap to read again.
     """
     within = ["kind"] if "kind" in lexicon.columns else []
     ensure_checkpoint_dir(terms.sparkSession)
-    entries = one_entry_per_term(lexicon).checkpoint()
+    entries = lexicon if staged else one_entry_per_term(lexicon).checkpoint()
     top = entries.agg(F.max("idx")).first()[0]
     open_ = terms.select(*within, "term_raw").distinct()
     if top is None or top < no_index:

@@ -17,7 +17,7 @@ sentence's *items* (the stretches between commas, and/or/nor, with, but, ;):
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 from typing import NamedTuple
 
 TOKEN = re.compile(r"[^\W_]+|[;:,()]")
@@ -47,11 +47,16 @@ class Token(NamedTuple):
     end: int
 
 
-def split_sentences(text: str) -> Iterator[tuple[int, list[Token]]]:
-    """(number, tokens with offsets in the whole text) of every sentence that has a token."""
+def split_sentences(text: str, among: Set[str] | None = None) -> Iterator[tuple[int, list[Token]]]:
+    """(number, tokens with offsets in the whole text) of every sentence that has a token; of those that hold a
+    word of ``among`` where that is given."""
+    def worth(start, stop):
+        return among is None or not among.isdisjoint(map(str.lower, TOKEN.findall(text, start, stop)))
+
     number = at = 0
     for stop in [*((m.start(), m.end()) for m in SENTENCE_END.finditer(text)), (len(text), len(text))]:
-        tokens = [Token(m.group().lower(), m.start(), m.end()) for m in TOKEN.finditer(text, at, stop[0])]
+        tokens = ([Token(m.group().lower(), m.start(), m.end()) for m in TOKEN.finditer(text, at, stop[0])]
+                  if worth(at, stop[0]) else None)
         if tokens:
             yield number, tokens
         number, at = number + 1, stop[1]
@@ -94,6 +99,11 @@ class Phrases:
                 elif min(rank, 1) == plain:
                     values.append(value)
 
+    @property
+    def heads(self) -> Set[str]:
+        """The words with which a phrase can begin."""
+        return self.root.keys()
+
     def at(self, words: list[str], i: int) -> tuple[int, list]:
         """Length and values of the longest phrase that begins at token i; (0, []) without one."""
         node, found, n = self.root, (0, []), 0

@@ -120,7 +120,9 @@ def semialgo_columns(df: DataFrame, model, findings_lex, devices_lex, diagnoses_
     holes = {"findings_str": F.col("_fl"), "devices_str": F.col("_dl"),
              "diagnoses_str": F.col("_xl"), "rpt": F.col(report_col)}
     r = _answers(d, "extract", holes, model, model_name, cache, stage, cache_path)
-    r = r.withColumn("_x", decode_response("payload", EXTRACTION, required=[]))  # an absent list is an empty one (P12)
+    r = r.select("report_id", decode_response("payload", EXTRACTION, required=[]).alias("_x"))  # an absent list is an empty one (P12)
+    # Read twice, for the terms and for the grades: neither the answers' join nor the decoding is repeated.
+    r = stage_table(r, f"{stage}-records") if stage else r.checkpoint()
     # Q8 / Q23: a failed extraction leaves every method-1 column NULL.
     ok = F.col("_x.status") == "ok"
     r = r.withColumn("payload_rec", F.when(ok, F.struct(

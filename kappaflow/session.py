@@ -19,11 +19,16 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # In one process every shuffle block is local: reading by mapper saves nothing and leaves a
+    # file of one row group, which one task reads, to one task of the next stage too.
+    "spark.sql.adaptive.localShuffleReader.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
+    # A few MB of texts are work for all cores, not for the one or two tasks that 1 MB each would give.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Keeps nondeterministic-free plans; parquet pushdown is the default.
     "spark.sql.parquet.filterPushdown": "true",
 }

@@ -24,6 +24,7 @@ from ..operators.encode import CODE_MAP, codes_of_terms
 from ..operators.grading import encode_extraction, extraction_terms, grade_extraction, of_kinds
 from ..operators.lexicon_ops import lexicon_version
 from ..plans.model import _file_system
+from ..session import ensure_checkpoint_dir
 
 #: Batches after which the parts of the code map are merged.
 COMPACT = 20
@@ -77,6 +78,8 @@ def grade_stream(spark: SparkSession, source: str, schema: T.StructType, finding
     lexicon = of_kinds({"finding": findings_lex, "device": devices_lex, "diagnosis": diagnoses_lex})
     out = out.rstrip("/")
     codes_root = f"{out}/_codes/{lexicon_version(lexicon)}"
+    ensure_checkpoint_dir(spark)
+    lexicon = lexicon.checkpoint()  # every batch reads it
 
     def grade_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.checkpoint()  # read twice: for its terms and for its grades
