@@ -43,6 +43,11 @@ RESPONSE_SCHEMA = T.StructType([
 DEFAULT_WORKERS = 5
 #: Calls of one task: what is repeated when a task is lost.
 CALLS_PER_TASK = 50
+#: Where the caller names no number, tasks get more calls as long as a wave of them takes less time than this.
+WAVE_SECONDS = 20.0
+#: Open requests lie in so many folders, by ranges of the keys' hashes.
+REQUEST_FOLDERS = 128
+HASHES = 1 << 63
 
 
 def request_key(model_name: str, method: str, template: str, values: list[Column]) -> Column:
@@ -85,7 +90,10 @@ class PandasModel:
 
     Requests are sent in waves of ``partitions`` tasks with ``calls_per_task`` calls each, so
     at most ``partitions`` calls are in flight however many requests there are (X7), and
-    a table of requests is many small tasks.  Each wave is appended to the log, a folder
+    a table of requests is many small tasks.  Without a number a task has ``CALLS_PER_TASK`` calls at first and
+    twice as many as before while a wave takes less than half of ``WAVE_SECONDS``: quick calls do not make
+    a wave for every few hundred requests, and a lost task still repeats seconds of work.
+    Each wave is appended to the log, a folder
     in the shared stage folder: a lost task repeats its own calls only, and a restarted run
     (same log) sends nothing again that was answered.  ``per_second`` limits the rate of all tasks
     together, whatever their number; ``delay`` is a pause after each call of a task.
@@ -96,7 +104,7 @@ class PandasModel:
     reads = ("messages",)
 
     def __init__(self, call: Callable, make_client: Callable | None = None, delay: float = 0.0,
-                 partitions: int = DEFAULT_WORKERS, calls_per_task: int = CALLS_PER_TASK, per_second: float | None = None):
+                 partitions: int = DEFAULT_WORKERS, calls_per_task: int | None = None, per_second: float | None = None):
         self.call, self.make_client = call, make_client or (lambda: None)
         self.delay, self.partitions, self.calls_per_task, self.per_second = delay, partitions, calls_per_task, per_second
 
@@ -128,30 +136,45 @@ class PandasModel:
 
     def answer(self, requests: DataFrame, methods: list[str] | None = None, log: str | None = None) -> DataFrame:
         spark = requests.sparkSession
-        log = log or f"{stage_root(spark)}/answers-{uuid.uuid4().hex[:12]}"
-        done = read_answers(spark, f"{log}/answers")
-        wanted = requests.select("request_key", "method", "messages").dropDuplicates(["request_key"])
-        open_ = wanted.join(done.where(F.col("payload").isNotNull()).select("request_key"), "request_key", "left_anti")
-        number = open_.count()
-        if number:
-            # Prompts are built once; a wave is a folder of them.
-            waves = -(-number // (self.partitions * self.calls_per_task))
-            asked = f"{log}/requests-{uuid.uuid4().hex[:12]}"
-            wave = F.pmod(F.xxhash64("request_key"), F.lit(waves)).cast("int")
-            open_.withColumn("wave", wave).repartition("wave").write.partitionBy("wave").parquet(asked)
-            for w in range(waves):
-                _, folder = fs_path = _file_system(spark, f"{asked}/wave={w}")
-                if not fs_path[0].exists(folder):
-                    continue
-                # By number: AQE does not coalesce it, and no task holds more than its share.
-                part = spark.read.schema(wanted.schema).parquet(f"{asked}/wave={w}").repartition(self.partitions)
-                part.mapInPandas(self._runner(), RESPONSE_SCHEMA).write.mode("append").parquet(f"{log}/answers")
-            drop_folder(spark, asked)
+        shared, log = log is not None, log or f"{stage_root(spark)}/answers-{uuid.uuid4().hex[:12]}"
+        open_ = requests.select("request_key", "method", "messages")
+        if shared:
+            done = read_answers(spark, f"{log}/answers")
+            open_ = open_.join(done.where(F.col("payload").isNotNull()).select("request_key").distinct(), "request_key", "left_anti")
+        self._send(open_, log)
         # One row per request: an answer counts more than the failure before it.
         found = read_answers(spark, f"{log}/answers").groupBy("request_key").agg(
             F.max("payload").alias("payload"), F.max("error").alias("error"))
         found = found.withColumn("error", F.when(F.col("payload").isNull(), F.col("error")))
-        return found.join(requests.select("request_key").distinct(), "request_key", "left_semi")
+        # A log of its own holds these requests only.
+        return found.join(requests.select("request_key").distinct(), "request_key", "left_semi") if shared else found
+
+    def _send(self, open_: DataFrame, log: str) -> None:
+        """Prompts are built once, one for each key, in folders by ranges of the keys' hashes; a wave is the next range."""
+        spark, asked = open_.sparkSession, f"{log}/requests-{uuid.uuid4().hex[:12]}"
+        hashed = open_.withColumn("hash", F.shiftrightunsigned(F.xxhash64("request_key"), 1))
+        folder = F.shiftright("hash", 63 - REQUEST_FOLDERS.bit_length() + 1).cast("int")
+        one = hashed.withColumn("folder", folder).repartition("folder").dropDuplicates(["folder", "hash", "request_key"])
+        one.sortWithinPartitions("folder", "hash").write.partitionBy("folder").parquet(asked)
+        fs, root = _file_system(spark, asked)
+        folders = {int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if "=" in s.getPath().getName()}
+        number = spark.read.schema(hashed.schema).parquet(*[f"{asked}/folder={k}" for k in sorted(folders)]).count() if folders else 0
+        low, calls = 0, self.calls_per_task or CALLS_PER_TASK
+        while number and low < HASHES:
+            waves = -(-number // (self.partitions * calls))  # if all were of this size
+            high = low + -(-HASHES // waves)
+            touched = [k for k in sorted(folders) if low < (k + 1) * (HASHES // REQUEST_FOLDERS) and k * (HASHES // REQUEST_FOLDERS) < high]
+            if touched:
+                began = time.monotonic()
+                wave = spark.read.schema(hashed.schema).parquet(*[f"{asked}/folder={k}" for k in touched])
+                wave = wave.where((F.col("hash") >= low) & (F.col("hash") <= min(high, HASHES) - 1)).drop("hash")
+                # By number: AQE does not coalesce it, and no task holds more than its share.
+                wave.repartition(self.partitions).mapInPandas(self._runner(), RESPONSE_SCHEMA).write.mode("append").parquet(f"{log}/answers")
+                took = time.monotonic() - began
+                if self.calls_per_task is None:
+                    calls = calls * 2 if took < WAVE_SECONDS / 2 else max(CALLS_PER_TASK, calls // 2) if took > WAVE_SECONDS else calls
+            low = high
+        drop_folder(spark, asked)
 
 
 def read_answers(spark, path: str) -> DataFrame:

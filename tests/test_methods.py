@@ -193,6 +193,24 @@ def test_calls_in_flight_rate_and_log(spark, tmp_path):
     assert model.answer(req.limit(0)).count() == 0
 
 
+def test_quick_calls_go_out_in_growing_waves(spark, tmp_path, monkeypatch):
+    """Every request is sent once; the waves do not grow in number with the requests, unless the calls take their time."""
+    from kappaflow.plans import model as m
+    req, files = _requests(spark, 2000), {}
+    for name, seconds in (("quick", 1000.0), ("slow", 0.0)):
+        monkeypatch.setattr(m, "WAVE_SECONDS", seconds)
+        acc = spark.sparkContext.accumulator(0)
+
+        def call(client, messages, method):
+            acc.add(1)
+            return messages[0]["content"]
+
+        got = {r["request_key"]: r["payload"] for r in PandasModel(call).answer(req, log=f"{tmp_path}/{name}").collect()}
+        assert got == {f"q{i}": f"q{i}" for i in range(2000)} and acc.value == 2000
+        files[name] = len(m.read_answers(spark, f"{tmp_path}/{name}/answers").inputFiles())
+    assert files["quick"] <= 4 * 5 and files["slow"] >= 8 * 5  # tasks: 250 + 500 + 1000 + 2000 calls, and 250 each
+
+
 def test_a_killed_task_repeats_its_open_calls_only(spark, tmp_path):
     """A wave that dies leaves the waves before it answered."""
     import os
