@@ -13,8 +13,8 @@ A text is covered by windows of ``WINDOW`` characters that start every
 takes its tag from the window in which it lies deepest, spans are read from
 the tags of the whole text, and a span counts only if it holds what all learnt
 forms of its kind hold (a digit or an ``@``, for emails also `` at `` or ``(at)``),
-is of a length that its kind can have and overlaps no base span.  Windows
-without any of these, and out of a spelt-out ``@``'s reach, are not run.
+is of a length that its kind can have and overlaps no base span.  Every
+window of every text is run.
 
 Base spans always stay.  ``spans`` are (kind, start, end) in code points, end
 exclusive, sorted by start and kind.
@@ -47,7 +47,10 @@ HIDDEN, EMBED = 12, 12
 TRAIN_WINDOWS, TRAIN_ROUNDS, TRAIN_BATCH, TRAIN_STEP, TRAIN_SEED = 3000, 220, 128, 0.02, 11
 #: Lengths that an added span may have, by kind.
 LENGTHS = {"email": (6, 100), "ip": (7, 15), "card": (13, 30), "phone": (8, 24)}
-RUN_WINDOWS = 2048
+#: Windows decoded at once: their states stay in a core's cache.
+RUN_WINDOWS = 1024
+#: Far above the rounding of a path's sum.
+BOUND_MARGIN = 0.01
 
 # ---- base patterns -----------------------------------------------------------
 
@@ -235,19 +238,64 @@ class Tagger:
         both = np.concatenate([self._direction(x, "f", traces[0]), self._direction(x, "b", traces[1])], axis=2)
         return both, both @ self.w["out"] + self.w["bias"]
 
+    def _columns(self, x: np.ndarray) -> np.ndarray:
+        """``scores`` with time first and windows last (time, tag, window), both directions side by side.
+
+        Sigmoids are written by tanh, halved arguments and states by the weights: powers of two, so no digit changes.
+        """
+        w, h, (n, long) = self.w, HIDDEN, x.shape
+        kind = w["embed"].dtype.type
+        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(kind)
+        table = [np.ascontiguousarray(((w["embed"] @ w[f"in_{d}"] + w[f"gate_{d}"]) * half).T) for d in "fb"]
+        rec = [np.ascontiguousarray((w[f"rec_{d}"] * half * kind(0.5)).T) for d in "fb"]
+        at = np.ascontiguousarray(x.T.astype(np.intp))
+        gates, step = np.empty((2, 4, h, n), kind), np.empty((4 * h, n), kind)  # in, keep, out, new
+        flat = gates.reshape(2, 4 * h, n)
+        hid, cell, bent = (np.zeros((2, h, n), kind) for _ in range(3))
+        both = np.empty((long, 2 * h, n), kind)
+        for t in range(long):
+            for d, now in enumerate((t, long - 1 - t)):
+                np.take(table[d], at[now], axis=1, out=flat[d], mode="clip")
+                flat[d] += np.matmul(rec[d], hid[d], out=step)
+            np.tanh(flat, out=flat)
+            gates[:, :3] += 1
+            cell *= gates[:, 1]
+            cell += np.multiply(gates[:, 0], gates[:, 3], out=bent)
+            cell *= kind(0.5)
+            np.multiply(gates[:, 2], np.tanh(cell, out=bent), out=hid)
+            both[t, :h], both[long - 1 - t, h:] = hid[0], hid[1]
+        return np.matmul(np.ascontiguousarray((w["out"] * kind(0.5)).T), both) + w["bias"][:, None]
+
     def viterbi(self, x: np.ndarray) -> np.ndarray:
-        score = self.scores(x)[1]
-        best, back = score[:, 0], []
-        for t in range(1, x.shape[1]):
-            ways = best[:, :, None] + self.w["change"]
-            back.append(ways.argmax(1))
-            best = ways.max(1) + score[:, t]
-        tags = np.empty(x.shape, np.int64)
-        tags[:, -1] = best.argmax(1)
-        rows = np.arange(len(x))
-        for t in range(x.shape[1] - 1, 0, -1):
-            tags[:, t - 1] = back[t - 1][rows, tags[:, t]]
-        return tags
+        """The best path of each window; of equal ways the first tag counts."""
+        out = np.zeros(x.shape, np.int64)
+        score, change = self._columns(x), self.w["change"]
+        some = np.flatnonzero(self._bound(score) > -BOUND_MARGIN)  # elsewhere O throughout is the best path
+        score = score[:, :, some]
+        best = [score[0]]
+        ways = np.empty((*change.shape, len(some)), score.dtype)
+        for t in range(1, len(score)):
+            np.add(best[-1][:, None, :], change[:, :, None], out=ways)
+            best.append(ways.max(0) + score[t])
+        tags = best[-1].argmax(0)
+        out[some, -1] = tags
+        for t in range(len(score) - 1, 0, -1):
+            tags = (best[t - 1] + change[:, tags]).argmax(0)
+            out[some, t - 1] = tags
+        return out
+
+    def _bound(self, score: np.ndarray) -> np.ndarray:
+        """What a run of other tags can gain over O throughout, at most, by window: each place with its best tag, each
+        change with the best of its sort.  A path is O and such runs, so where no run gains, no path does."""
+        change = self.w["change"] - self.w["change"][0, 0]
+        opening, inside, closing = change[0, 1:].max(), change[1:, 1:].max(), change[1:, 0].max()
+        gain = score[:, 1:].max(1) - score[:, 0]
+        run = gain[0]
+        top = run + closing
+        for now in gain[1:]:
+            run = now + np.maximum(run + inside, opening)
+            np.maximum(top, run + closing, out=top)
+        return np.maximum(top, run)  # the last may go on to the end
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags and its gradient."""
@@ -335,7 +383,7 @@ _SPELT_REACH = 32
 
 def window_numbers(text: str) -> np.ndarray:
     """Numbers k of the windows [k * STRIDE, k * STRIDE + WINDOW) that hold a digit, an @ or a part of
-    what a spelt-out @ reaches, in order."""
+    what a spelt-out @ reaches, in order.  Spans may go on beyond them: the operator runs every window."""
     held = [m.start() // STRIDE for m in _ANCHOR.finditer(text)]
     for m in _SPELT_AT.finditer(text):
         held.extend(range(max(0, m.start() - _SPELT_REACH) // STRIDE, min(len(text) - 1, m.end() + _SPELT_REACH) // STRIDE + 1))
@@ -378,22 +426,64 @@ def tagged_spans(tags: np.ndarray) -> list[Span]:
     return out
 
 
+def symbol_windows(text: str, first: int, behind: int) -> np.ndarray:
+    """Symbols of the windows ``first`` to ``behind`` - 1 of a text, padded at its end."""
+    part = text[first * STRIDE:(behind - 1) * STRIDE + WINDOW]
+    line = np.full((behind - first + WINDOW // STRIDE - 1) * STRIDE, PAD, np.int16)
+    line[:len(part)] = char_table()[np.frombuffer(part.encode("utf-32-le"), np.uint32)]
+    blocks = line.reshape(-1, STRIDE)
+    return np.concatenate([blocks[i:i + behind - first] for i in range(WINDOW // STRIDE)], axis=1)
+
+
+def tagged_windows(texts: list[str], tagger: Tagger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number, tags) of the windows with any tag but O, in order; all windows of all texts are decoded."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WINDOW), np.uint8))]
+    run: list[tuple[int, int, int]] = []
+    held = 0
+
+    def decode():
+        tags = tagger.viterbi(np.concatenate([symbol_windows(texts[i], a, b) for i, a, b in run]))
+        hit = np.flatnonzero(tags.any(1))
+        owner = np.repeat([i for i, _, _ in run], [b - a for _, a, b in run])
+        number = np.concatenate([np.arange(a, b) for _, a, b in run])
+        out.append((owner[hit], number[hit], tags[hit].astype(np.uint8)))
+
+    for i, text in enumerate(texts):
+        first, count = 0, -(-len(text) // STRIDE)
+        while first < count:
+            behind = min(count, first + RUN_WINDOWS - held)
+            run.append((i, first, behind))
+            held, first = held + behind - first, behind
+            if held == RUN_WINDOWS:
+                decode()
+                run, held = [], 0
+    if run:
+        decode()
+    owner, number, tags = (np.concatenate(c) for c in zip(*out, strict=True))
+    return owner, number, tags
+
+
+def text_tags(size: int, numbers: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """``reconcile`` over all windows of a text, of which ``numbers`` are those with any tag but O: the
+    others count where they share characters with these."""
+    near = np.unique(np.concatenate([numbers + i for i in range(1 - WINDOW // STRIDE, WINDOW // STRIDE)]))
+    near = near[(near >= 0) & (near * STRIDE < size)]
+    every = np.zeros((len(near), WINDOW), np.uint8)
+    every[np.searchsorted(near, numbers)] = tags
+    return reconcile(size, near, every)
+
+
 def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """Spans that the tagger adds to the base spans of each text."""
-    numbers = [window_numbers(t) for t in texts]
-    cut = np.concatenate([[0], np.cumsum([len(n) for n in numbers])])
-    owner, place = np.repeat(np.arange(len(texts)), [len(n) for n in numbers]), np.concatenate([*numbers, np.zeros(0, np.int64)])
-    tags = np.zeros((len(place), WINDOW), np.uint8)
-    for r in range(0, len(place), RUN_WINDOWS):
-        part = [texts[i][k * STRIDE:k * STRIDE + WINDOW] for i, k in zip(owner[r:r + RUN_WINDOWS], place[r:r + RUN_WINDOWS], strict=True)]
-        tags[r:r + RUN_WINDOWS] = tagger.viterbi(encode_windows(part))
+    owner, number, tags = tagged_windows(texts, tagger)
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
     out: list[list[Span]] = []
     for i, text in enumerate(texts):
-        own, found = numbers[i], []
-        if len(own):
+        own, found = slice(cut[i], cut[i + 1]), []
+        if cut[i] < cut[i + 1]:
             # Both lists are in order: reach is the furthest end of the base spans that begin before b.
             held, k, reach = sorted((x, y) for _, x, y in base[i]), 0, 0
-            for kind, a, b in tagged_spans(reconcile(len(text), own, tags[cut[i]:cut[i + 1]])):
+            for kind, a, b in tagged_spans(text_tags(len(text), number[own], tags[own])):
                 while k < len(held) and held[k][0] < b:
                     k, reach = k + 1, max(reach, held[k][1])
                 low, high = LENGTHS[kind]

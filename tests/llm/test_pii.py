@@ -169,3 +169,41 @@ def test_added_spans_leave_base_spans_alone():
         rng.shuffle(spans)
     want = [[s for s in spans if not any(x < s[2] and s[1] < y for _, x, y in b)] for spans, b in zip(every, base)]
     assert P.added_spans(texts, base, tagger) == want and want != every
+
+
+def test_every_window_is_run():
+    """Against all windows one by one, with a tagger whose tags go on where there is no digit and no @."""
+    class Marks(P.Tagger):
+        def viterbi(self, x):
+            seen.append(len(x))
+            long = np.isin(x, P.encode_windows(["abcdefgh@1"])[0, :10])
+            start = long & ~np.pad(long, ((0, 0), (1, 0)))[:, :-1]
+            return np.where(start, 1, np.where(long, 2, 0))  # emails: runs of these characters
+
+    rng, seen = random.Random(8), []
+    texts = ["zz " * 200, "", "zy" * 30 + "abcdefgh" * 7 + "@a1 zz", "x" * 50_000]
+    texts += ["".join(rng.choice("zzzz abcdefgh@1") * rng.randint(1, 9) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    got = P.added_spans(texts, [[] for _ in texts], Marks({}))
+    assert sum(seen) == sum(-(-len(t) // P.STRIDE) for t in texts) and max(seen) <= P.RUN_WINDOWS
+    for text, spans in zip(texts, got):
+        every = np.arange(-(-len(text) // P.STRIDE))
+        tags = [Marks({}).viterbi(P.encode_windows([text[k * P.STRIDE:k * P.STRIDE + P.WINDOW]]))[0] for k in every]
+        want = P.tagged_spans(P.reconcile(len(text), every, np.array(tags, np.uint8).reshape(len(every), P.WINDOW)))
+        assert spans == [s for s in want if P.LENGTHS[s[0]][0] <= s[2] - s[1] <= P.LENGTHS[s[0]][1] and P.of_learnt_form(s[0], text, *s[1:])]
+    assert got[2] and len(got[2][0]) == 3
+
+
+def test_decoding_by_columns_is_that_of_the_scores():
+    tagger = P.trained_tagger()
+    x = P.encode_windows([t for t, _ in P.labelled_windows(300, 4321)])
+    score, change = tagger.scores(x)[1], tagger.w["change"]
+    assert np.abs(tagger._columns(x).transpose(2, 0, 1) - score).max() < 1e-4
+    best, back = score[:, 0], []
+    for t in range(1, x.shape[1]):
+        ways = best[:, :, None] + change
+        back.append(ways.argmax(1))
+        best = ways.max(1) + score[:, t]
+    path = [best.argmax(1)]
+    for b in reversed(back):
+        path.append(b[np.arange(len(x)), path[-1]])
+    assert (tagger.viterbi(x) == np.stack(path[::-1], 1)).mean() > 0.9999
