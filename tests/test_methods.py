@@ -35,6 +35,37 @@ def test_judge_calls_equal_disagreements(spark):
     assert same[1]["judge_choice"] == 3 and same[1]["judge_reasoning"] is None and same[1]["judge_grade"] == 3
 
 
+def test_judge_keys_carry_no_text_through_joins(spark, monkeypatch):
+    """The digest is taken where the reports are read; the keys of both steps are made without the texts."""
+    from kappaflow.plans.q_lexicon import q_choice_label
+    from kappaflow.plans.q_models import q_grade_judge
+    seen, call = [], M.cached_model_call
+
+    def watched(requests, *args, **kw):
+        keys = requests.select("report_id", "method", "request_key")
+        seen.append(keys._jdf.queryExecution().optimizedPlan().toString())
+        return call(requests, *args, **kw)
+
+    monkeypatch.setattr(M, "cached_model_call", watched)
+    for query in (q_grade_judge, q_choice_label):
+        query(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 4
+    for plan in seen:
+        assert "TEXT_REPORT" not in plan.split("Join")[0] and "Join" in plan
+
+
+def test_judge_results_with_and_without_a_digest(spark):
+    answer = lambda m, meth: json.dumps({"grade": 1 + len(m[-1]["content"]) % 5, "choice": 1, "explanation": meth})
+    rows = reports(spark).union(reports(spark).where("report_id = 2").selectExpr(
+        "6L", "TEXT_REPORT", "priority_manual", "priority_algo", "priority_llm"))
+    plain, acc = counting_model(spark, answer)
+    first = sorted(map(str, M.grade_judge(rows, plain, stage="t-d0").collect()))
+    digest, acc2 = counting_model(spark, answer)
+    d = rows.withColumn(M.DIGEST, M.text_digest(F.col("TEXT_REPORT")))
+    second = sorted(map(str, M.grade_judge(d, digest, stage="t-d1", digest_col=M.DIGEST).drop(M.DIGEST).collect()))
+    assert first == second and acc.value == acc2.value
+
+
 def test_failed_call_defaults(spark):
     def boom(m, meth):
         raise RuntimeError("down")
