@@ -47,8 +47,9 @@ HIDDEN, EMBED = 12, 12
 TRAIN_WINDOWS, TRAIN_ROUNDS, TRAIN_BATCH, TRAIN_STEP, TRAIN_SEED = 3000, 220, 128, 0.02, 11
 #: Lengths that an added span may have, by kind.
 LENGTHS = {"email": (6, 100), "ip": (7, 15), "card": (13, 30), "phone": (8, 24)}
-#: Windows decoded at once: their states stay in a core's cache.
-RUN_WINDOWS = 1024
+#: Windows decoded at once; of these, windows whose states are computed side by side, so that the states stay in a
+#: core's cache; of these, windows of one matrix product, which are quickest while small.
+RUN_WINDOWS, STATE_WINDOWS, PRODUCT_WINDOWS = 4096, 1024, 256
 #: Far above the rounding of a path's sum.
 BOUND_MARGIN = 0.01
 
@@ -239,63 +240,91 @@ class Tagger:
         return both, both @ self.w["out"] + self.w["bias"]
 
     def _columns(self, x: np.ndarray) -> np.ndarray:
-        """``scores`` with time first and windows last (time, tag, window), both directions side by side.
+        """``scores`` with time first and windows last (time, tag, window).
 
-        Sigmoids are written by tanh, halved arguments and states by the weights: powers of two, so no digit changes.
+        One product a step takes the states, the embedded symbols and a 1 to the gates of both directions and to what
+        the states before add to the scores.  Sigmoids are written by tanh, halved arguments and states by the weights:
+        powers of two, so no digit changes.
         """
         w, h, (n, long) = self.w, HIDDEN, x.shape
         kind = w["embed"].dtype.type
-        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)]).astype(kind)
-        table = [np.ascontiguousarray(((w["embed"] @ w[f"in_{d}"] + w[f"gate_{d}"]) * half).T) for d in "fb"]
-        rec = [np.ascontiguousarray((w[f"rec_{d}"] * half * kind(0.5)).T) for d in "fb"]
-        at = np.ascontiguousarray(x.T.astype(np.intp))
-        gates, step = np.empty((2, 4, h, n), kind), np.empty((4 * h, n), kind)  # in, keep, out, new
-        flat = gates.reshape(2, 4 * h, n)
-        hid, cell, bent = (np.zeros((2, h, n), kind) for _ in range(3))
-        both = np.empty((long, 2 * h, n), kind)
-        for t in range(long):
-            for d, now in enumerate((t, long - 1 - t)):
-                np.take(table[d], at[now], axis=1, out=flat[d], mode="clip")
-                flat[d] += np.matmul(rec[d], hid[d], out=step)
-            np.tanh(flat, out=flat)
-            gates[:, :3] += 1
-            cell *= gates[:, 1]
-            cell += np.multiply(gates[:, 0], gates[:, 3], out=bent)
-            cell *= kind(0.5)
-            np.multiply(gates[:, 2], np.tanh(cell, out=bent), out=hid)
-            both[t, :h], both[long - 1 - t, h:] = hid[0], hid[1]
-        return np.matmul(np.ascontiguousarray((w["out"] * kind(0.5)).T), both) + w["bias"][:, None]
+        one, half = kind(1), kind(0.5)
+        step = np.zeros((2, 4 * h + len(TAGS), h + EMBED + 1), kind)
+        for i, d in enumerate("fb"):
+            gate = np.concatenate([w[f"rec_{d}"] * half, w[f"in_{d}"], w[f"gate_{d}"][None]])
+            gate[:, :3 * h] *= half
+            step[i, :4 * h], step[i, 4 * h:, :h] = gate.T, (w["out"][i * h:(i + 1) * h] * half).T
+        step[0, 4 * h:, -1] = w["bias"]
+        wide = max(1, min(n, PRODUCT_WINDOWS))
+        blocks = -(-n // wide)
+        at = np.full((long, blocks * wide), PAD, np.intp)
+        at[:, :n] = x.T
+        at = at.reshape(long, blocks, wide)
+        score = np.zeros((long, len(TAGS), blocks * wide), kind)
+        by_block = score.reshape(long, len(TAGS), blocks, wide).transpose(0, 2, 1, 3)
+        for first in range(0, blocks, STATE_WINDOWS // PRODUCT_WINDOWS):
+            here = slice(first, first + STATE_WINDOWS // PRODUCT_WINDOWS)
+            symbols = np.take(w["embed"], at[:, here], axis=0, mode="clip").transpose(0, 1, 3, 2)
+            into = by_block[:, here]
+            now = into.shape[1]
+            made = np.empty((now, *step.shape[:2], wide), kind)
+            flat, smooth, shown = made[:, :, :4 * h], made[:, :, :3 * h], made[:, :, 4 * h:]
+            put, keep, show, new = (made[:, :, i * h:(i + 1) * h] for i in range(4))
+            fed = np.zeros((now, 2, h + EMBED + 1, wide), kind)
+            hid, ahead, back = fed[:, :, :h], fed[:, 0, h:-1], fed[:, 1, h:-1]
+            fed[:, :, -1] = 1
+            cell, bent = np.zeros((2, now, 2, h, wide), kind)
+            for t in range(long + 1):
+                if t < long:
+                    ahead[:], back[:] = symbols[t], symbols[long - 1 - t]
+                np.matmul(step, fed, out=made)
+                if t:
+                    into[t - 1] += shown[:, 0]
+                    into[long - t] += shown[:, 1]
+                np.tanh(flat, out=flat)
+                np.add(smooth, one, out=smooth)
+                np.multiply(cell, keep, out=cell)
+                np.multiply(put, new, out=bent)
+                np.add(cell, bent, out=cell)
+                np.multiply(cell, half, out=cell)
+                np.multiply(show, np.tanh(cell, out=bent), out=hid)
+        return score[:, :, :n]
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         """The best path of each window; of equal ways the first tag counts."""
         out = np.zeros(x.shape, np.int64)
         score, change = self._columns(x), self.w["change"]
         some = np.flatnonzero(self._bound(score) > -BOUND_MARGIN)  # elsewhere O throughout is the best path
-        score = score[:, :, some]
-        best = [score[0]]
+        score = np.take(score, some, axis=2)
+        best = np.empty_like(score)
+        best[0] = score[0]
         ways = np.empty((*change.shape, len(some)), score.dtype)
         for t in range(1, len(score)):
-            np.add(best[-1][:, None, :], change[:, :, None], out=ways)
-            best.append(ways.max(0) + score[t])
-        tags = best[-1].argmax(0)
-        out[some, -1] = tags
+            np.add(best[t - 1][:, None, :], change[:, :, None], out=ways)
+            np.add(ways.max(0), score[t], out=best[t])
+        best, into = np.ascontiguousarray(best.transpose(0, 2, 1)), np.ascontiguousarray(change.T)
+        path = np.empty((len(score), len(some)), np.int64)
+        path[-1] = best[-1].argmax(1)
         for t in range(len(score) - 1, 0, -1):
-            tags = (best[t - 1] + change[:, tags]).argmax(0)
-            out[some, t - 1] = tags
+            path[t - 1] = (best[t - 1] + into[path[t]]).argmax(1)
+        out[some] = path.T
         return out
 
     def _bound(self, score: np.ndarray) -> np.ndarray:
-        """What a run of other tags can gain over O throughout, at most, by window: each place with its best tag, each
+        """What a run of other tags can gain over O throughout, at most, by window: each place with its best B or I, each
         change with the best of its sort.  A path is O and such runs, so where no run gains, no path does."""
         change = self.w["change"] - self.w["change"][0, 0]
-        opening, inside, closing = change[0, 1:].max(), change[1:, 1:].max(), change[1:, 0].max()
-        gain = score[:, 1:].max(1) - score[:, 0]
+        sorts = slice(1, None, 2), slice(2, None, 2)  # B, I
+        opening = np.array([[change[0, q].max()] for q in sorts])
+        inside = np.array([[[change[p, q].max()] for q in sorts] for p in sorts])
+        closing = np.array([[change[p, 0].max()] for p in sorts])
+        gain = np.stack([score[:, q].max(1) for q in sorts], axis=1) - score[:, :1]
         run = gain[0]
         top = run + closing
         for now in gain[1:]:
-            run = now + np.maximum(run + inside, opening)
+            run = np.maximum((run[:, None] + inside).max(0), opening) + now
             np.maximum(top, run + closing, out=top)
-        return np.maximum(top, run)  # the last may go on to the end
+        return np.maximum(top, run).max(0)  # the last may go on to the end
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags and its gradient."""
@@ -414,16 +443,13 @@ def reconcile(size: int, numbers: np.ndarray, tags: np.ndarray) -> np.ndarray:
 
 def tagged_spans(tags: np.ndarray) -> list[Span]:
     """Spans of a tag sequence: a B and the I of its kind that follow."""
-    out, at = [], np.flatnonzero(tags)
-    k = 0
-    while k < len(at):
-        start, first = int(at[k]), int(tags[at[k]])
-        end, k = start + 1, k + 1
-        while k < len(at) and at[k] == end and tags[end] == first + first % 2:  # the I tag of its kind
-            end, k = end + 1, k + 1
-        if first % 2:
-            out.append((KINDS[(first - 1) // 2], start, end))
-    return out
+    tags = np.pad(tags, 1)
+    here, before = tags[1:], tags[:-1]
+    goes_on = (here > 0) & (here % 2 == 0) & ((before == here) | (before == here - 1))
+    start = np.flatnonzero(here % 2)
+    edges = np.flatnonzero((before > 0) & ~goes_on)
+    end = edges[np.searchsorted(edges, start, side="right")]
+    return [(KINDS[k], a, b) for k, a, b in zip((here[start] // 2).tolist(), start.tolist(), end.tolist(), strict=True)]
 
 
 def symbol_windows(text: str, first: int, behind: int) -> np.ndarray:
@@ -463,33 +489,44 @@ def tagged_windows(texts: list[str], tagger: Tagger) -> tuple[np.ndarray, np.nda
     return owner, number, tags
 
 
-def text_tags(size: int, numbers: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """``reconcile`` over all windows of a text, of which ``numbers`` are those with any tag but O: the
-    others count where they share characters with these."""
-    near = np.unique(np.concatenate([numbers + i for i in range(1 - WINDOW // STRIDE, WINDOW // STRIDE)]))
-    near = near[(near >= 0) & (near * STRIDE < size)]
+def text_tags(sizes: np.ndarray, owner: np.ndarray, numbers: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``reconcile`` over all windows of texts, of which ``owner`` and ``numbers`` are those with any tag but O: the
+    others count where they share characters with these.  The texts lie one behind the other, a window's length
+    apart or more; their starts are returned, too."""
+    counts = -(-sizes // STRIDE)
+    first = np.concatenate([[0], np.cumsum(counts + WINDOW // STRIDE)])
+    placed = first[owner] + numbers
+    near = np.unique(np.concatenate([placed + i for i in range(1 - WINDOW // STRIDE, WINDOW // STRIDE)]))
+    text = np.searchsorted(first, near, side="right") - 1
+    near = near[(near >= 0) & (near - first[text] < np.append(counts, 0)[text])]
     every = np.zeros((len(near), WINDOW), np.uint8)
-    every[np.searchsorted(near, numbers)] = tags
-    return reconcile(size, near, every)
+    every[np.searchsorted(near, placed)] = tags
+    starts = first[:-1] * STRIDE
+    line = reconcile(int(first[-1]) * STRIDE, near, every)
+    at = np.flatnonzero(line)
+    line[at[at - starts[text_of := np.searchsorted(starts, at, side="right") - 1] >= sizes[text_of]]] = 0
+    return line, starts
 
 
 def added_spans(texts: list[str], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """Spans that the tagger adds to the base spans of each text."""
     owner, number, tags = tagged_windows(texts, tagger)
-    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out: list[list[Span]] = []
-    for i, text in enumerate(texts):
-        own, found = slice(cut[i], cut[i + 1]), []
-        if cut[i] < cut[i + 1]:
+    out: list[list[Span]] = [[] for _ in texts]
+    if not len(owner):
+        return out
+    line, starts = text_tags(np.array([len(t) for t in texts]), owner, number, tags)
+    spans = [s for s in tagged_spans(line) if LENGTHS[s[0]][0] <= s[2] - s[1] <= LENGTHS[s[0]][1]]
+    whose = np.searchsorted(starts, [a for _, a, _ in spans], side="right") - 1
+    last = -1
+    for i, (kind, a, b) in zip(whose.tolist(), spans, strict=True):
+        if i != last:
             # Both lists are in order: reach is the furthest end of the base spans that begin before b.
-            held, k, reach = sorted((x, y) for _, x, y in base[i]), 0, 0
-            for kind, a, b in tagged_spans(text_tags(len(text), number[own], tags[own])):
-                while k < len(held) and held[k][0] < b:
-                    k, reach = k + 1, max(reach, held[k][1])
-                low, high = LENGTHS[kind]
-                if low <= b - a <= high and reach <= a and of_learnt_form(kind, text, a, b):
-                    found.append((kind, a, b))
-        out.append(found)
+            last, held, k, reach = i, sorted((x, y) for _, x, y in base[i]), 0, 0
+        a, b = a - int(starts[i]), b - int(starts[i])
+        while k < len(held) and held[k][0] < b:
+            k, reach = k + 1, max(reach, held[k][1])
+        if reach <= a and of_learnt_form(kind, texts[i], a, b):
+            out[i].append((kind, a, b))
     return out
 
 

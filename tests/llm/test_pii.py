@@ -207,3 +207,40 @@ def test_decoding_by_columns_is_that_of_the_scores():
     for b in reversed(back):
         path.append(b[np.arange(len(x)), path[-1]])
     assert (tagger.viterbi(x) == np.stack(path[::-1], 1)).mean() > 0.9999
+
+
+def test_few_windows_are_decoded_for_nothing():
+    """The bound leaves out no window with a tag, and most of the others."""
+    tagger = P.trained_tagger()
+    x = P.encode_windows([t for t, spans in P.labelled_windows(6000, 99) if not spans])
+    suspected = tagger._bound(tagger._columns(x)) > -P.BOUND_MARGIN
+    best, change = tagger._columns(x), tagger.w["change"]
+    for t in range(1, len(best)):
+        best[t] += (best[t - 1][:, None, :] + change[:, :, None]).max(0)
+    score = tagger._columns(x)
+    other = score[:, 0].sum(0) + change[0, 0] * (len(score) - 1)  # O throughout
+    assert not (~suspected & (best[-1].max(0) > other + 1e-3)).any()
+    tagged = tagger.viterbi(x).any(1)
+    assert suspected[tagged].all() and suspected[~tagged].mean() < 0.2
+
+
+def test_windows_of_any_number_and_length():
+    """Blocks that are full, begun or single, of odd and even length, against the scores."""
+    tagger = P.trained_tagger()
+    rng = np.random.default_rng(2)
+    for n, long in ((1, 1), (1, 64), (3, 2), (255, 5), (257, 3), (P.STATE_WINDOWS + 1, 4), (P.STATE_WINDOWS + P.PRODUCT_WINDOWS, 7)):
+        x = rng.integers(0, P.SYMBOLS, (n, long))
+        score = tagger.scores(x)[1]
+        assert np.abs(tagger._columns(x).transpose(2, 0, 1) - score).max() < 1e-4
+    assert tagger.viterbi(np.zeros((0, P.WINDOW), np.int64)).shape == (0, P.WINDOW)
+
+
+def test_texts_together_are_texts_alone():
+    """Empty texts between, spans at both ends of a text and tags that would run on into the next one."""
+    rng, tagger = random.Random(6), P.trained_tagger()
+    pieces = ["(212) 555-7788", "jane.doe(at)word.org", "4111 1111 1111 1112", "words ", "x" * 31, "", "at 10.0.0.1", "4", "555", "."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    base = [P.base_spans(t) for t in texts]
+    alone = [P.added_spans([t], [b], tagger)[0] for t, b in zip(texts, base)]
+    assert P.added_spans(texts, base, tagger) == alone and sum(map(len, alone)) > 20
+    assert P.added_spans([], [], tagger) == [] and P.added_spans(["", ""], [[], []], tagger) == [[], []]
